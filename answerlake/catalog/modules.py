@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("desk", "money", "texts", "search", "scoring", "protection", "tone", "flows", "feeds", "checks")
+NAMES = ("desk", "money", "texts")
 
 
 def load() -> None:
