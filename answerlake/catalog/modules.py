@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("desk", "money", "texts")
+NAMES = ("desk", "money", "texts", "search")
 
 
 def load() -> None:

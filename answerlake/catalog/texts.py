@@ -145,12 +145,12 @@ def numbered(t):
         (F.col("doc_id") % 7).cast("string"), F.lit("0.")).alias("text"))
 
 
-@query("numeric_atoms", "T13", f"""SELECT doc_id, CAST(length(a) AS BIGINT) AS n, round(list_sum(list_filter(a, lambda d: d < 1000000000)), 2) AS total, list_max(a) AS largest
+@query("numeric_atoms", "T13", f"""SELECT doc_id, CAST(length(a) AS BIGINT) AS n, CAST(list_sum(list_transform(list_filter(a, lambda d: d < 1000000000), lambda d: floor(d))) AS DOUBLE) AS total, list_max(a) AS largest
 FROM (SELECT doc_id, {q.atoms('text')} AS a FROM {NUMBERED})""")
 def _(t):
     atoms = numbered(t).select("doc_id", x.numeric_atoms(DOC).alias("a"))
     return atoms.select("doc_id", F.size("a").cast("bigint").alias("n"),
-                        F.round(F.aggregate(F.filter("a", lambda n: n < 1000000000), F.lit(0.0), lambda s, n: s + n), 2).alias("total"),
+                        F.aggregate(F.filter("a", lambda n: n < 1000000000), F.lit(0.0), lambda s, n: s + F.floor(n)).alias("total"),
                         F.array_max("a").alias("largest"))
 
 

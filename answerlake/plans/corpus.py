@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from answerlake.functions import text as x
 from answerlake.functions.vocabulary import NEUTRAL, Vocabulary
+from answerlake.session import spread
 
 # The heading rule and the window sizes of the default chunker.
 SECTION_HEADING = r"Section\s+\d+\s*:[^\n]*"
@@ -62,6 +63,7 @@ def sections(text: Column, doc_id: Column, heading: str = SECTION_HEADING) -> Co
 def chunk(docs: DataFrame, heading: str = SECTION_HEADING, size: int = WINDOW_WORDS,
           overlap: int = WINDOW_OVERLAP, keep: tuple[str, ...] = ("source",)) -> DataFrame:
     """Section-aware word windows, numbered through the document, without a shuffle."""
+    docs = spread(docs)
     name = F.col("doc_id").cast("string")
     cut = sections(F.col("text"), name, heading)
     windows = F.flatten(F.transform(cut, lambda s: F.transform(
@@ -104,21 +106,26 @@ def index_stats(chunks: DataFrame, vector: str | None = None) -> DataFrame:
              "documents", "chunks", "dimensions")
 
 
-def build_postings(chunks: DataFrame, vocab: Vocabulary = NEUTRAL, text: str = "search_text",
-                   ident: str = "chunk_id") -> DataFrame:
-    """Inverted index rows (ident, term, tf, doc_len). Counting happens inside each
-    chunk; the one exchange puts a chunk's rows together so that everything grouped
+def term_table(chunks: DataFrame, vocab: Vocabulary = NEUTRAL, text: str = "search_text",
+               ident: str = "chunk_id") -> DataFrame:
+    """One row per chunk: (ident, doc_len, counts of its terms). The one exchange
+    spreads the chunks on ident before they are tokenised, so that everything grouped
     by chunk afterwards stays in place."""
-    counted = chunks.select(ident, x.tokenize(F.col(text), vocab).alias("tokens")).select(
-        ident, F.size("tokens").alias("doc_len"), x.term_counts(F.col("tokens")).alias("counts"))
-    return counted.repartition(ident).select(ident, "doc_len", F.inline("counts")).select(
-        ident, "term", F.col("tf").cast("bigint").alias("tf"), F.col("doc_len").cast("bigint").alias("doc_len"))
+    spread_out = chunks.select(ident, F.col(text).alias("body")).repartition(ident)
+    tokens = spread_out.select(ident, x.tokenize(F.col("body"), vocab).alias("tokens"))
+    return tokens.select(ident, F.size("tokens").cast("bigint").alias("doc_len"),
+                         x.term_counts(F.col("tokens")).alias("counts"))
 
 
-def corpus_stats(chunks: DataFrame, vocab: Vocabulary = NEUTRAL, text: str = "search_text") -> DataFrame:
+def build_postings(terms: DataFrame, ident: str = "chunk_id") -> DataFrame:
+    """Inverted index rows (ident, term, tf, doc_len) of a term table, without an exchange."""
+    return terms.select(ident, "doc_len", F.inline("counts")).select(
+        ident, "term", F.col("tf").cast("bigint").alias("tf"), "doc_len")
+
+
+def corpus_stats(terms: DataFrame) -> DataFrame:
     """One row: number of chunks and their mean token count."""
-    return chunks.select(F.size(x.tokenize(F.col(text), vocab)).alias("n")).agg(
-        F.count(F.lit(1)).alias("chunks"), F.avg("n").alias("avg_len"))
+    return terms.agg(F.count(F.lit(1)).alias("chunks"), F.avg("doc_len").alias("avg_len"))
 
 
 def document_frequency(postings: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLE_NAMES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -66,6 +67,27 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Marks a narrow table for broadcast after counting that it is small.
+
+    Above the bound it is returned unmarked and the join shuffles, where AQE
+    splits skewed keys. The count stops at the bound.
+    """
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return F.broadcast(df)
+    return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads a table that arrives in fewer partitions than there are cores (one
+    small file) before heavy per-row work; a table with enough splits stays put."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: later jobs re-read the rows instead of the plan."""
     spark = df.sparkSession
