@@ -216,8 +216,8 @@ pick1 AS (SELECT query_id, [1] AS chosen FROM pool WHERE rank = 1)"""]
     for i in range(2, k + 1):
         out.append(f"""pick{i} AS (SELECT query_id, list_append(chosen, rank) AS chosen FROM (
   SELECT p.query_id, p.chosen, r.rank, row_number() OVER (PARTITION BY p.query_id ORDER BY
-     {lam} * any_value(r.rel) - (1 - {lam}) * greatest(max(s.sim), CASE WHEN sum(CASE WHEN s.same THEN 1 ELSE 0 END) > 0
-       THEN least(1.0, 0.6 + 0.3 * (sum(CASE WHEN s.same THEN 1 ELSE 0 END) - 1)) ELSE 0 END) DESC, r.rank) AS best
+     round({lam} * any_value(r.rel) - (1 - {lam}) * greatest(max(s.sim), CASE WHEN sum(CASE WHEN s.same THEN 1 ELSE 0 END) > 0
+       THEN least(1.0, 0.6 + 0.3 * (sum(CASE WHEN s.same THEN 1 ELSE 0 END) - 1)) ELSE 0 END), 10) DESC, r.rank) AS best
   FROM pick{i - 1} p JOIN rel r ON r.query_id = p.query_id AND NOT list_contains(p.chosen, r.rank)
   JOIN sims s ON s.query_id = p.query_id AND s.ra = r.rank AND list_contains(p.chosen, s.rb)
   GROUP BY p.query_id, p.chosen, r.rank) WHERE best = 1)""")

@@ -97,7 +97,7 @@ def distinct_keep_order(values: Column) -> Column:
 
 
 def _pieces(col: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(col, pattern), strip), lambda s: F.length(s) > 0)
+    return F.filter(F.transform(F.split(col, pattern), lambda s: strip(s)), lambda s: F.length(s) > 0)
 
 
 def sentences(col: Column) -> Column:

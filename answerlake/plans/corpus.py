@@ -53,7 +53,7 @@ def sections(text: Column, doc_id: Column, heading: str = SECTION_HEADING) -> Co
 
     def cut(whole: Column) -> Column:
         plain = F.array(entry(doc_id, doc_id, whole))
-        parts = F.filter(F.transform(F.split(whole, rf"(?im)(?=^(?:{heading})$)"), x.strip), lambda p: F.length(p) > 0)
+        parts = F.filter(F.transform(F.split(whole, rf"(?im)(?=^(?:{heading})$)"), lambda p: x.strip(p)), lambda p: F.length(p) > 0)
         return F.when(F.length(whole) == 0, F.slice(plain, 1, 0)).otherwise(x.let(parts, lambda found: F.when(
             F.exists(found, lambda p: p.rlike(starts)), with_title(found)).otherwise(plain)))
 

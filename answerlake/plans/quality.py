@@ -240,7 +240,7 @@ def missing_keys(answer: Column, keys: Column) -> Column:
         return ~(F.contains(low, F.lower(key)) | by_figure)
 
     return x.let(F.struct(lowered.alias("low"), stated.alias("figures")), lambda a: F.filter(
-        F.filter(F.transform(keys, x.strip), lambda k: F.length(k) > 0), lambda k: absent(k, a["low"], a["figures"])))
+        F.filter(F.transform(keys, lambda k: x.strip(k)), lambda k: F.length(k) > 0), lambda k: absent(k, a["low"], a["figures"])))
 
 
 def answer_relevance_gold(answer: Column, keys: Column) -> Column:

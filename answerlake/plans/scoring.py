@@ -279,7 +279,8 @@ def select_diverse(pool: pd.DataFrame, k: int, lam: float, base: float = 0.6, st
         redundancy = np.where(repeats > 0, np.minimum(1.0, base + step * (repeats - 1)), 0.0)
         if not stale:
             redundancy = np.maximum(similar[:, chosen].max(axis=1), redundancy)
-        value = lam * relevance - (1 - lam) * redundancy
+        # Rounded so that exact copies tie and keep their pool order.
+        value = np.round(lam * relevance - (1 - lam) * redundancy, 10)
         value[chosen] = -np.inf
         chosen.append(int(np.argmax(value)))
     return chosen
