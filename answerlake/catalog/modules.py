@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("desk", "money", "texts", "search", "scoring")
+NAMES = ("desk", "money", "texts", "search", "scoring", "protection")
 
 
 def load() -> None:

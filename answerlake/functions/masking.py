@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 # How personal data is written. Phones are guarded so that longer
 # digit runs (cards, references) are left alone.
-PHONE = r"(?<![0-9+])(?:\+?254|0)[ \t-]?[17][0-9]{2}[ \t-]?[0-9]{3}[ \t-]?[0-9]{3}(?![0-9])"
+PHONE = r"(?<![0-9+])(?:\+?254|0)[\s-]?[17][0-9]{2}[\s-]?[0-9]{3}[\s-]?[0-9]{3}(?![0-9])"
 SCRUB_RULES = (
     ("[phone]", PHONE),
     ("[email]", r"[\w.+-]+@[\w-]+\.[\w.-]+"),
