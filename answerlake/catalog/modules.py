@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("desk", "money", "texts", "search", "scoring", "protection")
+NAMES = ("desk", "money", "texts", "search", "scoring", "protection", "flows", "tone")
 
 
 def load() -> None:

@@ -1,0 +1,129 @@
+"""Ordered per-key folds: rules where each decision depends on the ones before it.
+
+A refused event does not count, a closed case may open again - no window frame says
+that. The fold walks the rows of a key in order with a small state. Small keys are
+grouped and folded directly. As soon as one key is too large for that, the table is
+range-partitioned by (key, order): a hot key then lies across many tasks, each walks
+its slice as a stream, and the state at a slice's start comes from the slice before.
+"""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Callable, Sequence
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from answerlake.session import settle
+
+# step(state, row) -> (new state, output row or None); state is None at a key's start
+# and must survive JSON; row is a tuple in column order, output a tuple in schema order.
+Step = Callable[[object, tuple], tuple[object, tuple | None]]
+
+MAX_GROUP_ROWS = 1_000_000
+
+
+def ordered_fold(df: DataFrame, key: str, order: Sequence[str], step: Step, schema: str,
+                 max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    out_schema = T.StructType.fromDDL(schema)
+    largest = df.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    if largest <= max_group_rows:
+        return _grouped(df, key, list(order), step, out_schema)
+    return _sliced(df, key, list(order), step, out_schema, max_group_rows)
+
+
+def _frame(rows: list[tuple], schema: T.StructType) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=schema.names, dtype=object)
+    for f in schema.fields:
+        if isinstance(f.dataType, (T.LongType, T.IntegerType)):
+            frame[f.name] = frame[f.name].astype("Int64" if isinstance(f.dataType, T.LongType) else "Int32")
+        elif isinstance(f.dataType, T.DoubleType):
+            frame[f.name] = frame[f.name].astype("float64")
+    return frame
+
+
+def _plain(frame: pd.DataFrame):
+    """Rows as tuples of Python values with None for missing ones."""
+    columns = [frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in frame.columns]
+    return zip(*columns, strict=True)
+
+
+def _walk(batches, key_at: int, step: Step, begin=lambda row: None):
+    """Streams sorted rows through the step: yields one list of outputs per batch and
+    finally (first key, last key, last state). Only the open key's state is held."""
+    first = current = state = None
+    opening = True
+    for frame in batches:
+        out = []
+        for row in _plain(frame):
+            if opening:
+                opening, first, current, state = False, row[key_at], row[key_at], begin(row)
+            elif row[key_at] != current:
+                current, state = row[key_at], None
+            state, result = step(state, row)
+            if result is not None:
+                out.append(result)
+        yield out
+    yield (first, current, state)
+
+
+def _grouped(df: DataFrame, key: str, order: list[str], step: Step, schema: T.StructType) -> DataFrame:
+    at = df.columns.index(key)
+
+    def run(batches):
+        for out in _walk(batches, at, step):
+            if isinstance(out, list):
+                yield _frame(out, schema)
+
+    return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
+
+
+def _sliced(df: DataFrame, key: str, order: list[str], step: Step, schema: T.StructType, slice_rows: int) -> DataFrame:
+    slices = max(2, -(-df.count() // slice_rows))
+    ranged = df.repartitionByRange(slices, key, *order).sortWithinPartitions(key, *order)
+    rows = settle(ranged.withColumn("slice_no", F.spark_partition_id()))
+    at = df.columns.index(key)
+
+    def own_step(state, row):
+        return step(state, row[:-1])
+
+    def walk(batches, starts: dict, emit: bool):
+        number = None
+
+        def begin(row):
+            nonlocal number
+            number = row[-1]
+            return starts.get(number)
+
+        for out in _walk(batches, at, own_step, begin):
+            if isinstance(out, list):
+                if emit:
+                    yield _frame(out, schema)
+            elif not emit and number is not None:
+                first, last, state = map(json.dumps, out)
+                yield pd.DataFrame({"slice_no": [number], "first": [first], "last": [last], "state": [state]})
+
+    def boundaries(starts: dict, only: set | None):
+        source = rows if only is None else rows.filter(F.col("slice_no").isin(*only))
+        return source.mapInPandas(lambda b: walk(b, starts, False), "slice_no int, first string, last string, state string").collect()
+
+    # One small row per slice comes back. A round settles at least one more slice of
+    # every chain; only slices whose start changed run again.
+    found = {r["slice_no"]: r for r in boundaries({}, None)}
+    starts: dict = {}
+    while True:
+        wanted, before = {}, None
+        for number in sorted(found):
+            here = found[number]
+            if before is not None and before["last"] == here["first"]:
+                wanted[number] = json.loads(before["state"])
+            before = here
+        changed = {n for n in wanted if n not in starts or starts[n] != wanted[n]}
+        if not changed:
+            break
+        starts = wanted
+        found.update({r["slice_no"]: r for r in boundaries(starts, changed)})
+    return rows.mapInPandas(lambda b: walk(b, starts, True), schema)
