@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-NAMES = ("desk", "money", "texts", "search", "scoring", "protection", "flows", "tone")
+NAMES = ("desk", "money", "texts", "search", "scoring", "protection", "flows", "tone", "feeds", "checks")
 
 
 def load() -> None:

@@ -83,7 +83,7 @@ CAPITALS = "^['A-Z]*[A-Z]['A-Z]*$".replace("'", "''")
 w AS (SELECT *, regexp_extract_all(x, '[A-Za-z0-9'']+') AS ws, trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(12)) AS y FROM s)
 SELECT conv_id, turn, CAST(CASE WHEN length(ws) < 3 AND NOT contains(x, '!') AND length(list_filter(ws, lambda v: regexp_full_match(v, '[A-Z]{3,}'))) = 0 THEN 0.3
   WHEN ends_with(y, '?') AND length(y) - length(replace(y, '?', '')) = 1 AND NOT contains(y, '!') AND NOT regexp_matches(left(y, length(y) - 1), '[.;]\\s+\\S')
-   AND length(list_filter(regexp_extract_all(y, '[A-Za-z'']+'), lambda v: length(v) >= 3 AND regexp_matches(v, '""" + CAPITALS + """'))) = 0
+   AND length(list_filter(regexp_extract_all(y, '[A-Za-z'']+'), lambda v: v NOT IN ('USD', 'KES') AND length(v) >= 3 AND regexp_matches(v, '""" + CAPITALS + """'))) = 0
    AND regexp_matches(y, '(?i)^(""" + "|".join(classify.PLAIN_OPENERS) + """)($|[^\\p{L}\\p{N}_])')
    AND NOT regexp_matches(y, '(?i)(^|[^\\p{L}\\p{N}_])(""" + "|".join(classify.COMPLAINT_WORDS).replace("'", "''").replace("\\w*", "[\\p{L}\\p{N}_]*") + """)($|[^\\p{L}\\p{N}_])')
   THEN 0.45 END AS DOUBLE) AS ceiling FROM w""")
@@ -97,7 +97,7 @@ def _(t):
 
 def trained(t):
     parts = settle(classify.stratified_split(labelled(t).select("doc_id", "text", "label"), "doc_id", "label"))
-    return classify.train(parts.filter("part = 'train'"), "doc_id", "text", "label", "upset", "calm", iterations=100), parts
+    return classify.train(parts.filter("part = 'train'"), "doc_id", "text", "label", "upset", "calm", iterations=50), parts
 
 
 @query("trained_scores", "C2 C3 C4")

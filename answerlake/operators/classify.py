@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import Column, DataFrame
@@ -26,7 +27,7 @@ COMPLAINT_WORDS = (
     r"ignor\w*", r"refus\w*", r"not\s+(?:arrived|received|working|helpful|happy)", "hasn'?t", "haven'?t", "didn'?t",
     "won'?t", "can'?t",
 )
-HASH_BITS = 18
+HASH_BITS = 16
 
 
 def stratified_split(df: DataFrame, ident: str, label: str, test_share: float = 0.25, seed: str = "42") -> DataFrame:
@@ -117,8 +118,8 @@ def train(df: DataFrame, ident: str, text: str, label: str, positive: str, negat
         (F.col("label") == positive).cast("double").alias("y"), weight.alias("w"), vector("cells", F.array(*scaled)).alias("features"))
     model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0,
                                standardization=False, maxIter=iterations, tol=1e-6).fit(ready)
-    weights = model.coefficients
-    cells = [(str(int(i)), float(v)) for i, v in zip(weights.toSparse().indices, weights.toSparse().values, strict=True) if i < (1 << HASH_BITS)]
+    weights = model.coefficients.toArray()  # fixed width: the hash space and the style features
+    cells = [(str(int(i)), float(weights[i])) for i in np.flatnonzero(weights[:1 << HASH_BITS])]
     spark = df.sparkSession
     coefficient = spark.createDataFrame(cells or [("0", 0.0)], "bucket string, coefficient double")
     table = idf.join(F.broadcast(coefficient), "bucket", "left").select("bucket", "idf", F.coalesce("coefficient", F.lit(0.0)).alias("coefficient"))
@@ -126,6 +127,10 @@ def train(df: DataFrame, ident: str, text: str, label: str, positive: str, negat
     return ToneModel(settle(table), tone, float(model.intercept), positive, negative)
 
 
+# Capitals that are not shouting.
+QUIET_CODES = ("USD", "KES")
+
+
 def ceiling(col: Column) -> Column:
     """The most a message without visible emotion may score, or NULL: very short replies
     and single plain questions."""
@@ -138,7 +143,7 @@ def ceiling(col: Column) -> Column:
     plain = (
         said.endswith("?") & (F.regexp_count(said, F.lit(r"\?")) == 1) & ~F.contains(said, F.lit("!"))
         & ~said.substr(F.lit(1), F.length(said) - 1).rlike(r"[.;]\s+\S")
-        & ~F.exists(letters, lambda w: w.rlike("^['A-Z]{3,}$") & w.rlike("[A-Z]"))
+        & ~F.exists(letters, lambda w: w.rlike("^['A-Z]{3,}$") & w.rlike("[A-Z]") & ~w.isin(*QUIET_CODES))
         & said.rlike(r"(?iU)^(?:" + "|".join(PLAIN_OPENERS) + r")\b") & ~said.rlike(x.any_word(COMPLAINT_WORDS)))
     return F.when(short, SHORT_CEILING).when(plain, QUESTION_CEILING)
 
