@@ -194,7 +194,7 @@ class ExpiryProcessor(StatefulProcessor):
                 self.handle.deleteTimer(old)
             self.handle.registerTimer(due)
             self.due.update((due,))
-        yield pd.DataFrame({"key": [], "expired_at": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.due.clear()
