@@ -19,11 +19,11 @@ SELECT key, doc_id, problem FROM (SELECT key, doc_id, CASE WHEN known IS NULL TH
 def _(t):
     ident = F.col("doc_id")
     opening = F.left("text", F.lit(20))
-    registry = t.documents.select(
+    registry = t.texts.select(
         ident.alias("key"), F.when(ident % 20 == 0, ident + 1000000000).otherwise(ident).alias("doc_id"),
         F.when(ident % 7 == 0, F.concat(F.lit("Zzz "), opening)).otherwise(F.replace(opening, F.lit("e"), F.lit("E"))).alias("phrase"),
         F.when(ident % 3 == 0, "published").otherwise("draft").alias("provenance"), F.when(ident % 2 == 0, "http://x").alias("source_url"))
-    return audit.audit_registry(registry, t.documents)
+    return audit.audit_registry(registry, t.texts)
 
 
 @query("manifest_gaps", "U2", """SELECT doc_id, 'not in manifest' AS reason FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
@@ -33,8 +33,8 @@ def _(t):
     # Documents without a label, and declared ids (labels and shifted pages) without a document.
     declared = t.labels.select("doc_id")
     pages = t.pages.select((F.col("page_id") + 900).alias("doc_id"))
-    return audit.manifest_gaps(t.documents, declared, "doc_id").unionByName(
-        audit.manifest_gaps(t.documents, pages, "doc_id").filter("reason = 'no such document'"))
+    return audit.manifest_gaps(t.texts, declared, "doc_id").unionByName(
+        audit.manifest_gaps(t.texts, pages, "doc_id").filter("reason = 'no such document'"))
 
 
 @query("manifest_audit", "D2", """SELECT doc_id, 'not in manifest' AS reason FROM documents WHERE doc_id % 30 = 0
@@ -43,10 +43,10 @@ UNION ALL SELECT doc_id, 'missing notes' FROM documents WHERE doc_id % 30 <> 0 A
 UNION ALL SELECT doc_id, 'synthetic not disclosed' FROM documents WHERE doc_id % 30 <> 0 AND source = 'src3' AND (doc_id % 9 = 0 OR doc_id % 2 = 0)""")
 def _(t):
     ident = F.col("doc_id")
-    manifest = t.documents.filter(ident % 30 != 0).select(
+    manifest = t.texts.filter(ident % 30 != 0).select(
         "doc_id", F.when(F.col("source") == "src3", "synthetic").otherwise("published").alias("provenance"), F.when(ident % 4 != 0, "1.0").otherwise(" ").alias("version"),
         F.when(ident % 9 == 0, None).when(ident % 2 == 0, "as found").otherwise("a Prototype text").alias("notes"))
-    return audit.audit_manifest(manifest, t.documents, "doc_id", ["version", "notes"])
+    return audit.audit_manifest(manifest, t.texts, "doc_id", ["version", "notes"])
 
 
 @query("eval_set_audit", "D3", """WITH items AS (SELECT d.doc_id AS item_id, list_distinct([d.doc_id, d.doc_id // 2]) AS topics, [left(d.text, 8), CASE WHEN d.doc_id % 5 = 0 THEN 'qqqq' ELSE replace(right(d.text, 6), 'e', 'E') END] AS keywords FROM documents d),
@@ -55,29 +55,29 @@ p AS (SELECT k.item_id, keyword, max(contains(body, lower(keyword))) AS present
 SELECT i.item_id, CAST(length(topics) AS INTEGER) AS hops, (SELECT coalesce(string_agg(keyword, '|' ORDER BY keyword), '') FROM p WHERE p.item_id = i.item_id AND NOT coalesce(present, false)) AS absent FROM items i""")
 def _(t):
     ident = F.col("doc_id")
-    items = t.documents.select(
+    items = t.texts.select(
         ident.alias("item_id"), F.array_distinct(F.array(ident, F.floor(ident / 2))).alias("topics"),
         F.array(F.left("text", F.lit(8)), F.when(ident % 5 == 0, "qqqq").otherwise(F.replace(F.right("text", F.lit(6)), F.lit("e"), F.lit("E")))).alias("keywords"))
-    return audit.audit_eval_set(items, t.documents).withColumn("absent", F.array_join("absent", "|"))
+    return audit.audit_eval_set(items, t.texts).withColumn("absent", F.array_join("absent", "|"))
 
 
 @query("dataset_profile", "A14", f"""WITH n AS (SELECT length(regexp_extract_all(text, '\\S+')) AS n, lower({q.strip('text')}) AS k FROM documents)
 SELECT count(*) AS rows, round(avg(n), 4) AS mean_words, CAST(min(n) AS INTEGER) AS min_words, CAST(max(n) AS INTEGER) AS max_words, count(*) - count(DISTINCT k) AS duplicates FROM n""")
 def _(t):
-    return audit.describe_dataset(t.documents)
+    return audit.describe_dataset(t.texts)
 
 
 @query("train_overlap", "D6", f"""WITH k AS (SELECT doc_id, lang, regexp_replace(lower({q.strip('text')}), '\\s+', ' ', 'g') AS k FROM documents),
 a AS (SELECT k, count(*) AS n FROM k WHERE doc_id % 2 = 0 GROUP BY 1), z AS (SELECT k, count(*) AS n FROM k WHERE doc_id % 2 = 1 GROUP BY 1)
 SELECT k AS norm_key, a.n AS left_rows, z.n AS right_rows FROM a JOIN z USING (k)""")
 def _(t):
-    return audit.overlap(t.documents.filter("doc_id % 2 = 0"), t.documents.filter("doc_id % 2 = 1"))
+    return audit.overlap(t.texts.filter("doc_id % 2 = 0"), t.texts.filter("doc_id % 2 = 1"))
 
 
 @query("containing_documents", "D1 D3", """SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, array_to_string(regexp_extract_all(text, '\\S+')[1:8], ' ') AS run FROM benchmark) b
 JOIN (SELECT doc_id, array_to_string(w[i:i + 7], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, length(w) - 6)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents) WHERE length(w) >= 8)) d USING (run)""")
 def _(t):
-    return audit.containing_documents(t.benchmark, "item_id", t.documents, "doc_id", 8)
+    return audit.containing_documents(t.benchmark, "item_id", t.texts, "doc_id", 8)
 
 
 GRAMMAR = """pool AS (SELECT 'Where  is my ' || p_name || ' in ' || n_name || '?' AS text, 'calm' AS label FROM (SELECT DISTINCT p_name FROM part), nation

@@ -41,7 +41,7 @@ def _(t):
 def _(t):
     last = F.lpad((F.col("doc_id") % 1000).cast("string"), 3, "0")
     text = F.concat("text", F.lit(" Call 0712 345-"), last, F.lit(", +254112345"), last, F.lit(" or 00712345"), last, F.lit("."))
-    return t.documents.select("doc_id", masking.mask_text(text).alias("masked"))
+    return t.texts.select("doc_id", masking.mask_text(text).alias("masked"))
 
 
 @query("masked_checkouts", "P9", """SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'ws_CO_' || strftime(o_orderdate, '%Y%m%d') || '123456' || repeat('*', 8)
@@ -102,7 +102,7 @@ OFFERED = """offered AS (SELECT d.doc_id AS row_no, text || CASE d.doc_id % 4 WH
 def offered(t):
     ident = F.col("doc_id")
     tail = F.when(ident % 4 == 0, " ring 0712 345 678").when(ident % 4 == 1, F.concat(F.lit(" ref AB12C"), (ident % 10).cast("string"))).otherwise("")
-    return t.documents.join(t.labels, "doc_id", "left").select(
+    return t.texts.join(t.labels, "doc_id", "left").select(
         ident.alias("row_no"), F.concat("text", tail).alias("text"),
         F.when(F.col("toxic").isNull(), "odd").when(F.col("quality") == 1, " Calm").otherwise("frustrated").alias("label"),
         F.when(F.col("lang") != "de", F.upper("lang")).alias("language"),
@@ -145,7 +145,7 @@ def _(t):
 @query("unseen_texts", "J14", f"""SELECT doc_id AS row_no FROM (SELECT doc_id, {NORM.format('text')} AS k FROM documents)
 WHERE k NOT IN (SELECT {NORM.format('text')} FROM benchmark) QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id) = 1""")
 def _(t):
-    new = t.documents.select(F.col("doc_id").alias("row_no"), "text")
+    new = t.texts.select(F.col("doc_id").alias("row_no"), "text")
     return lifecycle.drop_seen(new, t.benchmark).select("row_no")
 
 

@@ -220,7 +220,7 @@ GOLD = """gold AS (SELECT item_id AS query_id, doc_id FROM (SELECT item_id, arra
 
 def gold(t):
     from answerlake.operators.audit import containing_documents
-    return containing_documents(t.benchmark, "item_id", t.documents, "doc_id", 6).select(
+    return containing_documents(t.benchmark, "item_id", t.texts, "doc_id", 6).select(
         F.col("item_id").alias("query_id"), "doc_id")
 
 
@@ -266,7 +266,7 @@ SELECT query_id, topical, evidence, supported, NOT (subject > 0 AND subject_evid
 FROM pq JOIN (SELECT query_id, max(dense_score) AS best FROM hits GROUP BY 1) USING (query_id)""")
 def _(t):
     from answerlake.plans import corpus
-    return retrieval.grounding_guard(messages(t), hits(t), corpus.vocabulary(t.documents, CORPUS), CORPUS)
+    return retrieval.grounding_guard(messages(t), hits(t), corpus.vocabulary(t.texts, CORPUS), CORPUS)
 
 
 SWEPT = f"""{s.SEARCH}, {s.mmr_sql()}, runs AS (
@@ -411,10 +411,10 @@ SORRY, OFFER = "We are sorry for the trouble.\n\n", "Would you like to talk to a
 
 
 def variants(t):
-    plain = t.documents.select(F.col("doc_id").alias("pair_id"), F.lit("calm").alias("variant"), x.strip(F.col("text")).alias("answer"),
+    plain = t.texts.select(F.col("doc_id").alias("pair_id"), F.lit("calm").alias("variant"), x.strip(F.col("text")).alias("answer"),
                                F.array("source", "lang").alias("sources"))
     body = F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("No. "), x.strip(F.col("text")))).otherwise(x.strip(F.col("text")))
-    upset = t.documents.select(
+    upset = t.texts.select(
         F.col("doc_id").alias("pair_id"), F.lit("upset").alias("variant"), F.concat(F.lit(SORRY), body, F.lit("\n\n" + OFFER)).alias("answer"),
         F.when(F.col("doc_id") % 15 == 0, F.array("source")).otherwise(F.array("lang", "source")).alias("sources"))
     return plain.unionByName(upset)

@@ -48,7 +48,8 @@ def chunks(t):
 
 
 def index(t):
-    return corpus.embed(chunks(t), "search_text", dims=DIMS)
+    # Stored once, as an index is: chunking and encoding are not repeated per join.
+    return settle(corpus.embed(chunks(t), "search_text", dims=DIMS))
 
 
 def questions(t):
@@ -244,3 +245,110 @@ def _(t):
 SELECT query_id, rank, chunk_id, doc_id, score, lexical_score, dense_score FROM hits""")
 def _(t):
     return retrieval.search(questions(t), index(t), CONFIG).select(*HIT_COLUMNS)
+
+
+# ------------------------------------------------- penalties and compound questions
+
+def penalty_vocabulary():
+    from answerlake.catalog.texts import PLACES
+    return PLACES
+
+
+ROUTE_WORDS = "(?i)domestic|routes"
+KIND_RULES = [("hand", "(?i)tionti"), ("checked", "(?i)anan|inging")]
+
+
+def kind_of(col):
+    """The first kind a text names; the same rule reads questions and headings."""
+    return F.when(col.rlike(KIND_RULES[0][1]), "hand").when(col.rlike(KIND_RULES[1][1]), "checked")
+
+
+def sql_kind(x_):
+    return f"CASE WHEN regexp_matches({x_}, '{KIND_RULES[0][1]}') THEN 'hand' WHEN regexp_matches({x_}, '{KIND_RULES[1][1]}') THEN 'checked' END"
+
+
+PENALISED = retrieval.SearchConfig(
+    vocab=CORPUS, dims=DIMS, use_places=True, route_words=ROUTE_WORDS, query_kind=kind_of,
+    chunk_kind=lambda index: kind_of(F.col("section")),
+    topic_rules=((lambda text: text.rlike("(?i)erth"), lambda index: F.col("section").rlike("(?i)en")),))
+
+NAMED_PLACES = "list_distinct(list_transform(regexp_extract_all(lower({0}), 'nation_[0-9]+|asia minor|asia|europe|old world|(?:^|[^\\p{{L}}\\p{{N}}_])via n3'), lambda p: CASE WHEN p = 'old world' THEN 'europe' WHEN contains(p, 'via n3') THEN 'n3' ELSE p END))"
+
+
+def places_sql(x_):
+    """Canonical places of a text; lower-case n3 and Asia Minor are not places."""
+    found = NAMED_PLACES.format(x_)
+    code = f"CASE WHEN contains({x_}, 'via N3') THEN ['nation_3'] ELSE []::VARCHAR[] END"
+    return f"list_distinct(list_concat(list_filter({found}, lambda p: p NOT IN ('asia minor', 'n3')), {code}))"
+
+
+ASKED_PLACES = "text || CASE WHEN item_id % 2 = 0 THEN ' from NATION_' || CAST(item_id % 25 AS VARCHAR) || CASE WHEN item_id % 4 = 0 THEN ' to Asia' ELSE '' END WHEN item_id % 5 = 0 THEN ' routes' ELSE '' END"
+
+
+def place_questions(t):
+    item = F.col("item_id")
+    return t.benchmark.select(item.alias("query_id"), F.concat(
+        "text", F.when(item % 2 == 0, F.concat(F.lit(" from NATION_"), (item % 25).cast("string"), F.when(item % 4 == 0, " to Asia").otherwise("")))
+        .when(item % 5 == 0, " routes").otherwise("")).alias("text"))
+
+
+def penalised_sql():
+    from answerlake.catalog.texts import NAMED
+    docs = f"docs AS (SELECT n.doc_id, n.text, d.source FROM {NAMED} n JOIN documents d USING (doc_id)), bench AS (SELECT item_id, {ASKED_PLACES} AS text FROM benchmark)"
+    body = f"{chunks_sql()}, {POSTINGS}, {ASKED}, {LEXICAL}, {HITS_SQL}".replace("FROM documents", "FROM docs").replace("FROM benchmark", "FROM bench")
+    head, tail = body.split("scored AS (", 1)
+    pool = tail[tail.index("pool AS ("):]
+    region = "['africa', 'america', 'asia', 'europe', 'middle east'][TRY_CAST(substr(p, 8) AS INTEGER) % 5 + 1]"
+    return f"""WITH {docs}, {head} cp AS (SELECT chunk_id, {places_sql('text')} AS stated, {sql_kind('section')} AS have, regexp_matches(section, '(?i)en') AS near FROM chunks),
+qp AS (SELECT item_id AS query_id, {places_sql('text')} AS want_places, regexp_matches(text, '{ROUTE_WORDS}') AS routes, {sql_kind('text')} AS want, regexp_matches(text, '(?i)erth') AS topic FROM bench),
+flags AS (SELECT b.*, length(list_filter(stated, lambda p: starts_with(p, 'nation_'))) >= 2 AS listing, length(list_filter(want_places, lambda p: NOT (list_contains(stated, p)
+    OR (starts_with(p, 'nation_') AND list_contains(stated, {region}))))) > 0 AS missing, length(want_places) > 0 OR routes AS named, want, have, topic AND near AS neighbour
+  FROM boosted b JOIN cp USING (chunk_id) JOIN qp USING (query_id)),
+scored AS (SELECT query_id, chunk_id, doc_id, chunk_no, listing AND missing AS route_mismatch, listing AND NOT named AS route_unasked,
+   coalesce(want <> have, false) AS kind_mismatch, neighbour AS topic_mismatch,
+   round(raw * CASE WHEN listing AND missing THEN 0.75 WHEN listing AND NOT named THEN 0.85 ELSE 1 END * CASE WHEN coalesce(want <> have, false) THEN 0.35 ELSE 1 END
+     * CASE WHEN neighbour THEN 0.35 ELSE 1 END, 4) AS score FROM flags), {pool}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, score, route_mismatch, route_unasked, kind_mismatch, topic_mismatch FROM pool"""
+
+
+@query("penalised_pool", "R9 R10 T20", penalised_sql())
+def _(t):
+    from answerlake.catalog.texts import named
+    docs = named(t).join(t.documents.select("doc_id", "source"), "doc_id")
+    base = settle(corpus.embed(corpus.chunk(docs, HEADING), "search_text", dims=DIMS))
+    return retrieval.candidate_pool(place_questions(t), base, PENALISED.with_(vocab=penalty_vocabulary())).select(
+        "query_id", "rank", "chunk_id", "score", "route_mismatch", "route_unasked", "kind_mismatch", "topic_mismatch")
+
+
+FUSION = 0.9
+COMPOUND = "text || ' What of the ' || right(text, 40) || ' and how the ' || left(text, 30) || '?'"
+
+
+def fused_sql():
+    from answerlake.catalog.texts import INTERROGATIVE, PART_OPENER, TRIM_PART
+    bench = f"""c0 AS (SELECT item_id, {q.strip(COMPOUND)} AS text FROM benchmark), c1 AS (SELECT *, {q.clauses('text')} AS parts FROM c0),
+c2 AS (SELECT *, list_max(list_filter(list_transform(range(1, length(parts) + 1), lambda i: CASE WHEN regexp_matches(parts[i], '{INTERROGATIVE}') THEN i END), lambda i: i IS NOT NULL)) AS pos FROM c1),
+c3 AS (SELECT *, array_to_string(parts[1:pos - 1], ' ') AS context, list_filter(list_transform(string_split(regexp_replace(regexp_replace(parts[pos],
+   '(?i)\\s+(and|also|plus|as\\s+well\\s+as)\\s+', chr(1), 'g'), '\\s*;\\s*', chr(1), 'g'), chr(1)), lambda p: {TRIM_PART}), lambda p: length(p) > 0) AS bits FROM c2),
+c4 AS (SELECT *, list_filter(bits, lambda p: regexp_matches(p, '{PART_OPENER}') AND length({q.tokens('p')}) >= 2) AS own FROM c3),
+c5 AS (SELECT item_id, CASE WHEN pos IS NOT NULL AND length(bits) >= 2 AND length(own) >= 2 THEN list_concat([text],
+  list_filter(list_transform(own[1:3], lambda p: {q.strip("(context || ' ' || p)")}), lambda p: lower(p) <> lower(text))) ELSE [text] END AS qs FROM c4),
+bench AS (SELECT item_id * 10 + i - 1 AS item_id, qs[i] AS text FROM (SELECT *, unnest(range(1, length(qs) + 1)) AS i FROM c5))"""
+    body = f"{chunks_sql()}, {POSTINGS}, {ASKED}, {LEXICAL}, {HITS_SQL}".replace("FROM benchmark", "FROM bench")
+    head = body[:body.index("pool AS (")]
+
+    joins = " ".join(f"LEFT JOIN scored p{n} ON p{n}.query_id = p0.query_id + {n} AND p{n}.chunk_id = p0.chunk_id LEFT JOIN top b{n} ON b{n}.query_id = p0.query_id + {n}"
+                     for n in (1, 2, 3))
+    return f"""WITH {bench}, {head} top AS (SELECT query_id, max(score) AS best FROM scored GROUP BY 1),
+f1 AS (SELECT p0.query_id // 10 AS query_id, p0.chunk_id, p0.doc_id, p0.chunk_no, p0.score AS own, b0.best AS best0, {", ".join(f"p{n}.score AS s{n}, b{n}.best AS b{n}" for n in (1, 2, 3))}
+  FROM scored p0 JOIN top b0 ON b0.query_id = p0.query_id {joins} WHERE p0.query_id % 10 = 0),
+{", ".join(f"g{n} AS (SELECT * REPLACE (CASE WHEN s{n} / CASE WHEN b{n} = 0 THEN 1 ELSE b{n} END * CASE WHEN best0 = 0 THEN 1 ELSE best0 END * {FUSION} > own THEN round(s{n} / CASE WHEN b{n} = 0 THEN 1 ELSE b{n} END * CASE WHEN best0 = 0 THEN 1 ELSE best0 END * {FUSION}, 4) ELSE own END AS own) FROM {'f1' if n == 1 else f'g{n - 1}'})" for n in (1, 2, 3))}
+SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, own AS score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY own DESC, doc_id, chunk_no) AS rank FROM g3) WHERE rank <= 15"""
+
+
+@query("fused_pool", "R12 T8", fused_sql())
+def _(t):
+    compound = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat(
+        "text", F.lit(" What of the "), F.right("text", F.lit(40)), F.lit(" and how the "), F.left("text", F.lit(30)), F.lit("?")).alias("text"))
+    return retrieval.candidate_pool(compound, index(t), CONFIG.with_(fusion=FUSION)).select("query_id", "rank", "chunk_id", "score")

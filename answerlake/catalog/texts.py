@@ -19,18 +19,18 @@ def bar(col):
 
 @query("document_tokens", "T1 T2 T3", f"SELECT doc_id, {q.joined(q.tokens('text'))} AS tokens FROM documents")
 def _(t):
-    return t.documents.select("doc_id", bar(x.tokenize(DOC, CORPUS)).alias("tokens"))
+    return t.texts.select("doc_id", bar(x.tokenize(DOC, CORPUS)).alias("tokens"))
 
 
 @query("phrase_rewrites", "T2", f"SELECT doc_id, {q.rewrite('text')} AS text FROM documents")
 def _(t):
-    return t.documents.select("doc_id", x.rewrite_phrases(DOC, CORPUS).alias("text"))
+    return t.texts.select("doc_id", x.rewrite_phrases(DOC, CORPUS).alias("text"))
 
 
 @query("plural_folds", "T3", f"""SELECT w, {q.fold('w')} AS folded, count(*) AS n FROM (
   SELECT unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents) GROUP BY 1, 2""")
 def _(t):
-    said = t.documents.select(F.explode(x.extract_all(F.lower("text"), "[a-z0-9]+")).alias("w"))
+    said = t.texts.select(F.explode(x.extract_all(F.lower("text"), "[a-z0-9]+")).alias("w"))
     return said.groupBy("w").agg(F.count(F.lit(1)).alias("n")).withColumn("folded", x.fold_plural(F.col("w")))
 
 
@@ -48,7 +48,7 @@ def _(t):
 @query("sentence_split", "T6", f"""SELECT doc_id, CAST(i - 1 AS BIGINT) AS position, s[i] AS sentence FROM (
   SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM (SELECT doc_id, {q.sentences('text')} AS s FROM documents))""")
 def _(t):
-    return t.documents.select("doc_id", F.posexplode(x.sentences(DOC)).alias("position", "sentence")).withColumn(
+    return t.texts.select("doc_id", F.posexplode(x.sentences(DOC)).alias("position", "sentence")).withColumn(
         "position", F.col("position").cast("bigint"))
 
 
@@ -123,13 +123,13 @@ n AS (SELECT *, CASE WHEN length(items) = 0 THEN 0 WHEN length(items) <= 100 THE
 SELECT doc_id, i AS window_no, array_to_string(items[i * 80 + 1 : i * 80 + 100], ' ') AS text
 FROM (SELECT *, unnest(range(0, windows)) AS i FROM n)""")
 def _(t):
-    return t.documents.select("doc_id", F.posexplode(x.word_windows(DOC, 100, 20)).alias("window_no", "text")).withColumn(
+    return t.texts.select("doc_id", F.posexplode(x.word_windows(DOC, 100, 20)).alias("window_no", "text")).withColumn(
         "window_no", F.col("window_no").cast("bigint"))
 
 
 @query("content_words", "T12", f"SELECT doc_id, {q.sorted_join(q.content('text'))} AS words FROM documents")
 def _(t):
-    return t.documents.select("doc_id", bar(F.array_sort(x.content_words(DOC))).alias("words"))
+    return t.texts.select("doc_id", bar(F.array_sort(x.content_words(DOC))).alias("words"))
 
 
 # Spelled-out numbers are put next to the documents' own figures.
@@ -140,7 +140,7 @@ NUMBERED = """(SELECT doc_id, text || ' costs ' || ['nine thousand', 'twenty one
 def numbered(t):
     spelled = F.element_at(x.word_set(["nine thousand", "twenty one", "two hundred and five", "zero", "one million", "none"]),
                            (F.col("doc_id") % 6 + 1).cast("int"))
-    return t.documents.select("doc_id", F.concat(
+    return t.texts.select("doc_id", F.concat(
         DOC, F.lit(" costs "), spelled, F.lit(" or "), F.col("doc_id").cast("string"), F.lit(",5"),
         (F.col("doc_id") % 7).cast("string"), F.lit("0.")).alias("text"))
 
@@ -158,7 +158,7 @@ def _(t):
   SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' It is NOT so.' WHEN 1 THEN ' Don''t.' ELSE ' Knot.' END AS text FROM documents)""")
 def _(t):
     tail = F.when(F.col("doc_id") % 4 == 0, " It is NOT so.").when(F.col("doc_id") % 4 == 1, " Don't.").otherwise(" Knot.")
-    return t.documents.select("doc_id", x.has_negation(F.concat(DOC, tail)).alias("negated"))
+    return t.texts.select("doc_id", x.has_negation(F.concat(DOC, tail)).alias("negated"))
 
 
 @query("edit_distance", "T15", """SELECT a.p_partkey, CAST(levenshtein(upper(regexp_replace(trim(a.p_name), '\\s+', ' ', 'g')),
@@ -202,7 +202,7 @@ NAMED = """(SELECT doc_id, text || ' from NATION_' || CAST(doc_id % 25 AS VARCHA
 def named(t):
     tail = F.element_at(x.word_set([" in Asia", " in Asia Minor", " via N3", " via n3", " the Old World"]),
                         (F.col("doc_id") % 5 + 1).cast("int"))
-    return t.documents.select("doc_id", F.concat(
+    return t.texts.select("doc_id", F.concat(
         DOC, F.lit(" from NATION_"), (F.col("doc_id") % 25).cast("string"), F.lit(" to nation_"),
         (F.col("doc_id") * 7 % 25).cast("string"), tail).alias("text"))
 
@@ -226,7 +226,7 @@ KINDS = dict(ordered=[("late", "(?i)tionha"), ("special", "(?i)zz|ww")],
   WHEN regexp_matches(text, '(?i)inger') THEN 'hand' WHEN regexp_matches(text, '(?i)ereat|eraton') THEN 'checked'
   WHEN regexp_matches(text, '(?i)ouen') THEN 'checked' END AS kind FROM documents""")
 def _(t):
-    return t.documents.select("doc_id", x.classify_rules(DOC, **KINDS).alias("kind"))
+    return t.texts.select("doc_id", x.classify_rules(DOC, **KINDS).alias("kind"))
 
 
 PRICED = """(SELECT o_orderkey, 'First Ksh ' || CAST(o_custkey AS VARCHAR) || ',5 then USD ' || CAST(o_orderkey % 90 AS VARCHAR)
@@ -311,7 +311,7 @@ def sql_entities(kind, values):
                  "lambda s: regexp_matches(s, '[0-9]') OR s = upper(s)), lambda s: upper(s)), lambda s: s NOT IN ('DEATH'))"),
 ]))
 def _(t):
-    return ex.extract_entities(t.documents, "doc_id", "text", ENTITIES).withColumn(
+    return ex.extract_entities(t.texts, "doc_id", "text", ENTITIES).withColumn(
         "position", F.col("position").cast("bigint"))
 
 
@@ -322,7 +322,7 @@ FRENCH = ("de", "la", "le", "des", "en", "que", "les", "un", "et", "du")
 h AS (SELECT *, list_filter(said, lambda w: w IN {q.names(FRENCH)}) AS hits FROM w)
 SELECT doc_id, lang, length(said) >= 3 AND length(list_distinct(hits)) >= 3 AND length(hits) / length(said) >= 0.3 AS french FROM h""")
 def _(t):
-    return t.documents.select("doc_id", "lang", x.is_language(DOC, FRENCH).alias("french"))
+    return t.texts.select("doc_id", "lang", x.is_language(DOC, FRENCH).alias("french"))
 
 
 TERMS = [("de la", "of the"), ("que le", "that the"), ("pour", "for"), ("avec", "with"), ("dans", "in"), ("et", "and"),
@@ -368,7 +368,7 @@ STYLE_SQL = {
 @query("style_features", "T34", "SELECT doc_id, " + ", ".join(f"CAST(round({e}, 6) AS DOUBLE) AS {n}" for n, e in STYLE_SQL.items())
        + " FROM documents")
 def _(t):
-    return t.documents.select("doc_id", *[F.round(c, 6).alias(n) for n, c in x.style_features(DOC).items()])
+    return t.texts.select("doc_id", *[F.round(c, 6).alias(n) for n, c in x.style_features(DOC).items()])
 
 
 @query("context_round_trip", "T35", f"""SELECT doc_id, '[' || source || ' | ' || lang || ']' || chr(10) || text || chr(10) || '---' || chr(10)
@@ -378,7 +378,7 @@ def _(t):
     blocks = F.array(
         F.struct("source", F.col("lang").alias("section"), "text"),
         F.struct(F.col("lang").alias("source"), F.col("source").alias("section"), F.col("lang").alias("text")))
-    context = t.documents.filter(x.strip(DOC) != "").select("doc_id", x.serialise_context(blocks).alias("context"))
+    context = t.texts.filter(x.strip(DOC) != "").select("doc_id", x.serialise_context(blocks).alias("context"))
     parsed = context.withColumn("parsed", x.parse_context(F.col("context")))
     first = F.col("parsed")[0]
     return parsed.select("doc_id", "context", F.size("parsed").cast("bigint").alias("blocks"),
@@ -398,7 +398,7 @@ def _(t):
 
 @query("norm_keys", "T37", f"""SELECT regexp_replace(lower({q.strip('text')}), '\\s+', ' ', 'g') AS norm_key, count(*) AS n FROM documents GROUP BY 1""")
 def _(t):
-    return t.documents.groupBy(x.norm_key(DOC).alias("norm_key")).agg(F.count(F.lit(1)).alias("n"))
+    return t.texts.groupBy(x.norm_key(DOC).alias("norm_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("vector_cosine", "T39", """SELECT a.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 5) AS cosine
@@ -415,16 +415,16 @@ r AS (SELECT doc_id, ('0x' || substr(code, 1, 8))::BIGINT % 64 AS bucket,
   CAST(sum(CASE WHEN ('0x' || substr(code, 9, 1))::BIGINT % 2 = 0 THEN 1 ELSE -1 END) AS BIGINT) AS raw FROM w GROUP BY 1, 2)
 SELECT doc_id, bucket, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)), 6) AS weight FROM r WHERE raw <> 0""")
 def _(t):
-    return corpus.hashed_embedding(t.documents, "doc_id", "text", 64).withColumn("weight", F.round("weight", 6))
+    return corpus.hashed_embedding(t.texts, "doc_id", "text", 64).withColumn("weight", F.round("weight", 6))
 
 
 @query("text_clamps", "L6", f"SELECT doc_id, left({q.strip('text')}, 160) AS clamped FROM documents")
 def _(t):
-    return t.documents.select("doc_id", x.clamp(DOC, 160).alias("clamped"))
+    return t.texts.select("doc_id", x.clamp(DOC, 160).alias("clamped"))
 
 
 @query("ordered_distinct", "U5", f"SELECT doc_id, {q.joined(q.keep_order('w'))} AS words FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents)")
 def _(t):
-    return t.documents.select("doc_id", bar(x.distinct_keep_order(x.words(DOC))).alias("words"))
+    return t.texts.select("doc_id", bar(x.distinct_keep_order(x.words(DOC))).alias("words"))
 
 

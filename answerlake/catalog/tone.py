@@ -12,7 +12,7 @@ LABELLED = """labelled AS (SELECT doc_id, text, lang, n_chars, CASE quality WHEN
 
 
 def labelled(t):
-    return t.documents.join(t.labels, "doc_id").select(
+    return t.texts.join(t.labels, "doc_id").select(
         "doc_id", "text", "lang", "n_chars", F.when(F.col("quality") == 1, "calm").otherwise("upset").alias("label"),
         F.when(F.col("n_chars") % 3 == 0, "upset").otherwise("calm").alias("predicted"), (F.col("n_chars") % 100 / F.lit(100.0)).alias("p"))
 

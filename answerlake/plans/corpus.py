@@ -108,18 +108,21 @@ def index_stats(chunks: DataFrame, vector: str | None = None) -> DataFrame:
 
 def term_table(chunks: DataFrame, vocab: Vocabulary = NEUTRAL, text: str = "search_text",
                ident: str = "chunk_id") -> DataFrame:
-    """One row per chunk: (ident, doc_len, counts of its terms). The one exchange
-    spreads the chunks on ident before they are tokenised, so that everything grouped
-    by chunk afterwards stays in place."""
-    spread_out = chunks.select(ident, F.col(text).alias("body")).repartition(ident)
-    tokens = spread_out.select(ident, x.tokenize(F.col("body"), vocab).alias("tokens"))
+    """One row per chunk: (ident, doc_len, counts of its terms), counted where the chunk lies."""
+    tokens = spread(chunks).select(ident, x.tokenize(F.col(text), vocab).alias("tokens"))
     return tokens.select(ident, F.size("tokens").cast("bigint").alias("doc_len"),
                          x.term_counts(F.col("tokens")).alias("counts"))
 
 
-def build_postings(terms: DataFrame, ident: str = "chunk_id") -> DataFrame:
-    """Inverted index rows (ident, term, tf, doc_len) of a term table, without an exchange."""
-    return terms.select(ident, "doc_len", F.inline("counts")).select(
+def build_postings(terms: DataFrame, ident: str = "chunk_id", colocated: bool = False) -> DataFrame:
+    """Inverted index rows (ident, term, tf, doc_len) of a term table.
+
+    The one exchange moves the compact counted rows and puts a chunk's postings
+    together, so that sums per (question, chunk) afterwards stay in place. A term
+    table stored with ``bucketBy(n, ident)`` is ``colocated`` already and skips it.
+    """
+    placed = terms if colocated else terms.repartition(ident)
+    return placed.select(ident, "doc_len", F.inline("counts")).select(
         ident, "term", F.col("tf").cast("bigint").alias("tf"), "doc_len")
 
 

@@ -313,9 +313,10 @@ def mmr(pool: DataFrame, k: int = 4, lam: float = 0.8, base: float = 0.6, step:
 
 def drop_unmatched(hits: DataFrame) -> DataFrame:
     """Once the first hit shares a word with the question, hits that share none go."""
-    first = hits.filter("rank = 1").select("query_id", (F.col("lexical_score") > 0).alias("strict"))
-    kept = hits.join(first, "query_id").filter(~F.col("strict") | (F.col("lexical_score") > 0)).drop("strict")
+    # A group is one question's k hits.
     order = W.partitionBy("query_id").orderBy("rank")
+    strict = F.first("lexical_score").over(order) > 0
+    kept = hits.withColumn("strict", strict).filter(~F.col("strict") | (F.col("lexical_score") > 0)).drop("strict")
     return kept.withColumn("rank", F.row_number().over(order))
 
 

@@ -49,6 +49,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.path}/{name}.parquet")
 
+    @property
+    def texts(self) -> DataFrame:
+        """The documents, spread out when they arrive as a few small files."""
+        return spread(self.documents)
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and scratch tables.
