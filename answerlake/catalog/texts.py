@@ -10,8 +10,6 @@ from answerlake.functions import vocabulary as v
 from answerlake.operators import extraction as ex
 from answerlake.plans import corpus
 
-DOC = F.col("text")
-
 
 def bar(col):
     return F.array_join(col, "|")
@@ -19,12 +17,12 @@ def bar(col):
 
 @query("document_tokens", "T1 T2 T3", f"SELECT doc_id, {q.joined(q.tokens('text'))} AS tokens FROM documents")
 def _(t):
-    return t.texts.select("doc_id", bar(x.tokenize(DOC, CORPUS)).alias("tokens"))
+    return t.texts.select("doc_id", bar(x.tokenize(F.col("text"), CORPUS)).alias("tokens"))
 
 
 @query("phrase_rewrites", "T2", f"SELECT doc_id, {q.rewrite('text')} AS text FROM documents")
 def _(t):
-    return t.texts.select("doc_id", x.rewrite_phrases(DOC, CORPUS).alias("text"))
+    return t.texts.select("doc_id", x.rewrite_phrases(F.col("text"), CORPUS).alias("text"))
 
 
 @query("plural_folds", "T3", f"""SELECT w, {q.fold('w')} AS folded, count(*) AS n FROM (
@@ -37,32 +35,32 @@ def _(t):
 @query("question_expansion", "T4", f"""SELECT item_id, {q.joined(q.expand('toks'))} AS tokens FROM (
   SELECT item_id, {q.tokens('text')} AS toks FROM benchmark)""")
 def _(t):
-    return t.benchmark.select("item_id", bar(x.expand(x.tokenize(DOC, CORPUS), CORPUS)).alias("tokens"))
+    return t.benchmark.select("item_id", bar(x.expand(x.tokenize(F.col("text"), CORPUS), CORPUS)).alias("tokens"))
 
 
 @query("topical_tokens", "T5", f"""SELECT conv_id, turn, {q.joined(q.topical(q.tokens('text')))} AS tokens FROM conversations""")
 def _(t):
-    return t.conversations.select("conv_id", "turn", bar(x.topical(x.tokenize(DOC, CORPUS), CORPUS)).alias("tokens"))
+    return t.conversations.select("conv_id", "turn", bar(x.topical(x.tokenize(F.col("text"), CORPUS), CORPUS)).alias("tokens"))
 
 
 @query("sentence_split", "T6", f"""SELECT doc_id, CAST(i - 1 AS BIGINT) AS position, s[i] AS sentence FROM (
   SELECT doc_id, s, unnest(range(1, length(s) + 1)) AS i FROM (SELECT doc_id, {q.sentences('text')} AS s FROM documents))""")
 def _(t):
-    return t.texts.select("doc_id", F.posexplode(x.sentences(DOC)).alias("position", "sentence")).withColumn(
+    return t.texts.select("doc_id", F.posexplode(x.sentences(F.col("text"))).alias("position", "sentence")).withColumn(
         "position", F.col("position").cast("bigint"))
 
 
 @query("clause_split", "T6", f"""SELECT conv_id, turn, {q.joined(q.clauses('text'))} AS clauses FROM conversations""")
 def _(t):
-    return t.conversations.select("conv_id", "turn", bar(x.clauses(DOC)).alias("clauses"))
+    return t.conversations.select("conv_id", "turn", bar(x.clauses(F.col("text"))).alias("clauses"))
 
 
 @query("request_focus", "T7")
 def _(t):
-    shouted = F.filter(F.transform(x.clauses(x.strip(DOC)), lambda c, i: F.when(c.rlike("[!]"), i)),
+    shouted = F.filter(F.transform(x.clauses(x.strip(F.col("text"))), lambda c, i: F.when(c.rlike("[!]"), i)),
                        lambda i: i.isNotNull())
     return t.conversations.filter("role = 'user'").select(
-        "conv_id", "turn", x.focus(DOC, CORPUS, shouted).alias("request"))
+        "conv_id", "turn", x.focus(F.col("text"), CORPUS, shouted).alias("request"))
 
 
 # Questions made of two transcript passages joined the way people join requests.
@@ -92,7 +90,7 @@ SELECT conv_id, turn, array_to_string(CASE WHEN pos IS NOT NULL AND length(raw)
   list_filter(list_transform(own[1:3], lambda p: {q.strip("(context || ' ' || p)")}), lambda p: lower(p) <> lower(text))) ELSE [text] END, '|') AS parts
 FROM g""")
 def _(t):
-    return asked(t).select("conv_id", "turn", bar(x.subqueries(DOC, CORPUS)).alias("parts"))
+    return asked(t).select("conv_id", "turn", bar(x.subqueries(F.col("text"), CORPUS)).alias("parts"))
 
 
 QUESTION_OPENER = "(?i)^(" + "|".join(v.QUESTION_OPENERS) + ")($|[^\\p{L}\\p{N}_])"
@@ -114,7 +112,7 @@ p AS (SELECT *, flatten(list_transform(list_filter(said, lambda z: {sql_asks('z'
 SELECT conv_id, turn, array_to_string(CASE WHEN length(parts) < 2 THEN [text] ELSE list_transform(parts, lambda p:
   CASE WHEN length({q.topical(q.tokens('p'))}) >= 2 THEN p ELSE {q.strip("(situation || ' ' || p)")} END) END, '|') AS parts FROM p""")
 def _(t):
-    return asked(t).select("conv_id", "turn", bar(x.split_question(DOC, CORPUS)).alias("parts"))
+    return asked(t).select("conv_id", "turn", bar(x.split_question(F.col("text"), CORPUS)).alias("parts"))
 
 
 @query("word_windows", "T10", """WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS items FROM documents),
@@ -123,13 +121,13 @@ n AS (SELECT *, CASE WHEN length(items) = 0 THEN 0 WHEN length(items) <= 100 THE
 SELECT doc_id, i AS window_no, array_to_string(items[i * 80 + 1 : i * 80 + 100], ' ') AS text
 FROM (SELECT *, unnest(range(0, windows)) AS i FROM n)""")
 def _(t):
-    return t.texts.select("doc_id", F.posexplode(x.word_windows(DOC, 100, 20)).alias("window_no", "text")).withColumn(
+    return t.texts.select("doc_id", F.posexplode(x.word_windows(F.col("text"), 100, 20)).alias("window_no", "text")).withColumn(
         "window_no", F.col("window_no").cast("bigint"))
 
 
 @query("content_words", "T12", f"SELECT doc_id, {q.sorted_join(q.content('text'))} AS words FROM documents")
 def _(t):
-    return t.texts.select("doc_id", bar(F.array_sort(x.content_words(DOC))).alias("words"))
+    return t.texts.select("doc_id", bar(F.array_sort(x.content_words(F.col("text")))).alias("words"))
 
 
 # Spelled-out numbers are put next to the documents' own figures.
@@ -141,14 +139,14 @@ def numbered(t):
     spelled = F.element_at(x.word_set(["nine thousand", "twenty one", "two hundred and five", "zero", "one million", "none"]),
                            (F.col("doc_id") % 6 + 1).cast("int"))
     return t.texts.select("doc_id", F.concat(
-        DOC, F.lit(" costs "), spelled, F.lit(" or "), F.col("doc_id").cast("string"), F.lit(",5"),
+        F.col("text"), F.lit(" costs "), spelled, F.lit(" or "), F.col("doc_id").cast("string"), F.lit(",5"),
         (F.col("doc_id") % 7).cast("string"), F.lit("0.")).alias("text"))
 
 
 @query("numeric_atoms", "T13", f"""SELECT doc_id, CAST(length(a) AS BIGINT) AS n, CAST(list_sum(list_transform(list_filter(a, lambda d: d < 1000000000), lambda d: floor(d))) AS DOUBLE) AS total, list_max(a) AS largest
 FROM (SELECT doc_id, {q.atoms('text')} AS a FROM {NUMBERED})""")
 def _(t):
-    atoms = numbered(t).select("doc_id", x.numeric_atoms(DOC).alias("a"))
+    atoms = numbered(t).select("doc_id", x.numeric_atoms(F.col("text")).alias("a"))
     return atoms.select("doc_id", F.size("a").cast("bigint").alias("n"),
                         F.aggregate(F.filter("a", lambda n: n < 1000000000), F.lit(0.0), lambda s, n: s + F.floor(n)).alias("total"),
                         F.array_max("a").alias("largest"))
@@ -158,7 +156,7 @@ def _(t):
   SELECT doc_id, text || CASE doc_id % 4 WHEN 0 THEN ' It is NOT so.' WHEN 1 THEN ' Don''t.' ELSE ' Knot.' END AS text FROM documents)""")
 def _(t):
     tail = F.when(F.col("doc_id") % 4 == 0, " It is NOT so.").when(F.col("doc_id") % 4 == 1, " Don't.").otherwise(" Knot.")
-    return t.texts.select("doc_id", x.has_negation(F.concat(DOC, tail)).alias("negated"))
+    return t.texts.select("doc_id", x.has_negation(F.concat(F.col("text"), tail)).alias("negated"))
 
 
 @query("edit_distance", "T15", """SELECT a.p_partkey, CAST(levenshtein(upper(regexp_replace(trim(a.p_name), '\\s+', ' ', 'g')),
@@ -203,7 +201,7 @@ def named(t):
     tail = F.element_at(x.word_set([" in Asia", " in Asia Minor", " via N3", " via n3", " the Old World"]),
                         (F.col("doc_id") % 5 + 1).cast("int"))
     return t.texts.select("doc_id", F.concat(
-        DOC, F.lit(" from NATION_"), (F.col("doc_id") % 25).cast("string"), F.lit(" to nation_"),
+        F.col("text"), F.lit(" from NATION_"), (F.col("doc_id") % 25).cast("string"), F.lit(" to nation_"),
         (F.col("doc_id") * 7 % 25).cast("string"), tail).alias("text"))
 
 
@@ -213,7 +211,7 @@ def named(t):
   CASE WHEN regexp_matches(raw, '(^|[^\\p{{L}}\\p{{N}}_])N3($|[^\\p{{L}}\\p{{N}}_])') THEN ['nation_3'] ELSE []::VARCHAR[] END))), '|') AS places
 FROM (SELECT doc_id, text AS raw, regexp_replace(lower(text), 'asia\\s+minor', ' ', 'g') AS clean FROM {NAMED})""")
 def _(t):
-    return named(t).select("doc_id", bar(x.places_in(DOC, PLACES)).alias("places"))
+    return named(t).select("doc_id", bar(x.places_in(F.col("text"), PLACES)).alias("places"))
 
 
 KINDS = dict(ordered=[("late", "(?i)tionha"), ("special", "(?i)zz|ww")],
@@ -226,7 +224,7 @@ KINDS = dict(ordered=[("late", "(?i)tionha"), ("special", "(?i)zz|ww")],
   WHEN regexp_matches(text, '(?i)inger') THEN 'hand' WHEN regexp_matches(text, '(?i)ereat|eraton') THEN 'checked'
   WHEN regexp_matches(text, '(?i)ouen') THEN 'checked' END AS kind FROM documents""")
 def _(t):
-    return t.texts.select("doc_id", x.classify_rules(DOC, **KINDS).alias("kind"))
+    return t.texts.select("doc_id", x.classify_rules(F.col("text"), **KINDS).alias("kind"))
 
 
 PRICED = """(SELECT o_orderkey, 'First Ksh ' || CAST(o_custkey AS VARCHAR) || ',5 then USD ' || CAST(o_orderkey % 90 AS VARCHAR)
@@ -248,7 +246,7 @@ d AS (SELECT o_orderkey, {q.keep_order('ms')} AS ds FROM m)
 SELECT o_orderkey, CAST(i - 1 AS BIGINT) AS position, ds[i].amount AS amount, ds[i].currency AS currency
 FROM (SELECT *, unnest(range(1, length(ds) + 1)) AS i FROM d)""")
 def _(t):
-    found = priced(t).select("o_orderkey", F.posexplode(x.money(DOC)).alias("position", "m"))
+    found = priced(t).select("o_orderkey", F.posexplode(x.money(F.col("text"))).alias("position", "m"))
     return found.select("o_orderkey", F.col("position").cast("bigint").alias("position"), "m.amount", "m.currency")
 
 
@@ -322,7 +320,7 @@ FRENCH = ("de", "la", "le", "des", "en", "que", "les", "un", "et", "du")
 h AS (SELECT *, list_filter(said, lambda w: w IN {q.names(FRENCH)}) AS hits FROM w)
 SELECT doc_id, lang, length(said) >= 3 AND length(list_distinct(hits)) >= 3 AND length(hits) / length(said) >= 0.3 AS french FROM h""")
 def _(t):
-    return t.texts.select("doc_id", "lang", x.is_language(DOC, FRENCH).alias("french"))
+    return t.texts.select("doc_id", "lang", x.is_language(F.col("text"), FRENCH).alias("french"))
 
 
 TERMS = [("de la", "of the"), ("que le", "that the"), ("pour", "for"), ("avec", "with"), ("dans", "in"), ("et", "and"),
@@ -331,7 +329,7 @@ TERMS = [("de la", "of the"), ("que le", "that the"), ("pour", "for"), ("avec",
 
 @query("glossary_translation", "T29")
 def _(t):
-    return t.conversations.select("conv_id", "turn", x.glossary(DOC, TERMS, FRENCH, ("of", "in")).alias("english"))
+    return t.conversations.select("conv_id", "turn", x.glossary(F.col("text"), TERMS, FRENCH, ("of", "in")).alias("english"))
 
 
 INTENTS = [("handover", "(?i)tionti"), ("small_talk", "(?i)^the "), ("schedule", "(?i)hour|heur|ouer"), ("payment", "(?i)pai"),
@@ -343,7 +341,7 @@ INTENTS = [("handover", "(?i)tionti"), ("small_talk", "(?i)^the "), ("schedule",
   WHEN regexp_matches(text, '(?i)pai') THEN 'payment' WHEN regexp_matches(text, '(?i)ciones|keit') THEN 'lookup'
   ELSE 'question' END AS intent FROM conversations""")
 def _(t):
-    return t.conversations.select("conv_id", "turn", x.route_intent(DOC, INTENTS).alias("intent"))
+    return t.conversations.select("conv_id", "turn", x.route_intent(F.col("text"), INTENTS).alias("intent"))
 
 
 def sql_capped(n, most):
@@ -368,7 +366,7 @@ STYLE_SQL = {
 @query("style_features", "T34", "SELECT doc_id, " + ", ".join(f"CAST(round({e}, 6) AS DOUBLE) AS {n}" for n, e in STYLE_SQL.items())
        + " FROM documents")
 def _(t):
-    return t.texts.select("doc_id", *[F.round(c, 6).alias(n) for n, c in x.style_features(DOC).items()])
+    return t.texts.select("doc_id", *[F.round(c, 6).alias(n) for n, c in x.style_features(F.col("text")).items()])
 
 
 @query("context_round_trip", "T35", f"""SELECT doc_id, '[' || source || ' | ' || lang || ']' || chr(10) || text || chr(10) || '---' || chr(10)
@@ -378,7 +376,7 @@ def _(t):
     blocks = F.array(
         F.struct("source", F.col("lang").alias("section"), "text"),
         F.struct(F.col("lang").alias("source"), F.col("source").alias("section"), F.col("lang").alias("text")))
-    context = t.texts.filter(x.strip(DOC) != "").select("doc_id", x.serialise_context(blocks).alias("context"))
+    context = t.texts.filter(x.strip(F.col("text")) != "").select("doc_id", x.serialise_context(blocks).alias("context"))
     parsed = context.withColumn("parsed", x.parse_context(F.col("context")))
     first = F.col("parsed")[0]
     return parsed.select("doc_id", "context", F.size("parsed").cast("bigint").alias("blocks"),
@@ -398,7 +396,7 @@ def _(t):
 
 @query("norm_keys", "T37", f"""SELECT regexp_replace(lower({q.strip('text')}), '\\s+', ' ', 'g') AS norm_key, count(*) AS n FROM documents GROUP BY 1""")
 def _(t):
-    return t.texts.groupBy(x.norm_key(DOC).alias("norm_key")).agg(F.count(F.lit(1)).alias("n"))
+    return t.texts.groupBy(x.norm_key(F.col("text")).alias("norm_key")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("vector_cosine", "T39", """SELECT a.vec_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 5) AS cosine
@@ -420,11 +418,11 @@ def _(t):
 
 @query("text_clamps", "L6", f"SELECT doc_id, left({q.strip('text')}, 160) AS clamped FROM documents")
 def _(t):
-    return t.texts.select("doc_id", x.clamp(DOC, 160).alias("clamped"))
+    return t.texts.select("doc_id", x.clamp(F.col("text"), 160).alias("clamped"))
 
 
 @query("ordered_distinct", "U5", f"SELECT doc_id, {q.joined(q.keep_order('w'))} AS words FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents)")
 def _(t):
-    return t.texts.select("doc_id", bar(x.distinct_keep_order(x.words(DOC))).alias("words"))
+    return t.texts.select("doc_id", bar(x.distinct_keep_order(x.words(F.col("text")))).alias("words"))
 
 

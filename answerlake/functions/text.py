@@ -289,7 +289,7 @@ def places_in(col: Column, vocab: Vocabulary) -> Column:
         clean = F.regexp_replace(clean, rf"(?iU)\b(?:{phrase})\b", " ")
     found = F.array().cast("array<string>")
     if vocab.place_forms():
-        found = extract_all(clean, r"(?iU)\b(?:" + "|".join(map(re.escape, vocab.place_forms())) + r")\b")
+        found = extract_all(F.lower(clean), r"(?U)\b(?:" + "|".join(map(re.escape, vocab.place_forms())) + r")\b")
     if vocab.place_codes:
         codes = extract_all(clean, r"(?U)\b(?:" + "|".join(c.upper() for c in vocab.place_codes) + r")\b")
         found = F.concat(found, codes)

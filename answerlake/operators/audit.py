@@ -117,8 +117,9 @@ def expand_grammar(templates: DataFrame, pools: dict[str, DataFrame], n: int, se
         marked = open_rows.withColumn("slot", slot)
         full = marked.filter("slot = ''").drop("slot")
         done = full if done is None else done.unionByName(full)
-        open_rows = marked.filter("slot <> ''").join(words, "slot").select(
-            label, F.regexp_replace("text", F.concat(F.lit(r"\Q"), F.col("slot"), F.lit(r"\E")), F.col("word")).alias("text"))
+        filled = F.concat(F.expr("left(text, at - 1)"), F.col("word"), F.expr("substring(text, at + length(slot))"))
+        open_rows = marked.filter("slot <> ''").withColumn("at", F.expr("locate(slot, text)")).join(words, "slot").select(
+            label, filled.alias("text"))
     flat = done.select(label, x.strip(F.regexp_replace("text", r"\s+", " ")).alias("text")).distinct()
     from pyspark.sql import Window as W
     order = W.partitionBy(label).orderBy(F.md5(F.concat(F.lit(seed), "text")), "text")
