@@ -124,3 +124,15 @@ def _(t):
 def _(t):
     model, parts = trained(t)
     return classify.expected_labels(model, parts.filter("part = 'train'"), "doc_id", "text", "label").select("doc_id", "label", "expected", "right")
+
+
+@query("gated_training", "C6 S14")
+def _(t):
+    from answerlake.catalog.feeds import scratch
+    path = scratch(t, "tone")
+    rows = settle(labelled(t).select("doc_id", "text", "label"))
+    first, trained_once = classify.train_if_changed(rows, path, "doc_id", "text", "label", "upset", "calm", iterations=10)
+    again, trained_twice = classify.train_if_changed(rows, path, "doc_id", "text", "label", "upset", "calm", iterations=10)
+    given = classify.classify(first, rows, "doc_id", "text").select("doc_id", F.col("score").alias("trained_score"))
+    return given.join(classify.classify(again, rows, "doc_id", "text"), "doc_id").select(
+        "doc_id", "trained_score", "score", F.lit(trained_once).alias("first_trained"), F.lit(trained_twice).alias("second_trained"))

@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from answerlake.functions import text as x
 from answerlake.session import settle, small_side
+from answerlake.sources.fingerprint import corpus_fingerprint
 
 # Decision threshold, ceilings of tone-free messages, probe limit.
 THRESHOLD, SHORT_CEILING, QUESTION_CEILING, PROBE_LIMIT = 0.5, 0.3, 0.45, 0.15
@@ -82,7 +85,6 @@ class ToneModel:
     positive: str
     negative: str
     fingerprint: str = ""
-    extra: dict = field(default_factory=dict)
 
 
 def _buckets(col: Column) -> Column:
@@ -169,6 +171,43 @@ def classify(model: ToneModel, df: DataFrame, ident: str, text: str) -> DataFram
         F.round(F.greatest(F.col("raw"), 1 - F.col("raw")), 3).alias("confidence"))
 
 
+def save_model(model: ToneModel, path: str) -> None:
+    """Terms as parquet, the few fixed numbers as one JSON row."""
+    model.terms.write.mode("overwrite").parquet(f"{path}/terms")
+    spark = model.terms.sparkSession
+    row = (json.dumps(model.style), model.intercept, model.positive, model.negative, model.fingerprint)
+    spark.createDataFrame([row], "style string, intercept double, positive string, negative string, fingerprint string").write.mode(
+        "overwrite").json(f"{path}/model")
+
+
+def load_model(spark: SparkSession, path: str) -> ToneModel | None:
+    """The stored model, or None when there is none yet."""
+    try:
+        row = spark.read.schema("style string, intercept double, positive string, negative string, fingerprint string").json(
+            f"{path}/model").first()
+        terms = spark.read.parquet(f"{path}/terms")
+    except AnalysisException:
+        return None
+    if row is None:
+        return None
+    return ToneModel(terms, [tuple(s) for s in json.loads(row["style"])], row["intercept"], row["positive"], row["negative"], row["fingerprint"])
+
+
+def train_if_changed(df: DataFrame, path: str, ident: str, text: str, label: str, positive: str, negative: str,
+                     **settings) -> tuple[ToneModel, bool]:
+    """(model, trained): the stored model while the labelled texts and settings it was
+    trained on are the same, otherwise a new one that replaces it."""
+    marked = df.select(F.col(ident).alias("doc_id"), F.concat_ws("|", F.col(label), F.col(text)).alias("text"))
+    mark = corpus_fingerprint(marked, {"bits": HASH_BITS, "positive": positive, **settings}).first()["fingerprint"]
+    stored = load_model(df.sparkSession, path)
+    if stored is not None and stored.fingerprint == mark:
+        return stored, False
+    model = train(df, ident, text, label, positive, negative, **settings)
+    model.fingerprint = mark
+    save_model(model, path)
+    return model, True
+
+
 # ---------------------------------------------------------------------- reports
 
 def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:

@@ -162,3 +162,13 @@ def test_grammar_size_matches_its_expansion(spark):
 def test_norm_key(spark):
     df = spark.createDataFrame([("  A\n b ",), ("a B",)], "t string")
     assert df.select(x.norm_key(F.col("t"))).distinct().count() == 1
+
+
+def test_model_is_retrained_only_when_its_data_change(spark, tmp_path):
+    rows = [(i, f"{'awful!!' if i % 2 else 'fine'} text {i}", "upset" if i % 2 else "calm") for i in range(24)]
+    df = spark.createDataFrame(rows, "id long, text string, label string")
+    args = (str(tmp_path / "tone"), "id", "text", "label", "upset", "calm")
+    first, trained = classify.train_if_changed(df, *args, iterations=5)
+    again, repeated = classify.train_if_changed(df, *args, iterations=5)
+    _, changed = classify.train_if_changed(df.filter("id > 0"), *args, iterations=5)
+    assert (trained, repeated, changed) == (True, False, True) and again.fingerprint == first.fingerprint
