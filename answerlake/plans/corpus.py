@@ -109,7 +109,7 @@ def index_stats(chunks: DataFrame, vector: str | None = None) -> DataFrame:
 def term_table(chunks: DataFrame, vocab: Vocabulary = NEUTRAL, text: str = "search_text",
                ident: str = "chunk_id") -> DataFrame:
     """One row per chunk: (ident, doc_len, counts of its terms), counted where the chunk lies."""
-    tokens = spread(chunks).select(ident, x.tokenize(F.col(text), vocab).alias("tokens"))
+    tokens = chunks.select(ident, x.tokenize(F.col(text), vocab).alias("tokens"))
     return tokens.select(ident, F.size("tokens").cast("bigint").alias("doc_len"),
                          x.term_counts(F.col("tokens")).alias("counts"))
 

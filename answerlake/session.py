@@ -86,11 +86,16 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     return df
 
 
+SMALL_BYTES_PER_CORE = 128 * 1024 * 1024
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Spreads a table that arrives in fewer partitions than there are cores (one
-    small file) before heavy per-row work; a table with enough splits stays put."""
+    """Spreads a small table (a few files that would occupy a few cores) before heavy
+    per-row work. The optimizer's size estimate decides, so nothing runs; a table with
+    enough splits for every core is left where it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SMALL_BYTES_PER_CORE else df
 
 
 def settle(df: DataFrame) -> DataFrame:
