@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerlake.llm.decontaminate import contamination
+from answerlake.llm.idfiles import document_digests, read_ids, write_ids
 from answerlake.llm.jaccard import jaccard_components
+from answerlake.llm.packing import best_two_fit
+from answerlake.llm.shared import shared_path
 from answerlake.llm.substrings import without_repeats
 
 
@@ -90,10 +94,22 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id LEFT JOIN named m ON m.doc_id = w.doc_id
 """
 
+def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "ids")
+    write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return document_digests(read_ids(spark, path, keep_ids=False))
+
+
+def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_two_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, keep_ids=False).drop("ids")
+
+
 QUERIES = {
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op6_token_id_files": op6_token_id_files,
+    "op9_best_two_fit_packing": op9_best_two_fit_packing,
 }
 
 ORACLES = {
