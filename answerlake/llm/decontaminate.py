@@ -258,5 +258,27 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
     return out
 
 
-def digest_of(items: list[str]) -> str:
-    return hashlib.sha256(",".join(items).encode()).hexdigest()
+def _without_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in cut(batch, "text", SHARD_BYTES):
+            texts, clean = part.column("text").to_pylist(), []
+            for text, spans in zip(texts, part.column("spans").to_pylist(), strict=True):
+                if spans:
+                    words, raw, at, kept = split_words(pa.array([text], pa.string()), NOT_ALNUM, lower=True), text.encode(), 0, []
+                    for s in spans:
+                        kept.append(raw[at: words.start[s["low"]]])
+                        at = words.end[s["high"] - 1]
+                    text = b"".join([*kept, raw[at:]]).decode().strip()
+                clean.append(text)
+            names = [c for c in part.schema.names if c not in ("text", "spans", "items", "n_words")]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(clean, pa.string())], names=[*names, "text"])
+
+
+def decontaminated(documents: DataFrame, benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """documents with the covered spans cut out of their texts; those left empty by it go."""
+    found = contamination(documents, benchmark, width)
+    names = [c for c in documents.columns if c != "text"]
+    schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names), "text string, hit boolean"])
+    out = found.withColumn("hit", F.size("spans") > 0).select(*names, "hit", "text", "spans").mapInArrow(
+        _without_spans, schema.replace(", hit boolean", "").replace("text string", "hit boolean, text string"))
+    return out.filter(~F.col("hit") | (F.length("text") > 0)).select(*documents.columns)

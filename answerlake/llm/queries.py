@@ -7,17 +7,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerlake.llm.decontaminate import contamination
+from answerlake.llm.fingerprints import LEAST_SHARE, LIMITS, MOST_SHARE, SUBSETS, fingerprints
+from answerlake.llm.html import extract
 from answerlake.llm.idfiles import document_digests, read_ids, write_ids
 from answerlake.llm.jaccard import jaccard_components
+from answerlake.llm.languages import learn_languages, predicted
 from answerlake.llm.packing import best_two_fit
+from answerlake.llm.pseudo_likelihood import pseudo_likelihood
 from answerlake.llm.shared import shared_path
 from answerlake.llm.substrings import without_repeats
+from answerlake.llm.toxicity import learn_grammar, scored
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def fold(column: str, n: int):
+    return F.pmod(F.crc32(F.col(column).cast("string")), F.lit(n))
+
+
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(table(spark, sf_dir, "pages"), ("page_id", "url"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), n=3, percent=90)
 
@@ -94,26 +108,93 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS
 FROM words w LEFT JOIN hits h ON h.doc_id = w.doc_id LEFT JOIN named m ON m.doc_id = w.doc_id
 """
 
+TOXIC_FROM = 0.7
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    grammar = learn_grammar(documents, labels.filter(fold("doc_id", 3) != 1))
+    found = scored(documents.select("doc_id", "text"), grammar)
+    return found.select("doc_id", F.coalesce(fold("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+                        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"))
+
+
 def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "ids")
     write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
-    return document_digests(read_ids(spark, path, keep_ids=False))
+    return document_digests(read_ids(spark, path, keep_ids=False).drop("ids"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = learn_languages(documents.filter(fold("doc_id", 4) != 2))
+    found = predicted(documents.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fold("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "proportions")
+
+
+def op8_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood(table(spark, sf_dir, "documents"))
 
 
 def op9_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_two_fit(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=2, keep_ids=False).drop("ids")
 
 
+def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+OP10_SQL = rf"""
+WITH rows AS (
+  SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n_chars,
+    lead(coalesce(text, '')) OVER (ORDER BY doc_id NULLS FIRST, text) AS later, first_value(coalesce(text, '')) OVER (ORDER BY doc_id NULLS FIRST, text) AS head
+  FROM documents),
+edited AS (
+  SELECT doc_id, text, n_chars, coalesce(later, head) AS next_text,
+    left(text, CAST(n_chars - n_chars // 4 AS BIGINT)) || left(coalesce(later, head), CAST(n_chars // 4 AS BIGINT)) AS edited FROM rows),
+texts AS (SELECT text AS x FROM edited UNION SELECT edited FROM edited),
+words AS (
+  SELECT x, list_distinct(regexp_extract_all(translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS w FROM texts),
+counts AS (SELECT term, count(*) AS df FROM (SELECT unnest(w) AS term FROM edited JOIN words ON x = text) GROUP BY term),
+lexicon AS (
+  SELECT term FROM counts, (SELECT count(*) AS n FROM documents)
+  WHERE df >= greatest(2.0, {LEAST_SHARE}::DOUBLE * n) AND df <= {MOST_SHARE}::DOUBLE * n),
+kept AS (
+  SELECT x, list(md5(t) || t ORDER BY t) AS k FROM (SELECT x, unnest(w) AS t FROM words) WHERE t IN (SELECT term FROM lexicon) GROUP BY x),
+prints AS (
+  SELECT w.x, list_transform(range(1, {SUBSETS} + 1), lambda i: CASE WHEN k IS NULL THEN substr(md5(array_to_string(list_sort(w.w), ' ')), 1, 8)
+      WHEN len(list_filter(k, lambda m: substr(m, i, 2) < substr('{LIMITS}', 2 * i - 1, 2))) = 0 THEN ''
+      ELSE substr(md5(array_to_string(list_filter(k, lambda m: substr(m, i, 2) < substr('{LIMITS}', 2 * i - 1, 2)), ' ')), 1, 8) END) AS h
+  FROM words w LEFT JOIN kept USING (x)),
+joined AS (
+  SELECT e.doc_id, e.n_chars, e.edited, a.h AS a, b.h AS b, c.h AS c
+  FROM edited e JOIN prints a ON a.x = e.text JOIN prints b ON b.x = e.edited JOIN prints c ON c.x = e.next_text)
+SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
+  array_to_string(list_transform(a, lambda v: CASE WHEN v = '' THEN '--------' ELSE v END), '') AS fingerprint,
+  array_to_string(list_transform(b, lambda v: CASE WHEN v = '' THEN '--------' ELSE v END), '') AS edited_fingerprint,
+  coalesce(len(list_filter(range(1, {SUBSETS} + 1), lambda i: a[i] <> '' AND a[i] = b[i]))::DOUBLE
+    / nullif(len(list_filter(range(1, {SUBSETS} + 1), lambda i: a[i] <> '' OR b[i] <> '')), 0), 0.0) AS near_edited,
+  coalesce(len(list_filter(range(1, {SUBSETS} + 1), lambda i: a[i] <> '' AND a[i] = c[i]))::DOUBLE
+    / nullif(len(list_filter(range(1, {SUBSETS} + 1), lambda i: a[i] <> '' OR c[i] <> '')), 0), 0.0) AS near_next
+FROM joined
+"""
+
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_toxicity": op5_toxicity,
     "op6_token_id_files": op6_token_id_files,
+    "op7_language_id": op7_language_id,
+    "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_best_two_fit_packing": op9_best_two_fit_packing,
+    "op10_document_fingerprints": op10_document_fingerprints,
 }
 
 ORACLES = {
     "op2_ngram_jaccard_join": OP2_SQL,
     "op3_substring_dedup": OP3_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
+    "op10_document_fingerprints": OP10_SQL,
 }

@@ -217,7 +217,7 @@ def _kept(batches: Iterator[pa.RecordBatch], schema: pa.Schema, digest: bool) ->
                 more["kept_sha256"] = pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())
             else:
                 more["kept"] = pa.array(kept, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays([more[n] if n in more else part.column(n) for n in schema.names], schema=schema)
+            yield pa.RecordBatch.from_arrays([more[n] if n in more else part.column("text" if n == "_text" else n) for n in schema.names], schema=schema)
 
 
 def without_repeats(documents: DataFrame, columns: tuple[str, ...] = ("doc_id",), digest: bool = False) -> DataFrame:
@@ -229,12 +229,12 @@ def without_repeats(documents: DataFrame, columns: tuple[str, ...] = ("doc_id",)
     ranges = repeated_ranges(documents).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("ranges"))
     columns = tuple(columns)
     rows = documents.select(F.col("doc_id").cast("long").alias("_key"), F.col("text"),
-                            *[F.col(c).alias(f"_{c}") for c in columns])
+                            *[F.col(c).alias(f"_{c}") for c in columns if c != "text"])
     joined = rows.join(ranges.withColumnRenamed("doc_id", "_key"), "_key", "left")
     schema = StructType()
     for c in columns:
         schema = schema.add(f"_{c}", documents.schema[c].dataType)
     schema = schema.add("n_words", LongType()).add("n_removed", LongType()).add("kept_sha256" if digest else "kept", StringType())
     arrow = to_arrow_schema(schema)
-    out = joined.select("text", "ranges", *[f"_{c}" for c in columns]).mapInArrow(lambda x: _kept(x, arrow, digest), schema)
+    out = joined.select("text", "ranges", *[f"_{c}" for c in columns if c != "text"]).mapInArrow(lambda x: _kept(x, arrow, digest), schema)
     return out.select(*[F.col(f"_{c}").alias(c) for c in columns], *out.columns[len(columns):])
