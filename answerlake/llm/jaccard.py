@@ -156,14 +156,15 @@ def _compared(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterat
 
 def exact_links(pairs: DataFrame, documents: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose sets link. One set of a is held at a time;
-    a that is compared with many is repeated once for each few thousand of them."""
+    a that is compared with many is repeated once for each few thousand of them. The texts
+    are always joined by a shuffle, since the pairs grow with the corpus."""
     pairs = written(pairs, "pairs")
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / PER_SALT).cast("int").alias("salts"))
     right = pairs.join(salts, "a").select(
         F.col("b").alias("doc_id"), "a", F.pmod(F.hash("b"), F.col("salts")).alias("salt"), F.lit(1).alias("role"))
     left = salts.select(F.col("a").alias("doc_id"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
                         F.lit(0).alias("role"))
-    texts = right.union(left).join(documents.select("doc_id", "text"), "doc_id")
+    texts = right.union(left).hint("merge").join(documents.select("doc_id", "text"), "doc_id")
     texts = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
     return texts.mapInArrow(lambda x: _compared(x, n, percent), "a long, b long")
 
@@ -218,11 +219,9 @@ def open_pairs(members: DataFrame, found: DataFrame, sketches: DataFrame, percen
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("cnt"),
         F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).filter("low <> high")
     groups = groups.groupBy("cnt", "who").agg(F.min("sig").alias("sig")).select("sig")
-    order = Window.partitionBy("sig").orderBy("comp", "doc_id")
     rows = written(placed.join(groups, "sig").select(
         "sig", "pivot", "doc_id", "comp", F.expr(f"(row_number() over (partition by sig order by comp, doc_id) - 1) div {BLOCK}")
         .cast("int").alias("chunk")), "open")
-    del order
     blocks = rows.groupBy("sig", "chunk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     left = blocks.select("sig", F.col("chunk").alias("left"), F.col("low").alias("l1"), F.col("high").alias("h1"))
     right = blocks.select("sig", F.col("chunk").alias("right"), F.col("low").alias("l2"), F.col("high").alias("h2"))
