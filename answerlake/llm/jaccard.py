@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from answerlake.llm.shared import components, written
 from answerlake.llm.words import grams, mix, pieces, split_words
 
-PIECE = 2 << 20
+PIECE = 1 << 20
 BINS = 128
 BLOCK = 2048
 PER_SALT = 4096
@@ -51,11 +51,15 @@ class Bands:
 
     def plan(self, sizes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Instance, partitions and spare partitions of each set in its band plus step."""
-        tops = self.upto(int(sizes.max()))
-        tops = self.upto(int(tops[-1]) + 1)
+        largest = int(sizes.max())
+        tops = self.upto(largest)
+        tops = self.upto(int(tops[np.searchsorted(tops, largest)]) + 1)      # the next band too
         instance = np.searchsorted(tops, sizes) + step
         most = 2 * tops[instance] * (100 - self.percent) // (100 + self.percent)
-        spare = np.where(most > 0, 1 + most // 20, 0)
+        # room for the empty partitions that the smallest set of the instance is likely to have
+        least = tops[np.maximum(instance - 2, 0)] + 1
+        about = 1.15 * (most + 1)
+        spare = np.where(most > 0, 1 + np.ceil(1.5 * about * np.exp(-least / about)).astype(np.int64), 0)
         return instance, most + 1 + spare, spare
 
 
@@ -94,7 +98,7 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> list[np.ndarray]:
         place = np.arange(len(sums)) - base[which]
         tag = mix((instance[which].astype(np.uint64) << np.uint64(32)) + place.astype(np.uint64))
         sigs = mix(sums ^ tag)
-        empty = np.add.reduceat(counts == 0, base[:-1])
+        empty = np.add.reduceat((counts == 0).astype(np.int64), base[:-1])
         rare = empty > spare
         for i in np.flatnonzero(~rare):
             cut = slice(base[i], base[i + 1])
@@ -113,17 +117,25 @@ def _sketch(s: np.ndarray) -> bytes:
 
 
 def _signed(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """A row for each signature; nothing else is kept of it than the shuffle's copy."""
     bands = Bands(percent)
+    for batch in batches:
+        for part in pieces(batch, "text", PIECE):
+            docs, sets = part.column("doc_id").to_numpy(), shingle_sets(part, n)
+            some = [i for i, s in enumerate(sets) if len(s)]
+            found = signatures([sets[i] for i in some], bands) if some else []
+            sigs = np.concatenate([*found, np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(docs[some], [len(x) for x in found])), pa.array(sigs.view(np.int64))], names=["doc_id", "sig"])
+
+
+def _sized(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in pieces(batch, "text", PIECE):
             sets = shingle_sets(part, n)
-            some = [s for s in sets if len(s)]
-            found = iter(signatures(some, bands) if some else [])
-            sigs = [next(found).view(np.int64) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
-                 pa.array(sigs, pa.list_(pa.int64())), pa.array([_sketch(s) for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "sigs", "sketch"])
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary())],
+                names=["doc_id", "n_shingles", "sketch"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -237,19 +249,18 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     """doc_id, n_shingles, component_id: documents link when 100 * intersection of their
     shingle sets >= percent * union; a component is named by its smallest doc_id."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = written(documents.mapInArrow(
-        lambda x: _signed(x, n, percent), "doc_id long, n_shingles long, sigs array<long>, sketch binary"), "signed")
-    rows = signed.filter("doc_id is not null").select("doc_id", F.explode("sigs").alias("sig"))
+    sized = written(documents.mapInArrow(lambda x: _sized(x, n), "doc_id long, n_shingles long, sketch binary"), "sized")
+    rows = documents.filter("doc_id is not null").mapInArrow(lambda x: _signed(x, n, percent), "doc_id long, sig long")
     group = Window.partitionBy("sig")
     members = written(rows.withColumns({"cnt": F.count("*").over(group), "pivot": F.min("doc_id").over(group)})
                       .filter("cnt > 1"), "members")
     pairs = members.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = written(exact_links(pairs, documents, n, percent), "links")
     found = written(components(links), "components")
-    sketches = signed.groupBy("doc_id").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
+    sketches = sized.groupBy("doc_id").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
     more = exact_links(open_pairs(members, found, sketches, percent), documents, n, percent)
     more = written(more, "links")
     if not more.isEmpty():
         found = components(links.union(more))
-    out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = sized.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
