@@ -31,7 +31,7 @@ from answerlake.llm.tokens import encoder
 from answerlake.llm.words import pieces as cut
 
 CAPACITY = 1024
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:

@@ -33,8 +33,8 @@ from answerlake.llm.words import pieces as cut
 
 WINDOW = 20
 RUN = 4
-MAP_BYTES = 6 << 20
-BUCKET_BYTES = 8 << 20
+MAP_BYTES = 3 << 20
+BUCKET_BYTES = 4 << 20
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

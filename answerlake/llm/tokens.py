@@ -20,7 +20,7 @@ SAFE = re.compile(f"[^\\t\\n\\r -~{LETTER}¡£§«»¿–—‘-‚“-„…€
 BYTE_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\\s0-9{LETTER}]+|\\s+(?!\\S)|\\s+")
 PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s0-9{LETTER}]+")
 
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 WORDS_AT_ONCE = 10_000
 
 

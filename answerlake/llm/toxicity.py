@@ -29,6 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from answerlake.llm.words import pieces as cut
+
+PIECE = 2 << 20
 MAX_ROWS = 60_000
 MAX_ENTRIES = 20_000
 LEAST_DOCUMENTS = 4
@@ -69,7 +72,7 @@ class Grammar:
 
         class Lexicon(dict):
             def __missing__(self, word):
-                if len(self) > 400_000:
+                if len(self) > 100_000:
                     self.clear()
                 found = fixed.get(word)
                 if not found or found[0] not in (INSULT, STOP):
@@ -195,7 +198,7 @@ def learn_grammar(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_R
 
 def _scored(batches: Iterator[pa.RecordBatch], grammar: Grammar, name: str) -> Iterator[pa.RecordBatch]:
     lexicon = grammar.lexical()
-    for batch in batches:
+    for batch in (part for whole in batches for part in cut(whole, "text", PIECE)):
         rows = np.array([pattern_totals(t, lexicon) for t in batch.column("text").to_pylist()]).reshape(-1, len(PATTERNS))
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(toxic_score(rows, grammar.arcs), pa.float64())], names=[*batch.schema.names, name])
 
