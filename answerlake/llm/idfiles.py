@@ -27,6 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from answerlake.llm.shared import written
 from answerlake.llm.tokens import encoder
 from answerlake.llm.words import pieces as cut
 
@@ -328,6 +329,7 @@ def document_digests(rows: DataFrame) -> DataFrame:
         return total
 
     columns = ("doc_id", "start", "n_tokens", "ids_crc32")
+    rows = written(rows, "digests")     # decoded once for both kinds
     whole = rows.filter("segment < 0").select(*columns)
     cut_up = rows.filter("segment >= 0").groupBy("part", "row").agg(
         F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.sum("n_tokens").alias("n_tokens"),
