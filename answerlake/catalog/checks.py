@@ -74,15 +74,23 @@ def _(t):
     return audit.overlap(t.texts.filter("doc_id % 2 = 0"), t.texts.filter("doc_id % 2 = 1"))
 
 
-@query("containing_documents", "D1 D3", """SELECT DISTINCT item_id, doc_id FROM (SELECT item_id, array_to_string(regexp_extract_all(text, '\\S+')[1:8], ' ') AS run FROM benchmark) b
-JOIN (SELECT doc_id, array_to_string(w[i:i + 7], ' ') AS run FROM (SELECT doc_id, w, unnest(range(1, length(w) - 6)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents) WHERE length(w) >= 8)) d USING (run)""")
+# Every other passage is a benchmark text's first half, so that some documents hold it.
+@query("containing_documents", "D1 D3", """WITH p AS (SELECT item_id, CASE WHEN length(w) % 2 = 0 THEN w[1:length(w) // 2] ELSE w END AS w
+  FROM (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark))
+SELECT DISTINCT item_id, doc_id FROM p JOIN documents d
+  ON contains(' ' || array_to_string(regexp_extract_all(d.text, '\\S+'), ' ') || ' ', ' ' || array_to_string(w, ' ') || ' ') WHERE length(w) > 0""")
 def _(t):
-    return audit.containing_documents(t.benchmark, "item_id", t.texts, "doc_id", 8)
+    from answerlake.functions import text as x
+    half = x.let(x.words(F.col("text")), lambda w: F.when(
+        F.size(w) % 2 == 0, F.slice(w, F.lit(1), F.floor(F.size(w) / 2).cast("int"))).otherwise(w))
+    passages = t.benchmark.select("item_id", F.array_join(half, " ").alias("text"))
+    return audit.containing_documents(passages, "item_id", t.texts, "doc_id", 8)
 
 
 GRAMMAR = """pool AS (SELECT 'Where  is my ' || p_name || ' in ' || n_name || '?' AS text, 'calm' AS label FROM (SELECT DISTINCT p_name FROM part), nation
   UNION SELECT p_name || ' lost in ' || r_name || ' by ' || n_name || '!', 'upset' FROM (SELECT DISTINCT p_name FROM part), region, nation),
-flat AS (SELECT DISTINCT label, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM pool)"""
+spelt AS (SELECT label, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM pool),
+flat AS (SELECT label, arg_min(text, md5('7' || text) || text) AS text FROM spelt GROUP BY label, lower(text))"""
 
 
 def templates(t):

@@ -225,7 +225,7 @@ JOINED = " || '/' || ".join(["CAST(n AS VARCHAR)", *[f"CAST(s{at} AS VARCHAR)" f
 
 
 @query("corpus_fingerprint", "S14", f"""SELECT left(sha256({JOINED}), 16) AS fingerprint FROM (SELECT count(*) AS n, {SUMS}
-  FROM (SELECT sha256(CAST(doc_id AS VARCHAR) || '|' || text) AS d FROM documents))""")
+  FROM (SELECT sha256(concat_ws('=', length(CAST(doc_id AS VARCHAR)) || ':' || doc_id, text)) AS d FROM documents))""")
 def _(t):
     return fingerprint.corpus_fingerprint(t.documents, SETTINGS)
 

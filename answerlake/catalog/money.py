@@ -90,7 +90,7 @@ DECISIVE = """decisive AS (SELECT method, checkout_id, arg_min(struct_pack(outco
 latest AS (SELECT * FROM attempts QUALIFY row_number() OVER (PARTITION BY method, checkout_id ORDER BY id DESC) = 1)"""
 AFTER = """CASE WHEN status <> 'pending' OR o IS NULL THEN status
   WHEN o.outcome = 'paid' AND NOT (CAST(round(CAST(o.reported AS DECIMAL(28,10)) * 100) AS BIGINT) = amount_minor
-     AND upper(coalesce(o.ccy, '')) = upper(coalesce(currency, ''))) THEN 'needs_review' ELSE o.outcome END"""
+     AND (l.method <> 'card' OR upper(coalesce(o.ccy, '')) = upper(coalesce(currency, '')))) THEN 'needs_review' ELSE o.outcome END"""
 
 
 @query("apply_outcomes", "J7 W2", f"""WITH {b.ATTEMPTS}, {b.OUTCOMES}, {DECISIVE}
@@ -101,6 +101,21 @@ def _(t):
     return ledger.apply_outcomes(b.attempts(t), b.outcomes(t))
 
 
+@query("confirmed_outcomes", "J7", f"""WITH {b.ATTEMPTS}, {b.OUTCOMES},
+latest AS (SELECT * FROM attempts QUALIFY row_number() OVER (PARTITION BY method, checkout_id ORDER BY id DESC) = 1),
+agreed AS (SELECT DISTINCT method, checkout_id FROM outcomes WHERE receipt IS NOT NULL),
+decisive AS (SELECT c.method, c.checkout_id, arg_min(struct_pack(outcome := c.outcome, reported := c.reported, ccy := c.reported_currency, receipt := c.receipt), c.seq) AS o
+  FROM outcomes c JOIN latest a ON a.method = c.method AND a.checkout_id = c.checkout_id
+  WHERE c.outcome IS NOT NULL AND NOT (c.outcome = 'paid' AND c.method = 'mobile' AND CAST(round(CAST(c.reported AS DECIMAL(28,10)) * 100) AS BIGINT) = a.amount_minor
+    AND NOT EXISTS (SELECT 1 FROM agreed g WHERE g.method = c.method AND g.checkout_id = c.checkout_id)) GROUP BY 1, 2)
+SELECT id, status AS before, {AFTER} AS after FROM latest l LEFT JOIN decisive d ON d.method = l.method AND d.checkout_id = l.checkout_id""")
+def _(t):
+    # The status query knows the checkouts for which some receipt was issued.
+    outcomes = b.outcomes(t)
+    agreed = outcomes.filter("receipt IS NOT NULL").select("method", "checkout_id")
+    return ledger.apply_outcomes(b.attempts(t), outcomes, agreed).select("id", "before", "after")
+
+
 @query("settle_requests", "J8", f"""WITH {b.ATTEMPTS}
 SELECT c_custkey AS request_id, q.quote_id, 'submitted' AS status, payment_reference FROM
   (SELECT c_custkey, 'Q' || CAST(c_custkey AS VARCHAR) AS quote_id FROM customer WHERE c_acctbal > 0) q
@@ -119,14 +134,15 @@ def _(t):
 
 
 @query("payment_states", "ST2 ST9", f"""WITH {b.ATTEMPTS}, {b.OUTCOMES}, j AS (
-  SELECT a.id, a.status, o.*, (CAST(round(CAST(reported AS DECIMAL(28,10)) * 100) AS BIGINT) = amount_minor
-     AND upper(coalesce(reported_currency, '')) = upper(coalesce(currency, ''))) AS same,
+  SELECT a.id, a.status, o.outcome, o.receipt, (CAST(round(CAST(reported AS DECIMAL(28,10)) * 100) AS BIGINT) = amount_minor
+     AND (coalesce(a.method, '') <> 'card' OR upper(coalesce(reported_currency, '')) = upper(coalesce(currency, '')))) AS same,
+     coalesce(a.method, '') = 'card' AS card, strftime(o.at, '%Y%m%d%H%M%S') || seq AS place,
      o.at <= a.created_at + INTERVAL 10 MINUTE AS in_time
   FROM attempts a LEFT JOIN outcomes o ON o.attempt_id = a.id),
 g AS (SELECT id, any_value(status) AS before, count(outcome) AS outcomes,
   arg_min(struct_pack(state := CASE WHEN outcome = 'paid' AND NOT coalesce(same, false) THEN 'needs_review' ELSE outcome END,
-    receipt := receipt), seq) FILTER (WHERE outcome IS NOT NULL AND in_time) AS f,
-  arg_min(receipt, seq) FILTER (WHERE receipt IS NOT NULL AND outcome = 'paid' AND same) AS late FROM j GROUP BY id)
+    receipt := receipt), place) FILTER (WHERE outcome IS NOT NULL AND in_time) AS f,
+  arg_min(receipt, place) FILTER (WHERE receipt IS NOT NULL AND outcome = 'paid' AND same AND NOT card) AS late FROM j GROUP BY id)
 SELECT id, before, CASE WHEN before <> 'pending' THEN before WHEN f IS NOT NULL THEN f.state ELSE 'expired' END AS after, outcomes,
   CASE WHEN before = 'pending' AND f IS NOT NULL THEN CASE WHEN f.state = 'paid' THEN coalesce(f.receipt, late) ELSE f.receipt END END AS receipt
 FROM g""")

@@ -18,14 +18,24 @@ def word_runs(text: Column, n: int) -> Column:
 
 
 def containing_documents(passages: DataFrame, ident: str, docs: DataFrame, doc_id: str, n: int = 6) -> DataFrame:
-    """(ident, doc_id) pairs where the document holds the passage's first n words in a row.
+    """(ident, doc_id) pairs where the document holds all the passage's words in a row.
 
-    An equi-join on word runs: documents are never compared with passages one by one.
-    The runs are cut down to the passages' own by a broadcast filter when those are few.
+    An equi-join on word runs finds candidates: the passage's first n words, or all of a
+    shorter one, so documents are never compared with passages one by one. The whole
+    passage is then looked up in the candidates. A passage without words is in none.
     """
-    wanted = passages.select(ident, F.array_join(F.slice(x.words(F.col("text")), 1, n), " ").alias("run"))
-    runs = docs.select(doc_id, F.explode(word_runs(F.col("text"), n)).alias("run"))
-    return runs.join(small_side(wanted), "run").select(ident, doc_id).distinct()
+    found = x.words(F.col("text"))
+    wanted = passages.select(ident, found.alias("w")).filter(F.size("w") > 0).select(
+        ident, F.least(F.size("w"), F.lit(n)).alias("k"), F.array_join("w", " ").alias("passage"),
+        F.array_join(F.slice("w", 1, n), " ").alias("run"))
+    sizes = sorted(r["k"] for r in wanted.select("k").distinct().collect())      # n numbers at most
+    if not sizes:
+        return passages.select(ident).limit(0).join(docs.select(doc_id).limit(0), F.lit(True))
+    runs = docs.select(doc_id, F.explode(F.array_distinct(F.concat(*[word_runs(F.col("text"), k) for k in sizes]))).alias("run"))
+    pairs = runs.join(wanted.select(ident, "run", "passage"), "run").select(ident, doc_id, "passage").distinct()
+    bodies = docs.select(doc_id, F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" ")).alias("body"))
+    return pairs.join(bodies, doc_id).filter(
+        F.contains(F.col("body"), F.concat(F.lit(" "), F.col("passage"), F.lit(" ")))).select(ident, doc_id).distinct()
 
 
 def containing_phrase(rows: DataFrame, ident: str, phrase: str, docs: DataFrame, doc_key: str) -> DataFrame:
@@ -120,7 +130,10 @@ def expand_grammar(templates: DataFrame, pools: dict[str, DataFrame], n: int, se
         filled = F.concat(F.expr("left(text, at - 1)"), F.col("word"), F.expr("substring(text, at + length(slot))"))
         open_rows = marked.filter("slot <> ''").withColumn("at", F.expr("locate(slot, text)")).join(words, "slot").select(
             label, filled.alias("text"))
-    flat = done.select(label, x.strip(F.regexp_replace("text", r"\s+", " ")).alias("text")).distinct()
+    flat = done.select(label, x.strip(F.regexp_replace("text", r"\s+", " ")).alias("text"))
+    # texts that differ by case alone are one: the first in the seeded order stays
+    flat = flat.groupBy(label, F.lower("text").alias("same")).agg(
+        F.min_by("text", F.struct(F.md5(F.concat(F.lit(seed), "text")), "text")).alias("text")).drop("same")
     from pyspark.sql import Window as W
     order = W.partitionBy(label).orderBy(F.md5(F.concat(F.lit(seed), "text")), "text")
     return flat.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= n)

@@ -102,26 +102,47 @@ def latest_attempts(attempts: DataFrame) -> DataFrame:
         "method", "checkout_id", "row.*")
 
 
-def same_money(row: dict[str, Column]) -> Column:
-    return (row["reported_minor"].isNotNull() & (row["reported_minor"] == row["minor"])
-            & (F.upper(F.coalesce(row["reported_currency"], F.lit("")))
-               == F.upper(F.coalesce(row["currency"], F.lit("")))))
+def is_card(method: Column) -> Column:
+    return F.coalesce(method == "card", F.lit(False))
 
 
-def apply_outcomes(attempts: DataFrame, outcomes: DataFrame) -> DataFrame:
+def same_money(row: dict[str, Column]) -> Column:
+    """The reported amount is the charged one; a card must also report its currency, while
+    a mobile provider settles in one currency and reports none."""
+    amount = F.coalesce(row["reported_minor"] == row["minor"], F.lit(False))
+    currency = F.upper(F.coalesce(row["reported_currency"], F.lit(""))) == F.upper(F.coalesce(row["currency"], F.lit("")))
+    return amount & (~is_card(row["method"]) | currency)
+
+
+def without_unconfirmed(outcomes: DataFrame, attempts: DataFrame, confirmed: DataFrame) -> DataFrame:
+    """Outcomes but for mobile successes of the right amount that no status query agrees
+    with: those leave their attempt pending. ``confirmed``: method, checkout_id."""
+    keys = ["method", "checkout_id"]
+    charged = attempts.select(*keys, F.col("amount_minor").alias("_charged"))
+    agreed = confirmed.select(*keys).distinct().withColumn("_agreed", F.lit(True))
+    rows = outcomes.join(charged, keys, "left").join(agreed, keys, "left")
+    doubtful = (~is_card(F.col("method")) & (F.col("outcome") == PAID) & (to_minor(F.col("reported")) == F.col("_charged"))
+                & F.col("_agreed").isNull())
+    return rows.filter(~F.coalesce(doubtful, F.lit(False))).drop("_charged", "_agreed")
+
+
+def apply_outcomes(attempts: DataFrame, outcomes: DataFrame, confirmed: DataFrame | None = None) -> DataFrame:
     """First decisive outcome of each pending attempt -> paid / needs_review / other.
 
     Outcomes are reduced to one row per checkout before the join, so replays and
-    a checkout with very many callbacks cost one aggregate row each.
+    a checkout with very many callbacks cost one aggregate row each. With ``confirmed``
+    (method, checkout_id of successes the provider's status query agrees with) a mobile
+    success must be among them to count.
     """
-    decisive = (
-        outcomes.filter(F.col("outcome").isNotNull())
-        .groupBy("method", "checkout_id")
-        .agg(F.min_by(F.struct("outcome", "reported", "reported_currency", "receipt"), "seq").alias("o"))
-    )
-    joined = latest_attempts(attempts).join(decisive, ["method", "checkout_id"], "left")
+    latest = latest_attempts(attempts)
+    decisive = outcomes.filter(F.col("outcome").isNotNull())
+    if confirmed is not None:
+        decisive = without_unconfirmed(decisive, latest, confirmed)
+    decisive = decisive.groupBy("method", "checkout_id").agg(
+        F.min_by(F.struct("outcome", "reported", "reported_currency", "receipt"), "seq").alias("o"))
+    joined = latest.join(decisive, ["method", "checkout_id"], "left")
     match = same_money({
-        "reported_minor": to_minor(F.col("o.reported")), "minor": F.col("amount_minor"),
+        "reported_minor": to_minor(F.col("o.reported")), "minor": F.col("amount_minor"), "method": F.col("method"),
         "reported_currency": F.col("o.reported_currency"), "currency": F.col("currency")})
     moves = (F.col("status") == PENDING) & F.col("o.outcome").isNotNull()
     return joined.select(
@@ -152,25 +173,27 @@ def payment_states(attempts: DataFrame, outcomes: DataFrame, ttl_minutes: int =
     Only a pending attempt moves and it moves once, so the result is decided by
     its first decisive outcome (or by its expiry when that comes first) and is a
     plain min_by aggregate: replays, late rows and hot checkouts need no fold.
-    A receipt that arrives later still fills an empty one on a paid row of the
-    same amount.
+    Outcomes are ordered by event time, then seq, as in the stream form. A receipt
+    that arrives later still fills an empty one on a paid mobile row of the same amount.
     """
     limit = F.make_dt_interval(mins=F.lit(ttl_minutes))
-    rows = attempts.select("id", "status", "amount_minor", "currency", "created_at").join(
+    method = F.col("method") if "method" in attempts.columns else F.lit(None).cast("string")      # none: mobile
+    rows = attempts.select("id", "status", method.alias("method"), "amount_minor", "currency", "created_at").join(
         outcomes.select("attempt_id", "seq", "outcome", "reported", "reported_currency", "receipt", "at"),
         F.col("id") == F.col("attempt_id"), "left")
     match = same_money({
-        "reported_minor": to_minor(F.col("reported")), "minor": F.col("amount_minor"),
+        "reported_minor": to_minor(F.col("reported")), "minor": F.col("amount_minor"), "method": F.col("method"),
         "reported_currency": F.col("reported_currency"), "currency": F.col("currency")})
+    order = F.struct("at", "seq")
     # Still pending at the deadline: whatever arrives afterwards finds it expired.
     in_time = F.col("at") <= F.col("created_at") + limit
     decided = F.when((F.col("outcome") == PAID) & ~match, NEEDS_REVIEW).otherwise(F.col("outcome"))
-    good_receipt = F.col("receipt").isNotNull() & (F.col("outcome") == PAID) & match
+    good_receipt = F.col("receipt").isNotNull() & (F.col("outcome") == PAID) & match & ~is_card(F.col("method"))
     grouped = rows.groupBy("id").agg(
         F.first("status").alias("before"),
         F.min_by(F.struct(decided.alias("state"), "receipt"),
-                 F.when(F.col("outcome").isNotNull() & in_time, F.col("seq"))).alias("first"),
-        F.min_by("receipt", F.when(good_receipt, F.col("seq"))).alias("late_receipt"),
+                 F.when(F.col("outcome").isNotNull() & in_time, order)).alias("first"),
+        F.min_by("receipt", F.when(good_receipt, order)).alias("late_receipt"),
         F.count("outcome").alias("outcomes"),
     )
     after = (F.when(F.col("before") != PENDING, F.col("before"))
@@ -183,10 +206,12 @@ def payment_states(attempts: DataFrame, outcomes: DataFrame, ttl_minutes: int =
 
 
 def reconcile(attempts: DataFrame, outcomes: DataFrame, now: str, n: int = 50,
-              ttl_minutes: int = PENDING_TTL_MINUTES) -> DataFrame:
+              ttl_minutes: int = PENDING_TTL_MINUTES, confirmed: DataFrame | None = None) -> DataFrame:
     """The n oldest pending attempts, brought up to date and expired when too old."""
     batch = oldest_pending(attempts, n)
-    updated = apply_outcomes(batch, outcomes).select("id", "after", "receipt")
+    wanted = F.broadcast(batch.select("method", "checkout_id").distinct())      # n rows at most
+    own = outcomes.join(wanted, ["method", "checkout_id"], "left_semi")
+    updated = apply_outcomes(batch, own, confirmed).select("id", "after", "receipt")
     age_limit = F.lit(now).cast("timestamp_ntz") - F.make_dt_interval(mins=F.lit(ttl_minutes))
     return batch.select("id", "created_at").join(updated, "id").select(
         "id", F.when((F.col("after") == PENDING) & (F.col("created_at") < age_limit), EXPIRED)

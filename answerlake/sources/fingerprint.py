@@ -12,23 +12,34 @@ _PARTS = tuple(range(1, 64, 8))
 
 
 def document_digests(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
-    return docs.select(ident, F.sha2(F.concat_ws("|", F.col(ident).cast("string"), F.col(text)), 256).alias("digest"))
+    """The name's length stands before it, so no other name and text spell the same."""
+    name = F.col(ident).cast("string")
+    named = F.concat(F.length(name).cast("string"), F.lit(":"), name)
+    return docs.select(ident, F.sha2(F.concat_ws("=", named, F.col(text)), 256).alias("digest"))
 
 
-def corpus_fingerprint(docs: DataFrame, settings: Mapping[str, object], ident: str = "doc_id", text: str = "text") -> DataFrame:
+def corpus_fingerprint(docs: DataFrame, settings: Mapping[str, object], ident: str = "doc_id", text: str = "text",
+                       manifest: DataFrame | None = None) -> DataFrame:
     """One row, ``fingerprint``: 16 hex digits that change with any document, with the set
-    of documents and with any setting.
+    of documents, with any setting and with any field of the manifest.
 
     Document digests are added up part by part instead of being sorted and joined: the
     sum needs no order, so every task sends one row whatever the corpus size.
     """
-    sums = document_digests(docs, ident, text).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.sum(F.conv(F.substring("digest", at, 8), 16, 10).cast("bigint")).alias(f"s{at}") for at in _PARTS])
+    digests = document_digests(docs, ident, text).select("digest", F.lit("d").alias("side"))
+    sides = ["d"]
+    if manifest is not None:
+        row = F.to_json(F.struct(*sorted(manifest.columns)))
+        digests = digests.unionByName(manifest.select(F.sha2(row, 256).alias("digest"), F.lit("m").alias("side")))
+        sides.append("m")
+    # parts are below 2^32; 28 digits leave the sum 38, more than any table has rows for
+    part = {at: F.conv(F.substring("digest", at, 8), 16, 10).cast("decimal(28,0)") for at in _PARTS}
+    sums = digests.agg(
+        *[F.count(F.when(F.col("side") == s, 1)).alias(f"{s}n") for s in sides],
+        *[F.sum(F.when(F.col("side") == s, part[at])).alias(f"{s}{at}") for s in sides for at in _PARTS])
     fixed = "/".join(f"{k}={settings[k]}" for k in sorted(settings))
-    parts = [F.coalesce(F.col(f"s{at}"), F.lit(0)).cast("string") for at in _PARTS]
-    return sums.select(F.substring(F.sha2(F.concat_ws(
-        "/", F.col("n").cast("string"), *parts, F.lit(fixed)), 256), 1, 16).alias("fingerprint"))
+    parts = [F.coalesce(F.col(f"{s}{at}"), F.lit(0)).cast("string") for s in sides for at in ("n", *_PARTS)]
+    return sums.select(F.substring(F.sha2(F.concat_ws("/", *parts, F.lit(fixed)), 256), 1, 16).alias("fingerprint"))
 
 
 def changed_documents(old: DataFrame, new: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:

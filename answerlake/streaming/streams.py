@@ -18,6 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from answerlake.streaming import rules
 from answerlake.streaming.fold import Step, _frame, _plain
+from answerlake.streaming.rules import SECOND
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -112,66 +113,98 @@ PAYMENT_OUT = "id bigint, status string, receipt string, at timestamp"
 
 
 class PaymentProcessor(StatefulProcessor):
-    """One payment attempt: waits for its decisive outcome or its expiry timer.
+    """One payment attempt: waits for its decisive outcome or its deadline.
 
-    Input rows have id, at, kind ('attempt' or 'outcome'), status, amount_minor,
-    currency and receipt. Only a pending attempt moves, so a replayed or late callback
-    finds a final state and changes nothing but an empty receipt.
+    An outcome is held until the watermark has passed it, so outcomes count in event
+    time however they arrive, and one that is ahead of its attempt waits for it (for the
+    attempt's life time, then it goes). Only a pending attempt moves, and not beyond its
+    deadline: replayed and late callbacks change nothing but an empty mobile receipt.
     """
 
     def __init__(self, ttl_minutes: int):
-        self.ttl_ms = ttl_minutes * 60 * 1000
+        self.ttl_us = ttl_minutes * 60 * SECOND
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.attempt = handle.getValueState("attempt", "status string, amount_minor bigint, currency string, receipt string")
+        self.attempt = handle.getValueState(
+            "attempt", "status string, amount_minor bigint, currency string, method string, receipt string, deadline bigint")
+        self.held = handle.getValueState("held", "json string")
 
     @staticmethod
-    def _row(key, status, receipt, at) -> dict:
-        return {"id": key[0], "status": status, "receipt": receipt, "at": at}
+    def _frame(key, changes: list) -> pd.DataFrame:
+        return pd.DataFrame([{"id": key[0], "status": s, "receipt": r, "at": pd.Timestamp(us, unit="us")} for s, r, us in changes],
+                            columns=["id", "status", "receipt", "at"])
+
+    def _wake_after(self, us: int) -> None:
+        self.handle.registerTimer(us // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out = []
-        frame = pd.concat(list(rows)).sort_values(["at", "kind"], kind="stable")
-        frame = frame.astype(object).where(frame.notna(), None)
-        for r in frame.itertuples(index=False):
-            known = self.attempt.get() if self.attempt.exists() else None
+        out, held = [], json.loads(self.held.get()[0]) if self.held.exists() else []
+        frame = pd.concat(list(rows)).sort_values(["at_us", "seq"], kind="stable")
+        for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False):
+            us, minor = int(r.at_us), None if r.amount_minor is None else int(r.amount_minor)
             if r.kind == "attempt":
-                if known is None:
-                    self.attempt.update((r.status, r.amount_minor, r.currency, None))
-                    if r.status == "pending":
-                        self.handle.registerTimer(int(pd.Timestamp(r.at).timestamp() * 1000) + self.ttl_ms)
-                    out.append(self._row(key, r.status, None, r.at))
-                continue
-            if known is None or r.status is None:
+                if not self.attempt.exists():
+                    self.attempt.update((r.status, minor, r.currency, r.method, None, us + self.ttl_us))
+                    out.append((r.status, None, us))
+                    self._wake_after(us)
+                    self._wake_after(us + self.ttl_us)
+            elif r.status is not None:
+                held.append([us, r.seq, r.status, minor, r.currency, r.receipt])
+                self._wake_after(us)
+                self._wake_after(us + self.ttl_us)
+        if held:
+            self.held.update((json.dumps(held),))
+        yield self._frame(key, out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        held = json.loads(self.held.get()[0]) if self.held.exists() else []
+        if self.attempt.exists():
+            due = sorted((h for h in held if h[0] < now), key=lambda h: h[:2])
+            held = [h for h in held if h[0] >= now]
+            state, changes = self._advanced(self.attempt.get(), due, now)
+            self.attempt.update(state)
+            yield self._frame(key, changes)
+        else:
+            held = [h for h in held if h[0] + self.ttl_us >= now]
+        if held:
+            self.held.update((json.dumps(held),))
+        elif self.held.exists():
+            self.held.clear()
+
+    @staticmethod
+    def _advanced(state: tuple, due: list, now: int) -> tuple[tuple, list]:
+        status, amount, currency, method, receipt, deadline = state
+        card, changes = method == "card", []
+        for us, _, outcome, reported, reported_currency, new_receipt in [*due, (now, "", None, None, None, None)]:
+            if status == "pending" and us > deadline:
+                status = "expired"
+                changes.append((status, receipt, deadline))
+            same = reported is not None and reported == amount and (
+                not card or (reported_currency or "").upper() == (currency or "").upper())
+            if outcome is None:
                 continue
-            status, amount, currency, receipt = known
-            same = r.amount_minor == amount and (r.currency or "").upper() == (currency or "").upper()
             if status == "pending":
-                status = "needs_review" if r.status == "paid" and not same else r.status
-                receipt = r.receipt
-            elif status == "paid" and not receipt and r.status == "paid" and same and r.receipt:
-                receipt = r.receipt
+                status, receipt = "needs_review" if outcome == "paid" and not same else outcome, new_receipt
+            elif status == outcome == "paid" and same and not card and new_receipt and not receipt:
+                receipt = new_receipt
             else:
                 continue
-            self.attempt.update((status, amount, currency, receipt))
-            out.append(self._row(key, status, receipt, r.at))
-        yield pd.DataFrame(out, columns=["id", "status", "receipt", "at"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        status, amount, currency, receipt = self.attempt.get()
-        if status == "pending":
-            self.attempt.update(("expired", amount, currency, receipt))
-            at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
-            yield pd.DataFrame([self._row(key, "expired", receipt, at)])
+            changes.append((status, receipt, us))
+        return (status, amount, currency, method, receipt, deadline), changes
 
     def close(self) -> None:
         pass
 
 
 def payment_states_stream(changes: DataFrame, ttl_minutes: int = 10, lateness: str = "10 minutes") -> DataFrame:
-    """``changes``: attempts and outcomes as one stream with event time ``at``."""
-    return changes.withWatermark("at", lateness).groupBy("id").transformWithStateInPandas(
+    """``changes``: attempts and outcomes as one stream with event time ``at``: id, at, kind
+    ('attempt' or 'outcome'), status, amount_minor, currency, receipt and, where there are
+    any, method (card, else mobile) and seq (order of outcomes of one moment)."""
+    optional = {"method": F.lit(None).cast("string"), "seq": F.lit("")}
+    rows = changes.withColumns({c: F.coalesce(c, v) if c in changes.columns else v for c, v in optional.items()} | {"at_us": _micros("at")})
+    return rows.withWatermark("at", lateness).groupBy("id").transformWithStateInPandas(
         PaymentProcessor(ttl_minutes), PAYMENT_OUT, "Append", "EventTime")
 
 

@@ -117,6 +117,37 @@ def test_payment_stream_settles_once_and_expires(spark, tmp_path):
     assert by[4] == [("simulated", None)]
 
 
+def test_payment_stream_equals_batch_on_early_late_and_shuffled_outcomes(spark, tmp_path):
+    from answerlake.operators import ledger
+
+    t = lambda m, s=0: dt.datetime(2024, 1, 1, 10, m, s)
+    rows = [
+        # id, minute of arrival, kind, at, status, amount, currency, method, receipt, seq
+        (1, 0, "outcome", t(2), "paid", 100, None, "mobile", "E1", "a"), (1, 1, "attempt", t(3), "pending", 100, "KES", "mobile", None, ""),
+        (2, 0, "attempt", t(0), "pending", 100, "KES", "card", None, ""), (2, 1, "outcome", t(5), "paid", 100, None, "card", "C2", "a"),
+        (3, 0, "attempt", t(0), "pending", 100, "KES", "mobile", None, ""), (3, 2, "outcome", t(20), "paid", 100, None, "mobile", "M3", "a"),
+        (4, 0, "attempt", t(0), "pending", 100, "KES", "mobile", None, ""), (4, 0, "outcome", t(6), "paid", 100, None, "mobile", None, "a"),
+        (4, 1, "outcome", t(4), "failed", None, None, "mobile", None, "b"),
+        (5, 0, "attempt", t(0), "pending", 100, "KES", "mobile", None, ""), (5, 0, "outcome", t(4), "paid", 100, None, "mobile", None, "b"),
+        (5, 1, "outcome", t(5), "paid", 100, None, "mobile", "L5", "c"), (5, 1, "outcome", t(4, 30), "paid", 99, None, "mobile", "X5", "a"),
+        (6, 0, "attempt", t(0), "pending", 100, "KES", "mobile", None, ""), (6, 0, "outcome", t(4), "cancelled", None, None, "mobile", None, "b"),
+        (6, 0, "outcome", t(4), "paid", 100, None, "mobile", "S6", "a"),
+        (9, 3, "attempt", t(50), "failed", 1, "KES", "card", None, ""), (9, 4, "attempt", t(59), "failed", 1, "KES", "card", None, "")]
+    df = spark.createDataFrame(rows, "id long, arrival int, kind string, at timestamp, status string, amount_minor long, currency string, "
+                                     "method string, receipt string, seq string")
+    out = drain(spark, streams.payment_states_stream(as_stream(spark, df, tmp_path, 5, "arrival"), 10, "30 minutes"), tmp_path)
+    last = {}
+    for r in out.collect():
+        last.setdefault(r.id, []).append((r.status, r.receipt))
+    tries = df.filter("kind = 'attempt'").withColumn("created_at", F.col("at"))
+    outcomes = df.filter("kind = 'outcome'").select(
+        F.col("id").alias("attempt_id"), "seq", F.col("status").alias("outcome"), (F.col("amount_minor") / 100).alias("reported"),
+        F.col("currency").alias("reported_currency"), "receipt", "at")
+    want = {r.id: (r.after, r.receipt) for r in ledger.payment_states(tries, outcomes).collect() if r.id != 9}
+    assert want == {1: ("paid", "E1"), 2: ("needs_review", "C2"), 3: ("expired", None), 4: ("failed", None), 5: ("paid", "L5"), 6: ("paid", "S6")}
+    assert {k: v[-1] for k, v in last.items() if k != 9} == want
+
+
 def test_expiry_stream_reports_idle_keys(spark, tmp_path):
     t = lambda m: dt.datetime(2024, 1, 1, 10, m)
     df = spark.createDataFrame([("a", t(0)), ("a", t(10)), ("b", t(1)), ("z", t(45)), ("z", t(58))], "k string, at timestamp")

@@ -115,9 +115,38 @@ def test_fingerprint_changes_with_text_set_and_settings(spark):
     base = mark([("a", "x"), ("b", "y")], size=1)
     assert base == mark([("b", "y"), ("a", "x")], size=1) and len(base) == 16
     assert len({base, mark([("a", "x"), ("b", "z")], size=1), mark([("a", "x")], size=1), mark([("a", "x"), ("b", "y")], size=2)}) == 4
+    docs = spark.createDataFrame([("a", "x")], "doc_id string, text string")
+    listed = [fingerprint.corpus_fingerprint(docs, {}, manifest=spark.createDataFrame([("a", v)], "file string, version string")).first()[0]
+              for v in ("1", "2")]
+    assert len({*listed, fingerprint.corpus_fingerprint(docs, {}).first()[0]}) == 3
+    assert mark([("a", "b=c")]) != mark([("a=b", "c")]) and mark([("a", None)]) != mark([("a", "")])
     assert fingerprint.needs_rebuild("x", "x", True) and fingerprint.needs_rebuild("x", None, False) and not fingerprint.needs_rebuild("x", "x", False)
 
 
+def test_whole_passages_and_case_variants(spark):
+    docs = spark.createDataFrame([(1, "one two three  four five six seven"), (2, "one two three four five six eight"), (3, "x seven y"), (4, None)],
+                                 "doc_id long, text string")
+    passages = spark.createDataFrame([("a", "one two three four five six seven"), ("b", "seven"), ("c", ""), ("d", None), ("e", "two two")],
+                                     "item string, text string")
+    found = audit.containing_documents(passages, "item", docs, "doc_id", 3)
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 1), ("b", 1), ("b", 3)]
+    assert audit.containing_documents(passages.filter("item = 'c'"), "item", docs, "doc_id").count() == 0
+    templates = spark.createDataFrame([("m", "My {n} now"), ("m", "my {n} now")], "label string, template string")
+    assert audit.expand_grammar(templates, {"n": spark.createDataFrame([("Bag",)], "n string")}, 9, "s").count() == 1
+
+
+def test_mobile_success_needs_no_currency_but_a_confirmation(spark):
+    from answerlake.operators import ledger
+    tries = spark.createDataFrame([(1, "mobile", "c1", "pending", 100, "KES"), (2, "card", "c2", "pending", 100, "USD"), (3, "mobile", "c3", "pending", 100, "KES")],
+                                  "id long, method string, checkout_id string, status string, amount_minor long, currency string")
+    got = spark.createDataFrame([("mobile", "c1", 1, "paid", 1.0, None, "r1"), ("card", "c2", 1, "paid", 1.0, None, "r2"), ("mobile", "c3", 1, "paid", 1.0, None, "r3"),
+                                 ("mobile", "c3", 2, "failed", None, None, None)],
+                                "method string, checkout_id string, seq long, outcome string, reported double, reported_currency string, receipt string")
+    after = lambda *x: {r.id: r.after for r in ledger.apply_outcomes(tries, got, *x).collect()}
+    assert after() == {1: "paid", 2: "needs_review", 3: "paid"}
+    assert after(got.filter("checkout_id = 'c1'")) == {1: "paid", 2: "needs_review", 3: "failed"}
+
+
 def test_malformed_payloads(spark):
     rows = spark.createDataFrame([(1, '{"Body": {}}'), (2, "nonsense"), (3, '{"Body": {"stkCallback": {"CheckoutRequestID": "c", "ResultCode": 0}}}')], "id long, p string")
     assert [(r.id, r.status, r.amount) for r in payloads.parse_callbacks(rows, "p", "id").collect()] == [(3, "paid", None)]
