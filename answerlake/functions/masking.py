@@ -63,20 +63,19 @@ def mask_rows(df: DataFrame, phones: Sequence[str] = ("phone_number",), ids: Seq
 
 
 def mask_json(col: Column, checkout: str = r"ws_CO_[0-9]+") -> Column:
-    """A JSON array of step objects with every string in it masked; unreadable text
+    """A JSON array of step objects with every string value in it masked; unreadable text
     gives an empty array and steps that are not objects are dropped.
 
-    Keys and structure are kept by masking inside the JSON text of each step: phone
-    and checkout patterns can only occur inside string values or bare numbers, and
-    bare numbers are kept because they stand without quotes.
+    Keys and structure are kept by masking inside the JSON text of each step: a quoted
+    string that a colon follows is a key, and bare numbers stand without quotes.
     """
     steps = F.from_json(col, "array<string>")
     objects = F.filter(steps, lambda s: s.rlike(r"^\s*\{"))
-    quoted = r'"(?:[^"\\]|\\.)*"'
+    quoted = r'"(?:[^"\\]|\\.)*"(?:\s*:)?'
 
     def safe(step: Column) -> Column:
-        return replace_matches(step, quoted, lambda s: mask_text(
-            replace_matches(s, checkout, lambda hit: mask_checkout(hit))))
+        return replace_matches(step, quoted, lambda s: F.when(s.endswith(":"), s).otherwise(mask_text(
+            replace_matches(s, checkout, lambda hit: mask_checkout(hit)))))
 
     return F.when(steps.isNull(), F.lit("[]")).otherwise(
         F.concat(F.lit("["), F.array_join(F.transform(objects, safe), ","), F.lit("]")))

@@ -30,7 +30,7 @@ def containing_documents(passages: DataFrame, ident: str, docs: DataFrame, doc_i
         F.array_join(F.slice("w", 1, n), " ").alias("run"))
     sizes = sorted(r["k"] for r in wanted.select("k").distinct().collect())      # n numbers at most
     if not sizes:
-        return passages.select(ident).limit(0).join(docs.select(doc_id).limit(0), F.lit(True))
+        return docs.select(F.lit(None).cast(passages.schema[ident].dataType).alias(ident), doc_id).limit(0)
     runs = docs.select(doc_id, F.explode(F.array_distinct(F.concat(*[word_runs(F.col("text"), k) for k in sizes]))).alias("run"))
     pairs = runs.join(wanted.select(ident, "run", "passage"), "run").select(ident, doc_id, "passage").distinct()
     bodies = docs.select(doc_id, F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" ")).alias("body"))

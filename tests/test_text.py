@@ -106,6 +106,8 @@ def test_json_mask_keeps_structure(spark):
     assert one(spark, raw, masking.mask_json) == \
         '[{"tool":"pay","args":{"to":"2547*****678","n":254712345678,"list":["2547*****678"]}}]'
     assert one(spark, "oops", masking.mask_json) == "[]"
+    assert one(spark, '[{"0712345678": "0712345678", "b" : "x: 0712345678"}]', masking.mask_json) == \
+        '[{"0712345678":"2547*****678","b":"x: 2547*****678"}]'
 
 
 def test_scrub_order_and_booking_reference(spark):
