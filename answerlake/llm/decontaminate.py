@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlake.llm.words import NOT_ALNUM, split_words
+from answerlake.llm.words import NOT_ALNUM, released, split_words
 from answerlake.llm.words import pieces as cut
 
 WINDOW = 10
@@ -246,7 +246,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, width: int = WINDO
         schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names),
                             *(["p_spans array<struct<low:bigint,high:bigint>>", "p_items array<string>"] if block else []),
                             "text string, n_words long, spans array<struct<low:bigint,high:bigint>>, items array<string>"])
-        out = out.select(*names, *before, "text").mapInArrow(lambda x, p=phrases: _searched(x, p), schema)
+        out = out.select(*names, *before, "text").mapInArrow(lambda x, p=phrases: released(_searched(x, p)), schema)
         if block:
             out = out.select(*names, "text", "n_words", F.array_sort(F.concat("p_spans", "spans")).alias("spans"),
                              F.array_sort(F.array_union("p_items", "items")).alias("items"))
@@ -280,5 +280,5 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, width: int = WIND
     names = [c for c in documents.columns if c != "text"]
     schema = ", ".join([*(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in names), "text string, hit boolean"])
     out = found.withColumn("hit", F.size("spans") > 0).select(*names, "hit", "text", "spans").mapInArrow(
-        _without_spans, schema.replace(", hit boolean", "").replace("text string", "hit boolean, text string"))
+        lambda x: released(_without_spans(x)), schema.replace(", hit boolean", "").replace("text string", "hit boolean, text string"))
     return out.filter(~F.col("hit") | (F.length("text") > 0)).select(*documents.columns)

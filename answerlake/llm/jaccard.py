@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from answerlake.llm.shared import components, written
-from answerlake.llm.words import grams, mix, pieces, split_words
+from answerlake.llm.words import grams, mix, pieces, released, split_words
 
 PIECE = 1 << 20
 BINS = 128
@@ -178,7 +178,7 @@ def exact_links(pairs: DataFrame, documents: DataFrame, n: int, percent: int) ->
                         F.lit(0).alias("role"))
     texts = right.union(left).hint("merge").join(documents.select("doc_id", "text"), "doc_id")
     texts = texts.repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
-    return texts.mapInArrow(lambda x: _compared(x, n, percent), "a long, b long")
+    return texts.mapInArrow(lambda x: released(_compared(x, n, percent)), "a long, b long")
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -242,15 +242,15 @@ def open_pairs(members: DataFrame, found: DataFrame, sketches: DataFrame, percen
     sent = rows.join(tasks, ["sig", "chunk"]).join(sketches, "doc_id")
     sent = sent.repartition("sig", "left", "right").sortWithinPartitions("sig", "left", "right", "comp", "doc_id")
     return sent.select("sig", "left", "right", "chunk", "pivot", "doc_id", "comp", "n", "sketch").mapInArrow(
-        lambda x: _open_pairs(x, percent), "a long, b long").distinct()
+        lambda x: released(_open_pairs(x, percent)), "a long, b long").distinct()
 
 
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: documents link when 100 * intersection of their
     shingle sets >= percent * union; a component is named by its smallest doc_id."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = written(documents.mapInArrow(lambda x: _sized(x, n), "doc_id long, n_shingles long, sketch binary"), "sized")
-    rows = documents.filter("doc_id is not null").mapInArrow(lambda x: _signed(x, n, percent), "doc_id long, sig long")
+    sized = written(documents.mapInArrow(lambda x: released(_sized(x, n)), "doc_id long, n_shingles long, sketch binary"), "sized")
+    rows = documents.filter("doc_id is not null").mapInArrow(lambda x: released(_signed(x, n, percent)), "doc_id long, sig long")
     group = Window.partitionBy("sig")
     members = written(rows.withColumns({"cnt": F.count("*").over(group), "pivot": F.min("doc_id").over(group)})
                       .filter("cnt > 1"), "members")

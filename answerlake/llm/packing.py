@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from answerlake.llm.shared import written
 from answerlake.llm.tokens import encoder
 from answerlake.llm.words import pieces as cut
+from answerlake.llm.words import released
 
 CAPACITY = 1024
 PIECE = 1 << 20
@@ -150,7 +151,7 @@ def best_two_fit(documents: DataFrame, tokenizer: str, end_id: int, capacity: in
     keep_ids), sequence_id, offset. `tokenizer` is the path of a vocabulary file.
     """
     pieces = written(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        lambda x: _cut(x, tokenizer, end_id, capacity, keep_ids),
+        lambda x: released(_cut(x, tokenizer, end_id, capacity, keep_ids)),
         "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, part int, turn long"), "pieces")
     counts = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -160,5 +161,5 @@ def best_two_fit(documents: DataFrame, tokenizer: str, end_id: int, capacity: in
     ranked = pieces.join(bases.hint("merge"), ["part", "length"]).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "ids", (F.col("base") + F.col("turn")).alias("rank"))
     return ranked.mapInArrow(
-        lambda x: _placed(x, plan),
+        lambda x: released(_placed(x, plan)),
         "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, sequence_id long, offset long")

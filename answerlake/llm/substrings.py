@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlake.llm.words import grams, mix, split_words
+from answerlake.llm.words import grams, mix, released, split_words
 from answerlake.llm.words import pieces as cut
 
 WINDOW = 20
@@ -192,9 +192,9 @@ def repeated_ranges(documents: DataFrame) -> DataFrame:
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and doc_id is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = 1 + 3 * size // BUCKET_BYTES
-    sent = rows.mapInArrow(lambda x: _sent(x, buckets), "bucket long, head binary, body binary")
+    sent = rows.mapInArrow(lambda x: released(_sent(x, buckets)), "bucket long, head binary, body binary")
     sent = sent.repartition("bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(_buckets, "doc_id long, low long, high long")
+    return sent.mapInArrow(lambda x: released(_buckets(x)), "doc_id long, low long, high long")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], schema: pa.Schema, digest: bool) -> Iterator[pa.RecordBatch]:
@@ -236,5 +236,5 @@ def without_repeats(documents: DataFrame, columns: tuple[str, ...] = ("doc_id",)
         schema = schema.add(f"_{c}", documents.schema[c].dataType)
     schema = schema.add("n_words", LongType()).add("n_removed", LongType()).add("kept_sha256" if digest else "kept", StringType())
     arrow = to_arrow_schema(schema)
-    out = joined.select("text", "ranges", *[f"_{c}" for c in columns if c != "text"]).mapInArrow(lambda x: _kept(x, arrow, digest), schema)
+    out = joined.select("text", "ranges", *[f"_{c}" for c in columns if c != "text"]).mapInArrow(lambda x: released(_kept(x, arrow, digest)), schema)
     return out.select(*[F.col(f"_{c}").alias(c) for c in columns], *out.columns[len(columns):])

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerlake.llm.words import pieces as cut
+from answerlake.llm.words import released
 
 PIECE = 2 << 20
 MAX_ROWS = 60_000
@@ -122,7 +123,7 @@ def _forms(words: list[str]):
 
 def _toxic_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, list[int]] = {}
-    for batch in batches:
+    for batch in (part for whole in batches for part in cut(whole, "text", PIECE)):
         for text in batch.column("text").to_pylist():
             here: dict[str, int] = {}
             for form, before in _forms([w for w in TOKEN.findall((text or "").lower()) if w[0].isalpha()]):
@@ -137,7 +138,7 @@ def _toxic_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _clean_forms(batches: Iterator[pa.RecordBatch], wanted: frozenset) -> Iterator[pa.RecordBatch]:
     total = dict.fromkeys(wanted, 0)
-    for batch in batches:
+    for batch in (part for whole in batches for part in cut(whole, "text", PIECE)):
         for text in batch.column("text").to_pylist():
             words = set(TOKEN.findall((text or "").lower()))
             for form in words.union(*({f"{w[:n]}*" for w in words if len(w) > n} for n in STEMS)) & wanted:
@@ -149,7 +150,7 @@ def _clean_forms(batches: Iterator[pa.RecordBatch], wanted: frozenset) -> Iterat
 
 def _totals(batches: Iterator[pa.RecordBatch], grammar: Grammar) -> Iterator[pa.RecordBatch]:
     lexicon = grammar.lexical()
-    for batch in batches:
+    for batch in (part for whole in batches for part in cut(whole, "text", PIECE)):
         rows = np.array([pattern_totals(t, lexicon) for t in batch.column("text").to_pylist()]).reshape(-1, len(PATTERNS))
         yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(list(rows), pa.list_(pa.float64()))], names=["toxic", "totals"])
 
@@ -178,19 +179,19 @@ def learn_grammar(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_R
     sample = labels.withColumn("_roll", F.pmod(F.xxhash64("_doc"), F.lit(1_000_000))).filter(F.col("_roll") < rate)
     rows = documents.select(F.col("doc_id").cast("long").alias("_doc"), "text").join(F.broadcast(sample), "_doc")   # at most about max_rows narrow rows
     learn, fit = rows.filter("_roll % 4 <> 0"), rows.filter("_roll % 4 = 0").select("text", "toxic")
-    forms = learn.filter("toxic = 1").select("text").distinct().mapInArrow(_toxic_forms, "form string, n long, mask long")
+    forms = learn.filter("toxic = 1").select("text").distinct().mapInArrow(lambda x: released(_toxic_forms(x)), "form string, n long, mask long")
     forms = forms.groupBy("form").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask")).filter(
         (F.col("n") >= LEAST_DOCUMENTS) & (F.bit_count("mask") >= LEAST_NEIGHBOURS))
     toxic = {r["form"]: r["n"] for r in forms.orderBy(F.desc("n"), "form").limit(MAX_ENTRIES).collect()}
     wanted = frozenset(toxic)
     clean = {r["form"]: r["n"] for r in learn.filter("toxic = 0").select("text").mapInArrow(
-        lambda x: _clean_forms(x, wanted), "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).collect()}
+        lambda x: released(_clean_forms(x, wanted)), "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).collect()}
     grammar = Grammar()
     for form, n in toxic.items():
         if n >= LEAST_SHARE * (n + clean.get(form, 0)):
             weight = float(np.log((n + 0.5) / (clean.get(form, 0) + 0.5)))
             (grammar.stems if form[-1] == "*" else grammar.words)[form.rstrip("*")] = weight
-    found = fit.mapInArrow(lambda x: _totals(x, grammar), "toxic int, totals array<double>").collect()     # at most about max_rows / 4
+    found = fit.mapInArrow(lambda x: released(_totals(x, grammar)), "toxic int, totals array<double>").collect()     # at most about max_rows / 4
     if {r["toxic"] for r in found} == {0, 1}:
         grammar.arcs = fit_arcs(np.array([r["totals"] for r in found]), np.array([r["toxic"] for r in found], float))
     return grammar
@@ -208,4 +209,4 @@ def scored(documents: DataFrame, grammar: Grammar, name: str = "score") -> DataF
     if name in documents.columns:
         raise ValueError(f"there is a column {name} already")
     schema = ", ".join([*(f"`{c}` {t}" for c, t in documents.dtypes), f"`{name}` double"])
-    return documents.mapInArrow(lambda x: _scored(x, grammar, name), schema)
+    return documents.mapInArrow(lambda x: released(_scored(x, grammar, name)), schema)

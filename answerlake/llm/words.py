@@ -7,6 +7,8 @@ are 64-bit: a polynomial over random byte codes, modulo 2^64, mixed once more.
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,6 +129,18 @@ def grams(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return mix(out)
 
 
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Passes a task's batches on. At the end it gives freed memory back to the system: a
+    worker serves many tasks and would else keep the peak of each kind of task."""
+    try:
+        yield from batches
+    finally:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)      # only some C libraries have it
+        if trim:
+            trim(0)
+
+
 def pieces(batch: pa.RecordBatch, column: str, max_bytes: int):
     """Row ranges of a batch whose texts sum to max_bytes or a single row."""
     size = np.diff(_offsets(batch.column(column)))
