@@ -5,10 +5,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
 from answerlake.llm import html
+from answerlake.llm import pseudo_likelihood as pseudo_likelihood_module
 from answerlake.llm.fingerprints import fingerprints
 from answerlake.llm.idfiles import combine_crc32, decode_ids, document_digests, encode_ids, make_block, read_block, read_ids, write_ids
 from answerlake.llm.languages import learn_languages, predicted
@@ -16,6 +18,7 @@ from answerlake.llm.packing import best_two_fit, bins
 from answerlake.llm.pseudo_likelihood import learn_network, pseudo_likelihood
 from answerlake.llm.tokens import Encoder
 from answerlake.llm.toxicity import Grammar, learn_grammar, pattern_totals, scored
+from answerlake.llm.words import split_words
 
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body><header class="site"><p>My site slogan here now</p></header>
 <nav><ul><li><a href=x>One</a><li><a href=y>Two</a></ul></nav><div class="notice">We use cookies to improve. Go on reading.</div>
@@ -155,6 +158,39 @@ def test_pseudo_likelihood_prefers_order(spark):
     assert found[1].per_word > found[2].per_word + 0.3 and found[3].log_likelihood == 0 and found[3].per_word is None
 
 
+@pytest.mark.parametrize("known", [2, 401, 65_536])
+def test_pseudo_likelihood_gives_every_word_its_own_probability(spark, monkeypatch, known):
+    monkeypatch.setattr(pseudo_likelihood_module, "KNOWN", known)
+    names = [f"w{i}" for i in range(400)]
+    buckets = {}
+    for name, h in zip(names, split_words(pa.array([" ".join(names)])).hash.tolist(), strict=True):
+        buckets.setdefault(h % pseudo_likelihood_module.BUCKETS, []).append(name)
+    common, rare = next(b for b in buckets.values() if len(b) > 1)[:2]      # two words of one bucket
+    often = " ".join(f"f{i}" for i in range(400))
+    rows = [(i, f"{often} {common if i < 50 else rare if i < 54 else ''}") for i in range(60)]
+    model = learn_network(spark.createDataFrame(rows, "doc_id long, text string"))
+    asked = [(1, f"f0 {common} f1"), (2, f"f0 {rare} f1"), (2, f"f0 {rare} f1"), (3, None)]
+    found = sorted(tuple(r) for r in pseudo_likelihood(spark.createDataFrame(asked, "doc_id long, text string"), model).collect())
+    assert [r[:2] for r in found] == [(1, 3), (2, 3), (2, 3), (3, 0)]
+    assert found[0][2] - found[1][2] == pytest.approx(np.log(50 / 4), abs=1e-4) and found[1] == found[2]
+
+
+def test_pseudo_likelihood_trains_on_every_word(monkeypatch):
+    seen = []
+    train = pseudo_likelihood_module.Network.train
+
+    def counted(self, classes, contexts):
+        seen.append(len(classes))
+        train(self, classes, contexts)
+
+    start = pseudo_likelihood_module.Network.start(np.zeros(0, np.uint64), np.full(512, 1 / 512))
+    monkeypatch.setattr(pseudo_likelihood_module.Network, "train", counted)
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c d e f g"] * 10)], names=["text"])
+    monkeypatch.setattr(pseudo_likelihood_module, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    out = list(pseudo_likelihood_module._trained(iter([batch]), start))
+    assert sum(seen) == 70 and out[0].column("n").to_pylist() == [70]
+
+
 def test_fingerprints(spark):
     draw = random.Random(6)
     base = [f"t{i}" for i in range(400)]
