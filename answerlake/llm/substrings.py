@@ -7,8 +7,11 @@ sends one copy of equal strings and only the places of the others, which are rep
 certain. In its bucket a sort of all windows by content and place finds the first start of
 each window; the others are removed, and their word ranges go back to the documents.
 
-Buckets are sized from the corpus, and a bucket holds at most one string for each map batch
-and distinct text, however often the text is repeated. Windows are compared by 128-bit hash.
+Buckets are sized from the corpus, and their windows are counted first. Where a bucket would
+hold more than MOST_WINDOWS, as a frequent line's minimiser brings about, its windows go
+by their own hash to buckets of windows instead: equal windows still meet, a map batch sends
+one of them, and what is known to be a repeat is dealt by document. Windows are compared by
+128-bit hash.
 
 Defined cases: null, empty and wordless texts have no words and hash the empty string; texts
 shorter than a window lose nothing; rows that repeat a doc_id are one document, so a window
@@ -28,13 +31,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerlake.llm.words import grams, mix, released, split_words
+from answerlake.llm.words import Words, grams, mix, released, split_words
 from answerlake.llm.words import pieces as cut
 
 WINDOW = 20
 RUN = 4
 MAP_BYTES = 3 << 20
 BUCKET_BYTES = 4 << 20
+MOST_WINDOWS = 1 << 19
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -76,20 +80,54 @@ def _later(order: np.ndarray, content: tuple, doc: np.ndarray, start: np.ndarray
     return out
 
 
-def _sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
-    """Packed strings of each batch, one compressed row for each bucket."""
+def _minimisers(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """First word and minimiser of every window."""
+    if len(words.hash) < WINDOW:
+        return np.zeros(0, np.int64), words.hash[:0]
+    good = np.flatnonzero(_inside(words.first, len(words.hash), WINDOW))
+    return good, sliding_min(grams(words.hash, RUN), WINDOW - RUN + 1)[good]
+
+
+def _loads(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """Windows of a task by bucket."""
+    total = np.zeros(buckets, np.int64)
+    for batch in batches:
+        for part in cut(batch, "text", MAP_BYTES):
+            _, minimiser = _minimisers(split_words(part.column("text")))
+            total += np.bincount((mix(minimiser) % np.uint64(buckets)).astype(np.int64), minlength=buckets)
+    some = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["bucket", "n"])
+
+
+def _windows(words: Words, begin: np.ndarray, size: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, start, hash, hash) of the windows of strings, one of each content, and the (doc, start) of the others."""
+    many = size - WINDOW + 1
+    offset = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    doc, start = np.repeat(doc, many), np.repeat(start, many) + offset
+    one, two = (h[np.repeat(begin, many) + offset] for h in window_hashes(words.hash, WINDOW))
+    repeat = _later(np.lexsort((start, doc, two, one)), (one, two), doc, start)
+    head = np.stack([doc, start, one.view(np.int64), two.view(np.int64)])
+    return head[:, ~repeat], head[:2, repeat]
+
+
+def _dealt(bucket: np.ndarray):
+    """(bucket, places) of equal buckets."""
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
+    return ((int(bucket[order[i]]), order[i:j]) for i, j in zip(edges[:-1], edges[1:], strict=True))
+
+
+def _sent(batches: Iterator[pa.RecordBatch], buckets: int, hot: np.ndarray, more: int) -> Iterator[pa.RecordBatch]:
+    """Packed strings of each batch, one compressed row for each bucket. The windows of hot
+    buckets go to `more` buckets of windows, which come after the others."""
     pack = zstandard.ZstdCompressor(level=1)
     for batch in batches:
         for part in cut(batch, "text", MAP_BYTES):
             docs = part.column("doc_id").to_numpy(zero_copy_only=False)
             words = split_words(part.column("text"))
-            if len(words.hash) < WINDOW:
-                continue
-            runs = sliding_min(grams(words.hash, RUN), WINDOW - RUN + 1)
-            good = np.flatnonzero(_inside(words.first, len(words.hash), WINDOW))
+            good, minimiser = _minimisers(words)
             if not len(good):
                 continue
-            minimiser = runs[good]
             text = np.searchsorted(words.first, good, "right") - 1
             new = np.ones(len(good), bool)
             new[1:] = (minimiser[1:] != minimiser[:-1]) | (good[1:] != good[:-1] + 1) | (text[1:] != text[:-1])
@@ -105,18 +143,33 @@ def _sent(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Record
             order = np.lexsort((start, doc, content2, content))
             repeat = _later(order, (content, content2), doc, start)
             bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
+            size, many = last - begin, np.isin(bucket, hot)
+            out_bucket, out_head, out_body = [], [], []
+            if many.any():
+                fresh = np.flatnonzero(many & ~repeat)
+                found, again = _windows(words, begin[fresh], size[fresh], doc[fresh], start[fresh])
+                for b, here in _dealt(buckets + (found[2].view(np.uint64) % np.uint64(more)).astype(np.int64)):
+                    out_bucket.append(b)
+                    out_head.append(pack.compress(np.ascontiguousarray(found[:, here]).tobytes()))
+                    out_body.append(b"")
+                old = np.flatnonzero(many & repeat)
+                again = np.concatenate([np.stack([doc[old], start[old], size[old]]), np.stack([*again, np.full(again.shape[1], WINDOW)])], 1)
+                for b, here in _dealt((mix(again[0].view(np.uint64)) % np.uint64(buckets)).astype(np.int64)):
+                    out_bucket.append(b)
+                    out_head.append(pack.compress(np.concatenate([again[:, here], np.zeros((1, len(here)), np.int64)]).tobytes()))
+                    out_body.append(pack.compress(b""))
             order = np.lexsort((key, bucket))
+            order = order[~many[order]]
             edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=-1))
             view = memoryview(words.data)
             low, high = words.start[begin], words.end[last - 1]
-            out_bucket, out_head, out_body = [], [], []
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 here = order[i:j]
                 sent = here[~repeat[here]]
                 head = np.stack([doc[here], start[here], last[here] - begin[here],
                                  np.where(repeat[here], 0, 1)]).astype(np.int64)
                 body = b" ".join([view[x:y] for x, y in zip(low[sent], high[sent], strict=True)])
-                out_bucket.append(bucket[here[0]])
+                out_bucket.append(int(bucket[here[0]]))
                 out_head.append(pack.compress(head.tobytes()))
                 out_body.append(pack.compress(body))
             yield pa.RecordBatch.from_arrays(
@@ -150,7 +203,16 @@ def _counted(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     head = np.concatenate(heads, 1)
     out = [head[:3, head[3] == 0]]
     doc, start, size, _ = head[:, head[3] == 1]
-    words = split_words(pa.array([b" ".join(bodies)], pa.large_binary())).hash
+    if len(doc):
+        out.append(_later_ranges(doc, start, size, bodies))
+    doc, start, size = np.concatenate(out, 1)
+    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(start + size, pa.int64())],
+                                      names=["doc_id", "low", "high"])
+
+
+def _later_ranges(doc: np.ndarray, start: np.ndarray, size: np.ndarray, bodies: list[bytes]) -> np.ndarray:
+    """doc, start, size of word ranges covered by windows of packed strings that also stand earlier."""
+    words = split_words(pa.array([b" ".join([x for x in bodies if x])], pa.large_binary())).hash
     base = np.concatenate([[0], np.cumsum(size)])
     if base[-1] != len(words):
         raise ValueError("packed strings and their sizes differ")
@@ -163,38 +225,50 @@ def _counted(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     whose, where = doc[owner], start[owner] + offset
     order = np.lexsort((where, whose, two, one))
     found = np.flatnonzero(_later(order, (one, two), whose, where))
-    if len(found):
-        new = np.ones(len(found), bool)
-        new[1:] = (found[1:] != found[:-1] + 1) | (owner[found[1:]] != owner[found[:-1]])
-        i = np.flatnonzero(new)
-        low, high = found[i], found[np.append(i[1:], len(found)) - 1]
-        out.append(np.stack([whose[low], where[low], where[high] - where[low] + WINDOW]))
-    doc, start, size = np.concatenate(out, 1)
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(start + size, pa.int64())],
-                                      names=["doc_id", "low", "high"])
+    new = np.ones(len(found), bool)
+    new[1:] = (found[1:] != found[:-1] + 1) | (owner[found[1:]] != owner[found[:-1]])
+    i = np.flatnonzero(new)
+    low, high = found[i], found[np.append(i[1:], len(found)) - 1] if len(found) else found
+    return np.stack([whose[low], where[low], where[high] - where[low] + WINDOW])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted_windows(rows: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    """Repeated word ranges of one bucket of windows."""
+    unpack = zstandard.ZstdDecompressor()
+    doc, start, one, two = np.concatenate([np.frombuffer(unpack.decompress(h), np.int64).reshape(4, -1) for h, _ in rows], 1)
+    found = _later(np.lexsort((start, doc, two, one)), (one, two), doc, start)
+    return pa.RecordBatch.from_arrays([pa.array(doc[found]), pa.array(start[found]), pa.array(start[found] + WINDOW)], names=["doc_id", "low", "high"])
+
+
+def _buckets(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     held, last = [], None
     for batch in batches:
         for key, head, body in zip(*(batch.column(c).to_pylist() for c in ("bucket", "head", "body")), strict=True):
             if key != last and held:
-                yield _counted(held)
+                yield _counted(held) if last < buckets else _counted_windows(held)
                 held = []
             last = key
             held.append((head, body))
     if held:
-        yield _counted(held)
+        yield _counted(held) if last < buckets else _counted_windows(held)
+
+
+def packed(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
+    """bucket, head, body of the strings and windows to compare, and the number of buckets of strings."""
+    buckets = 1 + 3 * size // BUCKET_BYTES
+    loads = rows.select("text").mapInArrow(lambda x: released(_loads(x, buckets)), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    hot = loads.filter(F.col("n") > MOST_WINDOWS).collect()      # no more than one for each MOST_WINDOWS words of the corpus
+    more = 1 + 3 * sum(r["n"] for r in hot) // MOST_WINDOWS
+    hot = np.array([r["bucket"] for r in hot], np.int64)
+    return rows.mapInArrow(lambda x: released(_sent(x, buckets, hot, more)), "bucket long, head binary, body binary"), buckets
 
 
 def repeated_ranges(documents: DataFrame) -> DataFrame:
     """doc_id, low, high: word ranges covered by windows that also start earlier."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null and doc_id is not null")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = 1 + 3 * size // BUCKET_BYTES
-    sent = rows.mapInArrow(lambda x: released(_sent(x, buckets)), "bucket long, head binary, body binary")
+    sent, buckets = packed(rows, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     sent = sent.repartition("bucket").sortWithinPartitions("bucket")
-    return sent.mapInArrow(lambda x: released(_buckets(x)), "doc_id long, low long, high long")
+    return sent.mapInArrow(lambda x: released(_buckets(x, buckets)), "doc_id long, low long, high long")
 
 
 def _kept(batches: Iterator[pa.RecordBatch], schema: pa.Schema, digest: bool) -> Iterator[pa.RecordBatch]:

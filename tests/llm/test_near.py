@@ -10,6 +10,7 @@ import pytest
 from answerlake.llm.decontaminate import FMIndex, WaveletMatrix, contamination, decontaminated
 from answerlake.llm.jaccard import Bands, jaccard_components, signatures
 from answerlake.llm.shared import components
+from answerlake.llm import substrings
 from answerlake.llm.substrings import without_repeats
 
 SPACE = re.compile("[^\x20\x09-\x0D]+")
@@ -117,6 +118,25 @@ def passages(seed, count=60):
     return rows
 
 
+def test_a_frequent_line_is_split_over_buckets(spark, monkeypatch):
+    draw = random.Random(11)
+    line = " ".join(f"line{i}" for i in range(24))
+    rows = [(i, " ".join([*(f"u{draw.randrange(9999)}" for _ in range(30)), line, *(f"u{draw.randrange(9999)}" for _ in range(30))])) for i in range(400)]
+    rows += [(1000 + i, t) for i, t in passages(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    monkeypatch.setattr(substrings, "BUCKET_BYTES", 12_000)
+    monkeypatch.setattr(substrings, "MOST_WINDOWS", 1_000)
+    sent, buckets = substrings.packed(docs.filter("text is not null"), sum(len(t or "") for _, t in rows))
+    windows = {}
+    for r in sent.collect():
+        head = np.frombuffer(substrings.zstandard.ZstdDecompressor().decompress(r.head), np.int64).reshape(4, -1)
+        n = head.shape[1] if r.bucket >= buckets else (head[2] - substrings.WINDOW + 1)[head[3] == 1].sum()
+        windows[r.bucket] = windows.get(r.bucket, 0) + n
+    assert max(windows) >= buckets and max(windows.values()) <= 1_000
+    found = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in without_repeats(docs, digest=True).collect()}
+    assert found == brute_kept(rows)
+
+
 def test_repeats_match_brute_force(spark):
     rows = passages(5)
     found = without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), digest=True).collect()
