@@ -245,6 +245,11 @@ def open_pairs(members: DataFrame, found: DataFrame, sketches: DataFrame, percen
         lambda x: released(_open_pairs(x, percent)), "a long, b long").distinct()
 
 
+def sketches_of(sized: DataFrame) -> DataFrame:
+    """doc_id, sketch, n: a row for each different text of a doc_id."""
+    return sized.select("doc_id", "sketch", F.col("n_shingles").alias("n")).distinct()
+
+
 def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id: documents link when 100 * intersection of their
     shingle sets >= percent * union; a component is named by its smallest doc_id."""
@@ -257,8 +262,7 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     pairs = members.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = written(exact_links(pairs, documents, n, percent), "links")
     found = written(components(links), "components")
-    sketches = sized.groupBy("doc_id").agg(F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
-    more = exact_links(open_pairs(members, found, sketches, percent), documents, n, percent)
+    more = exact_links(open_pairs(members, found, sketches_of(sized), percent), documents, n, percent)
     more = written(more, "links")
     if not more.isEmpty():
         found = components(links.union(more))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from answerlake.llm.decontaminate import FMIndex, WaveletMatrix, contamination, decontaminated
-from answerlake.llm.jaccard import Bands, jaccard_components, signatures
+from answerlake.llm.jaccard import Bands, jaccard_components, open_pairs, signatures, sketches_of
 from answerlake.llm.shared import components
 from answerlake.llm import substrings
 from answerlake.llm.substrings import without_repeats
@@ -86,6 +86,15 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert contamination(empty, spark.createDataFrame([(1, "a b")], "item_id long, text string")).count() == 0
 
 
+def test_open_pairs_use_the_sketch_of_every_text_of_a_document(spark):
+    # 3 and 5 share a signature with 1, the group's smallest, but only the second text of 3 is like 5
+    texts = [(3, 10, [10, *[0] * 127]), (3, 20, [0] * 108 + [1] * 20), (5, 20, [0] * 108 + [1] * 20)]
+    sized = spark.createDataFrame([(d, n, bytearray(x)) for d, n, x in texts], "doc_id long, n_shingles long, sketch binary")
+    members = spark.createDataFrame([(d, 77, 3, 1) for d in (1, 3, 5)], "doc_id long, sig long, cnt long, pivot long")
+    found = spark.createDataFrame([], "node long, component long")
+    assert [tuple(r) for r in open_pairs(members, found, sketches_of(sized), 80).collect()] == [(3, 5)]
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(5, 5)]
     found = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
