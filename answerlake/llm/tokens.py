@@ -3,7 +3,8 @@
 For the two splitting rules below a text splits into words before anything is merged, so the
 ids of a text are those of its words in order. Words are found here only in texts made of
 characters whose class is beyond doubt (ASCII, Latin letters, common punctuation); any other
-text, and any tokenizer with another rule, goes to the library whole.
+text, any text that holds the string of an added token, and any tokenizer with another rule,
+goes to the library whole.
 """
 
 from __future__ import annotations
@@ -31,7 +32,8 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True     # their strings in a text are ordinary text
+        added = [x["content"].lower() for x in spec.get("added_tokens") or [] if x.get("content")]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.words, self.lower = self._rule(spec)
         self.known: dict[str, bytes] = {}
 
@@ -61,7 +63,7 @@ class Encoder:
         split, whole = [], []
         for i, text in enumerate(texts):
             text = text or ""
-            if self.words is None or SAFE.search(text):
+            if self.words is None or SAFE.search(text) or self.added and self.added.search(text.lower()):
                 whole.append((i, text))
             else:
                 split.append((i, self.words.findall(text.lower() if self.lower else text)))

@@ -74,6 +74,14 @@ def test_word_cache_gives_the_library_ids(name):
     assert encoder.ids(texts) == plain
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_strings_of_added_tokens_give_the_library_ids(name):
+    path = public_tokenizers.path(name)
+    texts = ["hi <|endoftext|> there", "<|endoftext|>", "a<|ENDOFTEXT|>b", "plain words", "x <|endoftext|><|endoftext|> y"]
+    plain = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert Encoder(path).ids(texts) == plain
+
+
 @pytest.mark.parametrize("ids", [[], [7], [0] * 3000, list(range(20000)), np.random.default_rng(0).zipf(1.3, 30000).clip(0, 60000).tolist()])
 def test_coder_round_trip(ids):
     ids = np.array(ids, np.int64)
