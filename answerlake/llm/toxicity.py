@@ -34,7 +34,7 @@ from answerlake.llm.words import released
 
 PIECE = 2 << 20
 MAX_ROWS = 60_000
-MAX_ENTRIES = 20_000
+HELD_FORMS = 200_000      # of a task before it passes its counts on
 LEAST_DOCUMENTS = 4
 LEAST_NEIGHBOURS = 4
 LEAST_SHARE = 0.8
@@ -132,20 +132,28 @@ def _toxic_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 entry = total.setdefault(form, [0, 0])
                 entry[0] += 1
                 entry[1] |= mask
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v[0] for v in total.values()], pa.int64()),
-                                      pa.array([v[1] for v in total.values()], pa.int64())], names=["form", "n", "mask"])
+        if len(total) > HELD_FORMS:
+            yield _form_rows(total)
+            total = {}
+    yield _form_rows(total)
 
 
-def _clean_forms(batches: Iterator[pa.RecordBatch], wanted: frozenset) -> Iterator[pa.RecordBatch]:
-    total = dict.fromkeys(wanted, 0)
+def _form_rows(total: dict[str, list[int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array([v[0] for v in total.values()], pa.int64()),
+                                       pa.array([v[1] for v in total.values()], pa.int64())], names=["form", "n", "mask"])
+
+
+def _clean_forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total: dict[str, int] = {}
     for batch in (part for whole in batches for part in cut(whole, "text", PIECE)):
         for text in batch.column("text").to_pylist():
-            words = set(TOKEN.findall((text or "").lower()))
-            for form in words.union(*({f"{w[:n]}*" for w in words if len(w) > n} for n in STEMS)) & wanted:
-                total[form] += 1
-    found = [(f, n) for f, n in total.items() if n]
-    yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())],
-                                     names=["form", "n"])
+            words = {w for w in TOKEN.findall((text or "").lower()) if w[0].isalpha()}
+            for form in words.union(*({f"{w[:n]}*" for w in words if len(w) > n} for n in STEMS)):
+                total[form] = total.get(form, 0) + 1
+        if len(total) > HELD_FORMS:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["form", "clean"])
+            total = {}
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], names=["form", "clean"])
 
 
 def _totals(batches: Iterator[pa.RecordBatch], grammar: Grammar) -> Iterator[pa.RecordBatch]:
@@ -182,15 +190,13 @@ def learn_grammar(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_R
     forms = learn.filter("toxic = 1").select("text").distinct().mapInArrow(lambda x: released(_toxic_forms(x)), "form string, n long, mask long")
     forms = forms.groupBy("form").agg(F.sum("n").alias("n"), F.bit_or("mask").alias("mask")).filter(
         (F.col("n") >= LEAST_DOCUMENTS) & (F.bit_count("mask") >= LEAST_NEIGHBOURS))
-    toxic = {r["form"]: r["n"] for r in forms.orderBy(F.desc("n"), "form").limit(MAX_ENTRIES).collect()}
-    wanted = frozenset(toxic)
-    clean = {r["form"]: r["n"] for r in learn.filter("toxic = 0").select("text").mapInArrow(
-        lambda x: released(_clean_forms(x, wanted)), "form string, n long").groupBy("form").agg(F.sum("n").alias("n")).collect()}
+    clean = learn.filter("toxic = 0").select("text").mapInArrow(lambda x: released(_clean_forms(x)), "form string, clean long").groupBy("form").agg(
+        F.sum("clean").alias("clean"))
+    both = forms.join(clean.hint("merge"), "form", "left").select("form", "n", F.coalesce("clean", F.lit(0)).alias("clean"))
     grammar = Grammar()
-    for form, n in toxic.items():
-        if n >= LEAST_SHARE * (n + clean.get(form, 0)):
-            weight = float(np.log((n + 0.5) / (clean.get(form, 0) + 0.5)))
-            (grammar.stems if form[-1] == "*" else grammar.words)[form.rstrip("*")] = weight
+    for form, n, others in both.filter(F.col("n") >= LEAST_SHARE * (F.col("n") + F.col("clean"))).orderBy("form").collect():
+        weight = float(np.log((n + 0.5) / (others + 0.5)))
+        (grammar.stems if form[-1] == "*" else grammar.words)[form.rstrip("*")] = weight
     found = fit.mapInArrow(lambda x: released(_totals(x, grammar)), "toxic int, totals array<double>").collect()     # at most about max_rows / 4
     if {r["toxic"] for r in found} == {0, 1}:
         grammar.arcs = fit_arcs(np.array([r["totals"] for r in found]), np.array([r["toxic"] for r in found], float))

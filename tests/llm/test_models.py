@@ -66,6 +66,22 @@ def test_toxicity_learns_words_and_stems(spark):
     assert all(0 <= r.score <= 1 for r in scored(docs, none).collect())
 
 
+def test_toxicity_learns_rare_insults_behind_many_ordinary_words(spark):
+    draw = random.Random(9)
+    plain = sorted({"".join(draw.choice(x) for x in ("bcdfghjklmnp", "aeiou", "qrstvwxz", "aeiou", "bcdfghjk", "aeiou")) for _ in range(20_000)})
+    rows, labels = [], []
+    for i in range(1600):
+        words = draw.sample(plain, 400)
+        if i % 2 and i < 24:
+            words[draw.randrange(400)] = "zork"
+        rows.append((i, " ".join(words)))
+        labels.append((i, i % 2))
+    assert len({*plain, *(f"{w[:n]}*" for w in plain for n in (4, 5))}) > 20_000
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    grammar = learn_grammar(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert grammar.words["zork"] > 1.5
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_word_cache_gives_the_library_ids(name):
     encoder = Encoder(public_tokenizers.path(name))
