@@ -14,6 +14,7 @@ from answerlake.llm.jaccard import jaccard_components
 from answerlake.llm.languages import learn_languages, predicted
 from answerlake.llm.packing import best_two_fit
 from answerlake.llm.pseudo_likelihood import pseudo_likelihood
+from answerlake.llm.repair import damaged, repaired
 from answerlake.llm.shared import shared_path
 from answerlake.llm.substrings import without_repeats
 from answerlake.llm.toxicity import learn_grammar, scored
@@ -179,6 +180,67 @@ SELECT doc_id, n_chars, sha256(edited) AS edited_sha256,
 FROM joined
 """
 
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repaired(damaged(table(spark, sf_dir, "conversations")))
+
+
+def _crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of an ASCII string, bit by bit."""
+    byte = "list_reduce([xor(a, b)] || [0::BIGINT, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(string_split({text}, ''), lambda z: ord(z)::BIGINT), lambda a, b: {byte}))"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE hit AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+  FROM conversations),
+rows AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM hit, unnest(CASE kind WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS t(copy)),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS inked, left(role, 1) AS w FROM rows),
+coded AS (
+  SELECT conv_id, turn, role, text, w, i, count(*) OVER (PARTITION BY conv_id) AS n,
+    CASE WHEN inked = '' THEN 'b' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'd' WHEN right(inked, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault,
+    lag(w) OVER (PARTITION BY conv_id ORDER BY i) || w AS pair FROM placed),
+ways AS (
+  SELECT conv_id, n + 1 AS i, [{{c: 0, a: '', r: ''}}, {{c: 4, a: 'II', r: chr(10) || 'user:' || chr(10) || 'assistant:'}},
+    {{c: 2, a: 'I', r: chr(10) || 'assistant:'}}, {{c: 0, a: '', r: ''}}] AS v
+  FROM (SELECT DISTINCT conv_id, n FROM coded)
+  UNION ALL
+  SELECT conv_id, i, list_transform([1, 2, 3, 4], lambda s: list_sort([o[s],
+    {{c: o[CASE s WHEN 3 THEN 4 ELSE 3 END].c + 2, a: 'I' || o[CASE s WHEN 3 THEN 4 ELSE 3 END].a,
+      r: chr(10) || CASE s WHEN 3 THEN 'assistant:' ELSE 'user:' END || o[CASE s WHEN 3 THEN 4 ELSE 3 END].r}},
+    {{c: o[CASE s WHEN 3 THEN 3 ELSE 4 END].c + 4, a: 'II' || o[CASE s WHEN 3 THEN 3 ELSE 4 END].a,
+      r: chr(10) || CASE s WHEN 3 THEN 'assistant:' || chr(10) || 'user:' ELSE 'user:' || chr(10) || 'assistant:' END || o[CASE s WHEN 3 THEN 3 ELSE 4 END].r}}])[1]) AS v
+  FROM (
+    SELECT x.conv_id, x.i, list_transform([1, 2, 3, 4], lambda s: list_sort(
+      [{{c: v[s].c + 3, a: 'D' || v[s].a, r: v[s].r}}]
+      || CASE WHEN fault IN ('b', 'd') THEN [] ELSE
+        CASE WHEN s = 1 AND w = 's' THEN [{{c: v[2].c + CASE fault WHEN 't' THEN 1 ELSE 0 END, a: 'K' || v[2].a, r: chr(10) || role || ':' || text || v[2].r}}] ELSE [] END
+        || [CASE WHEN w = CASE s WHEN 3 THEN 'a' ELSE 'u' END
+          THEN {{c: v[CASE s WHEN 3 THEN 4 ELSE 3 END].c + CASE fault WHEN 't' THEN 1 ELSE 0 END, a: 'K' || v[CASE s WHEN 3 THEN 4 ELSE 3 END].a,
+            r: chr(10) || role || ':' || text || v[CASE s WHEN 3 THEN 4 ELSE 3 END].r}}
+          ELSE {{c: v[CASE s WHEN 3 THEN 4 ELSE 3 END].c + CASE fault WHEN 't' THEN 3 ELSE 2 END, a: 'R' || v[CASE s WHEN 3 THEN 4 ELSE 3 END].a,
+            r: chr(10) || CASE s WHEN 3 THEN 'assistant:' ELSE 'user:' END || text || v[CASE s WHEN 3 THEN 4 ELSE 3 END].r}} END] END)[1]) AS o
+    FROM ways y JOIN coded x ON x.conv_id IS NOT DISTINCT FROM y.conv_id AND x.i = y.i - 1)),
+best AS (SELECT conv_id, v[1] AS b FROM ways WHERE i = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank,
+    count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated,
+    count(*) FILTER (pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM coded GROUP BY conv_id)
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(b.c, 0) AS BIGINT) AS cost,
+  coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
+"""
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -190,6 +252,7 @@ QUERIES = {
     "op8_pseudo_likelihood": op8_pseudo_likelihood,
     "op9_best_two_fit_packing": op9_best_two_fit_packing,
     "op10_document_fingerprints": op10_document_fingerprints,
+    "op11_conversation_repair": op11_conversation_repair,
 }
 
 ORACLES = {
@@ -197,4 +260,5 @@ ORACLES = {
     "op3_substring_dedup": OP3_SQL,
     "op4_benchmark_decontamination": OP4_SQL,
     "op10_document_fingerprints": OP10_SQL,
+    "op11_conversation_repair": OP11_SQL,
 }
