@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from answerlake.llm.conversation_trie import rebuilt_trie
 from answerlake.llm.decontaminate import contamination
 from answerlake.llm.fingerprints import LEAST_SHARE, LIMITS, MOST_SHARE, SUBSETS, fingerprints
 from answerlake.llm.html import extract
@@ -241,6 +242,39 @@ FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv
 LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM o.conv_id
 """
 
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = rf"""
+WITH units AS (
+  SELECT conv_id, turn, md5(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS k,
+    strlen(coalesce(text, '')) AS b FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k, b) AS place FROM units),
+convs AS (SELECT conv_id, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM units)),
+turns AS (
+  SELECT c.conv_id, p.place, p.k, p.b FROM convs c JOIN placed p ON p.conv_id = c.conv_id - c.conv_id % 5 AND p.place <= c.h
+  UNION ALL SELECT c.conv_id, p.place, p.k, p.b FROM convs c JOIN placed p ON p.conv_id = c.conv_id AND p.place > c.h),
+paths AS (
+  SELECT c.conv_id, coalesce(list(k || '-' || b ORDER BY place) FILTER (k IS NOT NULL), []) AS ks, coalesce(list(b ORDER BY place) FILTER (k IS NOT NULL), []) AS bs
+  FROM convs c LEFT JOIN turns t ON t.conv_id = c.conv_id GROUP BY c.conv_id),
+members AS (
+  SELECT conv_id, d, array_to_string(ks[1:d], '/') AS node, CASE WHEN d = 0 THEN NULL ELSE array_to_string(ks[1:d - 1], '/') END AS parent,
+    CASE WHEN d = 0 THEN 0 ELSE bs[d] END AS b, len(ks) = d AS ends, ks[1:d] AS path FROM paths, unnest(range(0, len(ks) + 1)) AS t(d)),
+nodes AS (
+  SELECT node, d, parent, any_value(path) AS path, min(conv_id) AS low, count(*) AS n, (count(*) - 1) * any_value(b) AS saved,
+    string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ends) AS ids FROM members GROUP BY node, d, parent),
+kids AS (SELECT parent AS node, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY parent, d),
+sums AS (
+  SELECT array_to_string(path[1:e], '/') AS node, e AS d, sum(saved) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+  FROM nodes LEFT JOIN kids k USING (node, d), unnest(range(0, nodes.d + 1)) AS t(e) GROUP BY 1, 2)
+SELECT v.low AS conv_id, CAST(v.d AS BIGINT) AS depth, p.low AS parent_conv_id, CAST(v.n AS BIGINT) AS n_convs, CAST(coalesce(k.n, 0) AS BIGINT) AS n_children,
+  CAST(s.leaves AS BIGINT) AS n_leaves, CAST(s.saved AS BIGINT) AS saved_tokens, sha256(coalesce(v.ids, '')) AS ends_sha256
+FROM nodes v JOIN sums s ON s.node = v.node AND s.d = v.d LEFT JOIN kids k ON k.node = v.node AND k.d = v.d
+LEFT JOIN nodes p ON p.node = v.parent AND p.d = v.d - 1
+"""
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -253,6 +287,7 @@ QUERIES = {
     "op9_best_two_fit_packing": op9_best_two_fit_packing,
     "op10_document_fingerprints": op10_document_fingerprints,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_conversation_trie": op12_conversation_trie,
 }
 
 ORACLES = {
@@ -261,4 +296,5 @@ ORACLES = {
     "op4_benchmark_decontamination": OP4_SQL,
     "op10_document_fingerprints": OP10_SQL,
     "op11_conversation_repair": OP11_SQL,
+    "op12_conversation_trie": OP12_SQL,
 }
