@@ -17,6 +17,7 @@ from answerlake.llm.packing import best_two_fit
 from answerlake.llm.pseudo_likelihood import pseudo_likelihood
 from answerlake.llm.repair import damaged, repaired
 from answerlake.llm.shared import shared_path
+from answerlake.llm.simhash import simhash_components
 from answerlake.llm.substrings import without_repeats
 from answerlake.llm.toxicity import learn_grammar, scored
 
@@ -275,6 +276,11 @@ FROM nodes v JOIN sums s ON s.node = v.node AND s.d = v.d LEFT JOIN kids k ON k.
 LEFT JOIN nodes p ON p.node = v.parent AND p.d = v.d - 1
 """
 
+
+def op13_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -288,6 +294,7 @@ QUERIES = {
     "op10_document_fingerprints": op10_document_fingerprints,
     "op11_conversation_repair": op11_conversation_repair,
     "op12_conversation_trie": op12_conversation_trie,
+    "op13_simhash_near_dedup": op13_simhash_near_dedup,
 }
 
 ORACLES = {
