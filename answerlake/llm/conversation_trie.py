@@ -230,7 +230,7 @@ def _walked(batches: Iterator[pa.RecordBatch], skeleton) -> Iterator[pa.RecordBa
         yield flush()
 
 
-def prefix_trie(paths: DataFrame) -> DataFrame:
+def prefix_trie(paths: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Nodes of the trie of (conv_id, key, path), one row each: conv_id (smallest member), depth,
     parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     spark = paths.sparkSession
@@ -239,7 +239,7 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
     shapes = written(paths.groupBy("key").agg(F.min("path").alias("path")).join(ends, "key"), "shapes")
 
     size = shapes.agg(F.sum(F.length("path") + UNIT)).first()[0] or 0
-    shards = min(MOST_SHARDS, max(1, size // SHARD_BYTES))
+    shards = min(MOST_SHARDS, max(1, size // shard_bytes))
     sample = shapes.select(F.substring("path", 1, CUT * UNIT).alias("path"), F.xxhash64("key").alias("h")).orderBy("h").limit(
         SAMPLED * shards).collect() if shards > 1 else []
     splitters = splitters_of([bytes(r.path) for r in sample], shards)
@@ -269,12 +269,13 @@ def prefix_trie(paths: DataFrame) -> DataFrame:
         F.coalesce("ends_sha256", F.lit(NO_ENDS)).alias("ends_sha256"))
 
 
-def conversation_trie(rows: DataFrame) -> DataFrame:
+def conversation_trie(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The prefix trie of conversations (conv_id, turn, role, text) as they are."""
     units = turn_units(rows)
-    return prefix_trie(written(paths_of(units.union(units.select("conv_id", F.lit(0).cast("long"), F.lit(None).cast("binary")).distinct())), "paths"))
+    heads = units.filter("place = 1").select("conv_id", F.lit(0).cast("long"), F.lit(None).cast("binary"))
+    return prefix_trie(written(paths_of(units.union(heads)), "paths"), shard_bytes)
 
 
-def rebuilt_trie(rows: DataFrame) -> DataFrame:
+def rebuilt_trie(rows: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The prefix trie of the rebuilt conversations."""
-    return prefix_trie(written(paths_of(rebuilt(turn_units(rows))), "paths"))
+    return prefix_trie(written(paths_of(rebuilt(written(turn_units(rows), "units"))), "paths"), shard_bytes)

@@ -254,7 +254,8 @@ class _Digest:
 class _Tally:
     """Counts, flags and, up to a bound, the turns of one conversation."""
 
-    def __init__(self, conv):
+    def __init__(self, conv, segment: int, hold: int):
+        self.segment, self.hold = segment, hold
         self.conv, self.flags, self.turns, self.held = conv, bytearray(), [], 0
         self.low = self.high = self.previous = None
         self.distinct, self.faults, self.illegal, self.initial = 0, [0, 0, 0, 0], 0, None
@@ -273,9 +274,9 @@ class _Tally:
         self.initial = initial
         flag = LETTERS[initial]
         self.flags.append(120 if fault > 1 else flag - 32 if fault else flag)
-        if self.held <= HOLD_BYTES:
+        if self.held <= self.hold:
             self.held += len(text) + len(role) + 64
-            if self.held > HOLD_BYTES:
+            if self.held > self.hold:
                 self.turns = []
             else:
                 self.turns.append((role, text))
@@ -283,11 +284,11 @@ class _Tally:
     def row(self) -> tuple:
         gaps = self.high - self.low + 1 - self.distinct if self.low is not None else 0
         head = (self.conv, gaps, self.faults[3], self.faults[2], self.faults[1], self.illegal)
-        if len(self.flags) > SEGMENT:
-            cuts = [bytes(self.flags[i: i + SEGMENT]) for i in range(0, len(self.flags), SEGMENT)]
+        if len(self.flags) > self.segment:
+            cuts = [bytes(self.flags[i: i + self.segment]) for i in range(0, len(self.flags), self.segment)]
             return *head, None, None, None, cuts
         cost, audit = align(bytes(self.flags))
-        if self.held > HOLD_BYTES:
+        if self.held > self.hold:
             return *head, cost, audit, None, None
         digest = _Digest(audit)
         for role, text in self.turns:
@@ -311,13 +312,13 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         yield from zip(*[c.to_pylist() for c in batch.columns], strict=True)
 
 
-def _tallied(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _tallied(batches: Iterator[pa.RecordBatch], segment: int, hold: int) -> Iterator[tuple]:
     tally = None
     for conv, turn, role, text, code in _rows(batches):
         if tally is None or conv != tally.conv:
             if tally:
                 yield tally.row()
-            tally = _Tally(conv)
+            tally = _Tally(conv, segment, hold)
         tally.add(turn, role, text, code)
     if tally:
         yield tally.row()
@@ -438,13 +439,14 @@ def _long_audits(tallied: DataFrame, kind: str) -> DataFrame:
     return _streamed(found.repartition("conv_id").sortWithinPartitions("conv_id", "seg"), _walked, f"conv_id {kind}, cost long, audit string")
 
 
-def repaired(rows: DataFrame) -> DataFrame:
+def repaired(rows: DataFrame, segment: int = SEGMENT, hold: int = HOLD_BYTES) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, repaired_sha256 of every
     conversation of (conv_id, turn, role, text); where there is a column present, its false rows
     are not turns, but their conversations are returned."""
     kind = rows.schema["conv_id"].dataType.simpleString()
     coded = _coded(rows)
-    tallied = written(_streamed(coded.select("conv_id", F.col("turn").cast("long"), "role", "text", "code"), _tallied, TALLY.replace("CONV", kind)), "tallied")
+    tallied = written(_streamed(coded.select("conv_id", F.col("turn").cast("long"), "role", "text", "code"),
+                                lambda x: _tallied(x, segment, hold), TALLY.replace("CONV", kind)), "tallied")
     columns = ["conv_id", *[c.split()[0] for c in COUNTS.split(", ")], "cost", "audit", "repaired_sha256"]
     done = tallied.filter("repaired_sha256 is not null").select(*columns)
     rest = tallied.filter("repaired_sha256 is null")
