@@ -33,7 +33,7 @@ from answerlake.llm.words import released
 
 SEED = 42
 PART_BYTES = 1 << 20
-LEAST_LEAVES, MOST_LEAVES, SUBTREES = 1 << 14, 1 << 22, 64
+LEAST_LEAVES, MOST_LEAVES, SUBTREES = 256, 1 << 22, 32
 PAIRS_AT_ONCE = 1 << 15
 SMALL = 16              # leaves of nodes that are compared one by one
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -287,7 +287,8 @@ def near_links(classes: DataFrame, budget: int = 4, least: int = LEAST_LEAVES) -
     those that differ in at most `budget` bits."""
     spark = classes.sparkSession
     n = classes.count()
-    # about SUBTREES subtrees, of sizes that a task can hold: a subtree is sent to each that it meets
+    # a leaf is sent once for each subtree that its own meets, so their number stays the same at
+    # every size, until a task could no longer hold two of them
     cut = subtrees(classes, min(max(n // SUBTREES, least), MOST_LEAVES)) if n else [(0, 0)]
     cuts = spark.sparkContext.broadcast(cut)
     rows = classes.select("print", "rep").mapInArrow(lambda x: _dealt(x, cuts, budget), "one int, two int, print long, rep long")
