@@ -142,7 +142,7 @@ LEXICAL = """lex AS (SELECT query_id, chunk_id, sum(qtf * ln((n - df + 0.5) / (d
 
 def lexical(t):
     terms = settle(corpus.term_table(chunks(t), CORPUS))
-    return retrieval.bm25(questions(t), corpus.build_postings(terms), corpus.corpus_stats(terms), CORPUS)
+    return retrieval.bm25(questions(t), terms, corpus.corpus_stats(terms), CORPUS)
 
 
 @query("bm25_scores", "R3 J9", f"""WITH {chunks_sql()}, {POSTINGS}, {ASKED}, {LEXICAL}
@@ -180,7 +180,7 @@ def _(t):
         F.avg(F.col("v").cast("double")).alias("m"))
     centroids = mean.groupBy(F.col("label").cast("bigint").alias("query_id")).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda p: p["m"]).alias("embedding"))
-    return retrieval.dense_top_k(centroids, t.embeddings.select("vec_id", "embedding"), 10, 64)
+    return retrieval.dense_top_k(centroids, t.embeddings.select("vec_id", "embedding"), 10)
 
 
 HITS_SQL = """vec AS (SELECT kind, id, bucket, raw / sqrt(sum(raw * raw) OVER (PARTITION BY kind, id)) AS w FROM (

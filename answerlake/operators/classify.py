@@ -153,7 +153,7 @@ def ceiling(col: Column) -> Column:
 def probability(model: ToneModel, df: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, p): the model's raw probability, one aggregate per text."""
     counted = df.select(ident, F.inline(_buckets(F.col(text)))).withColumnRenamed("term", "bucket")
-    weighted = counted.join(small_side(model.terms, 1 << (HASH_BITS + 1)), "bucket").select(
+    weighted = counted.join(small_side(model.terms), "bucket").select(
         ident, ((1 + F.log("tf")) * F.col("idf")).alias("w"), "coefficient")
     lexical = weighted.groupBy(ident).agg((F.sum(F.col("w") * F.col("coefficient")) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("lexical"))
     tone = x.style_features(F.col(text))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
@@ -17,9 +16,9 @@ from pyspark.sql import types as T
 from answerlake.functions import text as x
 from answerlake.functions.vocabulary import NEUTRAL, Vocabulary
 from answerlake.plans import scoring
+from answerlake.plans.blocks import Grid
 from answerlake.session import settle, small_side
 
-MAX_QUESTIONS_PER_PASS = 512
 POOL = 15
 
 
@@ -31,23 +30,23 @@ def question_terms(questions: DataFrame, vocab: Vocabulary = NEUTRAL) -> DataFra
     return words.groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
 
 
-def bm25(questions: DataFrame, postings: DataFrame, stats: DataFrame, vocab: Vocabulary = NEUTRAL,
+def bm25(questions: DataFrame, terms: DataFrame, stats: DataFrame, vocab: Vocabulary = NEUTRAL,
          k1: float = 1.5, b: float = 0.75, ident: str = "chunk_id") -> DataFrame:
-    """(query_id, ident, lexical) for every pair that shares a term.
+    """(query_id, ident, lexical) for every pair that shares a term, from a term table.
 
-    The question side is a few words per question; counted small it is broadcast,
-    and because the postings are already spread on the chunk the sum per (question,
-    chunk) needs no exchange of its own.
+    A chunk's counts lie in one row, so where the weighted terms are small enough to be
+    broadcast a pair's sum is complete before the one exchange. They are settled once.
     """
-    asked = question_terms(questions, vocab)
-    df = postings.join(small_side(asked.select("term").distinct()), "term", "left_semi").groupBy("term").agg(
+    asked = small_side(question_terms(questions, vocab))
+    postings = terms.select(ident, "doc_len", F.inline("counts"))
+    df = postings.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term").agg(
         F.count(F.lit(1)).alias("df"))
     n, avg = stats.select("chunks").scalar(), stats.select("avg_len").scalar()
     idf = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    weighted = asked.join(small_side(df), "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight"))
+    weighted = small_side(asked.join(df, "term").select("query_id", "term", (F.col("qtf") * idf).alias("weight")))
     part = F.col("weight") * F.col("tf") * (k1 + 1) / (
         F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / avg))
-    return postings.join(small_side(weighted), "term").groupBy("query_id", ident).agg(F.sum(part).alias("lexical"))
+    return postings.join(weighted, "term").groupBy("query_id", ident).agg(F.sum(part).alias("lexical"))
 
 
 def top_k(scored: DataFrame, k: int, score: str, ties: Sequence[str]) -> DataFrame:
@@ -71,77 +70,18 @@ def minmax_over(scored: DataFrame, column: str, total: Column | None = None, key
         out, F.when(span < 1e-9, 0.0).otherwise((F.col(column) - F.col("lo")) / span)).drop("lo", "hi")
 
 
-def blend(lexical: Column, dense: Column, weight: float = 0.6) -> Column:
-    """Weighted sum of two normalised scores; a missing side leaves the other alone."""
-    both = weight * lexical + (1 - weight) * dense
-    return F.when(lexical.isNull(), dense).when(dense.isNull(), lexical).otherwise(both)
-
-
-def heading_boost(query_tokens: Column, heading_tokens: Column, gain: float = 0.9) -> Column:
-    unique = F.size(F.array_distinct(query_tokens))
-    hit = F.size(F.array_intersect(query_tokens, heading_tokens))
-    coverage = hit / unique
-    return F.when((unique == 0) | (F.size(heading_tokens) == 0), 1.0).otherwise(1.0 + gain * coverage * coverage)
-
-
 # ------------------------------------------------------------------ dense side
 
-def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, dims: int,
+def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int,
                 query_vector: str = "embedding", vector: str = "embedding") -> DataFrame:
-    """Best k vectors per query by cosine over all pairs, as block products.
-
-    ``queries`` has (query_id, vector) and is taken in passes of a fixed size;
-    ``vectors`` has (vec_id, vector) and is never moved. Each task emits k rows per
-    query at most.
-    """
-    width = dims
-
-    def product(ids, matrix):
-        def run(batches):
-            kept = None
-            for batch in scoring.blocks(batches):
-                rows, _ = scoring._vectors(batch.column("embedding"), width)
-                score = scoring.half_up(rows @ matrix.T, 6)
-                names = batch.column("vec_id").to_numpy(zero_copy_only=False)
-                n = len(names)
-                if n > k:
-                    cut = np.partition(score, n - k, axis=0)[n - k]
-                    row, col = np.nonzero(score >= cut)
-                else:
-                    row, col = np.nonzero(np.ones_like(score, bool))
-                frame = pd.DataFrame({"at": col, "vec_id": names[row], "dense": score[row, col]})
-                kept = frame if kept is None else pd.concat([kept, frame])
-                kept = kept.sort_values(["at", "dense", "vec_id"], ascending=[True, False, True]).groupby("at").head(k)
-            if kept is not None and len(kept):
-                yield pa.RecordBatch.from_pydict({
-                    "query_id": pa.array([ids[i] for i in kept["at"]], pa.int64()),
-                    "vec_id": pa.array(kept["vec_id"], pa.int64()), "dense": pa.array(kept["dense"], pa.float64())})
-        return run
-
-    lean = vectors.select("vec_id", F.col(vector).alias("embedding"))
-    out = None
-    for part in _passes(queries.select("query_id", F.col(query_vector).alias("embedding"))):
-        rows = part.collect()  # at most MAX_QUESTIONS_PER_PASS vectors
-        matrix = np.array([r["embedding"] for r in rows], dtype=float).reshape(len(rows), -1)
-        if matrix.shape[1] != width:
-            matrix = np.zeros((len(rows), width))
-        norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
-        matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
-        found = lean.mapInArrow(product([r["query_id"] for r in rows], matrix),
-                                "query_id long, vec_id long, dense double")
-        out = found if out is None else out.unionByName(found)
-    return top_k(out, k, "dense", ["vec_id"])
-
-
-def _passes(questions: DataFrame, limit: int = MAX_QUESTIONS_PER_PASS) -> list[DataFrame]:
-    """The question table cut into groups that are safe to hand to every task."""
-    count = questions.count()
-    groups = max(1, -(-count // limit))
-    if groups == 1:
-        return [questions]
-    # Hash groups vary in size, so aim for half the limit each.
-    groups *= 2
-    return [questions.filter(F.pmod(F.xxhash64("query_id"), F.lit(groups)) == g) for g in range(groups)]
+    """Best k vectors per query by cosine over all pairs, as block products. ``queries`` has
+    (query_id, vector), ``vectors`` (vec_id, vector); a pair of blocks gives k rows per query."""
+    asked = queries.select("query_id", F.col(query_vector).cast("array<double>").alias("embedding"))
+    held = vectors.select("vec_id", F.col(vector).cast("array<double>").alias("embedding"))
+    grid = Grid.over(held, asked)
+    kinds = asked.schema["query_id"].dataType.simpleString(), held.schema["vec_id"].dataType.simpleString()
+    found = grid.meet(grid.deal(held, "vec_id"), asked, scoring.nearest(k), "query_id {}, vec_id {}, dense double".format(*kinds))
+    return top_k(found, k, "dense", ["vec_id"])
 
 
 # --------------------------------------------------------------- hybrid search
@@ -202,96 +142,56 @@ def _question_features(questions: DataFrame, cfg: SearchConfig) -> DataFrame:
         "embedding", kind.alias("kind"), flags.alias("flags"), asked.alias("places"), route.alias("route_words"))
 
 
-def _question_block(rows: list, df: dict[str, int], chunks: int, cfg: SearchConfig) -> scoring.QuestionBlock:
-    """Question rows as matrices; the number of rows is bounded by the pass size."""
-    rows = sorted(rows, key=lambda r: (str(r["query_id"]), r["part"]))
-    first = {}
-    for i, r in enumerate(rows):
-        first.setdefault(r["query_id"], i)
-    terms = sorted({t for r in rows for t in r["tokens"]})
-    at = {t: i for i, t in enumerate(terms)}
-    entries = np.array([(at[t], i, n) for i, r in enumerate(rows) for t, n in Counter(r["tokens"]).items()],
-                       dtype=np.int32).reshape(-1, 3)
-    seen = np.array([df.get(t, 0) for t in terms] or [0], dtype=float)
-    idf = np.where(seen > 0, np.log((chunks - seen + 0.5) / (seen + 0.5) + 1.0), 0.0)
-    vectors = np.array([r["embedding"] for r in rows], dtype=float).reshape(len(rows), -1)
-    norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-    block = scoring.QuestionBlock(
-        ids=[r["query_id"] for r in rows], parents=[first[r["query_id"]] for r in rows], terms=terms,
-        entries=entries, idf=idf, sizes=np.bincount(entries[:, 1], minlength=len(rows)),
-        vectors=np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0),
-        kinds=[r["kind"] for r in rows], flags=np.array([r["flags"] for r in rows], dtype=float).reshape(len(rows), -1))
-    if cfg.use_places:
-        places = sorted(set(cfg.vocab.places) | set(cfg.vocab.aliases.values()))
-        where = {p: i for i, p in enumerate(places)}
-        closure = np.eye(len(places))
-        for p, above in cfg.vocab.places.items():
-            for a in above:
-                closure[where[a], where[p]] = 1.0
-        asked = np.zeros((len(places), len(rows)))
-        for i, r in enumerate(rows):
-            for p in r["places"]:
-                asked[where[p], i] = 1.0
-        block.places, block.closure, block.asked = places, closure, asked
-        block.cities = np.array([where[c] for c in cfg.vocab.cities], dtype=int)
-        block.names_route = (asked.sum(axis=0) > 0) | np.array([bool(r["route_words"]) for r in rows])
-    return block
-
-
-def candidate_pool(questions: DataFrame, index: DataFrame, cfg: SearchConfig, pool: int = POOL) -> DataFrame:
+def _weighted(asked: DataFrame, features: DataFrame, chunks: int) -> DataFrame:
+    """Adds weights: each question's terms with their count and inverse document frequency."""
+    key = ["query_id", "part"]
+    said = asked.select(*key, F.inline(x.term_counts(F.col("tokens"))))
+    df = features.select(F.explode(F.array_distinct("tokens")).alias("term")).join(
+        small_side(said.select("term").distinct()), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    idf = F.coalesce(F.log((chunks - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0), F.lit(0.0))
+    weights = said.join(df, "term", "left").groupBy(*key).agg(
+        F.collect_list(F.struct("term", F.col("tf").cast("int").alias("tf"), idf.alias("idf"))).alias("weights"))
+    none = F.array().cast("array<struct<term:string,tf:int,idf:double>>")
+    return asked.drop("tokens").join(weights, key, "left").withColumn("weights", F.coalesce("weights", none))
+
+
+def candidate_pool(questions: DataFrame, index: DataFrame, cfg: SearchConfig, pool: int = POOL,
+                   grid: Grid | None = None) -> DataFrame:
     """The ``pool`` best chunks of every question with all score parts.
 
-    Three narrow passes over the chunk features (term frequencies, score ranges,
-    candidates); nothing but per-partition summaries leaves a task. Pass a stored
-    table of ``chunk_features`` as the index to skip computing them here.
+    Blocks of questions meet blocks of chunks three times: for the score ranges, for the best
+    scores where parts are fused, and for the candidates. The chunks are dealt once. However
+    many questions there are, the jobs are the same. Pass a stored table of ``chunk_features``
+    as the index to skip computing them here.
     """
-    features = index if "heading_tokens" in index.columns else settle(chunk_features(index, cfg))
-    total = features.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg")).first()
+    features = index if "heading_tokens" in index.columns else chunk_features(index, cfg)
+    grid = grid or Grid.over(index, questions)
+    dealt = grid.deal(features, "chunk_id")
+    once = dealt.filter("grp = 0")
+    total = once.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg")).first()
     chunks, avg_len = total["n"], float(total["avg"] or 0.0) or 1.0
-    doc_type = features.schema["doc_id"].dataType
-    arrow_type = pa.string() if isinstance(doc_type, T.StringType) else pa.int64()
-    key_type = questions.schema["query_id"].dataType
+    kind = questions.schema["query_id"].dataType.simpleString()
     settings = replace(cfg.settings, avg_len=avg_len, pool=pool, fusion=cfg.fusion)
-    out = None
-    for part in _passes(questions):
-        asked = _question_features(part, cfg)
-        rows = asked.collect()  # bounded by the pass size
-        if not rows:
-            continue
-        words = questions.sparkSession.createDataFrame(
-            pd.DataFrame({"term": sorted({t for r in rows for t in r["tokens"]})}), "term string")
-        df = {r["term"]: r["df"] for r in features.select(F.explode(F.array_distinct("tokens")).alias("term"))
-              .join(F.broadcast(words), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df")).collect()}
-        block = _question_block(rows, df, chunks, cfg)
-        ends = features.mapInArrow(scoring.extremes(block, settings),
-                                   "at int, lex_lo double, lex_hi double, dense_lo double, dense_hi double")
-        bounds = np.zeros((4, len(block.ids)))
-        for r in ends.groupBy("at").agg(F.min("lex_lo"), F.max("lex_hi"), F.min("dense_lo"), F.max("dense_hi")).collect():
-            bounds[:, r[0]] = r[1:]
-        best = None
-        if cfg.fusion > 0:
-            best = np.zeros(len(block.ids))
-            for r in features.mapInArrow(scoring.best_scores(block, settings, bounds), "at int, best double").groupBy(
-                    "at").agg(F.max("best")).collect():
-                best[r[0]] = r[1]
-        found = features.mapInArrow(
-            scoring.candidates(block, settings, bounds, best, arrow_type),
-            scoring.CANDIDATE_SCHEMA.format(doc=doc_type.simpleString()))
-        names = questions.sparkSession.createDataFrame(
-            [(i, v, rows_text) for i, (v, rows_text) in enumerate(zip(block.ids, _texts(rows), strict=True))],
-            T.StructType([T.StructField("at", T.IntegerType()), T.StructField("query_id", key_type),
-                          T.StructField("part_text", T.StringType())]))
-        labelled = found.join(F.broadcast(names.select("at", "query_id")), "at").join(
-            F.broadcast(names.select(F.col("at").alias("matched"), F.col("part_text").alias("matched_text"))), "matched")
-        labelled = labelled.withColumn(
-            "matched_subquery", F.when(F.col("matched") != F.col("at"), F.col("matched_text"))).drop(
-            "at", "matched", "matched_text")
-        out = labelled if out is None else out.unionByName(labelled)
-    return top_k(out, pool, "score", ["doc_id", "chunk_no"])
-
-
-def _texts(rows: list) -> list[str]:
-    return [r["text"] for r in sorted(rows, key=lambda r: (str(r["query_id"]), r["part"]))]
+    covers, aliases, cities = (cfg.vocab.places if cfg.use_places else None), cfg.vocab.aliases, cfg.vocab.cities
+
+    def scored(function):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            left = left if right.num_rows else left.slice(0, 0)     # a group that no question fell into
+            return function(left, right, scoring.QuestionBlock.of(right, covers, aliases, cities), settings)
+        return run
+
+    asked = settle(_weighted(_question_features(questions, cfg), once, chunks))
+    key = ["query_id", "part"]
+    ends = grid.meet(dealt, asked, scored(scoring.extremes), scoring.EXTREMES_SCHEMA.format(id=kind)).groupBy(*key).agg(
+        F.min("lex_lo").alias("lex_lo"), F.max("lex_hi").alias("lex_hi"), F.min("dense_lo").alias("dense_lo"), F.max("dense_hi").alias("dense_hi"))
+    asked = asked.join(ends, key)
+    if cfg.fusion > 0:
+        asked = settle(asked)
+        best = grid.meet(dealt, asked, scored(scoring.best_scores), scoring.BEST_SCHEMA.format(id=kind)).groupBy(*key).agg(F.max("best").alias("best"))
+        asked = asked.join(best, key)
+    found = grid.meet(dealt, asked, scored(scoring.candidates),
+                      scoring.CANDIDATE_SCHEMA.format(id=kind, doc=features.schema["doc_id"].dataType.simpleString()))
+    return top_k(found, pool, "score", ["doc_id", "chunk_no"])
 
 
 def mmr(pool: DataFrame, k: int = 4, lam: float = 0.8, base: float = 0.6, step: float = 0.3,

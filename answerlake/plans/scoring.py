@@ -1,9 +1,8 @@
-"""Block scoring: questions against chunk partitions as small matrix products.
+"""Block scoring: a block of questions against a block of chunks as small matrix products.
 
 Every question has to be compared with every chunk (the blend is normalised over
-the whole corpus), but no (question, chunk) pair ever becomes a row: a task walks
-its partition in blocks, multiplies, and emits only per-question extremes or its
-best few candidates. Spark merges those.
+the whole corpus), but no (question, chunk) pair ever becomes a row: a block pair
+gives only per-question extremes or its best few candidates. Spark merges those.
 """
 
 from __future__ import annotations
@@ -27,26 +26,67 @@ def half_up(values: np.ndarray, digits: int = 4) -> np.ndarray:
 
 @dataclass
 class QuestionBlock:
-    """The question side of one pass: a bounded number of questions as matrices."""
+    """The question side of one block as matrices."""
 
-    ids: list
-    parents: list
+    rows: list[dict]                   # sorted by (question, part); part 0 is the whole question
     terms: list[str]
-    entries: np.ndarray                # rows of (term, question, multiplicity), shipped to tasks
+    entries: np.ndarray                # rows of (term, question, multiplicity)
     idf: np.ndarray                    # per term
-    sizes: np.ndarray                  # distinct terms per question
     vectors: np.ndarray                # question x dims, unit length or zero
     places: list[str] = field(default_factory=list)
     asked: np.ndarray | None = None    # place x question
     closure: np.ndarray | None = None  # place x place: column p marks what covers p
     cities: np.ndarray | None = None
     names_route: np.ndarray | None = None
-    kinds: list = field(default_factory=list)
-    flags: np.ndarray | None = None    # question x rule
+
+    @classmethod
+    def of(cls, asked: pa.Table, covers: dict[str, tuple[str, ...]] | None, aliases: dict[str, str], cities) -> QuestionBlock:
+        """From rows with weights (term, tf, idf), embedding and, where places count, their cover."""
+        rows = sorted(asked.to_pylist(), key=lambda r: (str(r["query_id"]), r["part"]))
+        idf = {w["term"]: w["idf"] for r in rows for w in r["weights"]}
+        terms = sorted(idf)
+        at = {t: i for i, t in enumerate(terms)}
+        entries = np.array([(at[w["term"]], i, w["tf"]) for i, r in enumerate(rows) for w in r["weights"]], dtype=np.int32)
+        vectors = np.array([r["embedding"] for r in rows], dtype=float).reshape(len(rows), len(rows[0]["embedding"]) if rows else 0)
+        norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
+        block = cls(rows, terms, entries.reshape(-1, 3), np.array([idf[t] for t in terms] or [0.0]),
+                    np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0))
+        if covers is not None:
+            block.places = sorted(set(covers) | set(aliases.values()))
+            where = {p: i for i, p in enumerate(block.places)}
+            block.closure = np.eye(len(where))
+            for p, above in covers.items():
+                block.closure[[where[a] for a in above], where[p]] = 1.0
+            block.asked = np.zeros((len(where), len(rows)))
+            for i, r in enumerate(rows):
+                block.asked[[where[p] for p in r["places"]], i] = 1.0
+            block.cities = np.array([where[c] for c in cities], dtype=int)
+            block.names_route = (block.asked.sum(axis=0) > 0) | np.array([bool(r["route_words"]) for r in rows], dtype=bool)
+        return block
+
+    def column(self, name: str) -> np.ndarray:
+        return np.array([r[name] for r in self.rows], dtype=float)
+
+    @cached_property
+    def bounds(self) -> np.ndarray:
+        return np.stack([self.column(c) for c in ("lex_lo", "lex_hi", "dense_lo", "dense_hi")])
+
+    @cached_property
+    def kinds(self) -> list:
+        return [r["kind"] for r in self.rows]
+
+    @cached_property
+    def flags(self) -> np.ndarray:
+        return np.array([r["flags"] for r in self.rows], dtype=float).reshape(len(self.rows), len(self.rows[0]["flags"]) if self.rows else 0)
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """Distinct terms per question."""
+        return np.bincount(self.entries[:, 1], minlength=len(self.rows))
 
     def counts(self) -> np.ndarray:
-        """term x question multiplicities; dense only inside a task."""
-        out = np.zeros((max(len(self.terms), 1), len(self.ids)))
+        """term x question multiplicities."""
+        out = np.zeros((max(len(self.terms), 1), len(self.rows)))
         if len(self.entries):
             out[self.entries[:, 0], self.entries[:, 1]] = self.entries[:, 2]
         return out
@@ -102,8 +142,8 @@ def _vectors(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return out, fresh
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    for batch in table.combine_chunks().to_batches():
         for start in range(0, batch.num_rows, BLOCK):
             yield batch.slice(start, BLOCK)
 
@@ -120,24 +160,22 @@ def raw_scores(block: pa.RecordBatch, q: QuestionBlock, s: Settings) -> tuple[np
     return lexical, vectors @ q.vectors.T
 
 
-def extremes(q: QuestionBlock, s: Settings):
-    """Arrow map: per partition and question, the range of both raw scores."""
+def _per_question(asked: pa.Table, q: QuestionBlock, columns: dict) -> pa.Table:
+    return pa.table({"query_id": pa.array([r["query_id"] for r in q.rows], asked.schema.field("query_id").type),
+                     "part": pa.array([r["part"] for r in q.rows], pa.int32())} | columns)
 
-    def run(batches):
-        lo = np.full((2, len(q.ids)), np.inf)
-        hi = np.full((2, len(q.ids)), -np.inf)
-        for block in blocks(batches):
-            if block.num_rows == 0:
-                continue
-            for i, scores in enumerate(raw_scores(block, q, s)):
-                lo[i] = np.minimum(lo[i], scores.min(axis=0))
-                hi[i] = np.maximum(hi[i], scores.max(axis=0))
-        if np.isfinite(lo[0]).any():
-            yield pa.RecordBatch.from_pydict({
-                "at": pa.array(range(len(q.ids)), pa.int32()), "lex_lo": lo[0], "lex_hi": hi[0],
-                "dense_lo": lo[1], "dense_hi": hi[1]})
 
-    return run
+EXTREMES_SCHEMA = "query_id {id}, part int, lex_lo double, lex_hi double, dense_lo double, dense_hi double"
+
+
+def extremes(chunks: pa.Table, asked: pa.Table, q: QuestionBlock, s: Settings) -> pa.Table:
+    """The range of both raw scores of each question over a block of chunks."""
+    lo, hi = np.full((2, len(q.rows)), np.inf), np.full((2, len(q.rows)), -np.inf)
+    for block in blocks(chunks):
+        for i, scores in enumerate(raw_scores(block, q, s)):
+            lo[i], hi[i] = np.minimum(lo[i], scores.min(axis=0)), np.maximum(hi[i], scores.max(axis=0))
+    found = _per_question(asked, q, {"lex_lo": lo[0], "lex_hi": hi[0], "dense_lo": lo[1], "dense_hi": hi[1]})
+    return found if chunks.num_rows else found.slice(0, 0)
 
 
 def _normalise(values, lo, hi):
@@ -146,9 +184,10 @@ def _normalise(values, lo, hi):
     return np.where(flat, 0.0, (values - lo) / np.where(flat, 1.0, span))
 
 
-def final_scores(block: pa.RecordBatch, q: QuestionBlock, s: Settings, bounds: np.ndarray):
+def final_scores(block: pa.RecordBatch, q: QuestionBlock, s: Settings):
     """Rounded final, lexical and dense scores and the four penalty flags."""
     lexical, dense = raw_scores(block, q, s)
+    bounds = q.bounds
     score = (s.lexical_weight * _normalise(lexical, bounds[0], bounds[1])
              + (1 - s.lexical_weight) * _normalise(dense, bounds[2], bounds[3]))
     heading = block.column("heading_tokens")
@@ -170,88 +209,112 @@ def final_scores(block: pa.RecordBatch, q: QuestionBlock, s: Settings, bounds: n
         limited = np.isin(want.astype(str), s.exclusive_kinds)
         kind = limited & (have != None) & (have != want)  # noqa: E711 (elementwise)
         score = np.where(kind, score * s.kind_factor, score)
-    if q.flags is not None and q.flags.shape[1]:
+    if q.flags.shape[1]:
         mine = np.array(block.column("topic_flags").to_pylist(), dtype=float).reshape(block.num_rows, -1)
         topic = (mine @ q.flags.T) > 0
         score = np.where(topic, score * s.topic_factor, score)
     return half_up(score), half_up(lexical), half_up(dense), (route, unasked, kind, topic)
 
 
-def best_scores(q: QuestionBlock, s: Settings, bounds: np.ndarray):
-    """Arrow map: each question's best final score per partition (for fusion)."""
+BEST_SCHEMA = "query_id {id}, part int, best double"
 
-    def run(batches):
-        top = np.zeros(len(q.ids))
-        for block in blocks(batches):
-            if block.num_rows:
-                top = np.maximum(top, final_scores(block, q, s, bounds)[0].max(axis=0))
-        yield pa.RecordBatch.from_pydict({"at": pa.array(range(len(q.ids)), pa.int32()), "best": top})
 
-    return run
+def best_scores(chunks: pa.Table, asked: pa.Table, q: QuestionBlock, s: Settings) -> pa.Table:
+    """Each question's best final score in a block of chunks (for fusion)."""
+    top = np.zeros(len(q.rows))
+    for block in blocks(chunks):
+        top = np.maximum(top, final_scores(block, q, s)[0].max(axis=0))
+    return _per_question(asked, q, {"best": top})
 
 
-CANDIDATE_SCHEMA = ("at int, chunk_id string, doc_id {doc}, chunk_no int, score double, lexical_score double, "
+CANDIDATE_SCHEMA = ("query_id {id}, chunk_id string, doc_id {doc}, chunk_no int, score double, lexical_score double, "
                     "dense_score double, route_mismatch boolean, route_unasked boolean, kind_mismatch boolean, "
-                    "topic_mismatch boolean, matched int")
-
-
-def candidates(q: QuestionBlock, s: Settings, bounds: np.ndarray, best: np.ndarray | None, doc_type):
-    """Arrow map: the ``pool`` best chunks per question of this partition, ties in
-    corpus order. Questions of one parent are fused when ``fusion`` is above zero."""
-    leaders = [i for i, parent in enumerate(q.parents) if i == parent]
-    parts = {i: [j for j, parent in enumerate(q.parents) if parent == i and j != i] for i in leaders}
-
-    def fuse(score, lexical, dense):
-        matched = np.tile(np.arange(score.shape[1], dtype=np.int32), (score.shape[0], 1))
-        if best is None:
-            return score, lexical, dense, matched
-        score, lexical, dense = score.copy(), lexical.copy(), dense.copy()
-        for i, others in parts.items():
-            own_best = best[i] or 1.0
-            for j in others:
-                lifted = score[:, j] / (best[j] or 1.0) * own_best * s.fusion
-                up = lifted > score[:, i]
-                score[up, i] = half_up(lifted[up])
-                # The part's best chunk was lifted to exactly this score, wherever it lies.
-                own_best = max(own_best, float(half_up(np.array(own_best * s.fusion))))
-                lexical[up, i], dense[up, i], matched[up, i] = lexical[up, j], dense[up, j], j
-        return score, lexical, dense, matched
-
-    def run(batches):
+                    "topic_mismatch boolean, matched_subquery string")
+
+
+def _fused(q: QuestionBlock, s: Settings, score: np.ndarray, lexical: np.ndarray, dense: np.ndarray, leaders: np.ndarray):
+    """Lifts a chunk's score for a whole question to that of the question's best matching part."""
+    matched = np.tile(np.arange(score.shape[1], dtype=np.int32), (score.shape[0], 1))
+    score, lexical, dense, best = score.copy(), lexical.copy(), dense.copy(), q.column("best")
+    for i, end in zip(leaders, [*leaders[1:], len(q.rows)], strict=True):
+        own_best = best[i] or 1.0
+        for j in range(i + 1, end):
+            lifted = score[:, j] / (best[j] or 1.0) * own_best * s.fusion
+            up = lifted > score[:, i]
+            score[up, i] = half_up(lifted[up])
+            # The part's best chunk was lifted to exactly this score, wherever it lies.
+            own_best = max(own_best, float(half_up(np.array(own_best * s.fusion))))
+            lexical[up, i], dense[up, i], matched[up, i] = lexical[up, j], dense[up, j], j
+    return score, lexical, dense, matched
+
+
+def candidates(chunks: pa.Table, asked: pa.Table, q: QuestionBlock, s: Settings) -> pa.Table:
+    """The ``pool`` best chunks of each question in a block of chunks, ties in corpus order.
+    Questions are fused with their parts when ``fusion`` is above zero."""
+    leaders = np.flatnonzero(np.array([r["part"] == 0 for r in q.rows], dtype=bool))
+    wanted = np.zeros(len(q.rows), bool)
+    wanted[leaders] = True
+    ids = np.array([r["query_id"] for r in q.rows], dtype=object)
+    texts = np.array([r["text"] for r in q.rows], dtype=object)
+    kept, floor = None, np.full(len(q.rows), -np.inf)
+    for block in blocks(chunks):
+        score, lexical, dense, flags = final_scores(block, q, s)
+        matched = np.tile(np.arange(len(q.rows)), (block.num_rows, 1))
+        if s.fusion > 0:
+            score, lexical, dense, matched = _fused(q, s, score, lexical, dense, leaders)
+        if block.num_rows > s.pool:
+            cut = np.partition(score, block.num_rows - s.pool, axis=0)[block.num_rows - s.pool]
+            mask = score >= np.maximum(cut, floor)
+        else:
+            mask = score >= floor
+        row, col = np.nonzero(mask & wanted)
+        ident = {c: np.array(block.column(c).to_pylist(), dtype=object)[row] for c in ("chunk_id", "doc_id", "chunk_no")}
+        frame = pd.DataFrame({
+            "at": col, **ident, "score": score[row, col], "lexical_score": lexical[row, col],
+            "dense_score": dense[row, col], "route_mismatch": flags[0][row, col], "route_unasked": flags[1][row, col],
+            "kind_mismatch": flags[2][row, col], "topic_mismatch": flags[3][row, col], "matched": matched[row, col]})
+        kept = frame if kept is None else pd.concat([kept, frame])
+        kept = kept.sort_values(["at", "score", "doc_id", "chunk_no"], ascending=[True, False, True, True])
+        kept = kept.groupby("at", sort=False).head(s.pool)
+        full = kept.groupby("at")["score"].agg(["size", "min"])
+        full = full[full["size"] >= s.pool]
+        floor[full.index.to_numpy()] = full["min"].to_numpy()
+    names = [("query_id", asked.schema.field("query_id").type), ("chunk_id", pa.string()), ("doc_id", chunks.schema.field("doc_id").type),
+             ("chunk_no", pa.int32()), ("score", pa.float64()), ("lexical_score", pa.float64()), ("dense_score", pa.float64()),
+             ("route_mismatch", pa.bool_()), ("route_unasked", pa.bool_()), ("kind_mismatch", pa.bool_()), ("topic_mismatch", pa.bool_()),
+             ("matched_subquery", pa.string())]
+    if kept is None:
+        return pa.table({n: pa.array([], t) for n, t in names})
+    at, matched = kept["at"].to_numpy(), kept["matched"].to_numpy()
+    said = np.where(matched == at, None, texts[matched]) if len(at) else texts[:0]
+    made = {"query_id": ids[at], "matched_subquery": said}
+    return pa.table({n: pa.array(made.get(n, kept[n].to_numpy() if n not in made else None), t) for n, t in names})
+
+
+def nearest(k: int):
+    """Block function: the k nearest vectors of each question by cosine, ties by name."""
+
+    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+        names = [("query_id", asked.schema.field("query_id").type), ("vec_id", vectors.schema.field("vec_id").type), ("dense", pa.float64())]
         kept = None
-        floor = np.full(len(q.ids), -np.inf)
-        for block in blocks(batches):
-            if block.num_rows == 0:
-                continue
-            score, lexical, dense, flags = final_scores(block, q, s, bounds)
-            score, lexical, dense, matched = fuse(score, lexical, dense)
-            if block.num_rows > s.pool:
-                cut = np.partition(score, block.num_rows - s.pool, axis=0)[block.num_rows - s.pool]
-                mask = score >= np.maximum(cut, floor)
-            else:
-                mask = score >= floor
-            wanted = np.zeros(len(q.ids), bool)
-            wanted[leaders] = True
-            row, col = np.nonzero(mask & wanted)
-            ident = {c: np.array(block.column(c).to_pylist(), dtype=object)[row]
-                     for c in ("chunk_id", "doc_id", "chunk_no")}
-            frame = pd.DataFrame({
-                "at": col.astype("int32"), **ident, "score": score[row, col], "lexical_score": lexical[row, col],
-                "dense_score": dense[row, col], "route_mismatch": flags[0][row, col], "route_unasked": flags[1][row, col],
-                "kind_mismatch": flags[2][row, col], "topic_mismatch": flags[3][row, col], "matched": matched[row, col]})
+        held = asked["embedding"].to_pylist()
+        matrix = np.array(held, dtype=float).reshape(len(held), len(held[0]) if held else 0)
+        norm = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+        matrix = np.divide(matrix, norm, out=np.zeros_like(matrix), where=norm > 0)
+        ids = np.array(asked["query_id"].to_pylist(), dtype=object)
+        for block in blocks(vectors) if len(matrix) else ():
+            rows, _ = _vectors(block.column("embedding"), matrix.shape[1])
+            score = half_up(rows @ matrix.T, 6)
+            found, n = np.array(block.column("vec_id").to_pylist(), dtype=object), block.num_rows
+            mask = score >= np.partition(score, n - k, axis=0)[n - k] if n > k else np.ones_like(score, bool)
+            row, col = np.nonzero(mask)
+            frame = pd.DataFrame({"at": col, "vec_id": found[row], "dense": score[row, col]})
             kept = frame if kept is None else pd.concat([kept, frame])
-            kept = kept.sort_values(["at", "score", "doc_id", "chunk_no"], ascending=[True, False, True, True])
-            kept = kept.groupby("at", sort=False).head(s.pool)
-            full = kept.groupby("at")["score"].agg(["size", "min"])
-            full = full[full["size"] >= s.pool]
-            floor[full.index.to_numpy()] = full["min"].to_numpy()
-        if kept is not None and len(kept):
-            schema = pa.schema([
-                ("at", pa.int32()), ("chunk_id", pa.string()), ("doc_id", doc_type), ("chunk_no", pa.int32()),
-                ("score", pa.float64()), ("lexical_score", pa.float64()), ("dense_score", pa.float64()),
-                ("route_mismatch", pa.bool_()), ("route_unasked", pa.bool_()), ("kind_mismatch", pa.bool_()),
-                ("topic_mismatch", pa.bool_()), ("matched", pa.int32())])
-            yield pa.RecordBatch.from_pandas(kept, schema=schema, preserve_index=False)
+            kept = kept.sort_values(["at", "dense", "vec_id"], ascending=[True, False, True]).groupby("at").head(k)
+        if kept is None:
+            return pa.table({n: pa.array([], t) for n, t in names})
+        made = {"query_id": ids[kept["at"].to_numpy()], "vec_id": kept["vec_id"].to_numpy(), "dense": kept["dense"].to_numpy()}
+        return pa.table({n: pa.array(made[n], t) for n, t in names})
 
     return run
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,18 +74,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-BROADCAST_ROWS = 200_000
+def small_side(df: DataFrame) -> DataFrame:
+    """Writes a narrow side of a join to the shared folder and reads it back.
 
-
-def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a narrow table for broadcast after counting that it is small.
-
-    Above the bound it is returned unmarked and the join shuffles, where AQE
-    splits skewed keys. The count stops at the bound.
+    The plan runs once, and from the bytes of the files the optimizer sees for itself whether
+    the side may be broadcast (``spark.sql.autoBroadcastJoinThreshold``); a larger one is
+    shuffled, where AQE splits skewed keys.
     """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+    path = f"{checkpoint_root(df.sparkSession).rstrip('/')}/sides/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 SMALL_BYTES_PER_CORE = 128 * 1024 * 1024

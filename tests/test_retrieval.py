@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from answerlake.functions import text as x
 from answerlake.functions.vocabulary import Vocabulary
 from answerlake.plans import corpus, retrieval, scoring
+from answerlake.plans.blocks import Grid
 
 VOCAB = Vocabulary(
     synonyms={"suitcase": ("baggage",), "cash": ("refund",)},
@@ -114,11 +115,45 @@ def brute_without_places(spark, text, rows):
     return brute(spark, text, hidden, CFG)
 
 
-def test_passes_give_the_same_pool(setup, monkeypatch, rows):
+@pytest.mark.parametrize("grid", [Grid(1, 1), Grid(5, 3), Grid(2, 40)])
+def test_any_grid_gives_the_same_pool(setup, rows, grid):
     asked, index = setup
-    want = rows(retrieval.candidate_pool(asked, index, CFG), "query_id", "rank", "chunk_id", "score")
-    monkeypatch.setattr(retrieval._passes, "__defaults__", (2,))
-    assert rows(retrieval.candidate_pool(asked, index, CFG), "query_id", "rank", "chunk_id", "score") == want
+    for cfg in (CFG, CFG.with_(fusion=0.9)):
+        want = rows(retrieval.candidate_pool(asked, index, cfg), "query_id", "rank", "chunk_id", "score")
+        assert rows(retrieval.candidate_pool(asked, index, cfg, grid=grid), "query_id", "rank", "chunk_id", "score") == want
+
+
+def test_more_questions_make_no_more_jobs(spark, setup):
+    _, index = setup
+    tracker = spark.sparkContext.statusTracker()
+
+    def jobs(n, name):
+        asked = spark.range(n).select(F.col("id").alias("query_id"), F.concat(F.lit("refunds to Oslo "), "id").alias("text"))
+        spark.sparkContext.setJobGroup(name, name)
+        try:
+            retrieval.candidate_pool(asked, index, CFG, grid=Grid(2, -(-n // 50))).collect()
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(tracker.getJobIdsForGroup(name))
+
+    assert jobs(20, "few") == jobs(200, "many")
+
+
+def test_nearest_vectors_equal_the_plain_product(spark, rows):
+    draw = np.random.default_rng(2)
+    vectors, asked = draw.normal(size=(60, 5)).round(1), draw.normal(size=(7, 5)).round(1)
+    vectors[3], asked[2] = 0.0, 0.0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, embedding array<double>")
+
+    def unit(m):
+        norm = np.linalg.norm(m, axis=1, keepdims=True)
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 0)
+
+    score = scoring.half_up(unit(asked) @ unit(vectors).T, 6)
+    want = sorted(((i, rank + 1, int(j)) for i in range(7) for rank, j in enumerate(
+        sorted(range(60), key=lambda j: (-score[i, j], j))[:4])), key=str)
+    assert rows(retrieval.dense_top_k(q, df, 4), "query_id", "rank", "vec_id") == want
 
 
 def test_small_blocks_give_the_same_pool(setup, monkeypatch, rows):
@@ -184,8 +219,3 @@ def test_guard_refuses_unknown_subjects(spark, setup):
     hits = retrieval.with_chunks(retrieval.search(q, index, CFG), index)
     got = {r.query_id: r.grounded for r in retrieval.grounding_guard(q, hits, vocab_table, VOCAB).collect()}
     assert got == {1: True, 2: False, 3: False}
-
-
-def test_blend_falls_back_to_the_present_side(spark):
-    df = spark.createDataFrame([(0.5, None), (None, 0.25), (1.0, 0.5)], "l double, d double")
-    assert [r.v for r in df.select(retrieval.blend(F.col("l"), F.col("d")).alias("v")).collect()] == [0.5, 0.25, 0.8]
