@@ -1,12 +1,13 @@
 """Batch form of the stateful rules, with recursive oracles."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from answerlake.catalog import bindings as b
 from answerlake.catalog.registry import query
 from answerlake.catalog.texts import PLACES
-from answerlake.streaming import batch, rules
-from answerlake.streaming.followups import resolve_followups
+from answerlake.streaming import batch, followups, rules
 
 NUMBERED = """n AS (SELECT event_id, user_id, epoch_us(ts) AS us, event_type, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events)"""
 
@@ -98,7 +99,19 @@ def _(t):
     return batch.run_state_machine(events, rules.CASE_TRANSITIONS, rules.CASE_TERMINAL)
 
 
-@query("request_lifecycle", "ST7")
+@query("request_lifecycle", "ST7", f"""WITH RECURSIVE {NUMBERED}, s AS (SELECT *, ['start', 'booked', 'name', 'confirm', 'pay', 'complete', 'cancel'][event_id % 7 + 1] AS e FROM n),
+r AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, 0::BIGINT AS no, NULL::BIGINT AS gone, NULL::VARCHAR AS status FROM (SELECT DISTINCT user_id FROM n)
+  UNION ALL SELECT s.user_id, s.rn, s.event_id, CASE WHEN e IN ('start', 'booked') AND status IS DISTINCT FROM 'awaiting_booking' THEN no + 1 ELSE no END,
+    CASE WHEN (e IN ('start', 'booked') AND status IN ('awaiting_new_name', 'awaiting_confirmation'))
+      OR (e = 'cancel' AND status IN ('awaiting_booking', 'awaiting_new_name', 'awaiting_confirmation')) THEN no END,
+    CASE e WHEN 'start' THEN 'awaiting_booking' WHEN 'booked' THEN 'awaiting_new_name'
+      WHEN 'name' THEN CASE WHEN status = 'awaiting_new_name' THEN 'awaiting_confirmation' ELSE status END
+      WHEN 'confirm' THEN CASE WHEN status = 'awaiting_confirmation' THEN 'awaiting_payment' ELSE status END
+      WHEN 'pay' THEN CASE WHEN status = 'awaiting_payment' THEN 'submitted' ELSE status END
+      WHEN 'complete' THEN CASE WHEN status = 'submitted' THEN 'completed' ELSE status END
+      ELSE CASE WHEN status IN ('awaiting_booking', 'awaiting_new_name', 'awaiting_confirmation') THEN 'cancelled' ELSE status END END
+  FROM r JOIN s ON s.user_id = r.user_id AND s.rn = r.rn + 1)
+SELECT user_id AS session_id, event_id AS id, no AS request_no, gone AS cancelled_no, status FROM r WHERE rn > 0""")
 def _(t):
     steps = F.array(*[F.lit(s) for s in ("start", "booked", "name", "confirm", "pay", "complete", "cancel")])
     events = t.events.select(F.col("user_id").alias("session_id"), F.col("ts").alias("at"), F.col("event_id").alias("id"),
@@ -106,13 +119,87 @@ def _(t):
     return batch.request_lifecycle(events)
 
 
-@query("resolved_followups", "T30")
+# The seven buckets as they are, their windows in hours instead of seconds as the log is sparse.
+BUCKETS = {name: (-(-n // 10), s * 3600) for name, (n, s) in rules.LIMITS.items()}
+BUCKET_NAMES = tuple(BUCKETS)
+
+
+def buckets_sql():
+    table = ", ".join(f"('{b}', {n}, {s}000000::BIGINT)" for b, (n, s) in BUCKETS.items())
+    keep = "list_filter(r.kept, lambda k: k > n.us - n.w)"
+    return f"""WITH RECURSIVE l AS (SELECT * FROM (VALUES {table}) AS v(bucket, most, w)),
+n AS (SELECT event_id, user_id, bucket, most, w, epoch_us(ts) AS us, row_number() OVER (PARTITION BY bucket, user_id ORDER BY epoch_us(ts), event_id) AS rn
+  FROM (SELECT *, [{", ".join(f"'{b}'" for b in BUCKET_NAMES)}][event_id % 8 + 1] AS bucket FROM events) JOIN l USING (bucket)),
+r AS (
+  SELECT bucket, user_id, rn, event_id, [us] AS kept, true AS allowed, NULL::BIGINT AS retry_after FROM n WHERE rn = 1
+  UNION ALL SELECT n.bucket, n.user_id, n.rn, n.event_id, CASE WHEN length({keep}) >= n.most THEN {keep} ELSE list_append({keep}, n.us) END,
+    length({keep}) < n.most, CASE WHEN length({keep}) >= n.most THEN greatest(1, CAST(ceil(({keep}[1] + n.w - n.us) / 1000000.0) AS BIGINT)) END
+  FROM r JOIN n ON n.bucket = r.bucket AND n.user_id = r.user_id AND n.rn = r.rn + 1)
+SELECT bucket, user_id, event_id, allowed, retry_after FROM r"""
+
+
+@query("bucket_limits", "W6 ST1", buckets_sql())
+def _(t):
+    names = F.array(*[F.lit(b) for b in BUCKET_NAMES], F.lit(None).cast("string"))
+    events = t.events.withColumn("bucket", F.element_at(names, (F.col("event_id") % 8 + 1).cast("int")))
+    return batch.rate_limits(events, "user_id", "ts", "event_id", batch.limits_table(t.spark, BUCKETS))
+
+
+def followups_sql():
+    """The questions merged one after the other."""
+    forms = r"\b(?:" + "|".join(re.escape(p) for p in PLACES.place_forms()) + r")\b"
+    codes = r"|(?-i:\b(?:" + "|".join(c.upper() for c in PLACES.place_codes) + r")\b)" if PLACES.place_codes else ""
+    place = f"(?:{forms}{codes})"
+    fence = "text"
+    for phrase in PLACES.not_places:    # a word that no form matches
+        fence = f"regexp_replace({fence}, '(?i)\\b((?:{phrase}))\\b', 'ZQZQ\\1', 'g')"
+    filler = "[" + ", ".join(f"'{w}'" for w in followups.FILLER) + "]"
+    known = "[" + ", ".join(f"'{w}'" for w in dict.fromkeys((*followups.FILLER, *PLACES.place_words()))) + "]"
+    slots = [f"(?i)(?:{s})" for s in followups.SLOTS]
+    words = "regexp_extract_all(lower(replace(text, 'ZQZQ', '')), '[a-z]+')"
+    has = " OR ".join([f"regexp_matches(text, '{s}')" for s in slots] + [f"regexp_matches(text, '(?i){place}')"])
+    values = "|".join(f"(?:{s})" for s in followups.SLOTS)
+    step = f"""SELECT n.session_id, n.rn, n.id, n.us, n.text, n.us - r.us <= 1800000000 AND n.fu AS follow, r.resolved AS prev,
+      regexp_replace(n.text, '{followups.MARKER}', '') AS d FROM r JOIN n ON n.session_id = r.session_id AND n.rn = r.rn + 1"""
+    for s in slots:
+        both = f"regexp_matches(prev, '{s}') AND regexp_matches(d, '{s}')"
+        step = f"""SELECT * REPLACE (CASE WHEN {both} THEN replace(regexp_replace(regexp_replace(prev, '{s}', chr(1)), '{s}', '', 'g'), chr(1), regexp_extract(d, '{s}')) ELSE prev END AS prev,
+      CASE WHEN {both} THEN regexp_replace(d, '{s}', '', 'g') ELSE d END AS d) FROM ({step})"""
+    step = f"SELECT * REPLACE (trim(regexp_replace(prev, '\\s{{2,}}', ' ', 'g')) AS prev, trim(regexp_replace(d, '\\s{{2,}}', ' ', 'g'), ' ,') AS d) FROM ({step})"
+    step = f"SELECT * REPLACE (CASE WHEN length(list_filter(regexp_extract_all(lower(d), '[a-z]+'), lambda w: NOT list_contains({filler}, w))) = 0 THEN '' ELSE d END AS d) FROM ({step})"
+    step = f"SELECT * REPLACE (CASE WHEN regexp_matches(d, '^(?i){place}') THEN 'to ' || d ELSE d END AS d) FROM ({step})"
+    ends = "string_split(regexp_replace({0}, '(?i)(\\bfrom\\s+" + place + ")', chr(1) || '\\1' || chr(1), 'g'), chr(1))"
+    ends = ends
+    step = f"SELECT *, {ends.format('d')} AS dp, {ends.format('prev')} AS pp FROM ({step})"
+    step = f"SELECT *, length(dp) > 1 AS has_from, length(list_filter(dp, lambda p, i: i % 2 = 1 AND regexp_matches(p, '(?i){place}'))) > 0 AS has_to FROM ({step})"
+    cut = f"regexp_replace(p, '(?i)(?:\\b(?:to|for|from|in|at|into)\\s+)?{place}', '', 'g')"
+    step = f"""SELECT *, array_to_string(list_transform(pp, lambda p, i: CASE WHEN i % 2 = 0 THEN CASE WHEN has_from THEN '' ELSE p END WHEN has_to THEN {cut} ELSE p END), '') AS left_over FROM ({step})"""
+    squeezed = "trim(regexp_replace(regexp_replace(left_over, '\\s+([?.!,])', '\\1', 'g'), '\\s{2,}', ' ', 'g'))"
+    step = f"SELECT *, CASE WHEN has_from OR has_to THEN {squeezed} ELSE prev END AS merged FROM ({step})"
+    return f"""WITH RECURSIVE {b.MESSAGES}, said AS ({SAID_SQL}),
+n AS (SELECT *, coalesce(regexp_matches(text, '{followups.OPENED}') OR (length({words}) BETWEEN 1 AND 6 AND ({has})
+    AND length(list_filter({words}, lambda w: NOT list_contains({known}, w) AND NOT regexp_full_match(w, '{values}'))) = 0), false) AS fu
+  FROM (SELECT session_id, id, us, row_number() OVER (PARTITION BY session_id ORDER BY us, id) AS rn, {fence} AS text FROM said)),
+r AS (SELECT session_id, rn, id, us, false AS follow_up, text AS resolved FROM n WHERE rn = 1
+  UNION ALL SELECT session_id, rn, id, us, follow, CASE WHEN follow THEN array_to_string(list_filter([rtrim(merged, ' ?.!'), rtrim(d, ' ?.!')], lambda p: length(p) > 0), ' ') || '?' ELSE text END
+  FROM ({step}))
+SELECT session_id, id, follow_up, replace(resolved, 'ZQZQ', '') AS resolved FROM r"""
+
+
+# Whole messages with a journey behind them; every fourth continues with a new destination.
+SAID_SQL = """SELECT session_id, id, epoch_us(created_at) AS us, CASE WHEN turn % 4 = 2 THEN 'And to nation_' || CAST(id % 25 AS VARCHAR) || ': ' || message
+    WHEN id % 5 = 0 THEN 'Business class from nation_' || CAST(id % 25 AS VARCHAR) || '?'
+    ELSE message || ' in economy from nation_1 to nation_' || CAST(id % 25 AS VARCHAR) || '?' END AS text FROM messages WHERE role = 'user'"""
+
+
+@query("resolved_followups", "T30", followups_sql())
 def _(t):
     said = b.messages(t).filter("role = 'user'")
     nation = F.concat(F.lit("nation_"), (F.col("id") % 25).cast("string"))
-    text = (F.when(F.col("turn") % 4 == 2, F.concat(F.lit("And to "), nation, F.lit("?")))
-            .otherwise(F.concat(F.left("message", F.lit(60)), F.lit(" in economy from nation_1 to "), nation, F.lit("?"))))
-    return resolve_followups(said.select("session_id", F.col("created_at").alias("at"), "id", text.alias("message")), PLACES)
+    text = (F.when(F.col("turn") % 4 == 2, F.concat(F.lit("And to "), nation, F.lit(": "), F.col("message")))
+            .when(F.col("id") % 5 == 0, F.concat(F.lit("Business class from "), nation, F.lit("?")))
+            .otherwise(F.concat("message", F.lit(" in economy from nation_1 to "), nation, F.lit("?"))))
+    return followups.resolve_followups(said.select("session_id", F.col("created_at").alias("at"), "id", text.alias("message")), PLACES)
 
 
 @query("quote_expiry", "ST5", """SELECT user_id, strftime(max(ts) + INTERVAL 15 MINUTE, '%Y-%m-%d %H:%M:%S') AS expires_at,

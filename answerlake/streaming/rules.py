@@ -1,7 +1,7 @@
 """Step functions of the sequential rules, shared by the batch and the stream form.
 
 Times are microseconds. Every step is ``(state, row) -> (state, output)`` with a small
-JSON-safe state, as ``fold.ordered_fold`` and ``stream.fold_stream`` expect.
+JSON-safe state, as ``sequences.walk_islands`` and ``streams.fold_stream`` expect.
 """
 
 from __future__ import annotations
@@ -37,6 +37,20 @@ def sliding_window(limit: int, window_s: int):
     return step
 
 
+def bucket_windows():
+    """Row (bucket, key, at, id, limit, window_s) -> (bucket, key, id, allowed, retry_after)."""
+    steps = {}
+
+    def step(state, row):
+        bucket, key, at, ident, limit, window_s = row
+        if (limit, window_s) not in steps:
+            steps[limit, window_s] = sliding_window(limit, window_s)
+        state, out = steps[limit, window_s](state, (key, at, ident))
+        return state, (bucket, *out)
+
+    return step
+
+
 def lockout(n: int = LOCKOUT[0], seconds: int = LOCKOUT[1]):
     """Row (key, at, id, failed) -> (key, id, locked, failures, remaining). Failures are
     anchored at the first one; while locked nothing is recorded; success clears."""
@@ -134,32 +148,35 @@ REQUEST_STATES = ("awaiting_booking", "awaiting_new_name", "awaiting_confirmatio
 IN_DIALOG = REQUEST_STATES[:3]
 
 
-def request_lifecycle():
-    """Row (session, at, id, event) -> (session, id, request_no, cancelled_no, status).
+REQUEST_EVENTS = ("start", "booked", "name", "confirm", "pay", "cancel", "complete")
+REQUEST_MOVES = {
+    ("name", "awaiting_new_name"): "awaiting_confirmation", ("confirm", "awaiting_confirmation"): "awaiting_payment",
+    ("pay", "awaiting_payment"): "submitted", ("complete", "submitted"): "completed",
+    ("cancel", "awaiting_booking"): "cancelled", ("cancel", "awaiting_new_name"): "cancelled", ("cancel", "awaiting_confirmation"): "cancelled",
+}
+
+
+def request_move(status: str | None, event: str) -> tuple[str | None, bool, bool]:
+    """(status, whether a request opens, whether the one before is cancelled).
 
     ``start`` opens a request (awaiting the booking), ``booked`` starts at the name; both
     resume a request that was waiting for the booking. Any other request still in the
     dialogue is cancelled by a new one; one being paid or with staff is left alone.
     """
-    dialog = {"name": ("awaiting_new_name", "awaiting_confirmation"), "confirm": ("awaiting_confirmation", "awaiting_payment"),
-              "pay": ("awaiting_payment", "submitted")}
+    if event in ("start", "booked"):
+        opens = status != "awaiting_booking"
+        return ("awaiting_booking" if event == "start" else "awaiting_new_name"), opens, opens and status in IN_DIALOG
+    after = REQUEST_MOVES.get((event, status), status)
+    return after, False, event == "cancel" and after != status
+
+
+def request_lifecycle():
+    """Row (session, at, id, event) -> (session, id, request_no, cancelled_no, status)."""
 
     def step(state, row):
         session, at, ident, event = row
         number, status = state or [0, None]
-        unfinished = status in IN_DIALOG
-        if event in ("start", "booked"):
-            begin = "awaiting_booking" if event == "start" else "awaiting_new_name"
-            if status == "awaiting_booking":
-                return [number, begin], (session, ident, number, None, begin)
-            return [number + 1, begin], (session, ident, number + 1, number if unfinished else None, begin)
-        if event == "cancel" and unfinished:
-            return [number, "cancelled"], (session, ident, number, number, "cancelled")
-        if event == "complete" and status == "submitted":
-            return [number, "completed"], (session, ident, number, None, "completed")
-        if event in dialog and status == dialog[event][0]:
-            status = dialog[event][1]
-            return [number, status], (session, ident, number, None, status)
-        return state, (session, ident, number, None, status)
+        after, opens, ends = request_move(status, event)
+        return [number + opens, after], (session, ident, number + opens, number if ends else None, after)
 
     return step

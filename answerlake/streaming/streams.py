@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from answerlake.streaming import rules
-from answerlake.streaming.fold import Step, _frame, _plain
+from answerlake.streaming.sequences import Step, frame_of, plain_rows
 from answerlake.streaming.rules import SECOND
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -36,7 +36,7 @@ class FoldProcessor(StatefulProcessor):
         state = json.loads(self.state.get()[0]) if self.state.exists() else None
         frame = pd.concat(list(rows))[self.columns].sort_values(self.order, kind="stable")
         out = []
-        for row in _plain(frame):
+        for row in plain_rows(frame):
             state, result = self.step(state, row)
             if result is not None:
                 out.append(result)
@@ -44,14 +44,14 @@ class FoldProcessor(StatefulProcessor):
             self.state.update((json.dumps(state),))
         elif self.state.exists():
             self.state.clear()
-        yield _frame(out, self.schema)
+        yield frame_of(out, self.schema)
 
     def close(self) -> None:
         pass
 
 
 def fold_stream(df: DataFrame, key: str, order: Sequence[str], step: Step, schema: str, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming twin of ``fold.ordered_fold``: rows of a key are taken in order within a
+    """Streaming twin of ``sequences.walk_islands``: rows of a key are taken in order within a
     micro-batch and micro-batches in arrival order. ``ttl_ms`` drops idle keys."""
     out = T.StructType.fromDDL(schema)
     return df.groupBy(key).transformWithStateInPandas(

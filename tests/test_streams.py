@@ -6,9 +6,8 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from answerlake.streaming import batch, rules, streams
-from answerlake.streaming.followups import FollowUps
-from answerlake.streaming.fold import ordered_fold
+from answerlake.streaming import batch, followups, rules, streams
+from answerlake.streaming.sequences import with_islands
 
 
 def as_stream(spark, df, folder, files=3, order="at"):
@@ -78,20 +77,59 @@ def test_requests_and_attempts_streams_equal_batch(spark, events, tmp_path, rows
     assert rows(out) == rows(batch.dedupe_attempts(tries(events)))
 
 
-def test_sliced_fold_equals_whole_keys(events, rows):
-    """Every key hot: the range-sliced form must agree with folding whole keys."""
-    one = events.withColumn("user_id", F.col("user_id") % 2)
-    for limit, window in ((2, 86400), (5, 864000)):
-        want = rows(batch.rate_limit(one, "user_id", "at", "event_id", limit, window))
-        assert rows(batch.rate_limit(one, "user_id", "at", "event_id", limit, window, max_group_rows=60)) == want
-    assert rows(batch.throttle(one, "user_id", "at", "event_id", 50000, max_group_rows=75)) == rows(
-        batch.throttle(one, "user_id", "at", "event_id", 50000))
+def stepped(df, key, step, width):
+    """A rule's step over whole keys, one row after the other."""
+    out, state = [], {}
+    for r in sorted(df.collect(), key=lambda r: r[1:3]):
+        state[r[0]], made = step(state.get(r[0]), tuple(r)[:width])
+        out.append(made)
+    return sorted(out, key=str)
 
 
-def test_fold_passes_missing_values_as_none(spark):
-    df = spark.createDataFrame([("a", 1, None), ("a", 2, "x")], "k string, n long, v string")
-    out = ordered_fold(df, "k", ["n"], lambda s, r: (r[2], (r[0], r[1], s)), "k string, n long, before string")
-    assert [(r.n, r.before) for r in out.orderBy("n").collect()] == [(1, None), (2, None)]
+@pytest.mark.parametrize(("limit", "window"), [(1, 3600), (2, 86400), (5, 864000)])
+def test_islands_equal_whole_keys(events, rows, limit, window):
+    """Every key hot, with and without pauses."""
+    one = events.withColumn("user_id", F.col("user_id") % 2)
+    flat = one.select("user_id", F.unix_micros("at").alias("at"), "event_id", (F.col("event_type") != "view").alias("failed"))
+    assert rows(batch.rate_limit(one, "user_id", "at", "event_id", limit, window)) == stepped(flat, 0, rules.sliding_window(limit, window), 3)
+    assert rows(batch.throttle(one, "user_id", "at", "event_id", window)) == stepped(flat, 0, rules.throttle(window), 3)
+    failed = one.withColumn("failed", F.col("event_type") != "view")
+    assert rows(batch.lockouts(failed, "user_id", "at", "event_id", "failed", limit, window)) == stepped(flat, 0, rules.lockout(limit, window), 4)
+
+
+def test_islands_begin_after_pauses(spark, rows):
+    df = spark.createDataFrame([("a", 0), ("a", 5), ("a", 15), ("a", 15), ("a", 40), ("b", 3), (None, 1), (None, 30)], "k string, at long")
+    for slice_us in (1, 4, 7, 1000):
+        got = rows(with_islands(df, ["k"], F.lit(10), slice_us), "k", "at", "island")
+        assert got == sorted([("a", 0, 0), ("a", 5, 0), ("a", 15, 15), ("a", 15, 15), ("a", 40, 40), ("b", 3, 3), (None, 1, 1), (None, 30, 30)], key=str)
+
+
+def test_buckets_have_their_own_limits(spark, rows):
+    t = lambda s: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s)
+    made = [("poll_session", "u", t(i // 3), i) for i in range(400)] + [("mobile_phone", "u", t(i * 50), 1000 + i) for i in range(30)] + [
+        ("mobile_phone", None, t(1), 5000), ("other", "u", t(1), 5001)]
+    df = spark.createDataFrame(made, "bucket string, who string, at timestamp, id long")
+    got = rows(batch.rate_limits(df, "who", "at", "id", batch.limits_table(spark)), "bucket", "id", "allowed")
+    want = []
+    for name in ("poll_session", "mobile_phone"):
+        step, state = rules.sliding_window(*rules.LIMITS[name]), None
+        for _, who, at, ident in (m for m in made if m[0] == name and m[1]):
+            state, out = step(state, (who, int((at - dt.datetime(1970, 1, 1)).total_seconds() * 1e6), ident))
+            want.append((name, ident, out[2]))
+    assert got == sorted(want, key=str) and {a for _, _, a in got} == {True, False}
+
+
+def test_scanned_states_equal_stepping(spark, events, rows):
+    """One key over many slices of slices, and many keys."""
+    for keys in (1, 40):
+        shape = events.select((F.col("event_id") % keys).alias("key"), F.unix_micros("at").alias("us"), F.col("event_id").alias("id"),
+                              F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "view", "claim").otherwise("close").alias("event"), "at")
+        got = batch.run_state_machine(shape.drop("us"), rules.CASE_TRANSITIONS, rules.CASE_TERMINAL)
+        assert rows(got) == stepped(shape, 0, rules.machine(rules.CASE_TRANSITIONS, rules.CASE_TERMINAL), 4)
+    steps = F.array(*[F.lit(s) for s in (*rules.REQUEST_EVENTS, "other")])
+    shape = events.select((F.col("event_id") % 3).alias("session_id"), F.unix_micros("at").alias("us"), F.col("event_id").alias("id"),
+                          F.element_at(steps, (F.hash("event_id") % 4 + 5).cast("int")).alias("event"), "at")
+    assert rows(batch.request_lifecycle(shape.drop("us"))) == stepped(shape, 0, rules.request_lifecycle(), 4)
 
 
 def _payments(spark):
@@ -177,11 +215,28 @@ def test_event_sink_appends_once(spark, events, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == events.count()
 
 
-def test_follow_up_detection_and_merge():
+TALKS = [
+    [("How many bags can I check in Economy from Oslo to London?", None),
+     ("What about Business class?", "How many bags can I check in Business class from Oslo to London?"),
+     ("Same for Paris", "How many bags can I check in Business class from Oslo to Paris?"),
+     ("And from Dubai?", "How many bags can I check in Business class to Paris from Dubai?"),
+     ("And with a dog?", "How many bags can I check in Business class to Paris from Dubai with a dog?"),
+     ("also flights please", "How many bags can I check in Business class to Paris from Dubai with a dog?"),
+     ("How long does a refund take for a lost bag today?", None)],
+    [("When do international check-in counters close?", None), ("What about domestic flights?", "When do domestic check-in counters close?"),
+     ("And to Paris in economy", "When do domestic check-in counters close to Paris in economy?"),
+     ("first class?", "When do domestic check-in counters close to Paris in first class?")],
+    [("Business or economy from Oslo?", None), ("And first class?", "first class or from Oslo?")],
+    [("", None), (None, None), ("And?", "?")],
+]
+
+
+def test_follow_ups_are_completed_from_their_chain(spark):
     from answerlake.functions.vocabulary import Vocabulary
-    f = FollowUps(Vocabulary(places={"london": (), "dubai": (), "paris": (), "oslo": ()}))
-    assert f.is_follow_up("What about business class?") and f.is_follow_up("Business class?") and f.is_follow_up("And to Dubai?")
-    assert not f.is_follow_up("How long does a refund take for a lost bag today?")
-    assert f.merge("How many bags can I check in Economy from Oslo to London?", "What about Business class?") == \
-        "How many bags can I check in Business class from Oslo to London?"
-    assert f.merge("How many bags from Oslo to London?", "Same for Paris") == "How many bags from Oslo to Paris?"
+    vocab = Vocabulary(places={"london": (), "dubai": (), "paris": (), "oslo": ()})
+    said = [(s, dt.datetime(2024, 1, 1) + dt.timedelta(minutes=i), i, m) for s, talk in enumerate(TALKS) for i, (m, _) in enumerate(talk)]
+    df = spark.createDataFrame(said, "session_id long, at timestamp, id long, message string")
+    got = {(r.session_id, r.id): (r.follow_up, r.resolved) for r in followups.resolve_followups(df, vocab).collect()}
+    assert got == {(s, i): (w is not None, w if w is not None else m or "") for s, talk in enumerate(TALKS) for i, (m, w) in enumerate(talk)}
+    late = df.withColumn("at", F.col("at") + F.col("id") * F.expr("INTERVAL 1 HOUR"))
+    assert not followups.resolve_followups(late, vocab).filter("follow_up").count()
