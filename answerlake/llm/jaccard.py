@@ -8,10 +8,12 @@ them hold the same elements in both. A signature is the content of one partition
 with at most e empty partitions needs no signature for those; any other also joins each
 empty one with the partitions of a second cut. Sets that share a signature are candidates.
 
-Candidates are checked exactly, without pairing up a group: every member of a signature's
-group is compared with the group's smallest member; groups that the found links connect are
-done. In the rest, members of different components are compared by count sketches, whose
-distance never exceeds the true one, in blocks; what passes is compared exactly.
+Equal sets are one class, named by its smallest doc_id, before any signature. Candidates are
+checked exactly, without pairing up a group: every member of a signature's group is compared
+with the group's smallest member; groups that the found links connect are done. In the rest,
+members of different components are compared in blocks by parity sketches (a bit for each hash
+value, flipped by each element), whose Hamming distance never exceeds the true difference of the
+sets; what passes leaves the task and is compared exactly.
 
 Defined cases: a null or wordless text has the empty set and no link; a text of fewer than n
 words is one shingle; ties and copies link through the smallest doc_id; rows that repeat a
@@ -21,6 +23,7 @@ An empty table gives an empty result. Other columns are not read.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +35,11 @@ from answerlake.llm.shared import components, written
 from answerlake.llm.words import grams, mix, pieces, released, split_words
 
 PIECE = 1 << 20
-BINS = 128
 BLOCK = 2048
-PER_SALT = 4096
+PER_SALT = 256
+# bits of a sketch by the size of the set: enough that a difference near the bound rarely collides
+SKETCHES = ((600, 1 << 11), (2500, 1 << 13), (1 << 62, 1 << 15))
+EMITTED = 200_000       # pairs that a task remembers so as not to give them again
 
 
 class Bands:
@@ -113,29 +118,43 @@ def signatures(sets: list[np.ndarray], bands: Bands) -> list[np.ndarray]:
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((s & np.uint64(BINS - 1)).astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes()
+    bits = next(b for most, b in SKETCHES if len(s) <= most)
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1, bitorder="little").tobytes()
 
 
-def _signed(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """A row for each signature; nothing else is kept of it than the shuffle's copy."""
-    bands = Bands(percent)
-    for batch in batches:
-        for part in pieces(batch, "text", PIECE):
-            docs, sets = part.column("doc_id").to_numpy(), shingle_sets(part, n)
-            some = [i for i, s in enumerate(sets) if len(s)]
-            found = signatures([sets[i] for i in some], bands) if some else []
-            sigs = np.concatenate([*found, np.zeros(0, np.uint64)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(docs[some], [len(x) for x in found])), pa.array(sigs.view(np.int64))], names=["doc_id", "sig"])
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, all as wide as the narrowest: the halves of a wider one XORed."""
+    width, out = min(map(len, sketches)), []
+    for raw in sketches:
+        row = np.frombuffer(raw, np.uint64)
+        while row.nbytes > width:
+            row = row[: len(row) // 2] ^ row[len(row) // 2:]
+        out.append(row)
+    return np.stack(out)
+
 
+def _class_key(s: np.ndarray) -> bytes:
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
-def _sized(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+
+SIZED = "doc_id long, n_shingles long, key binary, sketch binary, sigs array<long>"
+
+
+def _sized(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """Size, class key, sketch and signatures of every row; an empty set has none of the last."""
+    bands = Bands(percent)
     for batch in batches:
         for part in pieces(batch, "text", PIECE):
             sets = shingle_sets(part, n)
+            some = [i for i, s in enumerate(sets) if len(s)]
+            found = dict(zip(some, signatures([sets[i] for i in some], bands) if some else [], strict=True))
+            sigs = np.concatenate([*found.values(), np.zeros(0, np.uint64)]).view(np.int64)
+            ends = np.concatenate([[0], np.cumsum([len(found[i]) if i in found else 0 for i in range(len(sets))])])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_sketch(s) for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "sketch"])
+                [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_key(s) for s in sets], pa.binary()),
+                 pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs))],
+                names=["doc_id", "n_shingles", "key", "sketch", "sigs"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -185,13 +204,21 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
     """Rows come sorted by (sig, left, right): one or two blocks of a signature's members.
     Gives pairs of different components whose sketches are close enough."""
     held: list[pa.RecordBatch] = []
-    last = None
+    last, given = None, set()
+
+    def fresh():
+        """The pairs of the group that this task has not given lately."""
+        out = list(dict.fromkeys(pair for pair in flush() if pair not in given))
+        if len(given) + len(out) > EMITTED:
+            given.clear()
+        given.update(out[:EMITTED])
+        return out
 
     def flush():
         rows = pa.Table.from_batches(held)
         chunk, pivot = rows["chunk"].to_numpy(), rows["pivot"].to_numpy()
         doc, comp, size = rows["doc_id"].to_numpy(), rows["comp"].to_numpy(), rows["n"].to_numpy()
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+        sketch = _folded(rows["sketch"].to_pylist())
         one = chunk == last[1]
         two = chunk == last[2]
         left, right = np.flatnonzero(one), np.flatnonzero(two)
@@ -201,7 +228,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
                 j = j[j > i]
             j = j[percent * np.maximum(size[j], size[i]) <= 100 * np.minimum(size[j], size[i])]
             if len(j):
-                near = np.abs(sketch[j] - sketch[i]).sum(1)
+                near = np.bitwise_count(sketch[j] ^ sketch[i]).sum(1, dtype=np.int64)
                 for x in doc[j[(100 + percent) * near <= (100 - percent) * (size[j] + size[i])]]:
                     yield min(doc[i], x), max(doc[i], x)
 
@@ -215,12 +242,12 @@ def _open_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             key = tuple(int(x) for x in keys[:, low]) if high > low else last
             if key != last and held:
-                yield batch_of(list(dict.fromkeys(flush())))
+                yield batch_of(fresh())
                 held.clear()
             last = key
             held.append(batch.slice(low, high - low))
     if held:
-        yield batch_of(list(dict.fromkeys(flush())))
+        yield batch_of(fresh())
 
 
 def open_pairs(members: DataFrame, found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
@@ -231,9 +258,11 @@ def open_pairs(members: DataFrame, found: DataFrame, sketches: DataFrame, percen
         F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("cnt"),
         F.sum(F.xxhash64("doc_id").cast("decimal(38,0)")).alias("who")).filter("low <> high")
     groups = groups.groupBy("cnt", "who").agg(F.min("sig").alias("sig")).select("sig")
-    rows = written(placed.join(groups, "sig").select(
-        "sig", "pivot", "doc_id", "comp", F.expr(f"(row_number() over (partition by sig order by comp, doc_id) - 1) div {BLOCK}")
-        .cast("int").alias("chunk")), "open")
+    open_rows = placed.join(groups, "sig").select("sig", "pivot", "doc_id", "comp", "cnt")
+    # members of a component go to the same block, as far as they fit in one
+    sizes = open_rows.groupBy("sig", "comp").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    chunk = F.pmod(F.xxhash64("comp", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), F.ceil(F.col("cnt") / BLOCK))
+    rows = written(open_rows.join(sizes, ["sig", "comp"]).select("sig", "pivot", "doc_id", "comp", chunk.cast("int").alias("chunk")), "open")
     blocks = rows.groupBy("sig", "chunk").agg(F.min("comp").alias("low"), F.max("comp").alias("high"))
     left = blocks.select("sig", F.col("chunk").alias("left"), F.col("low").alias("l1"), F.col("high").alias("h1"))
     right = blocks.select("sig", F.col("chunk").alias("right"), F.col("low").alias("l2"), F.col("high").alias("h2"))
@@ -254,17 +283,28 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     """doc_id, n_shingles, component_id: documents link when 100 * intersection of their
     shingle sets >= percent * union; a component is named by its smallest doc_id."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = written(documents.mapInArrow(lambda x: released(_sized(x, n)), "doc_id long, n_shingles long, sketch binary"), "sized")
-    rows = documents.filter("doc_id is not null").mapInArrow(lambda x: released(_signed(x, n, percent)), "doc_id long, sig long")
+    sized = written(documents.mapInArrow(lambda x: released(_sized(x, n, percent)), SIZED), "sized")
+    some = sized.filter("doc_id is not null and n_shingles > 0")
+    # a set's sketch and signatures follow from the set, so any row's will do
+    classes = written(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
+                                              F.first("sketch").alias("sketch"), F.first("sigs").alias("sigs")), "classes")
     group = Window.partitionBy("sig")
+    rows = classes.select("doc_id", F.explode("sigs").alias("sig"))
     members = written(rows.withColumns({"cnt": F.count("*").over(group), "pivot": F.min("doc_id").over(group)})
                       .filter("cnt > 1"), "members")
     pairs = members.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = written(exact_links(pairs, documents, n, percent), "links")
+    # a doc_id of several texts is one document: it joins their classes
+    named = some.select("doc_id", "key").join(classes.select("key", F.col("doc_id").alias("rep")), "key")
+    several = named.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
+    own = named.join(several.select("doc_id"), "doc_id").filter("doc_id <> rep").select(
+        F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
+    links = links.union(written(own, "own"))
     found = written(components(links), "components")
-    more = exact_links(open_pairs(members, found, sketches_of(sized), percent), documents, n, percent)
-    more = written(more, "links")
+    more = written(exact_links(open_pairs(members, found, sketches_of(classes), percent), documents, n, percent), "links")
     if not more.isEmpty():
         found = components(links.union(more))
-    out = sized.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    classes = classes.select("key", F.col("doc_id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").select(
+        F.col("key").alias("class"), F.coalesce("component", "rep").alias("component_id"))
+    out = sized.select("doc_id", "n_shingles", "key").join(classes, F.col("key") == F.col("class"), "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from answerlake.llm.decontaminate import FMIndex, WaveletMatrix, contamination, decontaminated
-from answerlake.llm.jaccard import Bands, jaccard_components, open_pairs, signatures, sketches_of
+from answerlake.llm.jaccard import Bands, _folded, _sketch, jaccard_components, open_pairs, signatures, sketches_of
 from answerlake.llm.shared import components
 from answerlake.llm import substrings
 from answerlake.llm.substrings import without_repeats
@@ -95,6 +95,49 @@ def test_open_pairs_use_the_sketch_of_every_text_of_a_document(spark):
     assert [tuple(r) for r in open_pairs(members, found, sketches_of(sized), 80).collect()] == [(3, 5)]
 
 
+@pytest.mark.parametrize("block", [4, 2048])
+def test_crowds_of_copies_and_near_copies(spark, monkeypatch, block):
+    """A third of the rows hold one text, another third near copies of one, some linked and some just not."""
+    monkeypatch.setattr("answerlake.llm.jaccard.BLOCK", block)
+    draw = random.Random(7)
+    one = " ".join(f"c{i}" for i in range(60))
+    base = [f"n{i}" for i in range(120)]
+    rows = [(i, one) for i in range(100, 140)]
+    for i in range(200, 240):
+        text = list(base)
+        for at in draw.sample(range(len(text)), draw.choice([1, 2, 4, 5, 6])):
+            text[at] = f"x{draw.randrange(10**6)}"
+        rows.append((i, " ".join(text)))
+    rows += [(i, " ".join(draw.choice("abcdefgh") + str(draw.randrange(30)) for _ in range(50))) for i in range(40)] + [(200, one)]
+    df = spark.createDataFrame([(*r, 1, "k") for r in rows], "doc_id long, text string, sigs int, key string")
+    found = jaccard_components(df, 5, 80).collect()
+    by = {}
+    for d, t in rows:
+        by.setdefault(d, []).append(t)
+    nodes = [(d, t) for d, ts in by.items() for t in ts]
+    want = brute_components([(i, t) for i, (_, t) in enumerate(nodes)], 5, 80)
+    up = {d: d for d in by}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+    for i, (d, _) in enumerate(nodes):
+        a, b = root(d), root(nodes[want[i][1]][0])
+        up[max(a, b)] = min(a, b)
+    assert {(r.doc_id, r.component_id) for r in found} == {(d, root(d)) for d in by} and len(found) == len(rows)
+
+
+@pytest.mark.parametrize("size", [80, 900, 4000])
+def test_sketches_never_exceed_the_difference(size):
+    draw = np.random.default_rng(size)
+    a = np.unique(draw.integers(0, 2**63, size, dtype=np.uint64))
+    for cut in (0, 1, size // 10, size // 2):
+        b = np.unique(np.concatenate([a[cut:], draw.integers(0, 2**63, cut, dtype=np.uint64)]))
+        one, two = _folded([_sketch(a), _sketch(b)])
+        assert np.bitwise_count(one ^ two).sum() <= len(np.setxor1d(a, b))
+
+
 def test_components_of_chains_and_hubs(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 160)] + [(5, 5)]
     found = dict(tuple(r) for r in components(spark.createDataFrame(edges, "a long, b long")).collect())
