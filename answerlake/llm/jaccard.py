@@ -8,8 +8,8 @@ them hold the same elements in both. A signature is the content of one partition
 with at most e empty partitions needs no signature for those; any other also joins each
 empty one with the partitions of a second cut. Sets that share a signature are candidates.
 
-Equal sets are one class, named by its smallest doc_id, before any signature. Candidates are
-checked exactly, without pairing up a group: every member of a signature's group is compared
+Equal sets are one class, named by its smallest doc_id, and only that one is compared. Candidates
+are checked exactly, without pairing up a group: every member of a signature's group is compared
 with the group's smallest member; groups that the found links connect are done. In the rest,
 members of different components are compared in blocks by parity sketches (a bit for each hash
 value, flipped by each element), whose Hamming distance never exceeds the true difference of the
@@ -137,24 +137,27 @@ def _class_key(s: np.ndarray) -> bytes:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
-SIZED = "doc_id long, n_shingles long, key binary, sketch binary, sigs array<long>"
+def _signed(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """A row for each signature; nothing else is kept of it than the shuffle's copy."""
+    bands = Bands(percent)
+    for batch in batches:
+        for part in pieces(batch, "text", PIECE):
+            docs, sets = part.column("doc_id").to_numpy(), shingle_sets(part, n)
+            some = [i for i, s in enumerate(sets) if len(s)]
+            found = signatures([sets[i] for i in some], bands) if some else []
+            sigs = np.concatenate([*found, np.zeros(0, np.uint64)])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(docs[some], [len(x) for x in found])), pa.array(sigs.view(np.int64))], names=["doc_id", "sig"])
 
 
-def _sized(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Size, class key, sketch and signatures of every row; an empty set has none of the last."""
-    bands = Bands(percent)
+def _sized(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    """Size, class key and sketch of every row."""
     for batch in batches:
         for part in pieces(batch, "text", PIECE):
             sets = shingle_sets(part, n)
-            some = [i for i, s in enumerate(sets) if len(s)]
-            found = dict(zip(some, signatures([sets[i] for i in some], bands) if some else [], strict=True))
-            sigs = np.concatenate([*found.values(), np.zeros(0, np.uint64)]).view(np.int64)
-            ends = np.concatenate([[0], np.cumsum([len(found[i]) if i in found else 0 for i in range(len(sets))])])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_key(s) for s in sets], pa.binary()),
-                 pa.array([_sketch(s) if len(s) else None for s in sets], pa.binary()),
-                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(sigs))],
-                names=["doc_id", "n_shingles", "key", "sketch", "sigs"])
+                 pa.array([_sketch(s) for s in sets], pa.binary())], names=["doc_id", "n_shingles", "key", "sketch"])
 
 
 def _linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -283,28 +286,28 @@ def jaccard_components(documents: DataFrame, n: int = 5, percent: int = 80) -> D
     """doc_id, n_shingles, component_id: documents link when 100 * intersection of their
     shingle sets >= percent * union; a component is named by its smallest doc_id."""
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sized = written(documents.mapInArrow(lambda x: released(_sized(x, n, percent)), SIZED), "sized")
+    sized = written(documents.mapInArrow(lambda x: released(_sized(x, n)), "doc_id long, n_shingles long, key binary, sketch binary"), "sized")
     some = sized.filter("doc_id is not null and n_shingles > 0")
-    # a set's sketch and signatures follow from the set, so any row's will do
-    classes = written(some.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"),
-                                              F.first("sketch").alias("sketch"), F.first("sigs").alias("sigs")), "classes")
+    classes = written(some.groupBy("key").agg(F.min("doc_id").alias("rep")), "classes")
+    rows = documents.filter("doc_id is not null").mapInArrow(lambda x: released(_signed(x, n, percent)), "doc_id long, sig long")
     group = Window.partitionBy("sig")
-    rows = classes.select("doc_id", F.explode("sigs").alias("sig"))
     members = written(rows.withColumns({"cnt": F.count("*").over(group), "pivot": F.min("doc_id").over(group)})
                       .filter("cnt > 1"), "members")
+    # a class has one set and so one list of signatures: its smallest doc_id stands for it, as a pivot does
+    members = members.join(classes.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi")
     pairs = members.filter("doc_id <> pivot").select(F.col("pivot").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = written(exact_links(pairs, documents, n, percent), "links")
     # a doc_id of several texts is one document: it joins their classes
-    named = some.select("doc_id", "key").join(classes.select("key", F.col("doc_id").alias("rep")), "key")
+    named = some.select("doc_id", "key").join(classes, "key")
     several = named.groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high")
     own = named.join(several.select("doc_id"), "doc_id").filter("doc_id <> rep").select(
         F.least("doc_id", "rep").alias("a"), F.greatest("doc_id", "rep").alias("b")).distinct()
     links = links.union(written(own, "own"))
     found = written(components(links), "components")
-    more = written(exact_links(open_pairs(members, found, sketches_of(classes), percent), documents, n, percent), "links")
+    more = written(exact_links(open_pairs(members, found, sketches_of(some), percent), documents, n, percent), "links")
     if not more.isEmpty():
         found = components(links.union(more))
-    classes = classes.select("key", F.col("doc_id").alias("rep")).join(found, F.col("rep") == F.col("node"), "left").select(
+    classes = classes.join(found, F.col("rep") == F.col("node"), "left").select(
         F.col("key").alias("class"), F.coalesce("component", "rep").alias("component_id"))
     out = sized.select("doc_id", "n_shingles", "key").join(classes, F.col("key") == F.col("class"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
