@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from answerlake.catalog import sqlparts as q
 from answerlake.catalog.registry import query
+from answerlake.functions import text as x
 from answerlake.operators import audit
 
 # Each document is a registry entry for the next document's opening words.
@@ -74,17 +75,22 @@ def _(t):
     return audit.overlap(t.texts.filter("doc_id % 2 = 0"), t.texts.filter("doc_id % 2 = 1"))
 
 
-# Every other passage is a benchmark text's first half, so that some documents hold it.
-@query("containing_documents", "D1 D3", """WITH p AS (SELECT item_id, CASE WHEN length(w) % 2 = 0 THEN w[1:length(w) // 2] ELSE w END AS w
-  FROM (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark))
+@query("containing_documents", "D1 D3", """WITH p AS (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark)
 SELECT DISTINCT item_id, doc_id FROM p JOIN documents d
   ON contains(' ' || array_to_string(regexp_extract_all(d.text, '\\S+'), ' ') || ' ', ' ' || array_to_string(w, ' ') || ' ') WHERE length(w) > 0""")
 def _(t):
-    from answerlake.functions import text as x
-    half = x.let(x.words(F.col("text")), lambda w: F.when(
-        F.size(w) % 2 == 0, F.slice(w, F.lit(1), F.floor(F.size(w) / 2).cast("int"))).otherwise(w))
-    passages = t.benchmark.select("item_id", F.array_join(half, " ").alias("text"))
-    return audit.containing_documents(passages, "item_id", t.texts, "doc_id", 8)
+    return audit.containing_documents(t.benchmark, "item_id", t.texts, "doc_id", 8)
+
+
+# Lines of the documents as passages: short ones, and many that several documents share.
+@query("repeated_lines", "D1 D3", """WITH l AS (SELECT DISTINCT array_to_string(w, ' ') AS line FROM (SELECT regexp_extract_all(unnest(string_split(text, chr(10))), '\\S+') AS w FROM documents)
+    WHERE length(w) BETWEEN 1 AND 12)
+SELECT DISTINCT line, doc_id FROM l JOIN documents d ON contains(' ' || array_to_string(regexp_extract_all(d.text, '\\S+'), ' ') || ' ', ' ' || line || ' ')""")
+def _(t):
+    words = x.words(F.col("line"))
+    lines = t.texts.select(F.explode(F.split("text", "\n")).alias("line")).filter(F.size(words).between(1, 12)).select(
+        F.array_join(words, " ").alias("line")).distinct()
+    return audit.containing_documents(lines.select("line", F.col("line").alias("text")), "line", t.texts, "doc_id", 8)
 
 
 GRAMMAR = """pool AS (SELECT 'Where  is my ' || p_name || ' in ' || n_name || '?' AS text, 'calm' AS label FROM (SELECT DISTINCT p_name FROM part), nation

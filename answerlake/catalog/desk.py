@@ -73,6 +73,11 @@ def _(t):
     return readable(page)
 
 
+@query("deep_page", "L1 A19", """SELECT event_id, (SELECT count(*) FROM events) AS total FROM events ORDER BY value DESC, event_id DESC LIMIT 25 OFFSET 9000""")
+def _(t):
+    return review.paged(t.events.select("event_id", "value"), [F.desc("value"), F.desc("event_id")], 361, 25).select("event_id", "total")
+
+
 @query("conversation_detail", "J5 P5", f"""WITH {b.MESSAGES}, {b.SCORES}, {b.CASES}
 SELECT m.session_id, m.id, m.role, m.message, CASE WHEN m.role = 'user' THEN m.frustration_score END AS frustration_score,
   CASE WHEN m.role = 'assistant' THEN s.context_relevance END AS context_relevance,

@@ -89,10 +89,13 @@ def erase(desk: Desk, ids: DataFrame) -> tuple[Desk, DataFrame]:
     """
     gone = ids.select("session_id").distinct()
     mark = gone.withColumn("erased", F.lit(True))
-    questions = desk.messages.filter(F.col("role") == "user").join(gone, "session_id", "left_semi").select(
+    questions = desk.messages.filter((F.col("role") == "user") & F.col("message").isNotNull()).join(gone, "session_id", "left_semi").select(
         F.col("message").alias("query")).distinct().withColumn("asked", F.lit(True))
-    scores = desk.scores.join(mark, "session_id", "left").join(questions, "query", "left").withColumn(
-        "hit", (F.coalesce("erased", F.lit(False)) | F.coalesce("asked", F.lit(False))) & F.col("query").isNotNull())
+    # scores without a question have nothing to erase; as a join key their NULL would be one hot group
+    asked = desk.scores.filter(F.col("query").isNotNull()).join(mark, "session_id", "left").join(questions, "query", "left")
+    hit = F.coalesce("erased", F.lit(False)) | F.coalesce("asked", F.lit(False))
+    scores = asked.withColumn("hit", hit).select(*desk.scores.columns, "hit").union(
+        desk.scores.filter(F.col("query").isNull()).withColumn("hit", F.lit(False)))
     ledger = desk.ledger.join(mark, "session_id", "left").withColumn(
         "hit", F.coalesce("erased", F.lit(False)) & F.col("phone_number").isNotNull())
 

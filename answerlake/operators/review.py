@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from answerlake.session import settle
+
 # Review thresholds, page bounds and export bound.
 LOW_GROUNDEDNESS = 0.9
 FRUSTRATED = 0.55
 MAX_PAGE_SIZE = 100
+TOP_ROWS = 2500         # pages up to here are cut from a top-k
 MAX_TREND_DAYS = 90
 METRIC_VERSION = 2
 
@@ -90,10 +93,24 @@ def padded_ref(prefix: str, number: Column) -> Column:
 
 
 def page(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 25) -> DataFrame:
-    """One page in a total order: size kept in 1..100, page number at least 1."""
+    """One page in a total order: size kept in 1..100, page number at least 1.
+
+    The first pages are a top-k, of which a task keeps no more rows than the page ends at. For
+    one further down the rows are sorted by range once; the counts of the partitions tell in
+    which the page lies, and only those are read again. Nothing before the page is gathered.
+    """
     size = max(1, min(int(size or 25), MAX_PAGE_SIZE))
-    number = max(1, int(number or 1))
-    return df.orderBy(*order).offset((number - 1) * size).limit(size)
+    skip = (max(1, int(number or 1)) - 1) * size
+    if skip + size <= TOP_ROWS:
+        return df.orderBy(*order).offset(skip).limit(size)
+    sorted_ = settle(df.repartitionByRange(*order).withColumn("part__", F.spark_partition_id()))
+    counts = {r["part__"]: r["count"] for r in sorted_.groupBy("part__").count().collect()}     # one row for each partition
+    before, wanted, ahead = 0, [], 0
+    for part in sorted(counts):
+        if before < skip + size and before + counts[part] > skip:
+            wanted, ahead = [*wanted, part], ahead if wanted else before
+        before += counts[part]
+    return sorted_.filter(F.col("part__").isin(wanted)).drop("part__").orderBy(*order).offset(skip - ahead if wanted else 0).limit(size)
 
 
 def paged(df: DataFrame, order: Sequence[Column], number: int = 1, size: int = 25) -> DataFrame:

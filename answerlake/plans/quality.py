@@ -304,17 +304,45 @@ def measure(questions: DataFrame, answers: DataFrame, hits: DataFrame, gold: Dat
 
 # -------------------------------------------------------------- runs and gates
 
+def medians(rows: DataFrame, key: str, value: str, buckets: int = 1024) -> DataFrame:
+    """(key, median): the exact median of every key, without a buffer of a key's values.
+
+    Values are counted per bucket between the key's extremes; the running counts tell the bucket
+    that holds the middle, and only its values are put in order.
+    """
+    values = rows.filter(F.col(value).isNotNull()).select(F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
+    counted = values.groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+    ends = counted.groupBy("key").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.sum("n").alias("total")).withColumnRenamed("key", "key_")
+    share = F.when(F.col("hi") > F.col("lo"), (F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(0.0)
+    placed = counted.join(ends, F.col("key").eqNullSafe(F.col("key_"))).withColumn("bucket", F.floor(share * buckets)).drop("key_", "lo", "hi")
+    by_bucket = W.partitionBy("key").orderBy("bucket")
+    totals = placed.groupBy("key", "bucket", "total").agg(F.sum("n").alias("here"))
+    totals = totals.withColumn("before", F.sum("here").over(by_bucket) - F.col("here"))
+    # places of the middle values, counted from 0
+    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
+    middle = totals.filter((F.col("before") <= high) & (F.col("before") + F.col("here") > low)).select(
+        F.col("key").alias("key_"), F.col("bucket").alias("bucket_"), "before")
+    inside = placed.join(middle, F.col("key").eqNullSafe(F.col("key_")) & (F.col("bucket") == F.col("bucket_")))
+    by_value = W.partitionBy("key", "bucket").orderBy("value")
+    ranked = inside.withColumn("first", F.col("before") + F.sum("n").over(by_value) - F.col("n"))
+    held = lambda place: F.max(F.when((F.col("first") <= place) & (F.col("first") + F.col("n") > place), F.col("value")))
+    return ranked.groupBy("key").agg(((held(low) + held(high)) / 2).alias("median")).withColumnRenamed("key", key)
+
+
 def model_summary(rows: DataFrame) -> DataFrame:
     """Per model: metric means, withheld, complete and failed answers, latency."""
     def count(test: Column) -> Column:
         return F.sum(F.when(test, 1).otherwise(0)).cast("bigint")
 
-    return rows.groupBy("model").agg(
+    middle = medians(rows, "model", "seconds")
+    found = rows.groupBy("model").agg(
         *[F.round(F.avg(c), 3).alias(c) for c in ("context_relevance", "groundedness", "answer_relevance")],
         count(F.col("withheld").isNotNull()).alias("withheld_answers"),
         count((F.col("missing") == 0) & F.col("error").isNull()).alias("complete"),
         count(F.col("error").isNotNull()).alias("errors"),
-        F.round(F.median("seconds"), 2).alias("median_seconds"), F.round(F.max("seconds"), 2).alias("max_seconds"))
+        F.round(F.max("seconds"), 2).alias("max_seconds"))
+    found = found.join(middle.withColumnRenamed("model", "model__"), F.col("model").eqNullSafe(F.col("model__")), "left")
+    return found.withColumn("median_seconds", F.round("median", 2)).drop("model__", "median")
 
 
 def recommend(summary: DataFrame, gate: float, questions: int, fallback: str = "offline") -> DataFrame:

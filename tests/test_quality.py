@@ -70,3 +70,12 @@ def test_fairness_ignores_empathy_only(spark):
     df = spark.createDataFrame(rows, "pair_id long, variant string, answer string, sources array<string>")
     got = {r.pair_id: (r.same_answer, r.same_sources) for r in quality.fairness_pairs(df, "calm", "Sorry.\n\n", ["Talk to a person?"]).collect()}
     assert got == {1: (True, True), 2: (False, False)}
+
+
+def test_medians_are_exact(spark):
+    import numpy as np
+    draw = np.random.default_rng(3)
+    groups = {"a": draw.exponential(size=501).tolist(), "b": [2.0] * 40 + [1e9, -5.0], "c": [1.5], "d": [1.0, 4.0], None: [3.0, 1.0, 2.0]}
+    rows = [(k, v) for k, vs in groups.items() for v in vs] + [("a", None), ("e", None)]
+    got = {r.k: r.median for r in quality.medians(spark.createDataFrame(rows, "k string, v double"), "k", "v", 16).collect()}
+    assert got == {k: float(np.median(v)) for k, v in groups.items()}

@@ -201,3 +201,31 @@ def test_model_is_retrained_only_when_its_data_change(spark, tmp_path):
     again, repeated = classify.train_if_changed(df, *args, iterations=5)
     _, changed = classify.train_if_changed(df.filter("id > 0"), *args, iterations=5)
     assert (trained, repeated, changed) == (True, False, True) and again.fingerprint == first.fingerprint
+
+
+def test_pages_by_partition_counts_equal_the_sorted_rows(spark, monkeypatch):
+    from answerlake.operators import review
+    monkeypatch.setattr(review, "TOP_ROWS", 10)
+    df = spark.range(500).select((F.col("id") * 7 % 13).alias("a"), F.col("id").alias("b")).repartition(7)
+    want = [(r.a, r.b) for r in df.orderBy(F.desc("a"), "b").collect()]
+    for number in (1, 2, 9, 20, 21):
+        got = [(r.a, r.b) for r in review.page(df, [F.desc("a"), F.asc("b")], number, 25).collect()]
+        assert got == want[(number - 1) * 25: number * 25]
+    assert review.page(df.limit(0), [F.desc("a"), F.asc("b")], 3, 25).collect() == []
+
+
+def test_passages_are_found_by_their_rarest_run(spark):
+    from answerlake.operators.audit import containing_documents
+    common = "the quick brown fox jumps over the lazy dog"
+    docs = [(i, f"{common} and then number {i} ended {'with a rare tail here' if i == 7 else 'plainly'}") for i in range(30)] + [(90, None), (91, "")]
+    passages = [(1, common), (2, f"{common}  and then\nnumber 7 ended with a rare"), (3, "fox jumps under the lazy"), (4, "lazy"), (5, " "),
+                (6, f"{common} and then number 999"), (7, None), (8, "quick brown fox jumps over the")]
+    got = containing_documents(spark.createDataFrame(passages, "item long, text string"), "item",
+                               spark.createDataFrame(docs, "doc long, text string"), "doc", 6).collect()
+    want = set()
+    for item, text in passages:
+        words = (text or "").split()
+        for doc, body in docs:
+            if words and f" {' '.join(words)} " in f" {' '.join((body or '').split())} ":
+                want.add((item, doc))
+    assert {(r.item, r.doc) for r in got} == want and len(got) == len(want)
