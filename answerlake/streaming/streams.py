@@ -23,112 +23,161 @@ from answerlake.streaming.rules import SECOND
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class FoldProcessor(StatefulProcessor):
-    """Advances a key's JSON state with the same step function the batch form uses."""
+class OrderedProcessor(StatefulProcessor):
+    """Takes a key's events in event time with the step that the batch form uses.
 
-    def __init__(self, step: Step, order: Sequence[str], columns: Sequence[str], schema: T.StructType, ttl_ms: int | None):
-        self.step, self.order, self.columns, self.schema, self.ttl_ms = step, list(order), list(columns), schema, ttl_ms
+    Events wait in list state until the watermark has passed them, so late and shuffled input
+    gives what ordered input gives. The rule's few numbers go once nothing has come for as long
+    as the rule remembers (``memory_us``), so a key that falls silent leaves nothing behind.
+    """
+
+    def __init__(self, step: Step, order: Sequence[str], columns: Sequence[str], held: str, schema: T.StructType, memory_us: int):
+        self.step, self.order, self.columns, self.held_schema = step, list(order), list(columns), held
+        self.schema, self.memory_us = schema, memory_us
+        self.at = self.columns.index(self.order[0])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("state", "json string", self.ttl_ms)
+        self.handle = handle
+        self.held = handle.getListState("held", self.held_schema)
+        self.state = handle.getValueState("state", "json string, until bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.state.get()[0]) if self.state.exists() else None
-        frame = pd.concat(list(rows))[self.columns].sort_values(self.order, kind="stable")
-        out = []
-        for row in plain_rows(frame):
-            state, result = self.step(state, row)
-            if result is not None:
-                out.append(result)
-        if state is not None:
-            self.state.update((json.dumps(state),))
-        elif self.state.exists():
+        whole = [c.split()[1] in ("bigint", "int") for c in self.held_schema.split(", ")]
+        for frame in rows:
+            # a whole number beside a missing one comes as a float
+            new = [tuple(int(v) if n and v is not None else v for v, n in zip(r, whole, strict=True)) for r in plain_rows(frame[self.columns])]
+            self.held.appendList(new)
+            for ms in {r[self.at] // 1000 + 1 for r in new}:
+                self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        waiting = [tuple(r) for r in self.held.get()] if self.held.exists() else []
+        due, rest = [r for r in waiting if r[self.at] < now], [r for r in waiting if r[self.at] >= now]
+        if due:
+            if rest:
+                self.held.put(rest)
+            else:
+                self.held.clear()
+            places = [self.columns.index(c) for c in self.order]
+            state, out = None, []
+            if self.state.exists():
+                held, until = self.state.get()
+                state = json.loads(held)
+                self.handle.deleteTimer(until // 1000 + 1)
+            for row in sorted(due, key=lambda r: [r[i] for i in places]):
+                state, result = self.step(state, row)
+                if result is not None:
+                    out.append(result)
+            until = max(r[self.at] for r in due) + self.memory_us
+            if state is not None:
+                self.state.update((json.dumps(state), until))
+                self.handle.registerTimer(until // 1000 + 1)
+            elif self.state.exists():
+                self.state.clear()
+            yield frame_of(out, self.schema)
+        elif self.state.exists() and self.state.get()[1] < now:
             self.state.clear()
-        yield frame_of(out, self.schema)
 
     def close(self) -> None:
         pass
 
 
-def fold_stream(df: DataFrame, key: str, order: Sequence[str], step: Step, schema: str, ttl_ms: int | None = None) -> DataFrame:
-    """Streaming twin of ``sequences.walk_islands``: rows of a key are taken in order within a
-    micro-batch and micro-batches in arrival order. ``ttl_ms`` drops idle keys."""
+LATENESS = "10 minutes"
+KEEP = 30 * 86400 * SECOND      # how long cases, requests, attempts and session memory outlast their last event
+
+
+def fold_stream(df: DataFrame, key: str, order: Sequence[str], step: Step, schema: str, memory_us: int, lateness: str = LATENESS) -> DataFrame:
+    """Streaming twin of the batch rules. ``df`` has an ``event_time`` beside the step's columns,
+    of which the first of ``order`` is the same time in microseconds."""
     out = T.StructType.fromDDL(schema)
-    return df.groupBy(key).transformWithStateInPandas(
-        FoldProcessor(step, order, df.columns, out, ttl_ms), out, "Append", "ProcessingTime" if ttl_ms else "None")
+    columns = [c for c in df.columns if c != "event_time"]
+    held = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields if f.name != "event_time")
+    return df.withWatermark("event_time", lateness).groupBy(key).transformWithStateInPandas(
+        OrderedProcessor(step, order, columns, held, out, memory_us), out, "Append", "EventTime")
 
 
 def _micros(column: str):
     return F.unix_micros(F.col(column).cast("timestamp"))
 
 
-def rate_limit_stream(events: DataFrame, key: str, at: str, ident: str, limit: int, window_s: int) -> DataFrame:
-    rows = events.filter(F.col(key).isNotNull()).select(key, _micros(at).alias("at"), ident)
+def _timed(events: DataFrame, at: str, *columns) -> DataFrame:
+    return events.select(F.col(at).cast("timestamp").alias("event_time"), *columns)
+
+
+def rate_limit_stream(events: DataFrame, key: str, at: str, ident: str, limit: int, window_s: int, lateness: str = LATENESS) -> DataFrame:
+    rows = _timed(events.filter(F.col(key).isNotNull()), at, key, _micros(at).alias("at"), ident)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return fold_stream(rows, key, ["at", ident], rules.sliding_window(limit, window_s),
-                       f"{key} {kinds[key]}, {ident} {kinds[ident]}, allowed boolean, retry_after bigint")
+                       f"{key} {kinds[key]}, {ident} {kinds[ident]}, allowed boolean, retry_after bigint", window_s * SECOND, lateness)
 
 
-def throttle_stream(events: DataFrame, key: str, at: str, ident: str, seconds: int = rules.MIN_REQUERY_SECONDS) -> DataFrame:
-    rows = events.select(key, _micros(at).alias("at"), ident)
+def throttle_stream(events: DataFrame, key: str, at: str, ident: str, seconds: int = rules.MIN_REQUERY_SECONDS, lateness: str = LATENESS) -> DataFrame:
+    rows = _timed(events, at, key, _micros(at).alias("at"), ident)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    return fold_stream(rows, key, ["at", ident], rules.throttle(seconds), f"{key} {kinds[key]}, {ident} {kinds[ident]}, accepted boolean")
+    return fold_stream(rows, key, ["at", ident], rules.throttle(seconds), f"{key} {kinds[key]}, {ident} {kinds[ident]}, accepted boolean",
+                       seconds * SECOND, lateness)
 
 
-def lockouts_stream(events: DataFrame, key: str, at: str, ident: str, failed: str, n: int = 5, seconds: int = 300) -> DataFrame:
-    rows = events.select(key, _micros(at).alias("at"), ident, failed)
+def lockouts_stream(events: DataFrame, key: str, at: str, ident: str, failed: str, n: int = 5, seconds: int = 300, lateness: str = LATENESS) -> DataFrame:
+    rows = _timed(events, at, key, _micros(at).alias("at"), ident, failed)
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     return fold_stream(rows, key, ["at", ident], rules.lockout(n, seconds),
-                       f"{key} {kinds[key]}, {ident} {kinds[ident]}, locked boolean, failures bigint, remaining bigint")
+                       f"{key} {kinds[key]}, {ident} {kinds[ident]}, locked boolean, failures bigint, remaining bigint", seconds * SECOND, lateness)
 
 
-def session_memory_stream(events: DataFrame, ttl_minutes: int = rules.MEMORY_MINUTES) -> DataFrame:
-    rows = events.select("session_id", _micros("at").alias("at"), "id", "query", "item")
+def session_memory_stream(events: DataFrame, ttl_minutes: int = rules.MEMORY_MINUTES, lateness: str = LATENESS, keep_us: int = KEEP) -> DataFrame:
+    rows = _timed(events, "at", "session_id", _micros("at").alias("at_us"), "id", "query", "item").withColumnRenamed("at_us", "at")
     kind = rows.schema["session_id"].dataType.simpleString()
     return fold_stream(rows, "session_id", ["at", "id"], rules.session_memory(ttl_minutes),
-                       f"session_id {kind}, id bigint, previous_query string, previous_item string")
+                       f"session_id {kind}, id bigint, previous_query string, previous_item string", keep_us, lateness)
 
 
-def dedupe_attempts_stream(attempts: DataFrame) -> DataFrame:
-    rows = attempts.select("quote_id", _micros("created_at").alias("at"), "id", "status", _micros("closes_at").alias("closes_at"))
+def dedupe_attempts_stream(attempts: DataFrame, lateness: str = LATENESS, keep_us: int = KEEP) -> DataFrame:
+    rows = _timed(attempts, "created_at", "quote_id", _micros("created_at").alias("at"), "id", "status", _micros("closes_at").alias("closes_at"))
     return fold_stream(rows, "quote_id", ["at", "id"], rules.one_open_attempt(),
-                       "quote_id string, id bigint, created boolean, attempt bigint")
+                       "quote_id string, id bigint, created boolean, attempt bigint", keep_us, lateness)
 
 
-def state_machine_stream(events: DataFrame, transitions: Mapping, terminal: Sequence[str]) -> DataFrame:
-    rows = events.select("key", _micros("at").alias("at"), "id", "event")
+def state_machine_stream(events: DataFrame, transitions: Mapping, terminal: Sequence[str], lateness: str = LATENESS, keep_us: int = KEEP) -> DataFrame:
+    rows = _timed(events, "at", "key", _micros("at").alias("at_us"), "id", "event").withColumnRenamed("at_us", "at")
     kind = rows.schema["key"].dataType.simpleString()
     return fold_stream(rows, "key", ["at", "id"], rules.machine(transitions, tuple(terminal)),
-                       f"key {kind}, id bigint, case_no bigint, before string, after string, changed boolean")
+                       f"key {kind}, id bigint, case_no bigint, before string, after string, changed boolean", keep_us, lateness)
 
 
-def request_lifecycle_stream(events: DataFrame) -> DataFrame:
-    rows = events.select("session_id", _micros("at").alias("at"), "id", "event")
+def request_lifecycle_stream(events: DataFrame, lateness: str = LATENESS, keep_us: int = KEEP) -> DataFrame:
+    rows = _timed(events, "at", "session_id", _micros("at").alias("at_us"), "id", "event").withColumnRenamed("at_us", "at")
     kind = rows.schema["session_id"].dataType.simpleString()
     return fold_stream(rows, "session_id", ["at", "id"], rules.request_lifecycle(),
-                       f"session_id {kind}, id bigint, request_no bigint, cancelled_no bigint, status string")
+                       f"session_id {kind}, id bigint, request_no bigint, cancelled_no bigint, status string", keep_us, lateness)
 
 
 PAYMENT_OUT = "id bigint, status string, receipt string, at timestamp"
+HELD_OUTCOME = "at_us bigint, seq string, status string, amount_minor bigint, currency string, receipt string"
 
 
 class PaymentProcessor(StatefulProcessor):
     """One payment attempt: waits for its decisive outcome or its deadline.
 
-    An outcome is held until the watermark has passed it, so outcomes count in event
-    time however they arrive, and one that is ahead of its attempt waits for it (for the
-    attempt's life time, then it goes). Only a pending attempt moves, and not beyond its
-    deadline: replayed and late callbacks change nothing but an empty mobile receipt.
+    Outcomes wait in list state until the watermark has passed them, so they count in event time
+    however they arrive; one that is ahead of its attempt waits for it for the attempt's life
+    time. Only a pending attempt moves, and not beyond its deadline: replayed and late callbacks
+    change nothing but an empty mobile receipt. Where confirmations are asked for, a mobile
+    success of the right amount holds up what comes after it until it is confirmed, and is
+    dropped at the deadline if it isn't. All state goes ``keep_us`` after the deadline.
     """
 
-    def __init__(self, ttl_minutes: int):
-        self.ttl_us = ttl_minutes * 60 * SECOND
+    def __init__(self, ttl_minutes: int, confirm: bool, keep_us: int):
+        self.ttl_us, self.confirm, self.keep_us = ttl_minutes * 60 * SECOND, confirm, keep_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.attempt = handle.getValueState(
             "attempt", "status string, amount_minor bigint, currency string, method string, receipt string, deadline bigint")
-        self.held = handle.getValueState("held", "json string")
+        self.held = handle.getListState("held", HELD_OUTCOME)
+        self.confirmed = handle.getValueState("confirmed", "at_us bigint")
 
     @staticmethod
     def _frame(key, changes: list) -> pd.DataFrame:
@@ -139,51 +188,68 @@ class PaymentProcessor(StatefulProcessor):
         self.handle.registerTimer(us // 1000 + 1)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        out, held = [], json.loads(self.held.get()[0]) if self.held.exists() else []
-        frame = pd.concat(list(rows)).sort_values(["at_us", "seq"], kind="stable")
-        for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False):
-            us, minor = int(r.at_us), None if r.amount_minor is None else int(r.amount_minor)
-            if r.kind == "attempt":
-                if not self.attempt.exists():
-                    self.attempt.update((r.status, minor, r.currency, r.method, None, us + self.ttl_us))
-                    out.append((r.status, None, us))
+        out, held = [], []
+        for frame in rows:
+            for r in frame.astype(object).where(frame.notna(), None).itertuples(index=False):
+                us, minor = int(r.at_us), None if r.amount_minor is None else int(r.amount_minor)
+                if r.kind == "attempt":
+                    if not self.attempt.exists():
+                        deadline = us + self.ttl_us
+                        self.attempt.update((r.status, minor, r.currency, r.method, None, deadline))
+                        out.append((r.status, None, us))
+                        for t in (us, deadline, deadline + self.keep_us):
+                            self._wake_after(t)
+                elif r.kind == "confirmation":
+                    self.confirmed.update((us,))
+                    self._wake_after(us)
+                    self._wake_after(us + self.ttl_us)
+                elif r.status is not None:
+                    held.append((us, r.seq, r.status, minor, r.currency, r.receipt))
                     self._wake_after(us)
                     self._wake_after(us + self.ttl_us)
-            elif r.status is not None:
-                held.append([us, r.seq, r.status, minor, r.currency, r.receipt])
-                self._wake_after(us)
-                self._wake_after(us + self.ttl_us)
         if held:
-            self.held.update((json.dumps(held),))
+            self.held.appendList(held)
         yield self._frame(key, out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        held = json.loads(self.held.get()[0]) if self.held.exists() else []
+        waiting = sorted(tuple(r) for r in self.held.get()) if self.held.exists() else []
         if self.attempt.exists():
-            due = sorted((h for h in held if h[0] < now), key=lambda h: h[:2])
-            held = [h for h in held if h[0] >= now]
-            state, changes = self._advanced(self.attempt.get(), due, now)
-            self.attempt.update(state)
-            yield self._frame(key, changes)
+            state = self.attempt.get()
+            if now > state[5] + self.keep_us:
+                rest = []
+                self.attempt.clear()
+                if self.confirmed.exists():
+                    self.confirmed.clear()
+            else:
+                state, rest, changes = self._advanced(state, waiting, now)
+                self.attempt.update(state)
+                yield self._frame(key, changes)
         else:
-            held = [h for h in held if h[0] + self.ttl_us >= now]
-        if held:
-            self.held.update((json.dumps(held),))
-        elif self.held.exists():
-            self.held.clear()
+            rest = [h for h in waiting if h[0] + self.ttl_us >= now]
+            if self.confirmed.exists() and self.confirmed.get()[0] + self.ttl_us < now:
+                self.confirmed.clear()
+        if rest != waiting:
+            if rest:
+                self.held.put(rest)
+            else:
+                self.held.clear()
 
-    @staticmethod
-    def _advanced(state: tuple, due: list, now: int) -> tuple[tuple, list]:
+    def _advanced(self, state: tuple, waiting: list, now: int) -> tuple[tuple, list, list]:
+        """The attempt after the outcomes before ``now``, those still to come, and the changes."""
         status, amount, currency, method, receipt, deadline = state
-        card, changes = method == "card", []
-        for us, _, outcome, reported, reported_currency, new_receipt in [*due, (now, "", None, None, None, None)]:
+        card, changes, at = method == "card", [], 0
+        while at < len(waiting) and waiting[at][0] < now:
+            us, _, outcome, reported, reported_currency, new_receipt = waiting[at]
             if status == "pending" and us > deadline:
-                status = "expired"
-                changes.append((status, receipt, deadline))
+                break
             same = reported is not None and reported == amount and (
                 not card or (reported_currency or "").upper() == (currency or "").upper())
-            if outcome is None:
+            doubtful = self.confirm and not card and outcome == "paid" and same and not self.confirmed.exists()
+            if doubtful and status == "pending" and now <= deadline:
+                return (status, amount, currency, method, receipt, deadline), waiting[at:], changes
+            at += 1
+            if doubtful:
                 continue
             if status == "pending":
                 status, receipt = "needs_review" if outcome == "paid" and not same else outcome, new_receipt
@@ -192,20 +258,41 @@ class PaymentProcessor(StatefulProcessor):
             else:
                 continue
             changes.append((status, receipt, us))
-        return (status, amount, currency, method, receipt, deadline), changes
+        if status == "pending" and now > deadline:
+            status = "expired"
+            changes.append((status, receipt, deadline))
+            at = len([w for w in waiting if w[0] < now])
+        return (status, amount, currency, method, receipt, deadline), waiting[at:], changes
 
     def close(self) -> None:
         pass
 
 
-def payment_states_stream(changes: DataFrame, ttl_minutes: int = 10, lateness: str = "10 minutes") -> DataFrame:
-    """``changes``: attempts and outcomes as one stream with event time ``at``: id, at, kind
-    ('attempt' or 'outcome'), status, amount_minor, currency, receipt and, where there are
-    any, method (card, else mobile) and seq (order of outcomes of one moment)."""
+PAYMENT_COLUMNS = ("id", "at", "kind", "status", "amount_minor", "currency", "method", "receipt", "seq")
+
+
+def payment_changes(attempts: DataFrame, outcomes: DataFrame, confirmations: DataFrame | None = None) -> DataFrame:
+    """Attempts, outcomes and confirmations as one stream. Each needs id and ``at``; columns of
+    ``payment_states_stream`` that one lacks are NULL. A confirmation says that the provider's
+    status query agrees with the attempt's success."""
+    def shaped(df: DataFrame, kind: str) -> DataFrame:
+        kinds = {"amount_minor": "bigint", "id": "bigint", "at": "timestamp"}
+        columns = {c: F.col(c) if c in df.columns else F.lit("" if c == "seq" else None) for c in PAYMENT_COLUMNS} | {"kind": F.lit(kind)}
+        return df.select(*[v.cast(kinds.get(c, "string")).alias(c) for c, v in columns.items()])
+
+    out = shaped(attempts, "attempt").unionByName(shaped(outcomes, "outcome"))
+    return out if confirmations is None else out.unionByName(shaped(confirmations, "confirmation"))
+
+
+def payment_states_stream(changes: DataFrame, ttl_minutes: int = 10, lateness: str = "10 minutes", confirm: bool = False,
+                          keep_us: int = 86_400 * SECOND) -> DataFrame:
+    """``changes``: attempts, outcomes and, with ``confirm``, confirmations as one stream with event
+    time ``at``: id, at, kind ('attempt', 'outcome' or 'confirmation'), status, amount_minor, currency,
+    receipt and, where there are any, method (card, else mobile) and seq (order of outcomes of one moment)."""
     optional = {"method": F.lit(None).cast("string"), "seq": F.lit("")}
     rows = changes.withColumns({c: F.coalesce(c, v) if c in changes.columns else v for c, v in optional.items()} | {"at_us": _micros("at")})
     return rows.withWatermark("at", lateness).groupBy("id").transformWithStateInPandas(
-        PaymentProcessor(ttl_minutes), PAYMENT_OUT, "Append", "EventTime")
+        PaymentProcessor(ttl_minutes, confirm, keep_us), PAYMENT_OUT, "Append", "EventTime")
 
 
 class ExpiryProcessor(StatefulProcessor):
@@ -251,17 +338,19 @@ def unique_callbacks(outcomes: DataFrame, keys: Sequence[str], at: str, lateness
 
 
 def trends_stream(events: DataFrame, at: str = "at", lateness: str = "1 hour") -> DataFrame:
-    """Daily counts as a windowed aggregate. Distinct sessions are approximate, as exact
-    distinct counts need unbounded state in a stream."""
+    """Daily counts as windowed aggregates, one row for each day once the watermark has passed it.
+
+    Two aggregations follow one another: a row for each session and day first, so that distinct
+    sessions are counted exactly and a busy session costs one row; the state of both ends with the day.
+    """
     kind = F.col("event_type")
-    return (
-        events.withWatermark(at, lateness).groupBy(F.window(at, "1 day").alias("day")).agg(
-            F.approx_count_distinct("session_id", 0.01).alias("conversations"),
-            F.sum(F.when(kind.isin("view", "click"), 1).otherwise(0)).alias("questions"),
-            F.sum(F.when(kind == "error", 1).otherwise(0)).alias("declined"),
-            F.sum(F.when(kind == "purchase", 1).otherwise(0)).alias("handovers"))
-        .select(F.to_date("day.start").alias("day"), "conversations", "questions", "declined", "handovers")
-    )
+    per_session = events.withWatermark(at, lateness).groupBy(F.window(at, "1 day").alias("day"), "session_id").agg(
+        F.count(F.when(kind.isin("view", "click"), 1)).alias("questions"), F.count(F.when(kind == "error", 1)).alias("declined"),
+        F.count(F.when(kind == "purchase", 1)).alias("handovers"))
+    return per_session.groupBy(F.window("day", "1 day").alias("day")).agg(
+        F.count("session_id").alias("conversations"), F.sum("questions").alias("questions"), F.sum("declined").alias("declined"),
+        F.sum("handovers").alias("handovers")).select(
+        F.to_date("day.start").alias("day"), "conversations", "questions", "declined", "handovers")
 
 
 def append_events(df: DataFrame, path: str, checkpoint: str, partition: str | None = None):

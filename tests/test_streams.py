@@ -19,13 +19,29 @@ def as_stream(spark, df, folder, files=3, order="at"):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+def shuffled(spark, df, folder, at="at", key="user_id"):
+    """The table in three files of any order, and last rows far in the future of a key of their own:
+    the first lets the events out, the second lets the state end."""
+    path = str(folder / ("in" + uuid.uuid4().hex))
+    for i in range(3):
+        df.filter(F.pmod(F.xxhash64(*df.columns), F.lit(3)) == i).coalesce(1).write.mode("append").parquet(path)
+    for year in ("2034", "2035"):
+        end = df.limit(1).withColumns({at: F.lit(f"{year}-01-01").cast("timestamp"), key: F.lit(-1).cast(df.schema[key].dataType)})
+        end.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+LATE = "60 days"        # of the whole log
+
+
 def drain(spark, stream, folder, mode="append"):
     name = "t" + uuid.uuid4().hex
     query = (stream.writeStream.format("memory").queryName(name).outputMode(mode)
              .option("checkpointLocation", str(folder / name)).trigger(availableNow=True).start())
     query.awaitTermination(240)
     assert not query.isActive and query.exception() is None
-    return spark.table(name)
+    out = spark.table(name)
+    return out.filter(~F.col(out.columns[0]).cast("string").isin("-1", "Q-1", "2034-01-01"))     # the far future's
 
 
 @pytest.fixture(scope="module")
@@ -34,46 +50,56 @@ def events(tables):
 
 
 def test_rate_limit_stream_equals_batch(spark, events, tmp_path, rows):
-    out = drain(spark, streams.rate_limit_stream(as_stream(spark, events, tmp_path), "user_id", "at", "event_id", 2, 172800), tmp_path)
+    out = drain(spark, streams.rate_limit_stream(shuffled(spark, events, tmp_path), "user_id", "at", "event_id", 2, 172800, LATE), tmp_path)
     want = batch.rate_limit(events, "user_id", "at", "event_id", 2, 172800)
     assert rows(out) == rows(want) and out.filter("NOT allowed").count() > 0
 
 
-def test_throttle_and_machine_streams_equal_batch(spark, events, tmp_path, rows):
-    stream = as_stream(spark, events, tmp_path)
-    out = drain(spark, streams.throttle_stream(stream, "user_id", "at", "event_id", 86400), tmp_path)
-    assert rows(out) == rows(batch.throttle(events, "user_id", "at", "event_id", 86400))
+def test_throttle_stream_ends_its_state(spark, events, tmp_path, rows):
+    name = "t" + uuid.uuid4().hex
+    stream = streams.throttle_stream(shuffled(spark, events, tmp_path), "user_id", "at", "event_id", 86400, LATE)
+    query = (stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name))
+             .trigger(availableNow=True).start())
+    query.awaitTermination(240)
+    assert rows(spark.table(name).filter("user_id >= 0")) == rows(batch.throttle(events, "user_id", "at", "event_id", 86400))
+    held = spark.read.format("statestore").option("stateVarName", "state").load(str(tmp_path / name))
+    assert held.filter("key.user_id >= 0").count() == 0
+
+
+def test_machine_stream_equals_batch(spark, events, tmp_path, rows):
     shape = lambda df: df.select(
         F.col("user_id").alias("key"), "at", F.col("event_id").alias("id"),
         F.when(F.col("event_type") == "signup", "open").when(F.col("event_type") == "view", "claim").otherwise("close").alias("event"))
-    out = drain(spark, streams.state_machine_stream(shape(stream), rules.CASE_TRANSITIONS, rules.CASE_TERMINAL), tmp_path)
+    stream = shape(shuffled(spark, events, tmp_path))
+    out = drain(spark, streams.state_machine_stream(stream, rules.CASE_TRANSITIONS, rules.CASE_TERMINAL, LATE), tmp_path)
     assert rows(out) == rows(batch.run_state_machine(shape(events), rules.CASE_TRANSITIONS, rules.CASE_TERMINAL))
 
 
 def test_memory_and_lockout_streams_equal_batch(spark, events, tmp_path, rows):
-    stream = as_stream(spark, events, tmp_path)
+    stream = shuffled(spark, events, tmp_path)
     shape = lambda df: df.select(
         F.col("user_id").alias("session_id"), "at", F.col("event_id").alias("id"),
         F.when(F.col("event_type") == "view", F.col("props")).alias("query"), F.lit(None).cast("string").alias("item"))
-    out = drain(spark, streams.session_memory_stream(shape(stream), 2880), tmp_path)
+    out = drain(spark, streams.session_memory_stream(shape(stream), 2880, LATE), tmp_path)
     assert rows(out) == rows(batch.session_memory(shape(events), 2880))
     failed = lambda df: df.withColumn("failed", F.col("event_type") != "view")
-    out = drain(spark, streams.lockouts_stream(failed(stream), "user_id", "at", "event_id", "failed", 2, 172800), tmp_path)
+    out = drain(spark, streams.lockouts_stream(failed(stream), "user_id", "at", "event_id", "failed", 2, 172800, LATE), tmp_path)
     assert rows(out) == rows(batch.lockouts(failed(events), "user_id", "at", "event_id", "failed", 2, 172800))
 
 
 def test_requests_and_attempts_streams_equal_batch(spark, events, tmp_path, rows):
-    stream = as_stream(spark, events, tmp_path)
+    stream = shuffled(spark, events, tmp_path)
     steps = F.array(*[F.lit(s) for s in ("start", "booked", "name", "confirm", "pay", "complete", "cancel")])
     shape = lambda df: df.select(F.col("user_id").alias("session_id"), "at", F.col("event_id").alias("id"),
                                  F.element_at(steps, (F.col("event_id") % 7 + 1).cast("int")).alias("event"))
-    out = drain(spark, streams.request_lifecycle_stream(shape(stream)), tmp_path)
+    out = drain(spark, streams.request_lifecycle_stream(shape(stream), LATE), tmp_path)
     assert rows(out) == rows(batch.request_lifecycle(shape(events)))
     tries = lambda df: df.select(
-        F.concat(F.lit("Q"), (F.col("user_id") % 9).cast("string")).alias("quote_id"), F.col("at").alias("created_at"), F.col("event_id").alias("id"),
+        F.concat(F.lit("Q"), F.when(F.col("user_id") < 0, -1).otherwise(F.col("user_id") % 9).cast("string")).alias("quote_id"),
+        F.col("at").alias("created_at"), F.col("event_id").alias("id"),
         F.when(F.col("event_type") == "error", "failed").otherwise("pending").alias("status"),
         F.when(F.col("event_id") % 2 == 0, F.col("at") + F.expr("INTERVAL 1 DAY")).alias("closes_at"))
-    out = drain(spark, streams.dedupe_attempts_stream(tries(stream)), tmp_path)
+    out = drain(spark, streams.dedupe_attempts_stream(tries(stream), LATE), tmp_path)
     assert rows(out) == rows(batch.dedupe_attempts(tries(events)))
 
 
@@ -199,13 +225,47 @@ def test_replayed_callbacks_are_dropped(spark, tmp_path):
     assert out.count() == df.dropDuplicates(["id", "status", "receipt", "kind"]).count()
 
 
-def test_trend_stream_equals_batch_counts(spark, events, tmp_path, rows):
+def test_confirmations_are_a_third_input(spark, tmp_path):
+    """An unconfirmed success leaves its attempt pending for what comes after it, as in the batch."""
+    from answerlake.operators import ledger
+
+    t = lambda m: dt.datetime(2024, 1, 1, 10, m)
+    tries = spark.createDataFrame(
+        [(i, t(0), "pending", 100, "KES", "card" if i == 6 else "mobile") for i in range(1, 8)] + [(99, dt.datetime(2034, 1, 1), "failed", 1, "KES", "card")],
+        "id long, at timestamp, status string, amount_minor long, currency string, method string")
+    said = [(1, t(2), "paid", 100, "R1", "a"), (2, t(2), "paid", 100, "R2", "a"), (3, t(2), "paid", 100, "R3", "a"), (3, t(4), "failed", None, None, "b"),
+            (4, t(2), "paid", 90, "R4", "a"), (5, t(2), "paid", 100, "R5", "a"), (5, t(3), "failed", None, None, "b"), (6, t(2), "paid", 100, "R6", "a")]
+    outcomes = spark.createDataFrame([(i, at, s, m, "KES", r, q) for i, at, s, m, r, q in said],
+                                     "id long, at timestamp, status string, amount_minor long, currency string, receipt string, seq string")
+    agreed = spark.createDataFrame([(1, t(1)), (5, t(6))], "id long, at timestamp")
+
+    def stream(df, name, files, order="at"):
+        folder = tmp_path / name
+        folder.mkdir()
+        return as_stream(spark, df, folder, files, order)
+    changes = streams.payment_changes(stream(tries, "tries", 2), stream(outcomes, "outcomes", 1), stream(agreed, "agreed", 1))
+    out = drain(spark, streams.payment_states_stream(changes, 10, "30 minutes", confirm=True), tmp_path)
+    last = {}
+    for r in out.collect():
+        last.setdefault(r.id, []).append((r.status, r.receipt))
+    got = {k: v[-1] for k, v in last.items() if k != 99}
+    assert got == {1: ("paid", "R1"), 2: ("expired", None), 3: ("failed", None), 4: ("needs_review", "R4"), 5: ("paid", "R5"),
+                   6: ("paid", "R6"), 7: ("expired", None)}
+    keyed = tries.filter("id < 99").select("id", "method", F.col("id").cast("string").alias("checkout_id"), "status", "amount_minor", "currency")
+    batch_out = ledger.apply_outcomes(keyed, outcomes.join(keyed.select("id", "method", "checkout_id"), "id").select(
+        "method", "checkout_id", F.col("status").alias("outcome"), (F.col("amount_minor") / 100).alias("reported"),
+        F.col("currency").alias("reported_currency"), "receipt", "seq"), agreed.select(F.lit("mobile").alias("method"), F.col("id").cast("string").alias("checkout_id")))
+    want = {r.id: ("expired" if r.after == "pending" else r.after, r.receipt) for r in batch_out.collect()}
+    assert got == want
+
+
+def test_trend_stream_equals_batch(spark, events, tmp_path, rows):
     shape = lambda df: df.withColumn("session_id", F.col("user_id"))
-    out = drain(spark, streams.trends_stream(shape(as_stream(spark, events, tmp_path))), tmp_path, "complete")
-    want = events.groupBy(F.to_date("at").alias("day")).agg(
-        F.count(F.when(F.col("event_type").isin("view", "click"), 1)).alias("questions"),
-        F.count(F.when(F.col("event_type") == "error", 1)).alias("declined"))
-    assert rows(out, "day", "questions", "declined") == rows(want, "day", "questions", "declined")
+    out = drain(spark, streams.trends_stream(shape(shuffled(spark, events, tmp_path)), lateness=LATE), tmp_path)
+    want = shape(events).groupBy(F.to_date("at").alias("day")).agg(
+        F.countDistinct("session_id").alias("conversations"), F.count(F.when(F.col("event_type").isin("view", "click"), 1)).alias("questions"),
+        F.count(F.when(F.col("event_type") == "error", 1)).alias("declined"), F.count(F.when(F.col("event_type") == "purchase", 1)).alias("handovers"))
+    assert rows(out) == rows(want.select(*out.columns))
 
 
 def test_event_sink_appends_once(spark, events, tmp_path):
