@@ -79,20 +79,22 @@ def _(t):
 CAPITALS = "^['A-Z]*[A-Z]['A-Z]*$".replace("'", "''")
 
 
-@query("score_ceilings", "C4", """WITH s AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN left(text, 12) WHEN 1 THEN 'What ' || left(replace(replace(text, '.', ''), chr(10), ' '), 40) || '?' WHEN 2 THEN 'STOP it' ELSE text END AS x FROM conversations),
+@query("score_ceilings", "C4", """WITH l AS (SELECT conv_id, turn, unnest(lines) AS said, unnest(range(1, length(lines) + 1)) - 1 AS place FROM (SELECT conv_id, turn, string_split(text, '.') AS lines FROM conversations)),
+s AS (SELECT conv_id, turn, place, CASE (turn + place) % 3 WHEN 0 THEN said WHEN 1 THEN 'What ' || replace(trim(said, ' ' || chr(10)), chr(10), ' ') || '?' ELSE 'Is ' || said || ' still?' END AS x FROM l),
 w AS (SELECT *, regexp_extract_all(x, '[A-Za-z0-9'']+') AS ws, trim(x, ' ' || chr(9) || chr(10) || chr(13) || chr(12)) AS y FROM s)
-SELECT conv_id, turn, CAST(CASE WHEN length(ws) < 3 AND NOT contains(x, '!') AND length(list_filter(ws, lambda v: regexp_full_match(v, '[A-Z]{3,}'))) = 0 THEN 0.3
+SELECT conv_id, turn, place, CAST(CASE WHEN length(ws) < 3 AND NOT contains(x, '!') AND length(list_filter(ws, lambda v: regexp_full_match(v, '[A-Z]{3,}'))) = 0 THEN 0.3
   WHEN ends_with(y, '?') AND length(y) - length(replace(y, '?', '')) = 1 AND NOT contains(y, '!') AND NOT regexp_matches(left(y, length(y) - 1), '[.;]\\s+\\S')
    AND length(list_filter(regexp_extract_all(y, '[A-Za-z'']+'), lambda v: v NOT IN ('USD', 'KES') AND length(v) >= 3 AND regexp_matches(v, '""" + CAPITALS + """'))) = 0
    AND regexp_matches(y, '(?i)^(""" + "|".join(classify.PLAIN_OPENERS) + """)($|[^\\p{L}\\p{N}_])')
    AND NOT regexp_matches(y, '(?i)(^|[^\\p{L}\\p{N}_])(""" + "|".join(classify.COMPLAINT_WORDS).replace("'", "''").replace("\\w*", "[\\p{L}\\p{N}_]*") + """)($|[^\\p{L}\\p{N}_])')
   THEN 0.45 END AS DOUBLE) AS ceiling FROM w""")
 def _(t):
-    turn = F.col("turn") % 4
-    plain = F.left(F.replace(F.replace("text", F.lit("."), F.lit("")), F.lit("\n"), F.lit(" ")), F.lit(40))
-    said = F.when(turn == 0, F.left("text", F.lit(12))).when(turn == 1, F.concat(F.lit("What "), plain, F.lit("?"))).when(
-        turn == 2, "STOP it").otherwise(F.col("text"))
-    return t.conversations.select("conv_id", "turn", classify.ceiling(said).cast("double").alias("ceiling"))
+    lines = t.conversations.select("conv_id", "turn", F.posexplode(F.split("text", r"\.")).alias("place", "said"))
+    kind = (F.col("turn") + F.col("place")) % 3
+    said = F.when(kind == 0, F.col("said")).when(kind == 1, F.concat(
+        F.lit("What "), F.replace(x.strip(F.col("said"), " \n"), F.lit("\n"), F.lit(" ")), F.lit("?"))).otherwise(
+        F.concat(F.lit("Is "), F.col("said"), F.lit(" still?")))
+    return lines.select("conv_id", "turn", F.col("place").cast("bigint").alias("place"), classify.ceiling(said).cast("double").alias("ceiling"))
 
 
 def trained(t):
@@ -120,10 +122,31 @@ def _(t):
     return classify.perturbation_probe(model, parts, "doc_id", "text", lambda c: F.concat(x.strip(c), F.lit("?")))
 
 
+UNDISPUTED = f"""WITH {LABELLED}, k AS (SELECT *, regexp_replace(lower(trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(12) || chr(11))), '\\s+', ' ', 'g') AS said FROM labelled)
+SELECT min(doc_id) AS doc_id, arg_min(text, doc_id) AS text, min(label) AS expected FROM k GROUP BY said HAVING count(*) >= 2 AND min(label) = max(label)"""
+
+
+@query("undisputed_cases", "C8", UNDISPUTED)
+def _(t):
+    return classify.undisputed(labelled(t), "doc_id", "text", "label")
+
+
 @query("expected_labels", "C8")
 def _(t):
     model, parts = trained(t)
-    return classify.expected_labels(model, parts.filter("part = 'train'"), "doc_id", "text", "label").select("doc_id", "label", "expected", "right")
+    cases = classify.undisputed(parts, "doc_id", "text", "label")
+    return classify.expected_labels(model, cases, "doc_id", "text", "expected").select("doc_id", "label", "expected", "right")
+
+
+@query("term_dictionary", "C2", """WITH w AS (SELECT conv_id * 100000 + turn AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}') AS s FROM conversations),
+g AS (SELECT DISTINCT id, unnest(list_concat(s, list_transform(range(1, length(s)), lambda i: s[i] || ' ' || s[i + 1]))) AS term FROM w),
+d AS (SELECT term, count(*) AS df FROM g GROUP BY 1)
+SELECT term, CAST(row_number() OVER (ORDER BY term) - 1 AS INTEGER) AS id, df, round(ln((1.0 + (SELECT count(*) FROM w)) / (1 + df)) + 1, 6) AS idf FROM d""")
+def _(t):
+    rows = t.conversations.select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text")
+    counted = rows.select("id", F.inline(x.term_counts(classify.message_terms(F.col("text")))))
+    n = t.conversations.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return classify.term_dictionary(counted, n).withColumn("idf", F.round("idf", 6))
 
 
 @query("gated_training", "C6 S14")

@@ -63,15 +63,40 @@ def message_terms(col: Column) -> Column:
     return x.let(x.extract_all(F.lower(F.coalesce(col, F.lit(""))), r"[\p{L}\p{N}_]{2,}"), pairs)
 
 
+def term_dictionary(counted: DataFrame, texts: int | Column) -> DataFrame:
+    """(term, id, df, idf) of a table of (text, term): dense ids in the order of the terms.
+
+    Terms are sorted by range where they lie; an id is the number of terms in the partitions
+    before, of which there is one row each, and the place in its own.
+    """
+    seen = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    placed = settle(seen.repartitionByRange("term").sortWithinPartitions("term").withColumn("place", F.monotonically_increasing_id()))
+    part, own = F.shiftright("place", 33), F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))
+    ids = placed.withColumns({"part": part, "own": own}).join(F.broadcast(before), "part")
+    idf = F.log((1 + (F.lit(texts) if isinstance(texts, int) else texts)) / (1 + F.col("df"))) + 1
+    return ids.select("term", (F.col("before") + F.col("own")).cast("int").alias("id"), "df", idf.alias("idf"))
+
+
+def term_cells(counted: DataFrame, dictionary: DataFrame, ident: str) -> DataFrame:
+    """(ident, cells): a text's terms by id as (id, term, weight), (1 + ln tf) * idf at unit length."""
+    raw = (1 + F.log("tf")) * F.col("idf")
+    known = dictionary.select("term", F.col("id").alias("term_id__"), "idf")
+    cells = counted.join(known, "term").groupBy(ident).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("term_id__").alias("id"), "term", raw.alias("raw")))).alias("cells"))
+    norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda n, c: n + c["raw"] * c["raw"]))
+    return cells.withColumn("norm", norm).select(ident, F.transform("cells", lambda c: F.struct(
+        c["id"].alias("id"), c["term"].alias("term"), (c["raw"] / F.col("norm")).alias("weight"))).alias("cells"))
+
+
 def tf_idf(df: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, term, weight): (1 + ln tf) * (ln((1 + n) / (1 + df)) + 1), unit length per text."""
-    counted = df.select(ident, F.inline(x.term_counts(message_terms(F.col(text)))))
+    counted = settle(df.select(ident, F.inline(x.term_counts(message_terms(F.col(text))))))
     n = df.agg(F.count(F.lit(1)).alias("n")).scalar()
-    seen = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    raw = counted.join(seen, "term").select(
-        ident, "term", ((1 + F.log("tf")) * (F.log((1 + n) / (1 + F.col("df"))) + 1)).alias("raw"))
-    norm = raw.groupBy(ident).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, ident).select(ident, "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    seen = counted.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumns(
+        {"id": F.lit(0), "idf": F.log((1 + n) / (1 + F.col("df"))) + 1})
+    return term_cells(counted, seen, ident).select(ident, F.explode("cells").alias("cell")).select(ident, "cell.term", "cell.weight")
 
 
 @dataclass
@@ -292,6 +317,16 @@ def perturbation_probe(model: ToneModel, df: DataFrame, ident: str, text: str, c
         ((F.abs(delta) <= PROBE_LIMIT) & (F.sum((F.col("label_a") != F.col("label_b")).cast("int")) == 0)).alias("passed"))
 
 
+def undisputed(df: DataFrame, ident: str, text: str, label: str, votes: int = 2) -> DataFrame:
+    """Cases nobody would dispute: texts, compared without case and spacing, that were labelled
+    at least ``votes`` times and always alike. One row (ident, text, expected) each."""
+    said = x.norm_key(F.col(text))
+    groups = df.filter(F.col(text).isNotNull() & F.col(label).isNotNull()).groupBy(said.alias("said")).agg(
+        F.min_by(F.col(text), F.col(ident)).alias(text), F.min(ident).alias(ident), F.count(F.lit(1)).alias("n"),
+        F.min(label).alias("expected"), F.max(label).alias("other"))
+    return groups.filter((F.col("n") >= votes) & (F.col("expected") == F.col("other"))).select(ident, text, "expected")
+
+
 def expected_labels(model: ToneModel, cases: DataFrame, ident: str, text: str, expected: str) -> DataFrame:
     """Cases nobody would dispute: expected and given label side by side."""
     return classify(model, cases, ident, text).join(cases.select(ident, F.col(expected).alias("expected")), ident).withColumn(
