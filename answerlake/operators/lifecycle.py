@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlake.functions import text as x
 from answerlake.functions.masking import SCRUB_RULES, scrub
+from answerlake.session import small_side
 
 
 def upsert(target: DataFrame, changes: DataFrame, key: str, order: str, keep_old: Sequence[str] = ()) -> DataFrame:
@@ -58,15 +59,21 @@ def import_messages(new: DataFrame, train: DataFrame, challenge: DataFrame, labe
     label = F.lower(x.strip(F.coalesce("label", F.lit(""))))
     raw = x.strip(F.coalesce("text", F.lit("")))
     safe = scrub(F.col("raw"), rules)
+
+    def key(text: Column) -> Column:
+        return F.sha2(x.norm_key(text), 256)
+
     rows = new.select(
         "row_no", raw.alias("raw"), label.alias("label"),
         F.coalesce(F.nullif(F.lower(x.strip(F.coalesce("language", F.lit("")))), F.lit("")), F.lit("unknown")).alias("language"),
         F.when(x.strip(F.coalesce("consent_ref", F.lit(""))) == "", "no consent reference")
         .when(raw == "", "empty text").when(~label.isin(*labels), "bad label").alias("reason"),
-    ).withColumns({"text": safe["text"], "found": safe["found"]}).withColumn("norm_key", x.norm_key(F.col("text")))
+    ).withColumns({"text": safe["text"], "found": safe["found"]}).withColumn("norm_key", key(F.col("text")))
+    # scrubbed once; what follows reads the columns it needs
+    rows = small_side(rows)
     open_rows = rows.filter("reason IS NULL")
-    known = train.select(x.norm_key(F.col("text")).alias("norm_key")).union(
-        challenge.select(x.norm_key(F.col("text")).alias("norm_key"))).distinct().withColumn("known", F.lit(True))
+    known = train.select(key(F.col("text")).alias("norm_key")).union(
+        challenge.select(key(F.col("text")).alias("norm_key"))).distinct().withColumn("known", F.lit(True))
     first = open_rows.groupBy("norm_key").agg(F.min("row_no").alias("first_no"))
     checked = open_rows.join(first, "norm_key").join(known, "norm_key", "left").withColumn(
         "reason", F.when(F.col("known") | (F.col("row_no") != F.col("first_no")), "duplicate of training or challenge data"))
@@ -78,10 +85,8 @@ def import_messages(new: DataFrame, train: DataFrame, challenge: DataFrame, labe
 
 def import_report(rows: DataFrame) -> DataFrame:
     """Accepted rows by language and label, rejected by reason, placeholders used."""
-    accepted = rows.filter("reason IS NULL").groupBy(F.lit("accepted").alias("part"), F.concat_ws("/", "language", "label").alias("key")).agg(
-        F.count(F.lit(1)).alias("n"))
-    rejected = rows.filter("reason IS NOT NULL").groupBy(F.lit("rejected").alias("part"), F.col("reason").alias("key")).agg(
-        F.count(F.lit(1)).alias("n"))
-    replaced = rows.select(F.explode("found").alias("key")).groupBy(F.lit("replaced").alias("part"), "key").agg(
+    fate = F.when(F.col("reason").isNull(), F.struct(F.lit("accepted").alias("part"), F.concat_ws("/", "language", "label").alias("key"))
+                  ).otherwise(F.struct(F.lit("rejected").alias("part"), F.col("reason").alias("key")))
+    replaced = F.transform("found", lambda f: F.struct(F.lit("replaced").alias("part"), f.alias("key")))
+    return rows.select(F.inline(F.concat(F.array(fate), F.coalesce(replaced, F.slice(F.array(fate), 1, 0))))).groupBy("part", "key").agg(
         F.count(F.lit(1)).alias("n"))
-    return accepted.unionByName(rejected).unionByName(replaced)

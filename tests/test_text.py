@@ -133,3 +133,11 @@ def test_masks_leave_keys_and_hashes_whole(spark):
 def test_joining_words_in_a_row_open_one_part(spark):
     parts = one(spark, "It is late. What is owed for my bags and how and is the counter open?", x.split_question)
     assert parts == ["What is owed for my bags", "how and is the counter open?"]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("ref AB12CD² and XY9ZQ1́ here", "ref AB12CD² and [booking ref]́ here"),
+    ("0712345678+254712345678", "[phone][phone]"), ("2547123456781 2 3254 712 345 6780123456.", "[number] 712 [number]."),
+    ("AB12CD XY9ZQ1 A1B2C3", "[booking ref] [booking ref] [booking ref]")])
+def test_scrub_edges(spark, text, want):
+    assert one(spark, text, lambda c: masking.scrub(c)["text"]) == want
