@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from answerlake.functions import text as x
 from answerlake.session import settle, small_side
@@ -101,8 +104,8 @@ def tf_idf(df: DataFrame, ident: str, text: str) -> DataFrame:
 
 @dataclass
 class ToneModel:
-    """A trained classifier as tables: hashed term -> idf and coefficient, the scaled
-    style coefficients and the intercept. Scoring is a join, so it runs in the JVM."""
+    """A trained classifier: a row per bucket of the hashed terms with its idf and coefficient
+    (at most 2 ** HASH_BITS rows), the scaled style coefficients and the intercept."""
 
     terms: DataFrame                      # bucket, idf, coefficient
     style: list[tuple[str, float, float, float]]   # name, mean, deviation, coefficient
@@ -113,43 +116,79 @@ class ToneModel:
 
 
 def _buckets(col: Column) -> Column:
-    spread = F.transform(message_terms(col), lambda t: F.pmod(F.xxhash64(t), F.lit(1 << HASH_BITS)).cast("string"))
-    return x.term_counts(spread)
+    """The bucket of each of a text's terms."""
+    return F.transform(message_terms(col), lambda t: F.pmod(F.xxhash64(t), F.lit(1 << HASH_BITS)).cast("int"))
+
+
+def _cells(buckets: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, tf) of a batch of bucket lists, by row and bucket."""
+    sizes = pc.fill_null(pc.list_value_length(buckets), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    said = buckets.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    code, tf = np.unique((np.repeat(np.arange(len(sizes)), sizes) << HASH_BITS) + said, return_counts=True)
+    return code >> HASH_BITS, code & ((1 << HASH_BITS) - 1), tf
+
+
+def _weights(buckets: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, bucket, weight): (1 + ln tf) * idf at unit length; buckets without an idf are left out."""
+    row, bucket, tf = _cells(buckets)
+    known = idf[bucket] > 0
+    row, bucket, raw = row[known], bucket[known], (1 + np.log(tf[known])) * idf[bucket[known]]
+    norm = np.sqrt(np.bincount(row, raw * raw, minlength=len(buckets)))
+    return row, bucket, raw / norm[row]
+
+
+def _texts_per_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    seen = np.zeros(1 << HASH_BITS, dtype=np.int64)
+    for batch in batches:
+        seen += np.bincount(_cells(batch.column("buckets"))[1], minlength=1 << HASH_BITS)
+    at = np.flatnonzero(seen)
+    yield pa.RecordBatch.from_pydict({"bucket": pa.array(at, pa.int32()), "n": pa.array(seen[at], pa.int64())})
 
 
 def train(df: DataFrame, ident: str, text: str, label: str, positive: str, negative: str, c: float = 1.0,
           iterations: int = 2000) -> ToneModel:
-    """Class-balanced L2 logistic regression on hashed tf-idf and standardised style."""
-    rows = settle(df.select(ident, F.col(label).alias("label"), F.col(text).alias("text")))
-    style = x.style_features(F.col("text"))
+    """Class-balanced L2 logistic regression on hashed tf-idf and standardised style.
+
+    Texts are read once, for their buckets and style. What reaches the driver has the fixed
+    width of the hash space, whatever the table holds.
+    """
+    style = x.style_features(F.col(text))
+    rows = settle(df.select(F.col(label).alias("label"), _buckets(F.col(text)).alias("buckets"), *[col.alias(name) for name, col in style.items()]))
     sums = rows.agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == positive).cast("int")).alias("pos"),
-                    *[f(col).alias(f"{p}_{name}") for name, col in style.items() for p, f in (("m", F.avg), ("d", F.stddev_pop))]).first()
-    n, pos = sums["n"], sums["pos"]
-    counted = rows.select(ident, "label", F.inline(_buckets(F.col("text")))).withColumnRenamed("term", "bucket")
-    idf = counted.groupBy("bucket").agg((F.log((1 + F.lit(n)) / (1 + F.count(F.lit(1)))) + 1).alias("idf"))
-    idf = settle(idf)
-    raw = counted.join(idf, "bucket").select(ident, F.col("bucket").cast("int").alias("bucket"), ((1 + F.log("tf")) * F.col("idf")).alias("raw"))
-    packed = raw.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("bucket", "raw"))).alias("cells"))
-    scaled = [((col - F.lit(sums[f"m_{name}"])) / F.lit(sums[f"d_{name}"] or 1.0)) for name, col in style.items()]
-    size = (1 << HASH_BITS) + len(scaled)
-
-    @F.udf(VectorUDT())
-    def vector(cells, tone):
-        cells = cells or []
-        norm = sum(v * v for _, v in cells) ** 0.5 or 1.0
-        index = [b for b, _ in cells] + [(1 << HASH_BITS) + i for i in range(len(tone))]
-        return Vectors.sparse(size, index, [v / norm for _, v in cells] + list(tone))
+                    *[f(name).alias(f"{p}_{name}") for name in style for p, f in (("m", F.avg), ("d", F.stddev_pop))]).first()
+    n, pos = sums["n"], sums["pos"] or 0
+    counted = rows.select("buckets").mapInArrow(_texts_per_bucket, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    seen = counted["bucket"].to_numpy()
+    idf = np.zeros(1 << HASH_BITS)
+    idf[seen] = np.log((1 + n) / (1 + counted["n"].to_numpy())) + 1
+    scaled = [((F.col(name) - F.lit(sums[f"m_{name}"])) / F.lit(sums[f"d_{name}"] or 1.0)) for name in style]
+    width = len(scaled)
+    size = (1 << HASH_BITS) + width
+    vector = T.StructType([T.StructField("y", T.DoubleType()), T.StructField("w", T.DoubleType()), T.StructField("features", VectorUDT())])
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, bucket, weight = _weights(batch.column("buckets"), idf)
+            tone = batch.column("tone").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, width)
+            ends = np.cumsum(np.bincount(row, minlength=batch.num_rows))
+            at = np.repeat(ends, width)                     # style follows a row's buckets
+            index = np.insert(bucket, at, np.tile(np.arange(1 << HASH_BITS, size), batch.num_rows))
+            value = np.insert(weight, at, tone.ravel())
+            offsets = pa.array(np.concatenate([[0], ends + width * np.arange(1, batch.num_rows + 1)]), pa.int32())
+            features = pa.StructArray.from_arrays(
+                [pa.array(np.zeros(batch.num_rows), pa.int8()), pa.array(np.full(batch.num_rows, size), pa.int32()),
+                 pa.ListArray.from_arrays(offsets, pa.array(index, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(value, pa.float64()))],
+                ["type", "size", "indices", "values"])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("w"), features], ["y", "w", "features"])
 
     weight = F.when(F.col("label") == positive, n / (2.0 * max(pos, 1))).otherwise(n / (2.0 * max(n - pos, 1)))
-    ready = rows.join(packed, ident, "left").select(
-        (F.col("label") == positive).cast("double").alias("y"), weight.alias("w"), vector("cells", F.array(*scaled)).alias("features"))
+    ready = rows.select((F.col("label") == positive).cast("double").alias("y"), weight.alias("w"), "buckets", F.array(*scaled).alias("tone")).mapInArrow(
+        vectors, vector)
     model = LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=1.0 / (c * n), elasticNetParam=0.0,
                                standardization=False, maxIter=iterations, tol=1e-6).fit(ready)
     weights = model.coefficients.toArray()  # fixed width: the hash space and the style features
-    cells = [(str(int(i)), float(weights[i])) for i in np.flatnonzero(weights[:1 << HASH_BITS])]
-    spark = df.sparkSession
-    coefficient = spark.createDataFrame(cells or [("0", 0.0)], "bucket string, coefficient double")
-    table = idf.join(F.broadcast(coefficient), "bucket", "left").select("bucket", "idf", F.coalesce("coefficient", F.lit(0.0)).alias("coefficient"))
+    cells = [(str(int(b)), float(idf[b]), float(weights[b])) for b in seen]
+    table = df.sparkSession.createDataFrame(cells, "bucket string, idf double, coefficient double")
     tone = [(name, sums[f"m_{name}"], sums[f"d_{name}"] or 1.0, float(weights[(1 << HASH_BITS) + i])) for i, name in enumerate(style)]
     return ToneModel(settle(table), tone, float(model.intercept), positive, negative)
 
@@ -175,21 +214,36 @@ def ceiling(col: Column) -> Column:
     return F.when(short, SHORT_CEILING).when(plain, QUESTION_CEILING)
 
 
-def probability(model: ToneModel, df: DataFrame, ident: str, text: str) -> DataFrame:
-    """(ident, p): the model's raw probability, one aggregate per text."""
-    counted = df.select(ident, F.inline(_buckets(F.col(text)))).withColumnRenamed("term", "bucket")
-    weighted = counted.join(small_side(model.terms), "bucket").select(
-        ident, ((1 + F.log("tf")) * F.col("idf")).alias("w"), "coefficient")
-    lexical = weighted.groupBy(ident).agg((F.sum(F.col("w") * F.col("coefficient")) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("lexical"))
+def _scored(model: ToneModel, df: DataFrame, ident: str, text: str, **more: Column) -> DataFrame:
+    """(ident, more, p): the model's raw probability, where the text lies."""
+    idf, coefficient = np.zeros((2, 1 << HASH_BITS))
+    held = model.terms.toPandas()           # no more rows than the hash space
+    at = held["bucket"].astype(int).to_numpy()
+    idf[at], coefficient[at] = held["idf"].to_numpy(), held["coefficient"].to_numpy()
     tone = x.style_features(F.col(text))
     style = sum(((tone[name] - F.lit(mean)) / F.lit(dev) * F.lit(coef) for name, mean, dev, coef in model.style), F.lit(model.intercept))
-    rows = df.select(ident, style.alias("style")).join(lexical, ident, "left")
-    return rows.select(ident, (1 / (1 + F.exp(-(F.col("style") + F.coalesce("lexical", F.lit(0.0)))))).alias("p"))
+    rows = df.select(ident, *[col.alias(name) for name, col in more.items()], style.alias("style"), _buckets(F.col(text)).alias("buckets"))
+    kept = [f for f in rows.schema.fields if f.name != "buckets"]
+    names = [f.name for f in kept]
+
+    def lexical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, bucket, weight = _weights(batch.column("buckets"), idf)
+            part = np.bincount(row, weight * coefficient[bucket], minlength=batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*[batch.column(name) for name in names], pa.array(part, pa.float64())], [*names, "lexical"])
+
+    out = rows.mapInArrow(lexical, T.StructType([*kept, T.StructField("lexical", T.DoubleType())]))
+    return out.select(ident, *more, (1 / (1 + F.exp(-(F.col("style") + F.col("lexical"))))).alias("p"))
+
+
+def probability(model: ToneModel, df: DataFrame, ident: str, text: str) -> DataFrame:
+    """(ident, p): the model's raw probability."""
+    return _scored(model, df, ident, text)
 
 
 def classify(model: ToneModel, df: DataFrame, ident: str, text: str) -> DataFrame:
     """(ident, score, label, confidence), with the ceilings applied, 3 decimals."""
-    rows = probability(model, df, ident, text).join(df.select(ident, ceiling(F.col(text)).alias("top")), ident)
+    rows = _scored(model, df, ident, text, top=ceiling(F.col(text)))
     score = F.least(F.col("p"), F.coalesce("top", F.lit(1.0)))
     return rows.withColumn("raw", score).select(
         ident, F.round("raw", 3).alias("score"), F.when(F.col("raw") >= THRESHOLD, model.positive).otherwise(model.negative).alias("label"),

@@ -229,3 +229,12 @@ def test_passages_are_found_by_their_rarest_run(spark):
             if words and f" {' '.join(words)} " in f" {' '.join((body or '').split())} ":
                 want.add((item, doc))
     assert {(r.item, r.doc) for r in got} == want and len(got) == len(want)
+
+
+def test_scoring_stays_where_the_text_lies(spark):
+    df = spark.createDataFrame([(i, f"word{i % 7} said twice said {i}", "upset" if i % 2 else "calm") for i in range(40)], "id long, text string, label string")
+    model = classify.train(df, "id", "text", "label", "upset", "calm", iterations=3)
+    given = classify.classify(model, df, "id", "text")
+    plan = given._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+    assert given.count() == 40
