@@ -87,7 +87,7 @@ def term_cells(counted: DataFrame, dictionary: DataFrame, ident: str) -> DataFra
     raw = (1 + F.log("tf")) * F.col("idf")
     known = dictionary.select("term", F.col("id").alias("term_id__"), "idf")
     cells = counted.join(known, "term").groupBy(ident).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("term_id__").alias("id"), "term", raw.alias("raw")))).alias("cells"))
+        F.sort_array(F.collect_list(F.struct(F.col("term_id__").alias("id"), "term", raw.alias("raw")))).alias("cells"))
     norm = F.sqrt(F.aggregate("cells", F.lit(0.0), lambda n, c: n + c["raw"] * c["raw"]))
     return cells.withColumn("norm", norm).select(ident, F.transform("cells", lambda c: F.struct(
         c["id"].alias("id"), c["term"].alias("term"), (c["raw"] / F.col("norm")).alias("weight"))).alias("cells"))

@@ -30,7 +30,7 @@ class QuestionBlock:
 
     rows: list[dict]                   # sorted by (question, part); part 0 is the whole question
     terms: list[str]
-    entries: np.ndarray                # rows of (term, question, multiplicity)
+    entries: np.ndarray                # rows of (term, question, multiplicity), by term
     idf: np.ndarray                    # per term
     vectors: np.ndarray                # question x dims, unit length or zero
     places: list[str] = field(default_factory=list)
@@ -49,7 +49,8 @@ class QuestionBlock:
         entries = np.array([(at[w["term"]], i, w["tf"]) for i, r in enumerate(rows) for w in r["weights"]], dtype=np.int32)
         vectors = np.array([r["embedding"] for r in rows], dtype=float).reshape(len(rows), len(rows[0]["embedding"]) if rows else 0)
         norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
-        block = cls(rows, terms, entries.reshape(-1, 3), np.array([idf[t] for t in terms] or [0.0]),
+        entries = entries.reshape(-1, 3)
+        block = cls(rows, terms, entries[np.argsort(entries[:, 0], kind="stable")], np.array([idf[t] for t in terms] or [0.0]),
                     np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0))
         if covers is not None:
             block.places = sorted(set(covers) | set(aliases.values()))
@@ -84,20 +85,15 @@ class QuestionBlock:
         """Distinct terms per question."""
         return np.bincount(self.entries[:, 1], minlength=len(self.rows))
 
-    def counts(self) -> np.ndarray:
-        """term x question multiplicities."""
-        out = np.zeros((max(len(self.terms), 1), len(self.rows)))
-        if len(self.entries):
-            out[self.entries[:, 0], self.entries[:, 1]] = self.entries[:, 2]
-        return out
-
     @cached_property
-    def weights(self) -> np.ndarray:
-        return self.counts() * self.idf[:, None]
+    def starts(self) -> np.ndarray:
+        """Where the entries of each term begin, and the end of the last."""
+        return np.concatenate([[0], np.cumsum(np.bincount(self.entries[:, 0], minlength=max(len(self.terms), 1)))])
 
     @cached_property
-    def members(self) -> np.ndarray:
-        return (self.counts() > 0).astype(float)
+    def weights(self) -> np.ndarray:
+        """Per entry: multiplicity times inverse document frequency."""
+        return self.entries[:, 2] * self.idf[self.entries[:, 0]]
 
 
 @dataclass(frozen=True)
@@ -116,16 +112,34 @@ class Settings:
     fusion: float = 0.0
 
 
-def _matrix(column: pa.Array, known: pa.Array, width: int) -> np.ndarray:
-    """row x value counts of a list column, for the known values only."""
+def _counts(column: pa.Array, known: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, value, count) of a list column, for the known values only, by row and value."""
     lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    rows = len(lists)
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
     at = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
-    owner = np.repeat(np.arange(rows), sizes)
+    owner = np.repeat(np.arange(len(lists), dtype=np.int64), sizes)
     hit = at >= 0
-    counts = np.bincount(owner[hit] * width + at[hit], minlength=rows * width)
-    return counts.reshape(rows, width).astype(float)
+    code, n = np.unique(owner[hit] * width + at[hit], return_counts=True)
+    return code // width, code % width, n.astype(float)
+
+
+def _matrix(column: pa.Array, known: pa.Array, width: int) -> np.ndarray:
+    """row x value counts of a list column, for the known values only."""
+    row, value, n = _counts(column, known, width)
+    out = np.zeros((len(column), width))
+    out[row, value] = n
+    return out
+
+
+def _product(rows: int, row: np.ndarray, term: np.ndarray, value: np.ndarray, q: QuestionBlock, weight: np.ndarray) -> np.ndarray:
+    """chunk x question sums over the terms both hold. A chunk's terms meet only the questions
+    that have them, so the work follows the matches and not the number of all terms."""
+    starts = q.starts
+    many = starts[term + 1] - starts[term]
+    first = np.repeat(starts[term] - np.cumsum(many) + many, many)
+    at = first + np.arange(len(first))
+    place = np.repeat(row, many) * len(q.rows) + q.entries[at, 1]
+    return np.bincount(place, np.repeat(value, many) * weight[at], minlength=rows * len(q.rows)).reshape(rows, len(q.rows))
 
 
 def _vectors(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
@@ -151,11 +165,10 @@ def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
 def raw_scores(block: pa.RecordBatch, q: QuestionBlock, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(lexical, dense), each chunk x question."""
     tokens = block.column("tokens")
-    tf = _matrix(tokens, pa.array(q.terms, pa.string()), max(len(q.terms), 1))
-    length = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(float)[:, None]
-    # A term that is absent divides to zero, so the whole block is one product.
+    row, term, tf = _counts(tokens, pa.array(q.terms, pa.string()), max(len(q.terms), 1))
+    length = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(float)[row]
     share = tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * length / s.avg_len))
-    lexical = share @ q.weights
+    lexical = _product(block.num_rows, row, term, share, q, q.weights)
     vectors, _ = _vectors(block.column("embedding"), q.vectors.shape[1])
     return lexical, vectors @ q.vectors.T
 
@@ -191,7 +204,8 @@ def final_scores(block: pa.RecordBatch, q: QuestionBlock, s: Settings):
     score = (s.lexical_weight * _normalise(lexical, bounds[0], bounds[1])
              + (1 - s.lexical_weight) * _normalise(dense, bounds[2], bounds[3]))
     heading = block.column("heading_tokens")
-    found = (_matrix(heading, pa.array(q.terms, pa.string()), max(len(q.terms), 1)) > 0).astype(float) @ q.members
+    row, term, _ = _counts(heading, pa.array(q.terms, pa.string()), max(len(q.terms), 1))
+    found = _product(block.num_rows, row, term, np.ones(len(row)), q, np.ones(len(q.entries)))
     coverage = found / np.maximum(q.sizes, 1)
     score = score * (1 + s.heading_gain * coverage ** 2)
     shape = score.shape

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +220,15 @@ def test_guard_refuses_unknown_subjects(spark, setup):
     hits = retrieval.with_chunks(retrieval.search(q, index, CFG), index)
     got = {r.query_id: r.grounded for r in retrieval.grounding_guard(q, hits, vocab_table, VOCAB).collect()}
     assert got == {1: True, 2: False, 3: False}
+
+
+def test_lexical_sums_follow_the_matches():
+    rng = np.random.default_rng(3)
+    tf, weight = rng.poisson(0.3, (20, 30)).astype(float), rng.poisson(0.2, (30, 7))
+    asked = [{"query_id": i, "part": 0, "embedding": [1.0], "weights": [
+        {"term": f"t{t:02}", "tf": int(weight[t, i]), "idf": 1.0 + t} for t in range(30) if weight[t, i]]} for i in range(7)]
+    block = scoring.QuestionBlock.of(pa.Table.from_pylist(asked), None, {}, ())
+    kept = [int(t[1:]) for t in block.terms]
+    row, term = np.nonzero(tf[:, kept])
+    got = scoring._product(20, row, term, tf[:, kept][row, term], block, block.weights)
+    assert np.allclose(got, tf @ (weight * (1.0 + np.arange(30))[:, None]))
