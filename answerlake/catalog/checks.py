@@ -75,11 +75,18 @@ def _(t):
     return audit.overlap(t.texts.filter("doc_id % 2 = 0"), t.texts.filter("doc_id % 2 = 1"))
 
 
-@query("containing_documents", "D1 D3", """WITH p AS (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark)
-SELECT DISTINCT item_id, doc_id FROM p JOIN documents d
+# Whole passages, and the first half of each that has two words or more: a document may hold either.
+@query("containing_documents", "D1 D3", """WITH w AS (SELECT item_id, regexp_extract_all(text, '\\S+') AS w FROM benchmark),
+p AS (SELECT item_id, 'whole' AS part, w FROM w UNION ALL SELECT item_id, 'half', w[1:length(w) // 2] FROM w)
+SELECT DISTINCT item_id, part, doc_id FROM p JOIN documents d
   ON contains(' ' || array_to_string(regexp_extract_all(d.text, '\\S+'), ' ') || ' ', ' ' || array_to_string(w, ' ') || ' ') WHERE length(w) > 0""")
 def _(t):
-    return audit.containing_documents(t.benchmark, "item_id", t.texts, "doc_id", 8)
+    words = x.words(F.col("text"))
+    half = F.slice(words, F.lit(1), F.floor(F.size(words) / 2).cast("int"))
+    passages = t.benchmark.select(F.explode(F.array(
+        F.struct(F.struct("item_id", F.lit("whole").alias("part")).alias("passage_id"), F.col("text")),
+        F.struct(F.struct("item_id", F.lit("half").alias("part")).alias("passage_id"), F.array_join(half, " ").alias("text")))).alias("p")).select("p.*")
+    return audit.containing_documents(passages, "passage_id", t.texts, "doc_id", 8).select("passage_id.item_id", "passage_id.part", "doc_id")
 
 
 # Lines of the documents as passages: short ones, and many that several documents share.

@@ -238,3 +238,12 @@ def test_scoring_stays_where_the_text_lies(spark):
     plan = given._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
     assert given.count() == 40
+
+
+def test_passages_are_looked_up_whole_and_by_half(spark, tmp_path):
+    from answerlake.catalog.registry import all_entries
+    from answerlake.session import Tables
+    spark.createDataFrame([(1, "a b c d"), (2, "e f g"), (3, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, "x a b y"), (2, "a b  c d"), (3, "e z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = all_entries()["containing_documents"].build(Tables(spark, str(tmp_path))).collect()
+    assert {(r.item_id, r.part, r.doc_id) for r in got} == {(1, "half", 1), (1, "half", 2), (1, "whole", 2), (2, "half", 3)}
