@@ -156,12 +156,19 @@ def resolve_followups(messages: DataFrame, vocab: Vocabulary, slots: tuple[str,
 
     def text_of(n: Column) -> Column:
         said = F.array_join(F.transform(F.filter("whole", lambda p: p["message"] == n), shown), "")
-        said = F.when(moved > n, F.regexp_replace(said, r"\s+([?.!,])", "$1")).otherwise(said)
         return F.regexp_replace(F.when(n > 1, F.regexp_replace(said, "^[ ,]+|[ ,]+$", "")).otherwise(said), r"[ ?.!]+$", "")
 
     texts = F.transform(F.sequence(F.lit(1).cast("long"), F.col("number")), text_of)
-    joined = F.array_join(F.filter(texts, lambda t: F.length(t) > 0), " ")
-    asked = F.concat(F.regexp_replace(x.strip(F.regexp_replace(joined, r"\s{2,}", " ")), r"[ ?.!]+$", ""), F.lit("?"))
+
+    def join(parts: Column) -> Column:
+        return F.array_join(F.filter(parts, lambda t: F.length(t) > 0), " ")
+
+    # what was said before the last message with a place has had places cut out: its punctuation closes up, across messages too
+    cut = F.greatest(moved - 1, F.lit(0)).cast("int")
+    closed = F.regexp_replace(join(F.slice("texts", F.lit(1), cut)), r"\s+([?.!,])", "$1")
+    joined = join(F.array(closed, join(F.slice("texts", cut + 1, F.size("texts")))))
+    asked = F.concat(F.regexp_replace(F.regexp_replace(joined, r"\s{2,}", " "), r"^ +|\s+$|[ ?.!]+$", ""), F.lit("?"))
+    rows = rows.withColumn("texts", texts)
     return rows.select("session_id", "id", "follow_up", F.when(F.col("follow_up"), asked).otherwise(F.col("message")).alias("resolved"))
 
 

@@ -300,3 +300,13 @@ def test_follow_ups_are_completed_from_their_chain(spark):
     assert got == {(s, i): (w is not None, w if w is not None else m or "") for s, talk in enumerate(TALKS) for i, (m, w) in enumerate(talk)}
     late = df.withColumn("at", F.col("at") + F.col("id") * F.expr("INTERVAL 1 HOUR"))
     assert not followups.resolve_followups(late, vocab).filter("follow_up").count()
+
+
+def test_follow_ups_close_up_across_messages(spark):
+    from answerlake.functions.vocabulary import Vocabulary
+    vocab = Vocabulary(places={"oslo": (), "rome": ()})
+    said = [(1, "\nBags in economy , to oslo"), (2, "and to rome")]
+    rows = spark.createDataFrame(said, "id long, message string").selectExpr(
+        "1L AS session_id", "id", "message", "timestamp_seconds(id) AS at")
+    got = {r.id: r.resolved for r in followups.resolve_followups(rows, vocab).collect()}
+    assert got[2] == "\nBags in economy, to rome?"
