@@ -81,7 +81,7 @@ p AS (SELECT item_id, 'whole' AS part, w FROM w UNION ALL SELECT item_id, 'half'
 SELECT DISTINCT item_id, part, doc_id FROM p JOIN documents d
   ON contains(' ' || array_to_string(regexp_extract_all(d.text, '\\S+'), ' ') || ' ', ' ' || array_to_string(w, ' ') || ' ') WHERE length(w) > 0""")
 def _(t):
-    words = x.words(F.col("text"))
+    words = audit.sql_words(F.col("text"))
     half = F.slice(words, F.lit(1), F.floor(F.size(words) / 2).cast("int"))
     passages = t.benchmark.select(F.explode(F.array(
         F.struct(F.struct("item_id", F.lit("whole").alias("part")).alias("passage_id"), F.col("text")),
@@ -94,7 +94,7 @@ def _(t):
     WHERE length(w) BETWEEN 1 AND 12)
 SELECT DISTINCT line, doc_id FROM l JOIN documents d ON contains(' ' || array_to_string(regexp_extract_all(d.text, '\\S+'), ' ') || ' ', ' ' || line || ' ')""")
 def _(t):
-    words = x.words(F.col("line"))
+    words = audit.sql_words(F.col("line"))
     lines = t.texts.select(F.explode(F.split("text", "\n")).alias("line")).filter(F.size(words).between(1, 12)).select(
         F.array_join(words, " ").alias("line")).distinct()
     return audit.containing_documents(lines.select("line", F.col("line").alias("text")), "line", t.texts, "doc_id", 8)

@@ -1,4 +1,4 @@
 """Training-data operators: extraction, near duplicates, scoring, packing, fingerprints.
 
-Nothing else in the package imports this subpackage.
+Of the rest of the package only `operators/passages.py` imports it, for the word hashes.
 """

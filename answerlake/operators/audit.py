@@ -8,67 +8,31 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerlake.functions import text as x
-from answerlake.session import settle, small_side
+from answerlake.operators.passages import runs_in_texts
+from answerlake.session import small_side
 
 
-def word_runs(text: Column, n: int) -> Column:
-    """Every run of n consecutive words of a text, joined by single spaces."""
-    return x.let(x.words(text), lambda w: F.when(F.size(w) >= n, F.transform(
-        F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, F.lit(n)), " "))).otherwise(x.word_set(())))
-
-
-SEEN_BITS = 1 << 22
-
-
-def seen_bits(values: DataFrame, column: str) -> DataFrame:
-    """One row with a bit set of fixed size: where the hashes of the column's values fall."""
-    place = F.pmod(F.xxhash64(column), F.lit(SEEN_BITS))
-    words = values.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(
-        F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
-    every = values.sparkSession.range(SEEN_BITS >> 6).withColumnRenamed("id", "word").join(F.broadcast(words), "word", "left")
-    held = F.array_sort(F.collect_list(F.struct("word", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))
-    return every.agg(F.transform(held, lambda w: w["bits"]).alias("seen"))
+def sql_words(text: Column) -> Column:
+    """Words as the SQL's `\\S` sees them: a vertical tab does not end one."""
+    return x.extract_all(text, r"[^\t\n\f\r ]+")
 
 
 def containing_documents(passages: DataFrame, ident: str, docs: DataFrame, doc_id: str, n: int = 6) -> DataFrame:
     """(ident, doc_id) pairs where the document holds all the passage's words in a row.
 
-    Documents are never compared with passages one by one. A document's runs of n words are
-    looked up in a bit set of the passages' runs where it lies (of all words of a shorter
-    passage), so nearly only runs that a passage has are shuffled. Of each passage the run that
-    the fewest documents hold names its candidates; in those the whole passage is looked up. A
-    passage without words is in none.
+    Documents are never compared with passages one by one, nor their runs shuffled: a document's
+    runs of words are looked up where it lies in a Bloom filter whose size follows the number of
+    passages. Only the runs that pass are joined with the passages, whole and as text, so nothing
+    rests on a hash. A passage without words is in none.
     """
-    found = x.words(F.col("text"))
-    wanted = passages.select(ident, found.alias("w")).filter(F.size("w") > 0).select(
-        ident, F.least(F.size("w"), F.lit(n)).alias("k"), F.array_join("w", " ").alias("passage"))
-    wanted = small_side(wanted)
-    sizes = sorted(r["k"] for r in wanted.select("k").distinct().collect())      # n numbers at most
+    words = sql_words(F.col("text"))
+    wanted = small_side(passages.select(ident, words.alias("w")).filter(F.size("w") > 0).select(
+        ident, F.size("w").alias("k"), F.array_join("w", " ").alias("passage")))
+    sizes = {r["k"]: r["n"] for r in wanted.groupBy("k").agg(F.count(F.lit(1)).alias("n")).collect()}     # a row for each length
     if not sizes:
         return docs.select(F.lit(None).cast(passages.schema[ident].dataType).alias(ident), doc_id).limit(0)
-    of_size = F.lit(None).cast("array<string>")
-    for k in sizes:
-        of_size = F.when(F.col("k") == k, F.array_distinct(word_runs(F.col("passage"), k))).otherwise(of_size)
-    asked = small_side(wanted.select(ident, F.explode(of_size).alias("run")))
-    seen = seen_bits(asked, "run").scalar()
-
-    def known(run: Column) -> Column:
-        place = F.pmod(F.xxhash64(run), F.lit(SEEN_BITS))
-        word = F.element_at(F.col("seen"), F.shiftright(place, 6).cast("int") + 1)
-        return F.coalesce(F.call_function("shiftright", word, place.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1, F.lit(False))
-
-    runs = F.array_distinct(F.concat(*[word_runs(F.col("text"), k) for k in sizes]))
-    held = docs.select(doc_id, runs.alias("runs")).withColumn("seen", seen).select(
-        doc_id, F.explode(F.filter("runs", known)).alias("run"))
-    held = settle(held.join(asked.select("run").distinct(), "run", "left_semi"))
-    counts = held.groupBy("run").agg(F.count(F.lit(1)).alias("documents"))
-    # a passage one of whose runs no document holds is in none
-    rarest = asked.join(counts, "run", "left").groupBy(ident).agg(
-        F.min_by("run", F.struct(F.coalesce("documents", F.lit(0)).alias("documents"), "run")).alias("run"))
-    pairs = held.join(small_side(rarest.join(wanted.select(ident, "passage"), ident)), "run").select(ident, doc_id, "passage").distinct()
-    bodies = docs.select(doc_id, F.concat(F.lit(" "), F.array_join(found, " "), F.lit(" ")).alias("body"))
-    return pairs.join(bodies, doc_id).filter(
-        F.contains(F.col("body"), F.concat(F.lit(" "), F.col("passage"), F.lit(" ")))).select(ident, doc_id).distinct()
+    held = runs_in_texts(docs, doc_id, wanted, sizes, n)
+    return held.join(wanted, "passage").select(ident, doc_id).distinct()
 
 
 def containing_phrase(rows: DataFrame, ident: str, phrase: str, docs: DataFrame, doc_key: str) -> DataFrame:

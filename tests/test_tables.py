@@ -247,3 +247,34 @@ def test_passages_are_looked_up_whole_and_by_half(spark, tmp_path):
     spark.createDataFrame([(1, "x a b y"), (2, "a b  c d"), (3, "e z")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = all_entries()["containing_documents"].build(Tables(spark, str(tmp_path))).collect()
     assert {(r.item_id, r.part, r.doc_id) for r in got} == {(1, "half", 1), (1, "half", 2), (1, "whole", 2), (2, "half", 3)}
+
+
+def test_lines_are_found_as_the_sql_finds_them(spark, tmp_path):
+    import duckdb
+
+    from answerlake.catalog.registry import all_entries
+    from answerlake.session import Tables
+    rows = [(1, "a\x0bb\nc  d\te\r\n\n"), (2, "x a\x0bb y"), (None, "c d e f"), (3, None), (3, "c d"), (4, ""), (4, "c d e c d e"), (5, "é ü\n" + "w " * 12),
+            (6, "é ü " + "w " * 30), (7, " ".join(map(str, range(13)))), (8, "b"), (8, "b")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    item = all_entries()["repeated_lines"]
+    got = [(r.line, r.doc_id) for r in item.build(Tables(spark, str(tmp_path))).collect()]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(item.sql).fetchall()
+    assert len(got) == len(want) and set(got) == set(want) and ("a\x0bb", 2) in got and ("c d", None) in got
+
+
+def test_runs_that_are_no_passage_stay_where_the_text_lies(spark):
+    from answerlake.operators.passages import CHUNK_WORDS, runs_in_texts
+    # more passages than the former filter of 2^22 bits told apart; sizes beyond and below n, a text over several chunks
+    n, long = 300_000, CHUNK_WORDS + 50
+    passages = spark.range(n).select(F.concat_ws(" ", F.col("id"), F.when(F.col("id") % 2 == 0, F.concat_ws(" ", F.lit("p"), F.lit("q")))).alias("passage"))
+    sizes = {1: n // 2, 3: n // 2}
+    words = [f"z{i}" for i in range(long)]
+    words[CHUNK_WORDS - 1: CHUNK_WORDS + 2] = ["4", "p", "q"]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "3 4 p 8 p q"), (3, " ".join(f"y{i}" for i in range(40_000)))], "doc_id long, text string")
+    got = runs_in_texts(docs, "doc_id", passages, sizes, 2).collect()
+    known = {(r.doc_id, r.passage) for r in got if not r.passage.startswith(("y", "z"))}
+    assert known >= {(1, "4 p q"), (2, "3"), (2, "8 p q")}
+    assert len(got) < 1_000
