@@ -11,7 +11,7 @@ from answerlake.catalog.texts import sql_asks, sql_parts
 from answerlake.functions import text as x
 from answerlake.operators import lanes
 from answerlake.plans import quality, retrieval
-from answerlake.session import settle
+from answerlake.session import settle, spread
 
 SEARCH = f"{s.SEARCH}, {s.mmr_sql()}, hx AS (SELECT h.*, c.source, c.section, c.text, c.search_text FROM hits h JOIN chunks c USING (chunk_id))"
 
@@ -447,7 +447,8 @@ def _(t):
     sentence = F.concat(F.lit("Between five kg and "), n(F.col("p_size") + 5), F.lit("kg, or two to "), n(F.col("p_size") % 12 + 1),
                         F.lit(" days, over "), n(key % 24), F.lit(" hours and not more than 7 days."))
     question = F.concat(n(key % 40), F.lit(" kilos and "), n(key % 15), F.lit(" days and "), n(key % 30), F.lit(" hrs"))
-    return t.part.select("p_partkey", quality.band_bonus(sentence, quality.quantities(question)).alias("bonus"))
+    parts = spread(t.part.select("p_partkey", "p_size"))
+    return parts.select("p_partkey", quality.band_bonus(sentence, quality.quantities(question)).alias("bonus"))
 
 
 @query("band_join", "J11", """SELECT p_type, p_size, count(*) AS lines, CAST(sum(l_linenumber) AS BIGINT) AS line_sum

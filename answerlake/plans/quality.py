@@ -40,8 +40,7 @@ _QUANTITY = r"(?i)(\d+(?:\.\d+)?)\s*(kg|kilos?|kilograms?|hours?|hrs?|days?)"
 
 def _unit(raw: Column) -> Column:
     table = F.create_map(*[F.lit(p) for pair in UNITS.items() for p in pair])
-    word = F.lower(raw)
-    return F.when(word == "", None).otherwise(F.coalesce(F.element_at(table, word), word))
+    return x.let(F.lower(raw), lambda word: F.when(word == "", None).otherwise(F.coalesce(F.element_at(table, word), word)))
 
 
 def quantities(question: Column) -> Column:
@@ -61,7 +60,8 @@ def spell_digits(sentence: Column) -> Column:
 def band_bonus(sentence: Column, asked: Column) -> Column:
     """+6 / -2 for a stated range that does / does not hold an asked quantity, +3 / -1
     for a threshold it does / does not exceed; other units and negated thresholds do
-    not count."""
+    not count. The spelt sentence, its negated thresholds and the asked quantities are made
+    once a row, not once for each pattern, band or pair."""
     def group(m: Column, pattern: str, n: int) -> Column:
         return F.regexp_extract(m, pattern, n)
 
@@ -75,14 +75,14 @@ def band_bonus(sentence: Column, asked: Column) -> Column:
         between = F.transform(x.extract_all(text, _RANGE), lambda m: band(
             group(m, _RANGE, 1), group(m, _RANGE, 3),
             F.coalesce(_unit(group(m, _RANGE, 2)), _unit(group(m, _RANGE, 4)))))
-        negated = F.transform(x.extract_all(text, _NOT_OVER, 1), lambda n: n.cast("double"))
-        over = F.filter(F.transform(x.extract_all(text, _OVER), lambda m: F.struct(
+        said = F.transform(x.extract_all(text, _OVER), lambda m: F.struct(
             group(m, _OVER, 1).cast("double").alias("low"), F.lit(float("inf")).alias("high"),
-            _unit(group(m, _OVER, 2)).alias("unit"), F.lit(3.0).alias("inside"), F.lit(-1.0).alias("outside"))),
-            lambda b: ~F.array_contains(negated, b["low"]))
+            _unit(group(m, _OVER, 2)).alias("unit"), F.lit(3.0).alias("inside"), F.lit(-1.0).alias("outside")))
+        over = x.let(F.transform(x.extract_all(text, _NOT_OVER, 1), lambda n: n.cast("double")),
+                     lambda negated: F.filter(said, lambda b: ~F.array_contains(negated, b["low"])))
         return F.concat(ranges, between, over)
 
-    def score(b: Column) -> Column:
+    def score(b: Column, asked: Column) -> Column:
         def one(q: Column) -> Column:
             above = F.when(b["inside"] == 3.0, q["value"] > b["low"]).otherwise(q["value"] >= b["low"])
             other_unit = F.coalesce(b["unit"] != q["unit"], F.lit(False))
@@ -90,8 +90,11 @@ def band_bonus(sentence: Column, asked: Column) -> Column:
 
         return F.aggregate(asked, F.lit(0.0), lambda s, q: s + one(q))
 
-    total = x.let(bands(spell_digits(sentence)), lambda found: F.aggregate(found, F.lit(0.0), lambda s, b: s + score(b)))
-    return F.when(F.size(asked) == 0, 0.0).otherwise(total)
+    def total(asked: Column) -> Column:
+        return x.let(x.let(spell_digits(sentence), bands), lambda found: F.aggregate(
+            found, F.lit(0.0), lambda s, b: s + score(b, asked)))
+
+    return x.let(asked, lambda q: F.when(F.size(q) == 0, 0.0).otherwise(total(q)))
 
 
 # ----------------------------------------------------------- answer composition

@@ -141,3 +141,13 @@ def test_joining_words_in_a_row_open_one_part(spark):
     ("AB12CD XY9ZQ1 A1B2C3", "[booking ref] [booking ref] [booking ref]")])
 def test_scrub_edges(spark, text, want):
     assert one(spark, text, lambda c: masking.scrub(c)["text"]) == want
+
+
+def test_band_rules_run_once_a_row(spark, tables):
+    from answerlake.catalog.registry import all_entries
+    df = spark.createDataFrame([("four to eight hours, over two days, not more than ten days", "5 hours and 9 days")], "s string, q string")
+    got = df.select(quality.band_bonus(F.col("s"), quality.quantities(F.col("q"))).alias("v"))
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("twenty-four\\b") == 1 and plan.count(r"(\d+(?:\.\d+)?)\s*(kg|kilos?|kilograms?|hours?|hrs?|days?), 0") == 1
+    assert got.first()["v"] == 9.0
+    assert all_entries()["band_bonus"].build(tables).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
