@@ -1,15 +1,20 @@
-"""Token ids of texts by the tokenizers library, one call for each distinct word of a batch.
+"""Token ids of texts by the tokenizers library, which sees each distinct word of a task once.
 
 For the two splitting rules below a text splits into words before anything is merged, so the
 ids of a text are those of its words in order. Words are found here only in texts made of
 characters whose class is beyond doubt (ASCII, Latin letters, common punctuation); any other
 text, any text that holds the string of an added token, and any tokenizer with another rule,
 goes to the library whole.
+
+New words go to the library many to a text, set apart so that none touches the next; where a
+word's ids begin or end is told by the vocabulary. Words are numbers from then on: a text's ids
+are gathered by numpy from one array, no object is made for a word that is known.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import re
 
 import numpy as np
@@ -21,8 +26,27 @@ SAFE = re.compile(f"[^\\t\\n\\r -~{LETTER}¡£§«»¿–—‘-‚“-„…€
 BYTE_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\\s0-9{LETTER}]+|\\s+(?!\\S)|\\s+")
 PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s0-9{LETTER}]+")
 
-CACHED_WORDS = 250_000
-WORDS_AT_ONCE = 10_000
+CACHED_WORDS = 800_000
+WORDS_AT_ONCE = 1_000
+
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")        # a task has one core
+
+
+class Numbers(dict):
+    """Number of each word, by first sight; new words are listed."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.new.append(word)
+        number = self[word] = len(self)
+        return number
+
+
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
 
 
 class Encoder:
@@ -35,7 +59,17 @@ class Encoder:
         added = [x["content"].lower() for x in spec.get("added_tokens") or [] if x.get("content")]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.words, self.lower = self._rule(spec)
-        self.known: dict[str, bytes] = {}
+        self._forget()
+        vocabulary = self.tokenizer.get_vocab() if self.words else {}
+        suffix = (spec.get("model") or {}).get("end_of_word_suffix")
+        self.edge = np.zeros(max(vocabulary.values(), default=0) + 1, bool)     # ids that end a word, or begin one with its space
+        self.edge[[i for t, i in vocabulary.items() if (suffix and t.endswith(suffix) if self.lower else t.startswith("Ġ"))]] = True
+        line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line = line[0] if len(line) == 1 else -1
+
+    def _forget(self):
+        self.known, self.used = Numbers(), 0
+        self.flat, self.start, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     @staticmethod
     def _rule(spec: dict):
@@ -50,32 +84,75 @@ class Encoder:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def _encode_words(self, words: list[str]):
-        """Ids of words that stand alone, many to a call: the library says whose each id is."""
-        for at in range(0, len(words), WORDS_AT_ONCE):
-            some = words[at: at + WORDS_AT_ONCE]
-            found = self.tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            ends = (4 * np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1))).tolist()
-            ids = np.array(found.ids, "<u4").tobytes()
-            yield from (ids[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True))
+    def _ends(self, ids: np.ndarray, kind: str) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of each word of a text of such words begin and end."""
+        if kind == "ended":
+            ends = np.flatnonzero(self.edge[ids]) + 1
+            return np.concatenate([[0], ends[:-1]]), ends
+        if kind == "spaced":
+            begins = np.flatnonzero(self.edge[ids])
+            return begins, np.append(begins[1:], len(ids))
+        lines = np.flatnonzero(ids == self.line)
+        return np.concatenate([[0], lines + 1]), np.append(lines, len(ids))
+
+    def _store(self, numbers: np.ndarray, begins: np.ndarray, ends: np.ndarray, ids: np.ndarray) -> None:
+        self.flat = _room(self.flat, self.used + len(ids))
+        self.flat[self.used: self.used + len(ids)] = ids
+        self.start[numbers], self.size[numbers] = self.used + begins, ends - begins
+        self.used += len(ids)
+
+    def _learn(self, words: list[str], first: int) -> None:
+        """Stores the ids of new words, whose numbers begin at `first`."""
+        self.start, self.size = _room(self.start, first + len(words)), _room(self.size, first + len(words))
+        kinds: dict[str, list[int]] = {"ended": [], "spaced": [], "lines": [], "alone": []}
+        if self.lower:
+            kinds["ended"] = list(range(len(words)))
+        else:
+            for i, word in enumerate(words):
+                kinds["alone" if word.isspace() else "spaced" if word[0] == " " else "lines"].append(i)
+        alone = kinds.pop("alone")
+        for kind, own in kinds.items():
+            joint = {"ended": " ", "spaced": "", "lines": "\n"}[kind]
+            for at in range(0, len(own), WORDS_AT_ONCE):
+                some = own[at: at + WORDS_AT_ONCE]
+                ids = np.array(self.tokenizer.encode_batch_fast([joint.join([words[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
+                begins, ends = self._ends(ids, kind)
+                if len(begins) == len(ends) == len(some) and begins[0] == 0 and ends[-1] == len(ids):
+                    self._store(np.array(some) + first, begins, ends, ids)
+                else:
+                    alone += some
+        for i, ids in zip(alone, self._encode([words[i] for i in alone]), strict=True):
+            self._store(np.array([first + i]), np.zeros(1, np.int64), np.array([len(ids) // 4]), np.frombuffer(ids, "<u4"))
+
+    def _joined(self, numbers: list[np.ndarray]) -> list[bytes]:
+        """The ids of texts given as numbers of words."""
+        every = np.concatenate(numbers)
+        size = self.size[every]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[every] - ends[:-1], size)].tobytes()
+        bounds = (4 * ends[np.concatenate([[0], np.cumsum([len(x) for x in numbers])])]).tolist()
+        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        split, whole = [], []
+        if len(self.known) > CACHED_WORDS:
+            self._forget()
+        split, numbers, whole = [], [], []
+        get, first = self.known.__getitem__, len(self.known)
         for i, text in enumerate(texts):
             text = text or ""
             if self.words is None or SAFE.search(text) or self.added and self.added.search(text.lower()):
                 whole.append((i, text))
             else:
-                split.append((i, self.words.findall(text.lower() if self.lower else text)))
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
-        new = list(set().union(*(w for _, w in split)).difference(self.known)) if split else []
-        if new:
-            self.known.update(zip(new, self._encode_words(new), strict=True))
+                words = self.words.findall(text.lower() if self.lower else text)
+                split.append(i)
+                numbers.append(np.fromiter(map(get, words), np.int64, len(words)))
+        if self.known.new:
+            self._learn(self.known.new, first)
+            self.known.new = []
         out: list[bytes] = [b""] * len(texts)
-        get = self.known.__getitem__
-        for i, words in split:
-            out[i] = b"".join(map(get, words))
+        if split:
+            for i, ids in zip(split, self._joined(numbers), strict=True):
+                out[i] = ids
         if whole:
             for (i, _), ids in zip(whole, self._encode([t for _, t in whole]), strict=True):
                 out[i] = ids

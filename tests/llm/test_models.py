@@ -225,3 +225,24 @@ def test_fingerprints(spark):
     assert len(found) == len(rows) and by[0].fingerprint == by[100].fingerprint and by[0].n_chars == len(texts[0])
     assert np.mean([by[i].near_edited for i in range(60)]) > np.mean([by[i].near_next for i in range(60)]) + 0.1
     assert fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_new_words_go_to_the_library_together_and_once(name, monkeypatch):
+    from answerlake.llm import tokens
+    path = public_tokenizers.path(name)
+    draw = np.random.default_rng(3)
+    parts = ["'s", "'", "''re", " ", "  ", "\n", " \n", "İx", "ſt", "Ǆ", "a", "Bc", "éÀ", "9", "42", "—", "?!", "«", "</w>", "don't", "\t", "x\r\n", "…", "zq"]
+    texts = ["".join(parts[i] for i in draw.integers(0, len(parts), draw.integers(0, 60))) for _ in range(300)] + [f"w{i} q{i * i}!" for i in range(1500)]
+    plain = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    encoder, calls = Encoder(path), []
+    learn = Encoder._learn
+    monkeypatch.setattr(Encoder, "_learn", lambda self, words, first: (calls.append(len(words)), learn(self, words, first)))
+    assert [x for at in range(0, len(texts), 100) for x in encoder.ids(texts[at: at + 100])] == plain
+    known = sum(calls)
+    assert encoder.ids(texts) == plain and sum(calls) == known == len(encoder.known)
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 50)
+    assert [x for at in range(0, len(texts), 100) for x in encoder.ids(texts[at: at + 100])] == plain
+    monkeypatch.setattr(Encoder, "_ends", lambda self, ids, kind: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    encoder._forget()
+    assert encoder.ids(texts[:200]) == plain[:200]
