@@ -34,7 +34,7 @@ from answerlake.llm.words import pieces as cut
 BLOCK_TOKENS = 1 << 20
 LANES = 4096
 LANE_STEPS = 64
-PIECE = 2 << 20
+PIECE = 8 << 20
 MAGIC = b"IDX1"
 
 SCALE = 20                       # order-0 frequencies sum to 2^20
@@ -58,26 +58,25 @@ class Model:
         if size >= 1 << SCALE:
             raise ValueError(f"ids must be below {1 << SCALE}")
         self.count = np.zeros(size, np.int64)
-        self.one, self.two = np.zeros(size + 1, np.int32), np.zeros(1 << CONTEXT_BITS, np.int32)
-        self.one_sure, self.two_sure = np.zeros(size + 1, np.int16), np.zeros(1 << CONTEXT_BITS, np.int16)
+        self.one, self.two = np.zeros(size + 1, np.int32), np.zeros(1 << CONTEXT_BITS, np.int32)     # 8 x guess + confidence
         self.met = np.full(128, 4.0)
         self.hit_one, self.hit_two = np.full(128, 1.0), np.full(128, 1.0)
-        self.last, self.before = np.full(lanes, size, np.uint32), np.full(lanes, size, np.uint32)
+        self.last, self.before = np.full(lanes, size, np.int64), np.full(lanes, size, np.int64)
         self.size, self.step = size, 0
 
     def _rebuild(self):
         total = int(self.count.sum())
         share = ((1 << SCALE) - self.size) * self.count // max(total, 1) + 1
         share[int(self.count.argmax())] += (1 << SCALE) - int(share.sum())
-        self.share = share.astype(np.uint32)
-        self.cum = np.concatenate([[0], np.cumsum(share)[:-1]]).astype(np.uint32)
+        self.share = share
+        self.part = (np.concatenate([[0], np.cumsum(share)[:-1]]) << 32) + share      # begin and width in one
         self.inverse = None
 
     def symbol(self, at: np.ndarray) -> np.ndarray:
         """The id whose order-0 part holds a point."""
         if self.inverse is None:
             self.inverse = np.repeat(np.arange(self.size, dtype=np.uint32), self.share)
-        return self.inverse[at]
+        return self.inverse.take(at)
 
     def predict(self, n: int):
         """For the first n lanes: both predicted ids, the ends of their shares, and what is left."""
@@ -85,21 +84,22 @@ class Model:
             self._rebuild()
             self.deal_two = np.int32(60) * (self.hit_two / self.met) + 1
             self.deal_one = np.int32(60) * (self.hit_one / self.met) + 1
-            self.deal_two = self.deal_two.astype(np.uint32)
-            self.deal_one = self.deal_one.astype(np.uint32)
+            self.deal_two = self.deal_two.astype(np.int64)
+            self.deal_one = self.deal_one.astype(np.int64)
             self.deal_one[1::2] = 0              # both predict the same id
         last = self.last[:n]
-        self.at = (last * np.uint32(0x9E3779B1) + self.before[:n] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - CONTEXT_BITS)
-        p1, p2 = self.one[last], self.two[self.at]
-        self.sure1, self.sure2 = self.one_sure[last], self.two_sure[self.at]
-        self.context = self.sure2 * np.int16(16) + self.sure1 * np.int16(2) + (p1 == p2)
-        end2 = self.deal_two[self.context]
-        return p1, p2, end2, end2 + self.deal_one[self.context]
+        self.at = ((last * 0x9E3779B1 + self.before[:n] * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - CONTEXT_BITS)
+        one, two = self.one.take(last), self.two.take(self.at)
+        p1, p2 = one >> 3, two >> 3
+        self.sure1, self.sure2 = one & 7, two & 7
+        self.context = ((self.sure2 << 4) + (self.sure1 << 1) + (p1 == p2)).astype(np.int64)
+        end2 = self.deal_two.take(self.context)
+        return p1, p2, end2, end2 + self.deal_one.take(self.context)
 
     def learn(self, ids: np.ndarray, p1: np.ndarray, p2: np.ndarray, right1: np.ndarray, right2: np.ndarray):
         n = len(ids)
         last = self.last[:n]
-        seen = np.bincount(self.context + np.int16(128) * (right2 + np.int16(2) * (right1 & ~right2)), minlength=384).reshape(3, 128)
+        seen = np.bincount(self.context + 128 * right2 + 256 * (right1 & ~right2), minlength=384).reshape(3, 128)
         self.hit_two += seen[1]
         self.hit_one += seen[2]
         self.met += seen.sum(0)
@@ -107,10 +107,9 @@ class Model:
             for x in (self.met, self.hit_one, self.hit_two):
                 x *= 0.5
             self.met += 2.0
-        for guess, sure, place, right, now, old in ((self.one, self.one_sure, last, right1, self.sure1, p1),
-                                                    (self.two, self.two_sure, self.at, right2, self.sure2, p2)):
-            guess[place] = np.where(now > 0, old, ids)
-            sure[place] = np.where(right, np.minimum(now + np.int16(1), MOST), np.maximum(now - np.int16(2), 0))
+        fresh = ids.astype(np.int32)
+        for table, place, right, sure, old in ((self.one, last, right1, self.sure1, p1), (self.two, self.at, right2, self.sure2, p2)):
+            table[place] = (np.where(sure > 0, old, fresh) << 3) + np.where(right, np.minimum(sure + 1, MOST), np.maximum(sure - 2, 0))
         np.add.at(self.count, ids, 1)
         self.before[:n] = last
         self.last[:n] = ids
@@ -151,26 +150,29 @@ def encode_ids(ids: np.ndarray) -> bytes:
     lanes, size = _shape(n)
     first = np.cumsum(size) - size
     model = Model(int(ids.max()) + 1, lanes)
-    ids = ids.astype(np.uint32)
+    steps = np.zeros((int(size[0]), lanes), np.int64)      # a row for each step
+    steps.T[np.arange(size[0]) < size[:, None]] = ids
     low, span = np.zeros(lanes, np.uint64), np.full(lanes, 2**64 - 1, np.uint64)
-    out, used = np.zeros((lanes, 3 * int(size[0]) + 8), np.uint16), np.zeros(lanes, np.int64)
-    for step in range(int(size[0])):
+    whose, words = [], []
+    for step, now in enumerate(steps):
         m = lanes if step < size[-1] else int((size > step).sum())
-        now = ids[first[:m] + step]
+        now = now[:m]
         p1, p2, end2, end1 = model.predict(m)
         right1, right2 = p1 == now, p2 == now
         rest = SHARES - end1
-        begin = np.where(right2, 0, np.where(right1, end2 << SCALE, (end1 << SCALE) + rest * model.cum[now]))
-        width = np.where(right2, end2 << SCALE, np.where(right1, end1 - end2 << SCALE, rest * model.share[now]))
-        for live, x in _narrow(low, span, begin, width):
-            out[live, used[live]] = x >> WORD
-            used[live] += 1
+        part = model.part.take(now)
+        begin = np.where(right2, 0, np.where(right1, end2 << SCALE, (end1 << SCALE) + rest * (part >> 32)))
+        width = np.where(right2, end2 << SCALE, np.where(right1, end1 - end2 << SCALE, rest * (part & 0xFFFFFFFF)))
+        for live, x in _narrow(low, span, begin.view(np.uint64), width.view(np.uint64)):
+            whose.append(live.astype(np.uint16))
+            words.append((x >> WORD).astype(np.uint16))
         model.learn(now, p1, p2, right1, right2)
-    every = np.arange(lanes)
     for shift in (48, 32, 16, 0):
-        out[every, used] = (low >> np.uint64(shift)).astype(np.uint16)
-        used += 1
-    body = out[np.arange(out.shape[1]) < used[:, None]]
+        whose.append(np.arange(lanes, dtype=np.uint16))
+        words.append((low >> np.uint64(shift)).astype(np.uint16))
+    owner = np.concatenate(whose)
+    used = np.bincount(owner, minlength=lanes)
+    body = np.concatenate(words)[np.argsort(owner, kind="stable")]       # lane by lane, each in its order
     return struct.pack("<III", n, model.size, lanes) + used.astype("<u4").tobytes() + body.astype("<u2").tobytes()
 
 
@@ -193,14 +195,15 @@ def decode_ids(data: bytes) -> np.ndarray:
     for step in range(int(size[0])):
         m = lanes if step < size[-1] else int((size > step).sum())
         p1, p2, end2, end1 = model.predict(m)
-        value = np.minimum((code[:m] - low[:m]) // (span[:m] >> BITS), (1 << int(BITS)) - 1).astype(np.uint32)
+        value = np.minimum((code[:m] - low[:m]) // (span[:m] >> BITS), (1 << int(BITS)) - 1).view(np.int64)
         in2 = value < end2 << SCALE
         in1 = ~in2 & (value < end1 << SCALE)
         rest = SHARES - end1
-        point = np.where(in2 | in1, 0, value - (end1 << SCALE)) // rest
-        now = np.where(in2, p2, np.where(in1, p1, model.symbol(np.minimum(point, (1 << SCALE) - 1)))).astype(np.uint32)
-        begin = np.where(in2, 0, np.where(in1, end2 << SCALE, (end1 << SCALE) + rest * model.cum[now]))
-        width = np.where(in2, end2 << SCALE, np.where(in1, end1 - end2 << SCALE, rest * model.share[now]))
+        point = (np.where(in2 | in1, 0, value - (end1 << SCALE)) / rest).astype(np.int64)      # exact: below 2^26 by at most 64
+        now = np.where(in2, p2, np.where(in1, p1, model.symbol(np.minimum(point, (1 << SCALE) - 1)))).astype(np.int64)
+        part = model.part.take(now)
+        begin = np.where(in2, 0, np.where(in1, end2 << SCALE, (end1 << SCALE) + rest * (part >> 32))).view(np.uint64)
+        width = np.where(in2, end2 << SCALE, np.where(in1, end1 - end2 << SCALE, rest * (part & 0xFFFFFFFF))).view(np.uint64)
         for live, _ in _narrow(low, span, begin, width):
             code[live] = code[live] << CHUNK | body[np.minimum(at[live], len(body) - 1)]
             at[live] += 1

@@ -8,7 +8,8 @@ goes to the library whole.
 
 New words go to the library many to a text, set apart so that none touches the next; where a
 word's ids begin or end is told by the vocabulary. Words are numbers from then on: a text's ids
-are gathered by numpy from one array, no object is made for a word that is known.
+are gathered by numpy from one array, no object is made for a word that is known. Where white
+space belongs to no word, only the distinct stretches between it in a batch are split into words.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 # fixed values: the word rules of two public vocabularies, for the characters in SAFE
@@ -25,6 +28,7 @@ LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
 SAFE = re.compile(f"[^\\t\\n\\r -~{LETTER}¡£§«»¿–—‘-‚“-„…€]")
 BYTE_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\\s0-9{LETTER}]+|\\s+(?!\\S)|\\s+")
 PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s0-9{LETTER}]+")
+PLAIN_LINES = re.compile(PLAIN_WORDS.pattern + "|\n")
 
 CACHED_WORDS = 800_000
 WORDS_AT_ONCE = 1_000
@@ -49,6 +53,17 @@ def _room(array: np.ndarray, n: int) -> np.ndarray:
     return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
 
 
+def _gathered(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stretches of an array one after the other, and where each ends; a 0 in front."""
+    ends = np.concatenate([[0], np.cumsum(size)])
+    return flat[np.arange(ends[-1]) + np.repeat(start - ends[:-1], size)], ends
+
+
+def _sliced(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    data, places = ids.tobytes(), (4 * bounds).tolist()
+    return [data[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
+
+
 class Encoder:
     """ids(texts): little-endian unsigned 32-bit ids of each text, as bytes."""
 
@@ -70,6 +85,8 @@ class Encoder:
     def _forget(self):
         self.known, self.used = Numbers(), 0
         self.flat, self.start, self.size = np.zeros(1 << 16, "<u4"), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        if self.lower:
+            self.known["\n"] = 0       # has no ids
 
     @staticmethod
     def _rule(spec: dict):
@@ -124,34 +141,52 @@ class Encoder:
         for i, ids in zip(alone, self._encode([words[i] for i in alone]), strict=True):
             self._store(np.array([first + i]), np.zeros(1, np.int64), np.array([len(ids) // 4]), np.frombuffer(ids, "<u4"))
 
-    def _joined(self, numbers: list[np.ndarray]) -> list[bytes]:
-        """The ids of texts given as numbers of words."""
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+
+    def _taught(self, first: int) -> None:
+        if self.known.new:
+            self._learn(self.known.new, first)
+            self.known.new = []
+
+    def _by_words(self, texts: list[str]) -> list[bytes]:
+        first = len(self.known)
+        numbers = [self._numbers(self.words.findall(t)) for t in texts]
+        self._taught(first)
         every = np.concatenate(numbers)
-        size = self.size[every]
-        ends = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.arange(ends[-1]) + np.repeat(self.start[every] - ends[:-1], size)].tobytes()
-        bounds = (4 * ends[np.concatenate([[0], np.cumsum([len(x) for x in numbers])])]).tolist()
-        return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        ids, ends = _gathered(self.flat, self.start[every], self.size[every])
+        return _sliced(ids, ends[np.concatenate([[0], np.cumsum([len(x) for x in numbers])])])
+
+    def _by_stretches(self, texts: list[str]) -> list[bytes]:
+        lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        stretches = lists.flatten().dictionary_encode()
+        first = len(self.known)
+        distinct = pa.LargeListArray.from_arrays([0, len(stretches.dictionary)], stretches.dictionary)
+        lines = pc.binary_join(distinct, pa.scalar("\n", pa.large_string()))[0].as_py() + "\n" * (len(stretches) > 0)
+        words = self._numbers(PLAIN_LINES.findall(lines))
+        self._taught(first)
+        ids, ends = _gathered(self.flat, self.start[words], self.size[words])
+        end = ends[np.flatnonzero(words == 0)]           # a line for each distinct stretch
+        start = np.concatenate([[0], end[:-1]])
+        which = stretches.indices.to_numpy()
+        ids, ends = _gathered(ids, start[which], (end - start)[which])
+        return _sliced(ids, ends[lists.offsets.to_numpy()])
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > CACHED_WORDS:
             self._forget()
-        split, numbers, whole = [], [], []
-        get, first = self.known.__getitem__, len(self.known)
+        split, safe, whole = [], [], []
         for i, text in enumerate(texts):
             text = text or ""
-            if self.words is None or SAFE.search(text) or self.added and self.added.search(text.lower()):
+            lowered = text.lower() if self.added or self.lower else text
+            if self.words is None or SAFE.search(text) or self.added and self.added.search(lowered):
                 whole.append((i, text))
             else:
-                words = self.words.findall(text.lower() if self.lower else text)
                 split.append(i)
-                numbers.append(np.fromiter(map(get, words), np.int64, len(words)))
-        if self.known.new:
-            self._learn(self.known.new, first)
-            self.known.new = []
+                safe.append(lowered if self.lower else text)
         out: list[bytes] = [b""] * len(texts)
         if split:
-            for i, ids in zip(split, self._joined(numbers), strict=True):
+            for i, ids in zip(split, self._by_stretches(safe) if self.lower else self._by_words(safe), strict=True):
                 out[i] = ids
         if whole:
             for (i, _), ids in zip(whole, self._encode([t for _, t in whole]), strict=True):
