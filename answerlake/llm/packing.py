@@ -33,28 +33,32 @@ from answerlake.llm.words import released
 
 CAPACITY = 1024
 PIECE = 1 << 20
+KNOWN_WORDS = 200_000        # held by a task
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, end: int, capacity: int, keep_ids: bool) -> Iterator[pa.RecordBatch]:
-    encode, tail = encoder(path), np.array([end], "<u4").tobytes()
+    encode, tail = encoder(path, KNOWN_WORDS), np.array([end], "<u4").tobytes()
     part, seen = TaskContext.get().partitionId(), [0] * (capacity + 1)
-    for batch in batches:
-        for some in cut(batch, "text", PIECE):
-            rows = []
-            for doc, ids in zip(some.column("doc_id").to_pylist(), encode.ids(some.column("text").to_pylist()), strict=True):
-                ids += tail
-                n = len(ids) // 4
-                start, piece = 0, 0
-                while start < n:
-                    size = (n - start - 1) % capacity + 1 if start == 0 else capacity
-                    own = ids[4 * start: 4 * (start + size)]
-                    rows.append((doc, piece, start, size, zlib.crc32(own), own if keep_ids else None, part, seen[size]))
-                    seen[size] += 1
-                    start, piece = start + size, piece + 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(),
-                                                                          pa.int32(), pa.int64()), strict=True)],
-                names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "turn"])
+    try:
+        for batch in batches:
+            for some in cut(batch, "text", PIECE):
+                rows = []
+                for doc, ids in zip(some.column("doc_id").to_pylist(), encode.ids(some.column("text").to_pylist()), strict=True):
+                    ids += tail
+                    n = len(ids) // 4
+                    start, piece = 0, 0
+                    while start < n:
+                        size = (n - start - 1) % capacity + 1 if start == 0 else capacity
+                        own = ids[4 * start: 4 * (start + size)]
+                        rows.append((doc, piece, start, size, zlib.crc32(own), own if keep_ids else None, part, seen[size]))
+                        seen[size] += 1
+                        start, piece = start + size, piece + 1
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(),
+                                                                              pa.int32(), pa.int64()), strict=True)],
+                    names=["doc_id", "piece", "start", "length", "ids_crc32", "ids", "part", "turn"])
+    finally:
+        encode.forget()
 
 
 def _best_two(left: np.ndarray, room: int) -> tuple[int, int]:

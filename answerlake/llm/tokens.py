@@ -7,9 +7,11 @@ text, any text that holds the string of an added token, and any tokenizer with a
 goes to the library whole.
 
 New words go to the library many to a text, set apart so that none touches the next; where a
-word's ids begin or end is told by the vocabulary. Words are numbers from then on: a text's ids
-are gathered by numpy from one array, no object is made for a word that is known. Where white
-space belongs to no word, only the distinct stretches between it in a batch are split into words.
+word's ids begin or end is told by the vocabulary. Where white space belongs to no word, they go
+to a copy of the tokenizer that only splits at it, since the rules leave such words as they are.
+Words are numbers from then on: a text's ids are gathered by numpy from one array, no object is
+made for a word that is known; there only the distinct stretches between white space in a batch
+are split into words.
 """
 
 from __future__ import annotations
@@ -22,10 +24,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
+from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit, Sequence
 
 # fixed values: the word rules of two public vocabularies, for the characters in SAFE
 LETTER = "A-Za-zÀ-ÖØ-öø-ɏ"
-SAFE = re.compile(f"[^\\t\\n\\r -~{LETTER}¡£§«»¿–—‘-‚“-„…€]")
+MARKS = "¡£§«»¿–—‘-‚“-„…€"
+SAFE = re.compile(f"[^\\t\\n\\r -~{LETTER}{MARKS}]")
+# the same without letters that lower-casing takes out of LETTER, as Ɓ and İ
+SAFE_LOWERED = re.compile("[^\\t\\n\\r -~" + "".join(c for c in map(chr, range(0xC0, 0x250)) if re.fullmatch(f"[{LETTER}]", c.lower())) + MARKS + "]")
 BYTE_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\\s0-9{LETTER}]+|\\s+(?!\\S)|\\s+")
 PLAIN_WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s0-9{LETTER}]+")
 PLAIN_LINES = re.compile(PLAIN_WORDS.pattern + "|\n")
@@ -67,13 +73,20 @@ def _sliced(ids: np.ndarray, bounds: np.ndarray) -> list[bytes]:
 class Encoder:
     """ids(texts): little-endian unsigned 32-bit ids of each text, as bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_words: int | None = None):
+        self.most_words = most_words
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
         added = [x["content"].lower() for x in spec.get("added_tokens") or [] if x.get("content")]
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.words, self.lower = self._rule(spec)
+        self.safe = SAFE_LOWERED if self.lower else SAFE
+        self.plain = self.tokenizer
+        if self.lower:
+            self.plain = Tokenizer.from_file(path)
+            self.plain.normalizer = None
+            self.plain.pre_tokenizer = Sequence([CharDelimiterSplit(" "), ByteLevel(add_prefix_space=False, use_regex=False)])
         self._forget()
         vocabulary = self.tokenizer.get_vocab() if self.words else {}
         suffix = (spec.get("model") or {}).get("end_of_word_suffix")
@@ -132,7 +145,7 @@ class Encoder:
             joint = {"ended": " ", "spaced": "", "lines": "\n"}[kind]
             for at in range(0, len(own), WORDS_AT_ONCE):
                 some = own[at: at + WORDS_AT_ONCE]
-                ids = np.array(self.tokenizer.encode_batch_fast([joint.join([words[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
+                ids = np.array(self.plain.encode_batch_fast([joint.join([words[i] for i in some])], add_special_tokens=False)[0].ids, "<u4")
                 begins, ends = self._ends(ids, kind)
                 if len(begins) == len(ends) == len(some) and begins[0] == 0 and ends[-1] == len(ids):
                     self._store(np.array(some) + first, begins, ends, ids)
@@ -172,14 +185,19 @@ class Encoder:
         ids, ends = _gathered(ids, start[which], (end - start)[which])
         return _sliced(ids, ends[lists.offsets.to_numpy()])
 
+    def forget(self) -> None:
+        """Lets go of the known words. A worker that rests, or runs another kind of task, holds
+        none: Spark takes its workers in turn, so that each would come to hold as many as it may."""
+        self._forget()
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > (self.most_words or CACHED_WORDS):
             self._forget()
         split, safe, whole = [], [], []
         for i, text in enumerate(texts):
             text = text or ""
             lowered = text.lower() if self.added or self.lower else text
-            if self.words is None or SAFE.search(text) or self.added and self.added.search(lowered):
+            if self.words is None or self.safe.search(text) or self.added and self.added.search(lowered):
                 whole.append((i, text))
             else:
                 split.append(i)
@@ -194,11 +212,11 @@ class Encoder:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int | None], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most_words: int | None = None) -> Encoder:
     """The task's encoder of a vocabulary file; a Python worker keeps it for its next tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, most_words) not in _ENCODERS:
+        _ENCODERS[path, most_words] = Encoder(path, most_words)
+    return _ENCODERS[path, most_words]
