@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from answerlake.llm.shared import written
 from answerlake.llm.tokens import encoder
 from answerlake.llm.words import pieces as cut
+from answerlake.llm.words import released
 
 BLOCK_TOKENS = 1 << 20
 LANES = 4096
@@ -44,6 +45,7 @@ TOP, BOTTOM, LOW32 = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(0xFFFFFFF
 CHUNK, WORD, UNIT = np.uint64(16), np.uint64(48), np.uint64(1)
 CONTEXT_BITS = 18
 MOST = 7                         # highest confidence
+MOVES = np.array([0, -1] + [-2] * (MOST - 1) + [1] * MOST + [0], np.int32)      # of a confidence after a miss, after a hit
 REBUILD = 32                     # steps between new order-0 frequencies
 
 
@@ -91,12 +93,12 @@ class Model:
         self.at = ((last * 0x9E3779B1 + self.before[:n] * 0x85EBCA6B) & 0xFFFFFFFF) >> (32 - CONTEXT_BITS)
         one, two = self.one.take(last), self.two.take(self.at)
         p1, p2 = one >> 3, two >> 3
-        self.sure1, self.sure2 = one & 7, two & 7
-        self.context = ((self.sure2 << 4) + (self.sure1 << 1) + (p1 == p2)).astype(np.int64)
+        self.met1, self.met2 = one, two
+        self.context = (((two & 7) << 4) + ((one & 7) << 1) + (p1 == p2)).astype(np.int64)
         end2 = self.deal_two.take(self.context)
         return p1, p2, end2, end2 + self.deal_one.take(self.context)
 
-    def learn(self, ids: np.ndarray, p1: np.ndarray, p2: np.ndarray, right1: np.ndarray, right2: np.ndarray):
+    def learn(self, ids: np.ndarray, right1: np.ndarray, right2: np.ndarray):
         n = len(ids)
         last = self.last[:n]
         seen = np.bincount(self.context + 128 * right2 + 256 * (right1 & ~right2), minlength=384).reshape(3, 128)
@@ -107,9 +109,10 @@ class Model:
             for x in (self.met, self.hit_one, self.hit_two):
                 x *= 0.5
             self.met += 2.0
-        fresh = ids.astype(np.int32)
-        for table, place, right, sure, old in ((self.one, last, right1, self.sure1, p1), (self.two, self.at, right2, self.sure2, p2)):
-            table[place] = (np.where(sure > 0, old, fresh) << 3) + np.where(right, np.minimum(sure + 1, MOST), np.maximum(sure - 2, 0))
+        fresh = ids.astype(np.int32) << 3
+        for table, place, right, old in ((self.one, last, right1, self.met1), (self.two, self.at, right2, self.met2)):
+            state = (old & 7) + (right.view(np.int8) << 3)
+            table[place] = np.where(state > 0, old + MOVES.take(state), fresh)
         np.add.at(self.count, ids, 1)
         self.before[:n] = last
         self.last[:n] = ids
@@ -166,7 +169,7 @@ def encode_ids(ids: np.ndarray) -> bytes:
         for live, x in _narrow(low, span, begin.view(np.uint64), width.view(np.uint64)):
             whose.append(live.astype(np.uint16))
             words.append((x >> WORD).astype(np.uint16))
-        model.learn(now, p1, p2, right1, right2)
+        model.learn(now, right1, right2)
     for shift in (48, 32, 16, 0):
         whose.append(np.arange(lanes, dtype=np.uint16))
         words.append((low >> np.uint64(shift)).astype(np.uint16))
@@ -208,7 +211,7 @@ def decode_ids(data: bytes) -> np.ndarray:
             code[live] = code[live] << CHUNK | body[np.minimum(at[live], len(body) - 1)]
             at[live] += 1
         ids[first[:m] + step] = now
-        model.learn(now, p1, p2, p1 == now, p2 == now)
+        model.learn(now, p1 == now, p2 == now)
     return ids.astype(np.int64)
 
 
@@ -269,7 +272,7 @@ def write_ids(documents: DataFrame, path: str, tokenizer: str, end_id: int, bloc
     """Writes the ids of all documents below `path`, in ascending doc_id order by (part, number)."""
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    rows.mapInArrow(lambda x: _blocks(x, tokenizer, end_id, block_tokens),
+    rows.mapInArrow(lambda x: released(_blocks(x, tokenizer, end_id, block_tokens)),
                     "part int, number int, start long, row long, segment int, n_ids long, block binary").write.option(
         "compression", "none").option("parquet.block.size", 16 << 20).parquet(path)
 
@@ -317,7 +320,7 @@ def read_ids(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)     # a row for each part
     bases = sizes.select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("base"))
     rows = file.select("part", "start", "row", "segment", "block").mapInArrow(
-        lambda x: _read(x, keep_ids), "part int, row long, segment int, doc_id long, place long, n_tokens long, ids_crc32 long, ids binary")
+        lambda x: released(_read(x, keep_ids)), "part int, row long, segment int, doc_id long, place long, n_tokens long, ids_crc32 long, ids binary")
     return rows.join(bases.hint("merge"), "part").select(
         "part", "row", "segment", "doc_id", (F.col("base") + F.col("place")).alias("start"), "n_tokens", "ids_crc32", "ids")
 
