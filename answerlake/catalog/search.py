@@ -351,4 +351,6 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, chunk_id, own AS score FROM (
 def _(t):
     compound = t.benchmark.select(F.col("item_id").alias("query_id"), F.concat(
         "text", F.lit(" What of the "), F.right("text", F.lit(40)), F.lit(" and how the "), F.left("text", F.lit(30)), F.lit("?")).alias("text"))
-    return retrieval.candidate_pool(compound, index(t), CONFIG.with_(fusion=FUSION)).select("query_id", "rank", "chunk_id", "score")
+    # The pool reads the index once, so it is not stored first.
+    base = corpus.embed(chunks(t), "search_text", dims=DIMS)
+    return retrieval.candidate_pool(compound, base, CONFIG.with_(fusion=FUSION)).select("query_id", "rank", "chunk_id", "score")

@@ -153,27 +153,26 @@ def hashed_embedding(df: DataFrame, ident: str, text: str, dims: int = HASHED_DI
 def hashed_encoder(dims: int = HASHED_DIMENSIONS):
     """The same vectors as a dense Arrow UDF column, computed where the text lies."""
 
+    class Places(dict):
+        """Twice the bucket of a word, and one more where its sign is minus."""
+
+        def __missing__(self, word: str) -> int:
+            code = hashlib.sha256(word.encode()).hexdigest()
+            hit = 2 * (int(code[:8], 16) % dims) + int(code[8], 16) % 2
+            if len(self) < 1_000_000:
+                self[word] = hit
+            return hit
+
     @F.pandas_udf(T.ArrayType(T.DoubleType()))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import re
-        seen: dict[str, tuple[int, int]] = {}
-
-        def place(word: str) -> tuple[int, int]:
-            hit = seen.get(word)
-            if hit is None:
-                code = hashlib.sha256(word.encode()).hexdigest()
-                hit = (int(code[:8], 16) % dims, 1 if int(code[8], 16) % 2 == 0 else -1)
-                if len(seen) < 1_000_000:
-                    seen[word] = hit
-            return hit
-
+        words, seen = re.compile("[a-zA-Z0-9']+"), Places()
         for batch in batches:
             out = []
             for text in batch:
-                vec = np.zeros(dims)
-                for word in re.findall("[a-zA-Z0-9']+", (text or "").lower()):
-                    at, sign = place(word)
-                    vec[at] += sign
+                found = words.findall((text or "").lower())
+                many = np.bincount(np.fromiter(map(seen.__getitem__, found), dtype=np.int64, count=len(found)), minlength=2 * dims)
+                vec = (many[::2] - many[1::2]).astype(float)
                 out.append(vec / (np.sqrt((vec * vec).sum()) or 1.0))
             yield pd.Series(out)
 

@@ -78,9 +78,9 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int,
     (query_id, vector), ``vectors`` (vec_id, vector); a pair of blocks gives k rows per query."""
     asked = queries.select("query_id", F.col(query_vector).cast("array<double>").alias("embedding"))
     held = vectors.select("vec_id", F.col(vector).cast("array<double>").alias("embedding"))
-    grid = Grid.over(held, asked)
+    grid = Grid.over(asked)
     kinds = asked.schema["query_id"].dataType.simpleString(), held.schema["vec_id"].dataType.simpleString()
-    found = grid.meet(grid.deal(held, "vec_id"), asked, scoring.nearest(k), "query_id {}, vec_id {}, dense double".format(*kinds))
+    found = grid.meet(grid.deal(held), asked, scoring.nearest(k), "query_id {}, vec_id {}, dense double".format(*kinds))
     return top_k(found, k, "dense", ["vec_id"])
 
 
@@ -142,12 +142,12 @@ def _question_features(questions: DataFrame, cfg: SearchConfig) -> DataFrame:
         "embedding", kind.alias("kind"), flags.alias("flags"), asked.alias("places"), route.alias("route_words"))
 
 
-def _weighted(asked: DataFrame, features: DataFrame, chunks: int) -> DataFrame:
+def _weighted(asked: DataFrame, grid: Grid, dealt: DataFrame, chunks: int) -> DataFrame:
     """Adds weights: each question's terms with their count and inverse document frequency."""
     key = ["query_id", "part"]
     said = asked.select(*key, F.inline(x.term_counts(F.col("tokens"))))
-    df = features.select(F.explode(F.array_distinct("tokens")).alias("term")).join(
-        small_side(said.select("term").distinct()), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = grid.meet(dealt, said.select("term").distinct(), scoring.holders, scoring.HOLDERS_SCHEMA, "term").groupBy("term").agg(
+        F.sum("df").alias("df"))
     idf = F.coalesce(F.log((chunks - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0), F.lit(0.0))
     weights = said.join(df, "term", "left").groupBy(*key).agg(
         F.collect_list(F.struct("term", F.col("tf").cast("int").alias("tf"), idf.alias("idf"))).alias("weights"))
@@ -159,38 +159,37 @@ def candidate_pool(questions: DataFrame, index: DataFrame, cfg: SearchConfig, po
                    grid: Grid | None = None) -> DataFrame:
     """The ``pool`` best chunks of every question with all score parts.
 
-    Blocks of questions meet blocks of chunks three times: for the score ranges, for the best
-    scores where parts are fused, and for the candidates. The chunks are dealt once. However
-    many questions there are, the jobs are the same. Pass a stored table of ``chunk_features``
-    as the index to skip computing them here.
+    Groups of questions meet blocks of chunks four times: for document frequencies, for the score
+    ranges, for the best scores where parts are fused, and for the candidates. The index is read
+    once; what scoring needs of it is stored in blocks where its rows lie. However many questions
+    there are, the jobs are the same. Pass a stored table of ``chunk_features`` as the index to
+    skip computing them here.
     """
     features = index if "heading_tokens" in index.columns else chunk_features(index, cfg)
-    grid = grid or Grid.over(index, questions)
-    dealt = grid.deal(features, "chunk_id")
-    once = dealt.filter("grp = 0")
-    total = once.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("tokens")).alias("avg")).first()
-    chunks, avg_len = total["n"], float(total["avg"] or 0.0) or 1.0
+    grid = grid or Grid.over(questions)
+    dealt = grid.deal(features, scoring.compact, scoring.MEASURES)
+    total = dealt.agg(*[F.sum(c).alias(c) for c in scoring.MEASURES]).first()
+    chunks, avg_len = total["n"] or 0, (total["words"] / total["sized"] if total["sized"] else 0.0) or 1.0
     kind = questions.schema["query_id"].dataType.simpleString()
     settings = replace(cfg.settings, avg_len=avg_len, pool=pool, fusion=cfg.fusion)
     covers, aliases, cities = (cfg.vocab.places if cfg.use_places else None), cfg.vocab.aliases, cfg.vocab.cities
 
-    def scored(function):
-        def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            left = left if right.num_rows else left.slice(0, 0)     # a group that no question fell into
-            return function(left, right, scoring.QuestionBlock.of(right, covers, aliases, cities), settings)
-        return run
+    def prepared(right: pa.Table) -> tuple[pa.Table, scoring.QuestionBlock]:
+        return right.slice(0, 0), scoring.QuestionBlock.of(right, covers, aliases, cities)
 
-    asked = settle(_weighted(_question_features(questions, cfg), once, chunks))
+    def met(asked: DataFrame, function, schema: str) -> DataFrame:
+        return grid.meet(dealt, asked, lambda block, ready: function(block, *ready, settings), schema, prepare=prepared)
+
+    asked = settle(_weighted(_question_features(questions, cfg), grid, dealt, chunks))
     key = ["query_id", "part"]
-    ends = grid.meet(dealt, asked, scored(scoring.extremes), scoring.EXTREMES_SCHEMA.format(id=kind)).groupBy(*key).agg(
+    ends = met(asked, scoring.extremes, scoring.EXTREMES_SCHEMA.format(id=kind)).groupBy(*key).agg(
         F.min("lex_lo").alias("lex_lo"), F.max("lex_hi").alias("lex_hi"), F.min("dense_lo").alias("dense_lo"), F.max("dense_hi").alias("dense_hi"))
     asked = asked.join(ends, key)
     if cfg.fusion > 0:
         asked = settle(asked)
-        best = grid.meet(dealt, asked, scored(scoring.best_scores), scoring.BEST_SCHEMA.format(id=kind)).groupBy(*key).agg(F.max("best").alias("best"))
+        best = met(asked, scoring.best_scores, scoring.BEST_SCHEMA.format(id=kind)).groupBy(*key).agg(F.max("best").alias("best"))
         asked = asked.join(best, key)
-    found = grid.meet(dealt, asked, scored(scoring.candidates),
-                      scoring.CANDIDATE_SCHEMA.format(id=kind, doc=features.schema["doc_id"].dataType.simpleString()))
+    found = met(asked, scoring.candidates, scoring.CANDIDATE_SCHEMA.format(id=kind, doc=features.schema["doc_id"].dataType.simpleString()))
     return top_k(found, pool, "score", ["doc_id", "chunk_no"])
 
 

@@ -50,6 +50,7 @@ class QuestionBlock:
         vectors = np.array([r["embedding"] for r in rows], dtype=float).reshape(len(rows), len(rows[0]["embedding"]) if rows else 0)
         norm = np.sqrt((vectors * vectors).sum(axis=1, keepdims=True))
         entries = entries.reshape(-1, 3)
+        rows = [{k: v for k, v in r.items() if k not in ("weights", "embedding")} for r in rows]
         block = cls(rows, terms, entries[np.argsort(entries[:, 0], kind="stable")], np.array([idf[t] for t in terms] or [0.0]),
                     np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0))
         if covers is not None:
@@ -123,6 +124,58 @@ def _counts(column: pa.Array, known: pa.Array, width: int) -> tuple[np.ndarray,
     return code // width, code % width, n.astype(float)
 
 
+def _tally(lists: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """A list column as two: each row's distinct values, as places in one sorted dictionary, and their counts."""
+    sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    found = lists.flatten().dictionary_encode()
+    order = pc.array_sort_indices(found.dictionary).to_numpy(zero_copy_only=False)
+    width = max(len(order), 1)
+    place = np.empty(width, dtype=np.int64)
+    place[order] = np.arange(len(order))
+    owner, at = np.repeat(np.arange(len(lists), dtype=np.int64), sizes), found.indices
+    if at.null_count:
+        owner, at = owner[at.is_valid().to_numpy(zero_copy_only=False)], at.drop_null()
+    code, n = np.unique(owner * width + place[at.to_numpy(zero_copy_only=False)], return_counts=True)
+    ends = np.concatenate([[0], np.cumsum(np.bincount(code // width, minlength=len(lists)))]).astype(np.int32)
+    values = pa.DictionaryArray.from_arrays(pa.array((code % width).astype(np.int32)), found.dictionary.take(pa.array(order)))
+    return pa.ListArray.from_arrays(ends, values), pa.ListArray.from_arrays(ends, pa.array(n.astype(np.int32)))
+
+
+def compact(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Chunk features as they are stored: counted terms instead of tokens, spelt once a block."""
+    terms, counts = _tally(batch.column("tokens"))
+    made = {"terms": terms, "counts": counts, "length": pc.list_value_length(batch.column("tokens")),
+            "heading_terms": _tally(batch.column("heading_tokens"))[0]}
+    kept = {c: batch.column(c) for c in batch.schema.names if c not in ("tokens", "heading_tokens")}
+    return pa.RecordBatch.from_pydict(kept | made)
+
+
+#: What the stored blocks say of their rows: chunks, chunks with tokens, and tokens.
+MEASURES = {"n": lambda b: b.num_rows, "sized": lambda b: b.num_rows - b.column("tokens").null_count,
+            "words": lambda b: pc.sum(pc.list_value_length(b.column("tokens"))).as_py() or 0}
+
+
+def _held(lists: pa.Array, known: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, known value, place in the flattened list) of a column from ``_tally``, by row and value, as both are sorted."""
+    flat = lists.flatten()
+    owner = np.repeat(np.arange(len(lists), dtype=np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    place = pc.fill_null(pc.index_in(flat.dictionary, value_set=known), -1).to_numpy(zero_copy_only=False)
+    value = place[flat.indices.to_numpy(zero_copy_only=False)]
+    hit = np.flatnonzero(value >= 0)
+    return owner[hit], value[hit], hit
+
+
+HOLDERS_SCHEMA = "term string, df bigint"
+
+
+def holders(block: pa.RecordBatch, asked: pa.Table) -> pa.Table:
+    """How many chunks of a block hold each of the given terms."""
+    flat = block.column("terms").flatten()
+    many = np.bincount(flat.indices.to_numpy(zero_copy_only=False), minlength=len(flat.dictionary))
+    wanted = pc.is_in(flat.dictionary, value_set=asked["term"].combine_chunks())
+    return pa.table({"term": flat.dictionary, "df": pa.array(many, pa.int64())}).filter(wanted)
+
+
 def _matrix(column: pa.Array, known: pa.Array, width: int) -> np.ndarray:
     """row x value counts of a list column, for the known values only."""
     row, value, n = _counts(column, known, width)
@@ -156,17 +209,16 @@ def _vectors(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     return out, fresh
 
 
-def blocks(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    for batch in table.combine_chunks().to_batches():
-        for start in range(0, batch.num_rows, BLOCK):
-            yield batch.slice(start, BLOCK)
+def blocks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, BLOCK):
+        yield batch.slice(start, BLOCK)
 
 
 def raw_scores(block: pa.RecordBatch, q: QuestionBlock, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     """(lexical, dense), each chunk x question."""
-    tokens = block.column("tokens")
-    row, term, tf = _counts(tokens, pa.array(q.terms, pa.string()), max(len(q.terms), 1))
-    length = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(float)[row]
+    row, term, at = _held(block.column("terms"), pa.array(q.terms, pa.string()))
+    tf = block.column("counts").flatten().to_numpy(zero_copy_only=False)[at].astype(float)
+    length = block.column("length").to_numpy(zero_copy_only=False).astype(float)[row]
     share = tf * (s.k1 + 1) / (tf + s.k1 * (1 - s.b + s.b * length / s.avg_len))
     lexical = _product(block.num_rows, row, term, share, q, q.weights)
     vectors, _ = _vectors(block.column("embedding"), q.vectors.shape[1])
@@ -181,7 +233,7 @@ def _per_question(asked: pa.Table, q: QuestionBlock, columns: dict) -> pa.Table:
 EXTREMES_SCHEMA = "query_id {id}, part int, lex_lo double, lex_hi double, dense_lo double, dense_hi double"
 
 
-def extremes(chunks: pa.Table, asked: pa.Table, q: QuestionBlock, s: Settings) -> pa.Table:
+def extremes(chunks: pa.RecordBatch, asked: pa.Table, q: QuestionBlock, s: Settings) -> pa.Table:
     """The range of both raw scores of each question over a block of chunks."""
     lo, hi = np.full((2, len(q.rows)), np.inf), np.full((2, len(q.rows)), -np.inf)
     for block in blocks(chunks):
@@ -203,8 +255,7 @@ def final_scores(block: pa.RecordBatch, q: QuestionBlock, s: Settings):
     bounds = q.bounds
     score = (s.lexical_weight * _normalise(lexical, bounds[0], bounds[1])
              + (1 - s.lexical_weight) * _normalise(dense, bounds[2], bounds[3]))
-    heading = block.column("heading_tokens")
-    row, term, _ = _counts(heading, pa.array(q.terms, pa.string()), max(len(q.terms), 1))
+    row, term, _ = _held(block.column("heading_terms"), pa.array(q.terms, pa.string()))
     found = _product(block.num_rows, row, term, np.ones(len(row)), q, np.ones(len(q.entries)))
     coverage = found / np.maximum(q.sizes, 1)
     score = score * (1 + s.heading_gain * coverage ** 2)
@@ -233,7 +284,7 @@ def final_scores(block: pa.RecordBatch, q: QuestionBlock, s: Settings):
 BEST_SCHEMA = "query_id {id}, part int, best double"
 
 
-def best_scores(chunks: pa.Table, asked: pa.Table, q: QuestionBlock, s: Settings) -> pa.Table:
+def best_scores(chunks: pa.RecordBatch, asked: pa.Table, q: QuestionBlock, s: Settings) -> pa.Table:
     """Each question's best final score in a block of chunks (for fusion)."""
     top = np.zeros(len(q.rows))
     for block in blocks(chunks):
@@ -262,7 +313,7 @@ def _fused(q: QuestionBlock, s: Settings, score: np.ndarray, lexical: np.ndarray
     return score, lexical, dense, matched
 
 
-def candidates(chunks: pa.Table, asked: pa.Table, q: QuestionBlock, s: Settings) -> pa.Table:
+def candidates(chunks: pa.RecordBatch, asked: pa.Table, q: QuestionBlock, s: Settings) -> pa.Table:
     """The ``pool`` best chunks of each question in a block of chunks, ties in corpus order.
     Questions are fused with their parts when ``fusion`` is above zero."""
     leaders = np.flatnonzero(np.array([r["part"] == 0 for r in q.rows], dtype=bool))
@@ -308,7 +359,7 @@ def candidates(chunks: pa.Table, asked: pa.Table, q: QuestionBlock, s: Settings)
 def nearest(k: int):
     """Block function: the k nearest vectors of each question by cosine, ties by name."""
 
-    def run(vectors: pa.Table, asked: pa.Table) -> pa.Table:
+    def run(vectors: pa.RecordBatch, asked: pa.Table) -> pa.Table:
         names = [("query_id", asked.schema.field("query_id").type), ("vec_id", vectors.schema.field("vec_id").type), ("dense", pa.float64())]
         kept = None
         held = asked["embedding"].to_pylist()

@@ -232,3 +232,31 @@ def test_lexical_sums_follow_the_matches():
     row, term = np.nonzero(tf[:, kept])
     got = scoring._product(20, row, term, tf[:, kept][row, term], block, block.weights)
     assert np.allclose(got, tf @ (weight * (1.0 + np.arange(30))[:, None]))
+
+
+def test_stored_blocks_stay_smaller_than_the_text(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    words = np.array([f"w{i * 7919 % 5000:04}x" for i in range(5000)])
+    texts = [(i, " ".join(words[rng.integers(0, 5000, 400)]), "s") for i in range(1500)]
+    index = corpus.embed(corpus.chunk(spark.createDataFrame(texts, "doc_id long, text string, source string")), "search_text", dims=32)
+    asked = spark.createDataFrame([(i, f"What is {words[i]} and how {words[i + 1]}?") for i in range(1100)], "query_id long, text string")
+    context = spark.sparkContext
+    was = context.getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        found = retrieval.candidate_pool(asked, index, CFG.with_(use_places=False, fusion=0.9)).count()
+    finally:
+        context.setCheckpointDir(was or str(tmp_path))
+    stored = sum(f.stat().st_size for f in tmp_path.rglob("part-*"))
+    assert found == 1100 * 15
+    assert stored < 2 * sum(len(t) for _, t, _ in texts), stored     # three groups of questions, one copy of the chunks
+
+
+def test_chunk_terms_are_counted_in_one_sorted_dictionary():
+    lists = pa.array([["b", "a", "b"], [], None, ["ö", "z", None, "a"]], pa.list_(pa.string()))
+    terms, counts = scoring._tally(lists)
+    assert terms.to_pylist() == [["a", "b"], [], [], ["a", "z", "ö"]] and counts.to_pylist() == [[1, 2], [], [], [1, 1, 1]]
+    row, term, at = scoring._held(terms.slice(1), pa.array(["a", "q", "ö"]))
+    assert (row.tolist(), term.tolist()) == ([2, 2], [0, 2]) and counts.slice(1).flatten().take(pa.array(at)).to_pylist() == [1, 1]
+    block = pa.RecordBatch.from_pydict({"terms": terms})
+    assert scoring.holders(block, pa.table({"term": ["q", "a", "z"]})).to_pylist() == [{"term": "a", "df": 2}, {"term": "z", "df": 1}]
