@@ -12,10 +12,11 @@ ranked window.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from answerlake.session import settle
@@ -33,6 +34,18 @@ def _packed(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
+@contextmanager
+def _rows_to_python(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs run inside send a block's rows to Python at a time, not 10,000, which a task would hold several times over."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(was)) if int(was) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def _as_it_is(value):
     return value
 
@@ -61,7 +74,8 @@ class Grid:
                     block = {"block": pa.array([_packed(compact(part))], pa.binary())}
                     yield pa.RecordBatch.from_pydict(block | {k: pa.array([f(part)], pa.int64()) for k, f in sizes.items()})
 
-        dealt = settle(chunks.mapInArrow(pack, ", ".join(["block binary", *(f"{k} bigint" for k in sizes)])))
+        with _rows_to_python(chunks.sparkSession, rows):
+            dealt = settle(chunks.mapInArrow(pack, ", ".join(["block binary", *(f"{k} bigint" for k in sizes)])))
         # A table of few splits: its blocks, not its rows, are spread over the cores.
         cores = chunks.sparkSession.sparkContext.defaultParallelism
         return settle(dealt.repartition(cores)) if dealt.rdd.getNumPartitions() < cores else dealt

@@ -19,6 +19,8 @@ from answerlake.session import spread
 SECTION_HEADING = r"Section\s+\d+\s*:[^\n]*"
 WINDOW_WORDS, WINDOW_OVERLAP = 500, 50
 HASHED_DIMENSIONS = 1536
+#: Words whose place an encoding task remembers; the others are hashed again.
+WORDS_HELD = 100_000
 
 
 def sections(text: Column, doc_id: Column, heading: str = SECTION_HEADING) -> Column:
@@ -159,7 +161,7 @@ def hashed_encoder(dims: int = HASHED_DIMENSIONS):
         def __missing__(self, word: str) -> int:
             code = hashlib.sha256(word.encode()).hexdigest()
             hit = 2 * (int(code[:8], 16) % dims) + int(code[8], 16) % 2
-            if len(self) < 1_000_000:
+            if len(self) < WORDS_HELD:
                 self[word] = hit
             return hit
 
